@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import html_extract, language_id, license_scan, piece_tokenizer, quality, vector_search
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .near_dedup import near_dedup
@@ -17,10 +18,45 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def piece_model() -> str:
+    """Where the public SentencePiece model lies; read on the driver alone."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    out = quality.quality(docs, model)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    out = language_id.identify(docs, model)
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.license_scan(_table(spark, sf_dir, "documents"), license_scan.known_digests(spark))
+    return out.withColumn("notices", F.array_join("notices", ","))
+
+
+def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = piece_tokenizer.encode_decode(_table(spark, sf_dir, "documents"), piece_tokenizer.Vocabulary.load(piece_model()))
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup(_table(spark, sf_dir, "documents"), window=13)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -30,21 +66,60 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_extract.extract_main_text(pages, html_extract.train(pages))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
+    "op3_license_scan": op3_license_scan,
+    "op4_vector_search": op4_vector_search,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_mix_sources": op8_mix_sources,
+    "op9_html_extract": op9_html_extract,
     "op10_line_dedup": op10_line_dedup,
 }
 
 _WORDS = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
 
+
+
+def _canonical(text: str) -> str:
+    """Canonical lines of a text, in SQL."""
+    x = r"' ' || trim(regexp_replace(l, '[^\p{L}\p{N}]+', ' ', 'g')) || ' '"
+    for a, b in license_scan.SPELLINGS:
+        if a != b:
+            x = f"replace({x}, ' {a} ', ' {b} ')"
+    lines = f"list_filter(string_split(lower({text}), chr(10)), lambda l: NOT regexp_matches(l, '{license_scan.COPYRIGHT}'))"
+    return f"list_filter(list_transform({lines}, lambda l: trim({x})), lambda l: l <> '')"
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_KNOWN = ",\n".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in license_scan.KNOWN)
+
 ORACLE_SQL = {
+    "op3_license_scan": f"""
+WITH known AS (SELECT sha256(array_to_string({_canonical("t")}, ' ')) AS digest, min(license) AS license FROM (VALUES {_KNOWN}) k(license, t) GROUP BY 1),
+c AS (SELECT doc_id, coalesce({_canonical("text")}, []) AS ls FROM documents),
+u AS (SELECT doc_id, true AS whole, sha256(array_to_string(ls, ' ')) AS digest FROM c WHERE len(ls) > 0
+      UNION ALL SELECT doc_id, false, sha256(l) FROM (SELECT doc_id, unnest(ls) AS l FROM c)),
+f AS (SELECT doc_id, min(license) FILTER (WHERE whole) AS license, string_agg(DISTINCT license, ',' ORDER BY license) FILTER (WHERE NOT whole) AS notices,
+             count(*) FILTER (WHERE NOT whole) AS n_notices
+      FROM u JOIN known USING (digest) GROUP BY 1)
+SELECT d.doc_id, f.license, coalesce(f.notices, '') AS notices, coalesce(f.n_notices, 0)::BIGINT AS n_notices
+FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id""",
     "op5_minhash_near_dedup": f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),

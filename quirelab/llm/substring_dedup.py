@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ._text import Words, as_bytes, chunks
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_WINDOWS = 3_000_000
-CELL_BITS = 4
+CELL_BITS = 7
 
 
 def _hashed(table: pa.Table, n: int) -> Iterator[tuple[np.ndarray, Words, np.ndarray, np.ndarray, np.ndarray]]:
