@@ -1 +1,6 @@
+"""The library's registered queries, and their SQL."""
 
+from quirelab.plans import page_queries
+
+QUERIES = {**page_queries.QUERIES}
+ORACLE_SQL = {**page_queries.ORACLE_SQL}
