@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 SPACES = r"[\s\u00a0\ufeff]"
 # Characters that a page holds, by font size in points; other sizes hold OTHER_CAPACITY.
@@ -19,17 +20,17 @@ BULLET = "^[•●◦▪■□–—‣⁃∙·*\\-]\\s*"
 NUMBER = r"^(\(?\d{1,2}[.)]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,4}[.)])\s+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(types.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(types.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(types.ArrayType(types.StringType()))
 def graphemes(s: pd.Series) -> pd.Series:
     """User-perceived characters."""
     import regex
@@ -193,7 +194,7 @@ TOKEN = re.compile(r"(?P<comment>//[^\n]*|/\*.*?\*/|#[^\n]*)|(?P<string>\"(?:\\.
 def code_tokens(keywords: frozenset[str]):
     """A vectorised function from source text to (kind, text) tokens: comments, strings, numbers, keywords, booleans, calls."""
 
-    @F.pandas_udf("array<struct<kind:string,text:string>>")
+    @F.pandas_udf(types.ArrayType(types.StructType([types.StructField("kind", types.StringType()), types.StructField("text", types.StringType())])))
     def tokens(s: pd.Series) -> pd.Series:
         def one(code: str) -> list[dict[str, str]]:
             out = []

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from quirelab.functions import text as T
 
@@ -63,7 +64,7 @@ def run_coverage(pairs: DataFrame, ref: DataFrame, out: DataFrame, run: int = 12
     return long_.unionByName(multiset_recall(short, ref, out).withColumnRenamed("recall", "coverage"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(types.DoubleType())
 def ordered_recall(ref: pd.Series, out: pd.Series) -> pd.Series:
     """Longest common subsequence of two word lists over the length of the first; memory in proportion to one list."""
 
@@ -128,7 +129,7 @@ def weighted_mode(rows: DataFrame, by: tuple[str, ...], value: Column, weight: C
     return g.groupBy(*by).agg(F.max_by("v", F.struct("w", -F.col("s"))).alias("value"), F.max("w").alias("weight"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(types.ArrayType(types.StringType()))
 def wrap_mono(text: pd.Series, columns: pd.Series) -> pd.Series:
     """Lines of a paragraph in a font of equal widths: breaks at spaces that overflow, cuts words longer than a line."""
     import regex

@@ -1,6 +1,6 @@
 """The library's registered queries, and their SQL."""
 
-from quirelab.plans import page_queries
+from quirelab.plans import page_queries, text_queries
 
-QUERIES = {**page_queries.QUERIES}
-ORACLE_SQL = {**page_queries.ORACLE_SQL}
+QUERIES = {**page_queries.QUERIES, **text_queries.QUERIES}
+ORACLE_SQL = {**page_queries.ORACLE_SQL, **text_queries.ORACLE_SQL}

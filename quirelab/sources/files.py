@@ -9,6 +9,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -40,13 +41,13 @@ def _tolerant(read):
     return one
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(types.ArrayType(types.StringType()))
 def sheet_names(content: pd.Series) -> pd.Series:
     """Sheet names of a workbook; an empty list for anything that can't be read as one."""
     return content.map(_tolerant(_names))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(types.ArrayType(types.StringType()))
 def docx_paragraphs(content: pd.Series) -> pd.Series:
     """Paragraph texts of a word-processor file; an empty list for anything that can't be read as one."""
     return content.map(_tolerant(_paragraphs))

@@ -31,9 +31,9 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mono_pieces(rows: DataFrame, size: float = 12.0, margin: float = 72.0) -> DataFrame:
     """Words of lines (doc_id, line_no, line), placed in a font of equal widths: (doc_id, page_no, piece_no, line_no, str, x, y, w, fs, bold).
 
-    60 lines make a page. A line in capitals is set in 18 points, one that starts with a digit is bold.
+    60 lines make a page. A line of fewer than six words is set in 18 points, one that starts with a digit is bold.
     """
-    fs = F.when(F.col("line") == F.upper("line"), F.lit(18.0)).otherwise(F.lit(size))
+    fs = F.when(F.size(F.split("line", " ")) < 6, F.lit(18.0)).otherwise(F.lit(size))
     spot = F.transform(F.split("line", " "), lambda w: F.struct(w.alias("str"), F.char_length(w).alias("n")))
     at = F.aggregate(
         spot, F.struct(F.lit(0).alias("col"), F.array().cast("array<struct<str:string,col:int>>").alias("out")),
@@ -42,6 +42,6 @@ def mono_pieces(rows: DataFrame, size: float = 12.0, margin: float = 72.0) -> Da
     out = rows.withColumn("fs", fs).withColumn("bold", F.col("line").rlike("^[0-9]")).select("doc_id", "line_no", "fs", "bold", F.posexplode(at).alias("k", "p"))
     return out.select(
         "doc_id", (F.floor(F.col("line_no") / 60) + 1).cast("int").alias("page_no"), (F.col("line_no") * 10000 + F.col("k")).alias("piece_no"), "line_no", F.col("p.str").alias("str"),
-        (F.lit(margin) + F.col("p.col") * size * 0.6).alias("x"), (F.lit(margin) + (F.col("line_no") % 60) * size * 1.2).alias("y"),
+        (F.lit(margin) + F.col("p.col") * F.col("fs") * 0.6).alias("x"), (F.lit(margin) + (F.col("line_no") % 60) * size * 1.2).alias("y"),
         (F.char_length("p.str") * F.col("fs") * 0.6).alias("w"), "fs", "bold",
     )
