@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Spellings that count as equal, as whole words after punctuation has become spaces.
 SPELLINGS = (
-    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub licence", "sublicense"), ("sub license", "sublicense"),
+    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub licence", "sublicense"), ("sub license", "sublicense"),
     ("non commercial", "noncommercial"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"),
     ("favour", "favor"), ("honour", "honor"), ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("whilst", "while"),
     ("per cent", "percent"), ("merchantability", "merchantability"), ("http", "https"),
