@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,14 +34,12 @@ def mono_pieces(rows: DataFrame, size: float = 12.0, margin: float = 72.0) -> Da
     60 lines make a page. A line of fewer than six words is set in 18 points, one that starts with a digit is bold.
     """
     fs = F.when(F.size(F.split("line", " ")) < 6, F.lit(18.0)).otherwise(F.lit(size))
-    spot = F.transform(F.split("line", " "), lambda w: F.struct(w.alias("str"), F.char_length(w).alias("n")))
-    at = F.aggregate(
-        spot, F.struct(F.lit(0).alias("col"), F.array().cast("array<struct<str:string,col:int>>").alias("out")),
-        lambda acc, w: F.struct((acc["col"] + w["n"] + 1).alias("col"), F.when(w["n"] > 0, F.array_append(acc["out"], F.struct(w["str"].alias("str"), acc["col"].alias("col")))).otherwise(acc["out"]).alias("out")),
-    )["out"]
-    out = rows.withColumn("fs", fs).withColumn("bold", F.col("line").rlike("^[0-9]")).select("doc_id", "line_no", "fs", "bold", F.posexplode(at).alias("k", "p"))
+    words = rows.withColumn("fs", fs).withColumn("bold", F.col("line").rlike("^[0-9]")).select("doc_id", "line_no", "fs", "bold", F.posexplode(F.split("line", " ")).alias("k", "str"))
+    n = F.char_length("str")
+    before = Window.partitionBy("doc_id", "line_no").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    out = words.withColumn("col", F.coalesce(F.sum(n + 1).over(before), F.lit(0))).filter(n > 0)
     return out.select(
-        "doc_id", (F.floor(F.col("line_no") / 60) + 1).cast("int").alias("page_no"), (F.col("line_no") * 10000 + F.col("k")).alias("piece_no"), "line_no", F.col("p.str").alias("str"),
-        (F.lit(margin) + F.col("p.col") * F.col("fs") * 0.6).alias("x"), (F.lit(margin) + (F.col("line_no") % 60) * size * 1.2).alias("y"),
-        (F.char_length("p.str") * F.col("fs") * 0.6).alias("w"), "fs", "bold",
+        "doc_id", (F.floor(F.col("line_no") / 60) + 1).cast("int").alias("page_no"), (F.col("line_no") * 10000 + F.col("k")).alias("piece_no"), "line_no", "str",
+        (F.lit(margin) + F.col("col") * F.col("fs") * 0.6).alias("x"), (F.lit(margin) + (F.col("line_no") % 60) * size * 1.2).alias("y"),
+        (n * F.col("fs") * 0.6).alias("w"), "fs", "bold",
     )
