@@ -250,7 +250,7 @@ u AS (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 10737
   (length(pw) > 5)::INT + (length(pw) > 8)::INT + regexp_matches(pw, '[A-Z]')::INT + regexp_matches(pw, '[a-z]')::INT + regexp_matches(pw, '[0-9]')::INT + regexp_matches(pw, '[^A-Za-z0-9]')::INT AS sc FROM d),
 v AS (SELECT *, floor(n * 10 / pow(1024.0, i) + 0.5)::BIGINT AS t FROM u)
 SELECT doc_id, (t // 10) || CASE WHEN t % 10 = 0 THEN '' ELSE '.' || (t % 10) END || ' ' || ['B', 'KB', 'MB', 'GB'][i + 1] AS short_size,
-  CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE) ELSE printf('%.2f MB', n / 1048576.0::DOUBLE) END AS report_size, ext AS extension,
+  CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n * 10 / 1024.0::DOUBLE + 0.5) / 10) ELSE printf('%.2f MB', floor(n * 100 / 1048576.0::DOUBLE + 0.5) / 100) END AS report_size, ext AS extension,
   CASE WHEN ext <> 'pdf' THEN 'type' WHEN n > 52428800 THEN 'size' END AS pdf_error, CASE WHEN ext <> 'png' THEN 'type' WHEN n > 52428800 THEN 'size' END AS image_error,
   CASE WHEN sc = 0 THEN 'None' WHEN sc < 3 THEN 'Weak' WHEN sc < 5 THEN 'Medium' ELSE 'Strong' END AS password FROM v""",
     "health_scores": """WITH d AS (SELECT doc_id, doc_id & 1 AS b0, (doc_id >> 1) & 1 AS b1, (doc_id >> 2) & 1 AS b2, (doc_id >> 3) & 1 AS b3, (doc_id >> 4) & 1 AS b4, (doc_id >> 5) & 1 AS b5, (doc_id >> 6) & 1 AS b6, (doc_id >> 7) & 1 AS b7 FROM documents),
