@@ -98,3 +98,20 @@ def byte_checks(content: Column) -> dict[str, Column]:
         "object_errors": near(r"\d+\s+\d+\s+obj\b", r"\bendobj\b"),
         "size": n,
     }
+
+
+def issues(c: dict[str, Column]) -> Column:
+    """What is wrong with a file, as array<struct<id, severity, category, fixable>>."""
+
+    def issue(when: Column, name: str, severity: Column | str, category: str, fixable: bool = True) -> Column:
+        level = F.lit(severity) if isinstance(severity, str) else severity
+        return F.when(when, F.struct(F.lit(name).alias("id"), level.alias("severity"), F.lit(category).alias("category"), F.lit(fixable).alias("fixable")))
+
+    many = lambda n, most: F.when(n > most, "critical").otherwise("warning")
+    return F.array_compact(F.array(
+        issue(~c["header"], "no-header", "critical", "structure"), issue(~c["eof"], "no-eof", "critical", "structure"), issue(~c["xref"], "no-xref", "critical", "xref"),
+        issue(~c["trailer"], "no-trailer", "critical", "xref"), issue(c["encrypted"], "encrypted", "critical", "structure", False),
+        issue(c["object_errors"] > 0, "object-mismatch", many(c["object_errors"], 5), "objects"), issue(c["stream_errors"] > 0, "stream-mismatch", many(c["stream_errors"], 3), "encoding"),
+        issue(~c["strict"] & c["tolerant"], "strict-parse-fail", "warning", "structure"), issue(~c["strict"] & ~c["tolerant"] & ~c["recoverable"], "unreadable", "critical", "structure", False),
+        issue(~c["metadata"] & c["strict"], "corrupt-metadata", "info", "metadata"),
+    ))

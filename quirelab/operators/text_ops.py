@@ -106,16 +106,6 @@ def find_phrase(words: DataFrame, query: str, by: tuple[str, ...] = ("doc_id", "
     return spots.join(words, [*by, "word_no"])
 
 
-def skew(words: DataFrame) -> DataFrame:
-    """(doc_id, page_no, slope): upper median of slopes between neighbours on a line, of pages with five or more, else 0."""
-    w = Window.partitionBy("doc_id", "page_no", "line_no").orderBy("x0")
-    run = F.col("x0") - F.lag("x0").over(w)
-    slope = (F.col("base") - F.lag("base").over(w)) / run
-    some = words.withColumn("s", F.when(run > 0, slope))
-    fine = F.sort_array(F.collect_list(F.when(F.abs("s") < 0.2, F.col("s"))))
-    return some.groupBy("doc_id", "page_no").agg(fine.alias("s")).select("doc_id", "page_no", F.when(F.size("s") >= 5, F.element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int"))).otherwise(0.0).alias("slope"))
-
-
 def nearest_rank(values: Column, p: float) -> Column:
     """Percentile of a list by nearest rank, without interpolation; 0 for an empty one."""
     n = F.size(values)

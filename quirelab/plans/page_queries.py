@@ -168,8 +168,17 @@ def health_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "score", S.health_label(F.col("score")).alias("label"), F.col("r.status").alias("status"), F.col("r.chance").alias("chance"), S.recovery_rate(F.col("doc_id") % 5, F.col("doc_id") % 6).alias("rate"))
 
 
+def health_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bit = lambda i: F.col("doc_id").bitwiseAND(F.lit(1 << i)) == 0
+    c = {k: bit(i) for i, k in enumerate(("header", "eof", "xref", "trailer", "strict", "tolerant", "metadata", "recoverable"))}
+    c |= {"encrypted": F.col("doc_id") % 9 == 0, "object_errors": F.col("doc_id") % 8, "stream_errors": F.col("doc_id") % 7}
+    d = T.table(spark, sf_dir, "documents").select("doc_id", S.issues(c).alias("i"))
+    count = lambda f: F.size(F.filter("i", f))
+    return d.select("doc_id", F.array_join(F.transform("i", lambda x: x["id"]), ",").alias("ids"), count(lambda x: x["severity"] == "critical").alias("critical"), count(lambda x: x["fixable"]).alias("fixable"))
+
+
 QUERIES = {f.__name__: f for f in (
-    split_pages, extract_separate, extract_merged, range_errors, page_list, fixed_chunks, size_chunks, pages_to_ranges, remove_pages, merge_documents, total_pages,
+    health_issues, split_pages, extract_separate, extract_merged, range_errors, page_list, fixed_chunks, size_chunks, pages_to_ranges, remove_pages, merge_documents, total_pages,
     organize_pages, move_selected_front, move_item, insert_blank, rotate_pages, zip_names, page_labels, watermark_boxes, crop_boxes, image_fit, file_labels, health_scores,
 )}
 
@@ -179,6 +188,12 @@ _SPEC = """s AS (SELECT (row_number() OVER () - 1)::INT AS file_no, regexp_extra
 d AS (SELECT doc_id, n FROM c WHERE n >= (SELECT max(b) FROM s))"""
 
 ORACLE_SQL = {
+    "health_issues": """WITH d AS (SELECT doc_id, doc_id & 1 > 0 AS b0, doc_id & 2 > 0 AS b1, doc_id & 4 > 0 AS b2, doc_id & 8 > 0 AS b3, doc_id & 16 > 0 AS b4, doc_id & 32 > 0 AS b5, doc_id & 64 > 0 AS b6, doc_id & 128 > 0 AS b7,
+  doc_id % 8 AS o, doc_id % 7 AS s, doc_id % 9 = 0 AS e FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN b0 THEN 'no-header' END, CASE WHEN b1 THEN 'no-eof' END, CASE WHEN b2 THEN 'no-xref' END, CASE WHEN b3 THEN 'no-trailer' END, CASE WHEN e THEN 'encrypted' END,
+  CASE WHEN o > 0 THEN 'object-mismatch' END, CASE WHEN s > 0 THEN 'stream-mismatch' END, CASE WHEN b4 AND NOT b5 THEN 'strict-parse-fail' END, CASE WHEN b4 AND b5 AND b7 THEN 'unreadable' END, CASE WHEN b6 AND NOT b4 THEN 'corrupt-metadata' END) AS ids,
+  (b0::INT + b1::INT + b2::INT + b3::INT + e::INT + (o > 5)::INT + (s > 3)::INT + (b4 AND b5 AND b7)::INT)::INT AS critical,
+  (b0::INT + b1::INT + b2::INT + b3::INT + (o > 0)::INT + (s > 0)::INT + (b4 AND NOT b5)::INT + (b6 AND NOT b4)::INT)::INT AS fixable FROM d""",
     "split_pages": f"""WITH {_P}, {_SPEC.format(SPLIT)}
 SELECT p.doc_id, s.file_no, 'doc' || p.doc_id || '_' || a || CASE WHEN a <> b THEN '-' || b ELSE '' END || '.pdf' AS file_name, p.page_no, p.text
 FROM d JOIN p USING (doc_id) JOIN s ON p.page_no BETWEEN a AND b""",

@@ -9,6 +9,7 @@ from quirelab.functions import scores as S
 from quirelab.functions import text as X
 from quirelab.operators import catalog_ops as C
 from quirelab.operators import layout_ops as L
+from quirelab.operators import ocr_ops as W
 from quirelab.operators import page_ops as P
 from quirelab.operators import text_ops as O
 from quirelab.sources import tables as T
@@ -156,8 +157,39 @@ def wrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "line_no", "k", "line", (F.floor(at / 54) + 1).cast("int").alias("page_no"))
 
 
+def ocr_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("word_no")
+    w = _page_words(spark, sf_dir).select("doc_id", "page_no", "word_no", "text", (n * 37 % 100).cast("int").alias("confidence"), (n % 10 * 130.0).alias("x0"), (F.floor(n / 10) * 60.0).alias("y0"), (n % 10 * 130.0 + 100).alias("x1"))
+    w = w.withColumn("y1", F.col("y0") + 40).withColumn("baseline_y", F.when(n % 7 != 0, F.col("y0") + 32 + n % 10 * F.col("page_no") * 0.5)).withColumn("line_height", F.lit(None).cast("double"))
+    w = w.withColumns({"px_w": F.lit(1275.0), "px_h": F.lit(1650.0), "pdf_w": F.lit(612.0), "pdf_h": F.lit(792.0)})
+    r = lambda c: F.round(c, 6).alias(c)
+    return W.pieces(w).select("doc_id", "page_no", "word_no", "str", r("x"), r("y"), r("w"), r("fs"))
+
+
+def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = T.pages(spark, sf_dir)
+    cut = p.select("doc_id", "page_no", F.substring("text", 1, 8).alias("str")).unionByName(p.filter("page_no % 3 = 0").select("doc_id", "page_no", "text").withColumnRenamed("text", "str"))
+    images = p.select("doc_id", "page_no", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(600.0).alias("x1"), (F.col("page_no") * 100.0).alias("y1"))
+    sizes = p.select("doc_id", "page_no", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+    return W.scanned(sizes, cut, images)
+
+
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("line_no")
+    lead = F.element_at(F.array(*map(F.lit, ("## ", "- ", "- ", "", "2. ", "> ", "### ", "|", "|", ""))), (n % 10 + 1).cast("int"))
+    tail = F.when(lead == "|", "|b|").otherwise("")
+    lines = T.lines(spark, sf_dir).select("doc_id", "line_no", F.when(n % 10 == 3, "").otherwise(F.concat(lead, F.substring("line", 1, 9), tail)).alias("line"))
+    return L.markdown_blocks(lines).select("doc_id", "first_line", "kind", F.array_join("items", "¦").alias("items"))
+
+
+def paginated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("line_no")
+    atoms = T.lines(spark, sf_dir).select("doc_id", (n * 30.0).alias("top"), (n * 30.0 + 10 + F.char_length("line") % 40).alias("bottom"), (n % 9 == 8).alias("keep_with_next"))
+    return L.paginate(atoms, 400.0)
+
+
 QUERIES = {f.__name__: f for f in (
-    text_stats, word_counts, repeated_lines, clean_text, joined_lines, inline_markup, numerals, multiset_recall, run_coverage_12, ordered_recall_lcs, word_search, phrase_search,
+    ocr_pieces, scanned_pages, markdown_blocks, paginated, text_stats, word_counts, repeated_lines, clean_text, joined_lines, inline_markup, numerals, multiset_recall, run_coverage_12, ordered_recall_lcs, word_search, phrase_search,
     recent_items, favourite_items, best_candidate, related_documents, keyword_search, categories_first_seen, weighted_mode, layout_rows, layout_fragments, headings,
     page_statistics, wrap_lines,
 )}
@@ -179,6 +211,24 @@ pw AS (SELECT *, 72 + col * fs * 0.6::DOUBLE AS x FROM pc WHERE s <> ''), rw AS
 rn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) - 1 AS row_no FROM rw)"""
 
 ORACLE_SQL = {
+    "ocr_pieces": f"""WITH {_PAGE_WORDS}, a AS (SELECT doc_id, page_no, word_no AS n, text, (word_no % 10 * 130)::DOUBLE AS x0, (word_no // 10 * 60)::DOUBLE AS y0, CASE WHEN word_no % 7 <> 0 THEN word_no // 10 * 60 + 32 + word_no % 10 * page_no * 0.5::DOUBLE END AS bl FROM w WHERE word_no * 37 % 100 >= 10),
+b AS (SELECT *, coalesce(bl, y0 + 40) AS yb, lag(x0) OVER o AS px0, lag(coalesce(bl, y0 + 40)) OVER o AS pyb FROM a WINDOW o AS (PARTITION BY doc_id, page_no ORDER BY n)),
+s AS (SELECT doc_id, page_no, (yb - pyb) / (x0 - px0) AS s FROM b WHERE px0 IS NOT NULL AND x0 >= px0 + 98 AND x0 - px0 > 40 AND x0 - px0 - 100 <= 120 AND abs((yb - pyb) / (x0 - px0)) < 0.2),
+m AS (SELECT doc_id, page_no, list(s ORDER BY s) AS l FROM s GROUP BY ALL), k AS (SELECT doc_id, page_no, CASE WHEN len(l) >= 5 THEN l[len(l) // 2 + 1] ELSE 0 END AS slope FROM m)
+SELECT b.doc_id, b.page_no, n AS word_no, text AS str, round(x0 * 612 / 1275, 6) AS x, round((coalesce(bl, y0 + 32) - coalesce(slope, 0) * (x0 + 50)) * 792 / 1650, 6) AS y, 48.0::DOUBLE AS w, round(40 * 792 / 1650 * 0.85::DOUBLE, 6) AS fs
+FROM b LEFT JOIN k USING (doc_id, page_no)""",
+    "scanned_pages": r"""WITH p AS (SELECT conv_id AS doc_id, (turn + 1)::INT AS page_no, text FROM conversations),
+c AS (SELECT *, length(regexp_replace(substr(text, 1, 8), '[\s\x0b\x{a0}\x{feff}]', '', 'g')) + CASE WHEN page_no % 3 = 0 THEN length(regexp_replace(text, '[\s\x0b\x{a0}\x{feff}]', '', 'g')) ELSE 0 END AS n FROM p)
+SELECT doc_id, page_no, n < 25 AND 600 * page_no * 100 >= 0.25 * 612 * 792 AS scanned FROM c""",
+    "markdown_blocks": r"""WITH ln AS (SELECT doc_id, (unnest(range(1, len(ls) + 1)) - 1)::INT AS n, unnest(ls) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+t AS (SELECT doc_id, n, substr(raw, 1, 9) AS s, n % 10 AS k FROM ln WHERE n % 10 <> 3),
+u AS (SELECT *, CASE k WHEN 0 THEN '## ' WHEN 4 THEN '2. ' WHEN 5 THEN '> ' WHEN 6 THEN '### ' WHEN 9 THEN '' ELSE CASE WHEN k < 3 THEN '- ' ELSE '|' END END || s || CASE WHEN k IN (7, 8) THEN '|b|' ELSE '' END AS line FROM t),
+f AS (SELECT doc_id, n, trim(line) AS line, CASE WHEN starts_with(line, '### ') THEN 'h3' WHEN starts_with(line, '## ') THEN 'h2' WHEN regexp_matches(trim(line), '^\|[\s:|-]+\|$') THEN 'skip'
+  WHEN starts_with(trim(line), '|') AND ends_with(trim(line), '|') THEN 'table' WHEN regexp_matches(trim(line), '^[-*]\s') OR regexp_matches(trim(line), '^[0-9]+\.\s') THEN 'list' WHEN starts_with(trim(line), '>') THEN 'quote' ELSE 'p' END AS kind, line AS whole FROM u WHERE trim(line) <> ''),
+g AS (SELECT *, CASE WHEN kind IN ('list', 'table') AND lag(kind) OVER o = kind AND (n - lag(n) OVER o) = 1 THEN 0 ELSE 1 END AS fresh FROM f WHERE kind <> 'skip' WINDOW o AS (PARTITION BY doc_id ORDER BY n)),
+h AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY n) AS b FROM g),
+i AS (SELECT *, CASE kind WHEN 'h2' THEN substr(whole, 4) WHEN 'h3' THEN substr(whole, 5) WHEN 'quote' THEN trim(substr(line, 2)) WHEN 'table' THEN line WHEN 'list' THEN regexp_replace(line, '^([-*]|[0-9]+\.)\s', '') ELSE line END AS item FROM h)
+SELECT doc_id, min(n) AS first_line, CASE WHEN any_value(kind) = 'list' THEN CASE WHEN regexp_matches(arg_min(line, n), '^[-*]') THEN 'ul' ELSE 'ol' END ELSE any_value(kind) END AS kind, string_agg(item, '¦' ORDER BY n) AS items FROM i GROUP BY doc_id, b""",
     "text_stats": r"""WITH s AS (SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '[^\s\x{a0}\x{feff}\x0b]+')) AS words, len(string_split(text, chr(10))) AS lines FROM documents)
 SELECT doc_id, chars, words, CASE WHEN words = 0 THEN 0 ELSE greatest(1, ceil(chars / 1650.0::DOUBLE)) END::BIGINT AS pages, lines, greatest(1, ceil(words / 450.0::DOUBLE))::BIGINT AS markdown_pages FROM s""",
     "word_counts": f"SELECT w AS word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS w FROM documents) GROUP BY 1 HAVING count(*) >= 3",
