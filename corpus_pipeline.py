@@ -24,9 +24,8 @@ LEAST_SCORE = 0.4
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language that the classifier recognises; text without letters, or torn between languages, goes."""
     model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
-    rows = docs.select(*COLUMNS)
-    found = language_id.identify(rows, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id").distinct()
-    return rows.join(found, "doc_id", "left_semi").select(*COLUMNS)
+    found = language_id.identify(docs.select(*COLUMNS), model)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
