@@ -135,7 +135,8 @@ def layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layout_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.fragments(L.rows_of(_pieces(spark, sf_dir))).select("doc_id", "page_no", "row_no", "frag_no", "text", "x0", "x1", "base", "size", "bold")
+    r = lambda c: F.round(c, 6).alias(c)
+    return L.fragments(L.rows_of(_pieces(spark, sf_dir))).select("doc_id", "page_no", "row_no", "frag_no", "text", r("x0"), r("x1"), r("base"), "size", "bold")
 
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,6 +277,10 @@ SELECT id, rank, related_id FROM p WHERE rank <= 3""",
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS nth FROM g)
 SELECT doc_id, v::DOUBLE AS value, n::BIGINT AS weight FROM b WHERE nth = 1""",
     "layout_rows": f"WITH {_PIECES} SELECT doc_id, page_no::INT AS page_no, row_no, n AS n_pieces, round(x0, 6) AS x0, round(x1, 6) AS x1 FROM rn",
+    "layout_fragments": f"""WITH {_PIECES}, b AS (SELECT *, CASE WHEN col > lag(col + length(s)) OVER (PARTITION BY doc_id, line_no ORDER BY k) + 1 THEN 1 ELSE 0 END AS cut FROM pw),
+f AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, line_no ORDER BY k) AS frag_no FROM b)
+SELECT f.doc_id, (f.line_no // 60 + 1)::INT AS page_no, rn.row_no, frag_no::BIGINT AS frag_no, string_agg(s, ' ' ORDER BY k) AS text, round(min(x), 6) AS x0, round(max(x + length(s) * f.fs * 0.6::DOUBLE), 6) AS x1,
+  round(72 + any_value(f.line_no % 60) * 14.4::DOUBLE, 6) AS base, any_value(f.fs) AS size, any_value(f.bold) AS bold FROM f JOIN rn ON rn.doc_id = f.doc_id AND rn.line_no = f.line_no GROUP BY ALL""",
     "headings": f"""WITH {_PIECES}, g AS (SELECT doc_id, fs, sum(chars) AS n, min(page_no * 100000 + row_no) AS f FROM rn GROUP BY 1, 2),
 b AS (SELECT doc_id, fs AS body FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS nth FROM g) WHERE nth = 1),
 t AS (SELECT rn.*, body, trim(regexp_replace(line, ' +', ' ', 'g')) AS shown, count(*) OVER (PARTITION BY rn.doc_id, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '#', 'g'), ' +', ' ', 'g'))) AS times FROM rn JOIN b USING (doc_id)),
