@@ -9,8 +9,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ._text import chunks
 
@@ -19,8 +20,8 @@ GRAM = 4
 WORDS = 60_000
 GRAMS = 60_000
 SMOOTH = 0.5
-FLUSH = 120_000
-CACHE = 150_000
+FLUSH = 200_000
+CACHE = 200_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -28,23 +29,16 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
-COUNTS = pa.schema([("word", pa.bool_()), ("key", pa.string()), ("lang", pa.string()), ("n", pa.int64())])
+COUNTS = pa.schema([("word", pa.string()), ("lang", pa.string()), ("n", pa.int64())])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of words and n-grams by language, given out whenever many words have come together."""
+    """Partial counts of words by language, given out whenever many words have come together."""
     words: dict[str, Counter] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
         for lang, count in words.items():
-            part: Counter = Counter()
-            for w, n in count.items():
-                for k in range(1, GRAM + 1):
-                    for g in grams(w, k):
-                        part[g] += n
-            for is_word, c in ((True, count), (False, part)):
-                keys = list(c)
-                yield pa.RecordBatch.from_arrays([pa.array([is_word] * len(keys)), pa.array(keys, pa.string()), pa.array([lang] * len(keys), pa.string()), pa.array(list(c.values()), pa.int64())], schema=COUNTS)
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array([lang] * len(count), pa.string()), pa.array(list(count.values()), pa.int64())], schema=COUNTS)
         words.clear()
 
     for batch in batches:
@@ -65,57 +59,77 @@ class Model:
     grams: dict[str, int]
     logs: np.ndarray
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean over the word's positions of the longest known n-gram that starts there; nothing known: no evidence."""
-        w, found = f"^{word}$", []
-        for i in range(len(w)):
-            for n in range(min(GRAM, len(w) - i), 0, -1):
-                row = self.grams.get(w[i : i + n])
-                if row is not None:
-                    found.append(row)
-                    break
-        return self.logs[found].mean(axis=0) if found else np.zeros(len(self.langs), np.float32)
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Row of each word: the mean over its positions of the longest known n-gram that starts there; nothing known: no evidence."""
+        flat, size, get = [], [], self.grams.get
+        for word in words:
+            w, before = f"^{word}$", len(flat)
+            for i in range(len(w)):
+                for n in range(GRAM, 0, -1):
+                    if (row := get(w[i : i + n])) is not None:
+                        flat.append(row)
+                        break
+            size.append(len(flat) - before)
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        count = np.array(size)
+        some = np.flatnonzero(count)
+        if len(some):
+            first = np.concatenate(([0], np.cumsum(count[some])[:-1]))
+            out[some] = np.add.reduceat(self.logs[flat], first, axis=0) / count[some, None]
+        return out
+
+
+def _log_frequency(count: np.ndarray, tokens: np.ndarray, kinds: int) -> np.ndarray:
+    return np.log((count + SMOOTH) / (tokens + SMOOTH * kinds))
 
 
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Counts over all rows that have a text and a language. The most frequent WORDS words and GRAMS n-grams are kept as the model."""
+    """Counts words over all rows that have a text and a language; WORDS words at most are kept: all that are as frequent as some count.
+
+    The n-grams are those of the kept words, weighed by their counts; GRAMS at most, again the most frequent.
+    """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    counts = rows.mapInArrow(_count, "word boolean, key string, lang string, n long").groupBy("word", "key", "lang").agg(F.sum("n").alias("n"))
-    by_key = counts.groupBy("word", "key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-    by_key = by_key.persist()
-    sums = by_key.select("word", F.explode("by_lang").alias("lang", "n")).groupBy("word", "lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
-    langs = sorted({r["lang"] for r in sums})
+    counts = rows.mapInArrow(_count, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    by_word = counts.groupBy("word").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")).persist()
+    sums = by_word.select(F.explode("by_lang").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
+    steps = by_word.groupBy("total").agg(F.count(F.lit(1)).alias("words")).withColumn("words", F.sum("words").over(Window.orderBy(F.desc("total"))))
+    least = steps.filter(F.col("words") <= WORDS).agg(F.min("total").alias("t")).first()["t"]
+    frequent = by_word.filter(F.col("total") >= least) if least is not None else by_word.orderBy("word").limit(WORDS)
+    top = frequent.select("word", "by_lang").collect()  # WORDS rows at most
+    by_word.unpersist()
+    top.sort(key=lambda r: r["word"])
+    langs = sorted(r["lang"] for r in sums)
     if not langs:
-        by_key.unpersist()
         return Model([], np.zeros(0), {}, {}, np.zeros((0, 0), np.float32))
-    tokens = {(r["word"], r["lang"]): r["n"] for r in sums}
-    kinds = max(r["kinds"] for r in sums)
-    index, tables, logs = {x: i for i, x in enumerate(langs)}, {}, []
-    for is_word, most in ((True, WORDS), (False, GRAMS)):
-        top = by_key.filter(F.col("word") == is_word).orderBy(F.desc("total"), "key").limit(most).select("key", "by_lang").collect()
-        base = np.array([tokens.get((is_word, x), 0) for x in langs], float) + SMOOTH * kinds
-        n = np.full((len(top), len(langs)), SMOOTH)
-        for i, r in enumerate(top):
-            for lang, c in r["by_lang"].items():
-                n[i, index[lang]] += c
-        tables[is_word] = {r["key"]: i + sum(map(len, logs)) for i, r in enumerate(top)}
-        logs.append(np.log(n / base))
-    by_key.unpersist()
-    prior = np.log(np.array([tokens.get((True, x), 0) + 1 for x in langs], float))
-    return Model(langs, prior - prior.max(), tables[True], tables[False], np.concatenate(logs).astype(np.float32))
-
-
-PREDICTED = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-
-
-def _predict(m: Model):
+    index, tokens = {x: i for i, x in enumerate(langs)}, np.zeros(len(langs))
+    for r in sums:
+        tokens[index[r["lang"]]] = r["n"]
+    n = np.zeros((len(top), len(langs)))
+    part: dict[str, np.ndarray] = {}
+    for i, r in enumerate(top):
+        for lang, c in r["by_lang"].items():
+            n[i, index[lang]] += c
+        for k in range(1, GRAM + 1):
+            for g in grams(r["word"], k):
+                if g in part:
+                    part[g] += n[i]
+                else:
+                    part[g] = n[i].copy()
+    best = sorted(part, key=lambda g: (-part[g].sum(), g))[:GRAMS]
+    m = np.array([part[g] for g in best])
+    logs = np.concatenate((_log_frequency(n, tokens, max(r["kinds"] for r in sums)), _log_frequency(m, sum(part.values()), len(part))))
+    prior = np.log(tokens + 1)
+    return Model(langs, prior - prior.max(), {r["word"]: i for i, r in enumerate(top)}, {g: len(top) + i for i, g in enumerate(best)}, logs.astype(np.float32))
+
+
+def _predict(m: Model, text_col: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_known = len(m.logs)
         rows = np.concatenate((m.logs, np.zeros((CACHE, len(m.langs)), np.float32))) if m.langs else None
         seen = dict(m.words)
         used = n_known
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(text_col).to_pylist()
             for lo, hi in chunks(texts):
                 found = [LETTERS.findall(t.lower()) if t else [] for t in texts[lo:hi]]
                 size = np.fromiter(map(len, found), np.int64, len(found))
@@ -127,10 +141,9 @@ def _predict(m: Model):
                         fresh = list(dict.fromkeys(w for doc in found for w in doc if w not in seen))
                         if used + len(fresh) > len(rows):
                             rows = np.concatenate((rows, np.zeros((len(fresh), len(m.langs)), np.float32)))
-                    for w in fresh:
-                        rows[used] = m.unseen(w)
-                        seen[w] = used
-                        used += 1
+                    rows[used : used + len(fresh)] = m.unseen(fresh)
+                    seen.update(zip(fresh, range(used, used + len(fresh)), strict=True))
+                    used += len(fresh)
                     get = seen.__getitem__
                     at = np.fromiter((get(w) for doc in found for w in doc), np.int64, int(size.sum()))
                     some = np.flatnonzero(size)
@@ -143,7 +156,8 @@ def _predict(m: Model):
                     score[some] = share[np.arange(len(some)), best]
                     for i, b in zip(some, best, strict=True):
                         lang[i] = m.langs[b]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score)], schema=PREDICTED)
+                stay = [batch.column(c).slice(lo, hi - lo) for c in keep]
+                yield pa.RecordBatch.from_arrays([*stay, pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
     return run
 
@@ -153,15 +167,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, lang_pred, score) for every row, from its whole text alone.
+def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Every row with lang_pred and score, told from its whole text alone. `keep` names the input columns to return, all by default.
 
     A word is a run of letters, lower-cased, cut after 40. A known word adds its log frequency in each language; an unseen
     one the mean over its positions of the longest known n-gram there, from GRAM characters down to one. The score is the
     winner's share of the likelihood, 0 to 1; ties go to the language that sorts first.
 
     Null text, or text without a letter: `und`, score 0; so is all text if the model has no language. Repeated ids and null
-    ids stay as rows. Empty table: empty result. Other columns are ignored.
+    ids stay as rows. Empty table: empty result. Input columns called lang_pred or score are replaced.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predict(model), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    kept = docs.select(*keep)
+    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    rows = docs.select(*dict.fromkeys([*keep, text_col]))
+    return rows.mapInArrow(_predict(model, text_col, keep), schema)

@@ -80,7 +80,7 @@ def test_language(spark, sf, awkward, empty):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     seen = docs.filter(~language_id.held_out(F.col("doc_id")))
     model = language_id.train(seen)
-    out = language_id.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter(language_id.held_out(F.col("doc_id")))
+    out = language_id.identify(docs, model).filter(language_id.held_out(F.col("doc_id")))
     assert out.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] >= 0.95
     got = {r["doc_id"]: r for r in language_id.identify(awkward, model).collect()}
     assert all(0 <= r["score"] <= 1 for r in got.values())
