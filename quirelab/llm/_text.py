@@ -15,7 +15,7 @@ import pyarrow as pa
 
 WORD = r"[^\x20\x09-\x0D]+"
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:

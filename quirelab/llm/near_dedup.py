@@ -5,11 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components, flatten_parents
@@ -17,7 +16,8 @@ from ._store import Workspace
 from ._text import Words, as_bytes, chunks, mix
 
 ROWS = 4
-SKETCH_BITS = 1024
+SAMPLES = 4096
+SKETCH_BITS = 2048
 SALTS = 32
 BLOCK = 512
 MISS = 1e-6
@@ -39,26 +39,41 @@ def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int, k: int) -> np.ndarra
     return sig
 
 
-def odd_sketches(sig: np.ndarray) -> np.ndarray:
-    """Parity bitmaps: each of the k samples flips the bit that it is hashed to."""
-    n, k = sig.shape
-    at = mix((sig.astype(np.uint64) << np.uint64(8)) ^ mix(np.arange(k, dtype=np.uint64)))
-    at = (at >> np.uint64(64 - int(SKETCH_BITS).bit_length() + 1)).astype(np.int64) + np.arange(n)[:, None] * SKETCH_BITS
-    odd = (np.bincount(at.ravel(), minlength=n * SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n, SKETCH_BITS), axis=1).view(np.int64)
+def odd_sketches(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmaps of each text, and how many samples went in.
+
+    The samples are one-permutation MinHash values: the least hash of each of SAMPLES ranges that has one. Hashes come sorted by
+    text and value, so the least ones stand first. Each flips the bit that it is hashed to.
+    """
+    bin_ = h >> np.uint64(64 - SAMPLES.bit_length() + 1)
+    least = np.concatenate(([True], (bin_[1:] != bin_[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, bool)
+    at = (mix(h[least] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64) + doc[least] * SKETCH_BITS
+    odd = (np.bincount(at, minlength=n_docs * SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n_docs, SKETCH_BITS), axis=1), np.bincount(doc[least], minlength=n_docs)
 
 
-def most_bits(similarity: float, k: int) -> int:
-    """Largest XOR population count that a pair of this similarity has, but for a chance of about 1e-6.
+def may_link(apart: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, similarity: float) -> np.ndarray:
+    """False where two sets are not as similar as this, but for a chance of about 1e-6.
 
-    The number of unequal samples is binomial; each puts two flips into SKETCH_BITS bits.
+    apart: XOR population count of the sketches; sizes of the sets; samples in the sketches. At the threshold the union has
+    (size_a + size_b) / (1 + similarity) shingles. They fill a number of ranges that the samples of the two sets tell closely; the share
+    `similarity` of these agree, with the spread of a draw without replacement. What is left over flips bits, and flips of one bit cancel.
     """
-    unequal = k * (1 - similarity) + 5 * math.sqrt(k * similarity * (1 - similarity))
-    mean = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * unequal))
-    return math.ceil(mean + 2 * math.sqrt(mean * (1 - mean / SKETCH_BITS)))
+    n, rate = size_a + size_b, np.log1p(-1 / SAMPLES)
+    union, expect = n / (1 + similarity), lambda x: SAMPLES * -np.expm1(x * rate)
+    filled = np.minimum(expect(union) * (in_a + in_b) / np.maximum(expect(size_a) + expect(size_b), 1e-9), union)
+    load = union / SAMPLES
+    uncertain = SAMPLES * np.exp(-load) * (1 - (1 + load) * np.exp(-load)) * (1 - n / 2 / union)
+    spread = np.sqrt(filled * similarity * (1 - similarity) * (1 - filled / union) + similarity**2 * uncertain)
+    flips = np.maximum(in_a + in_b - 2 * (similarity * filled - 5 * spread - 1), 0)
+    mean = SKETCH_BITS / 2 * -np.expm1(flips * np.log1p(-2 / SKETCH_BITS))
+    alike = np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - 1e-9
+    left = np.exp(-4 * flips / SKETCH_BITS)
+    noise = np.sqrt(np.maximum(SKETCH_BITS / 4 * (1 - left) - flips * left, 0))
+    return alike & (apart <= np.minimum(flips, mean + 5 * noise + 1))
 
 
-SIGNED = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+SIGNED = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("sampled", pa.int32())])
 
 
 def _sign(shingle: int, bands: int, rows: int):
@@ -75,8 +90,10 @@ def _sign(shingle: int, bands: int, rows: int):
                 band = np.full((n, bands), 0x51ED270B, np.uint64)
                 for r in range(rows):
                     band = mix(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::rows])
-                lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel().view(np.int64))) for x in (band, odd_sketches(sig))]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, n), pa.array(sizes.astype(np.int64)), pa.array(keys, pa.binary()), *lists], schema=SIGNED)
+                sketch, sampled = odd_sketches(doc, h, n)
+                lists = pa.ListArray.from_arrays(np.arange(0, band.size + 1, bands, dtype=np.int32), pa.array(band.ravel().view(np.int64)))
+                rest = [pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(sampled.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, n), pa.array(sizes.astype(np.int64)), pa.array(keys, pa.binary()), lists, *rest], schema=SIGNED)
 
     return run
 
@@ -106,23 +123,41 @@ def _confirm(shingle: int, percent: int):
     return run
 
 
-def _bits_apart(x: str, y: str) -> Column:
-    return reduce(lambda s, i: s + F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])), range(1, SKETCH_BITS // 64), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+def _bits(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+
+
+def _sift(similarity: float):
+    """Keeps pairs whose sketches are near enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.bitwise_count(_bits(batch.column("sketch_a")) ^ _bits(batch.column("sketch_b"))).sum(axis=1)
+            n = {c: batch.column(c).to_numpy() for c in ("size_a", "size_b", "sampled_a", "sampled_b")}
+            mask = pa.array(may_link(apart, n["size_a"], n["size_b"], n["sampled_a"], n["sampled_b"], similarity))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], schema=PAIRS)
+
+    return run
+
 
+def _across(similarity: float):
+    """Pairs of different components within (or between) two blocks of one bucket whose sketches are near.
 
-def _across(most: int):
-    """Pairs of different components within (or between two) blocks of one bucket whose sketches are near."""
+    Documents that share several buckets meet in the first of them alone.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, block = (table.column(c).to_numpy() for c in ("id", "root", "block"))
-        sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64)
+        ids, comp, block, size, sampled = (table.column(c).to_numpy() for c in ("id", "root", "block", "size", "sampled"))
+        sketch = _bits(table.column("sketch"))
+        bands = np.array(table.column("bands").to_pylist(), np.int64)[:, : table.column("band")[0].as_py()]
         lo, hi = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         a, b = [], []
         for i in left:
-            near = right[(comp[right] != comp[i]) & (np.bitwise_count(sketch[right] ^ sketch[i]).sum(axis=1) <= most)]
-            if lo == hi:
-                near = near[near > i]
+            r = right[(comp[right] != comp[i]) & (right > i if lo == hi else True)]
+            r = r[~(bands[r] == bands[i]).any(axis=1)]
+            apart = np.bitwise_count(sketch[r] ^ sketch[i]).sum(axis=1)
+            near = r[may_link(apart, size[r], size[i], sampled[r], sampled[i], similarity)]
             a.append(np.maximum(ids[near], ids[i]))
             b.append(np.minimum(ids[near], ids[i]))
         cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
@@ -138,8 +173,8 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     shorter. Documents with 100 * intersection >= percent * union are linked; component_id is the smallest id that links reach,
     and kept says that it is the document's own.
 
-    1. One pass over the texts: MinHash samples, `rows` of them to a band, folded into an odd sketch (SKETCH_BITS parity bits),
-       and a digest of the whole set. As many bands as leave a pair at the very threshold a chance under MISS to share none.
+    1. One pass over the texts: MinHash values, `rows` of them to a band; one-permutation MinHash samples, folded into an odd sketch
+       (SKETCH_BITS parity bits); and a digest of the whole set. As many bands as leave a pair at the very threshold a chance under MISS to share none.
     2. Equal sets are one class; only its smallest id goes on.
     3. Each bucket of a band has its smallest id as leader, found by salted minima. Every document picks the leader that most of
        its bands agree on; sketches sift these links, and the two full sets confirm them. The links form a forest.
@@ -155,15 +190,14 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     similarity = percent / 100
     bands = bands_for(similarity, rows)
-    most = most_bits(similarity, bands * rows)
     ws = Workspace(spark, "near")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = ws.save(texts.mapInArrow(_sign(shingle, bands, rows), "id long, n_shingles long, key binary, bands array<long>, sketch array<long>"), "signed")
+    signed = ws.save(texts.mapInArrow(_sign(shingle, bands, rows), "id long, n_shingles long, key binary, bands array<long>, sketch binary, sampled int"), "signed")
     real = signed.filter("n_shingles > 0 and id is not null")
     classes = ws.save(real.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     same = real.join(classes.filter("n > 1").select("key", "rep"), "key").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     reps = real.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["key", "id"])
-    reps = ws.save(reps.select("id", "sketch", "bands"), "reps")
+    reps = ws.save(reps.select("id", F.col("n_shingles").alias("size"), "sketch", "sampled", "bands"), "reps")
 
     spread = reps.select("id", F.posexplode("bands").alias("band", "bucket")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     partial = spread.groupBy("band", "bucket", "salt").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n"))
@@ -173,8 +207,8 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     votes = members.filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("n"))
     pick = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "leader")).alias("best")).select(F.col("id").alias("a"), F.col("best.leader").alias("b"))
     tried = ws.save(pick, "tried")
-    side = lambda c, new: reps.select(F.col("id").alias(c), F.col("sketch").alias(new))
-    sifted = ws.save(tried.join(side("a", "sa"), "a").join(side("b", "sb"), "b").filter(_bits_apart("sa", "sb") <= most).select("a", "b"), "sifted")
+    side = lambda c: reps.select(F.col("id").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("size", "sampled", "sketch")])
+    sifted = ws.save(tried.join(side("a"), "a").join(side("b"), "b").mapInArrow(_sift(similarity), "a long, b long"), "sifted")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         text = lambda c, new: texts.filter("id is not null").select(F.col("id").alias(c), F.col("text").alias(new))
@@ -188,15 +222,16 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     kinds = mixed.groupBy("band", "bucket", "salt").agg(F.min("root").alias("least"), F.max("root").alias("most"))
     open_ = kinds.groupBy("band", "bucket").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.collect_list("salt").alias("salts")).filter("least < most")
     members2 = ws.save(mixed.join(open_.select("band", "bucket", F.explode("salts").alias("salt")), ["band", "bucket", "salt"]), "open")
-    with_sketch = members2.join(reps.select("id", "sketch"), "id")
+    with_sketch = members2.join(reps.select("id", "size", "sampled", "sketch", "bands"), "id")
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(7)), n_blocks).cast("int")
     pieces = (
         with_sketch.withColumn("block", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-        .select("band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "sketch")
+        .select("band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "size", "sampled", "sketch", "bands")
     )
-    found = pieces.groupBy("band", "bucket", "i", "j").applyInArrow(_across(most), "a long, b long").distinct()
+    pieces = pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "band", "bucket", "i", "j")  # few bytes, much work: not to be coalesced
+    found = pieces.groupBy("band", "bucket", "i", "j").applyInArrow(_across(similarity), "a long, b long").distinct()
     found = ws.save(found.join(tried, ["a", "b"], "left_anti"), "across")
     more = confirmed(found, "more") if not found.isEmpty() else found
     links = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")).unionByName(same)

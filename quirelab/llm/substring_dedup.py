@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ._text import Words, as_bytes, chunks
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 SHARD_WINDOWS = 3_000_000
 CELL_BITS = 7
 
@@ -24,7 +24,7 @@ def _hashed(table: pa.Table, n: int) -> Iterator[tuple[np.ndarray, Words, np.nda
     for lo, hi in chunks(texts):
         words = Words(texts[lo:hi])
         at, h1 = words.windows(n)
-        yield ids[lo:hi], words, at, h1, words.windows(n, 1)[1]
+        yield ids[lo:hi], words, at, h1, (words.windows(n, 1)[1] >> np.uint64(32)).astype(np.uint32)
 
 
 def _cells(h1: list[np.ndarray], bits: int) -> np.ndarray:
@@ -53,7 +53,7 @@ def _sketch(n: int, bits: int, shard_bits: int):
 
 SKETCH = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("wide", pa.bool_()), ("cells", pa.binary()), ("twice", pa.binary())])
 FLAGS = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("flags", pa.binary()), ("n", pa.int32())])
-SPANS = pa.schema([("block", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+SPANS = pa.schema([("block", pa.int32()), ("h1", pa.int64()), ("h2", pa.int32()), ("lo", pa.int64()), ("more", pa.bool_())])
 
 
 def _merge(table: pa.Table) -> pa.Table:
@@ -74,7 +74,7 @@ def _merge(table: pa.Table) -> pa.Table:
 
 
 def _candidates(n: int, bits: int):
-    """Windows of a block whose estimated count is two or more, with the smallest and largest document id of each."""
+    """Windows of a block whose estimated count is two or more, with the smallest document id of each, and whether it has more."""
 
     def one(docs: pa.Table, flags: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -96,7 +96,7 @@ def _candidates(n: int, bits: int):
         lo = np.flatnonzero(new)
         hi = np.concatenate((lo[1:], [len(a)])) - 1 if len(lo) else lo
         block = np.full(len(lo), docs.column("block")[0].as_py(), np.int32)
-        return pa.Table.from_arrays([pa.array(x) for x in (block, a[lo].view(np.int64), b[lo].view(np.int64), d[lo], d[hi])], schema=SPANS)
+        return pa.Table.from_arrays([pa.array(x) for x in (block, a[lo].view(np.int64), b[lo].view(np.int32), d[lo], d[hi] > d[lo])], schema=SPANS)
 
     return one
 
@@ -109,7 +109,7 @@ def _remove(n: int, out: pa.Schema):
             return out.empty_table()
         k1 = known.column("h1").to_numpy().view(np.uint64)
         order = np.argsort(k1)
-        k1, k2 = k1[order], known.column("h2").to_numpy().view(np.uint64)[order]
+        k1, k2 = k1[order], known.column("h2").to_numpy().view(np.uint32)[order]
         lowest = known.column("lo").to_numpy()[order]
         n_words, n_removed, kept = [], [], []
         for ids, words, at, h1, h2 in _hashed(docs, n):
@@ -152,7 +152,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     at two, cut into shards of about SHARD_WINDOWS windows. (2) Parts are merged shard by shard, and each block gets one bit for
     each of its cells: total two or more. The sketch grows with the input, in more shards, so that no task or driver ever
     holds it all. An estimate is never below the true count, so no repeated window is lost. (3) Only windows estimated
-    repeated are grouped exactly, by two 64-bit hashes, after each block has reduced them to its smallest and largest id: a
+    repeated are grouped exactly, by 96 bits of hash, after each block has reduced them to its smallest id: a
     window that is in every document gives one row a block. (4) Blocks get the smallest id of each and cut their texts.
     The shuffle of texts by block is made once and reused.
 
@@ -170,11 +170,11 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     by_block = lambda: placed.groupBy("block")
     parts = by_block().applyInArrow(_sketch(window, bits, shard_bits), "shard int, block int, wide boolean, cells binary, twice binary")
     flags = parts.groupBy("shard").applyInArrow(_merge, "block int, shard int, flags binary, n int")
-    spans = by_block().cogroup(flags.groupBy("block")).applyInArrow(_candidates(window, bits), "block int, h1 long, h2 long, lo long, hi long")
+    spans = by_block().cogroup(flags.groupBy("block")).applyInArrow(_candidates(window, bits), "block int, h1 long, h2 int, lo long, more boolean")
     same = Window.partitionBy("h1", "h2")
     repeated = (
         spans.withColumn("least", F.min("lo").over(same))
-        .filter(F.col("hi") > F.col("least"))
+        .filter("more or lo > least")
         .select("block", "h1", "h2", F.col("least").alias("lo"))
     )
     out = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
