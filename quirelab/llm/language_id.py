@@ -24,6 +24,12 @@ FLUSH = 200_000
 CACHE = 200_000
 
 
+def _words(text: str | None) -> list[str]:
+    """Runs of letters in lower case; none if all of them are number signs such as ½, which LETTERS takes too."""
+    found = LETTERS.findall(text.lower()) if text else []
+    return found if any(map(str.isalpha, found)) or any(c.isalpha() for w in found for c in w) else []
+
+
 def grams(word: str, n: int) -> list[str]:
     w = f"^{word}$"
     return [w[i : i + n] for i in range(len(w) - n + 1)]
@@ -131,7 +137,7 @@ def _predict(m: Model, text_col: str, keep: list[str]):
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
             for lo, hi in chunks(texts):
-                found = [LETTERS.findall(t.lower()) if t else [] for t in texts[lo:hi]]
+                found = [_words(t) for t in texts[lo:hi]]
                 size = np.fromiter(map(len, found), np.int64, len(found))
                 lang, score = ["und"] * len(found), np.zeros(len(found))
                 if m.langs and size.sum():

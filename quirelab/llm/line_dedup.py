@@ -56,13 +56,14 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     starts = later.groupBy("doc").agg(F.collect_set("pos").alias("_starts"))
     key = _ident(F.col(id_col), text)
     joined = base.withColumn("_key", F.to_json(key)).join(starts.select(F.to_json("doc").alias("_key"), "_starts"), "_key", "left")
+    joined = joined.withColumn("_parts", parts)  # a column, or each line that stays would split the text anew
     gone = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + (lines - 1)))))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone")
-    kept = F.array_join(F.transform(stay, lambda i: parts[i]), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), "_gone")
+    kept = F.array_join(F.transform(stay, lambda i: F.col("_parts")[i]), "\n")
     return (
-        joined.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long"))
+        joined.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size("_parts")).cast("long"))
         .withColumn("_gone", gone)
         .withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
         .withColumn(text_col, F.when(F.col("n_removed") > 0, kept).otherwise(text))
-        .drop("_key", "_starts", "_gone")
+        .drop("_key", "_starts", "_parts", "_gone")
     )
