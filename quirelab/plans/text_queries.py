@@ -40,11 +40,11 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = T.table(spark, sf_dir, "documents")
     cut = F.regexp_replace("text", "([a-z]{4})([a-z]{3})", "$1-\n$2")
-    return d.filter("n_chars < 2000").select("doc_id", F.md5(X.join_lines(F.split(cut, "\n", -1)).cast("binary")).alias("joined_md5"))
+    return d.select("doc_id", F.md5(X.join_lines(F.split(cut, "\n", -1)).cast("binary")).alias("joined_md5"))
 
 
 def inline_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[*`\[]"))
+    d = T.table(spark, sf_dir, "documents").withColumn("text", F.translate("text", "*`[", "___"))  # marks of the texts' own are none
     marked = F.regexp_replace(F.regexp_replace("text", r"([a-z]{9,})", "**$1**"), " (the|de) ", " `$1` ")
     return d.select("doc_id", F.md5(X.inline_markup(marked).cast("binary")).alias("html_md5"))
 
@@ -169,7 +169,7 @@ def ocr_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T.pages(spark, sf_dir)
-    cut = p.select("doc_id", "page_no", F.substring("text", 1, 8).alias("str")).unionByName(p.filter("page_no % 3 = 0").select("doc_id", "page_no", "text").withColumnRenamed("text", "str"))
+    cut = p.select("doc_id", "page_no", F.regexp_replace("text", "[a-z]", "").alias("str")).unionByName(p.filter("page_no % 3 = 0").select("doc_id", "page_no", "text").withColumnRenamed("text", "str"))
     images = p.select("doc_id", "page_no", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(600.0).alias("x1"), (F.col("page_no") * 100.0).alias("y1"))
     sizes = p.select("doc_id", "page_no", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
     return W.scanned(sizes, cut, images)
@@ -179,7 +179,7 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("line_no")
     lead = F.element_at(F.array(*map(F.lit, ("## ", "- ", "- ", "", "2. ", "> ", "### ", "|", "|", ""))), (n % 10 + 1).cast("int"))
     tail = F.when(lead == "|", "|b|").otherwise("")
-    lines = T.lines(spark, sf_dir).select("doc_id", "line_no", F.when(n % 10 == 3, "").otherwise(F.concat(lead, F.substring("line", 1, 9), tail)).alias("line"))
+    lines = T.lines(spark, sf_dir).select("doc_id", "line_no", F.when(n % 10 == 3, "").otherwise(F.concat(lead, "line", tail)).alias("line"))
     return L.markdown_blocks(lines).select("doc_id", "first_line", "kind", F.array_join("items", "¦").alias("items"))
 
 
@@ -219,10 +219,10 @@ m AS (SELECT doc_id, page_no, list(s ORDER BY s) AS l FROM s GROUP BY ALL), k AS
 SELECT b.doc_id, b.page_no, n AS word_no, text AS str, round(x0 * 612 / 1275, 6) AS x, round((coalesce(bl, y0 + 32) - coalesce(slope, 0) * (x0 + 50)) * 792 / 1650, 6) AS y, 48.0::DOUBLE AS w, round(40 * 792 / 1650 * 0.85::DOUBLE, 6) AS fs
 FROM b LEFT JOIN k USING (doc_id, page_no)""",
     "scanned_pages": r"""WITH p AS (SELECT conv_id AS doc_id, (turn + 1)::INT AS page_no, text FROM conversations),
-c AS (SELECT *, length(regexp_replace(substr(text, 1, 8), '[\s\x0b\x{a0}\x{feff}]', '', 'g')) + CASE WHEN page_no % 3 = 0 THEN length(regexp_replace(text, '[\s\x0b\x{a0}\x{feff}]', '', 'g')) ELSE 0 END AS n FROM p)
+c AS (SELECT *, length(regexp_replace(regexp_replace(text, '[a-z]', '', 'g'), '[\s\x0b\x{a0}\x{feff}]', '', 'g')) + CASE WHEN page_no % 3 = 0 THEN length(regexp_replace(text, '[\s\x0b\x{a0}\x{feff}]', '', 'g')) ELSE 0 END AS n FROM p)
 SELECT doc_id, page_no, n < 25 AND 600 * page_no * 100 >= 0.25 * 612 * 792 AS scanned FROM c""",
     "markdown_blocks": r"""WITH ln AS (SELECT doc_id, (unnest(range(1, len(ls) + 1)) - 1)::INT AS n, unnest(ls) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-t AS (SELECT doc_id, n, substr(raw, 1, 9) AS s, n % 10 AS k FROM ln WHERE n % 10 <> 3),
+t AS (SELECT doc_id, n, raw AS s, n % 10 AS k FROM ln WHERE n % 10 <> 3),
 u AS (SELECT *, CASE k WHEN 0 THEN '## ' WHEN 4 THEN '2. ' WHEN 5 THEN '> ' WHEN 6 THEN '### ' WHEN 9 THEN '' ELSE CASE WHEN k < 3 THEN '- ' ELSE '|' END END || s || CASE WHEN k IN (7, 8) THEN '|b|' ELSE '' END AS line FROM t),
 f AS (SELECT doc_id, n, trim(line) AS line, CASE WHEN starts_with(line, '### ') THEN 'h3' WHEN starts_with(line, '## ') THEN 'h2' WHEN regexp_matches(trim(line), '^\|[\s:|-]+\|$') THEN 'skip'
   WHEN starts_with(trim(line), '|') AND ends_with(trim(line), '|') THEN 'table' WHEN regexp_matches(trim(line), '^[-*]\s') OR regexp_matches(trim(line), '^[0-9]+\.\s') THEN 'list' WHEN starts_with(trim(line), '>') THEN 'quote' ELSE 'p' END AS kind, line AS whole FROM u WHERE trim(line) <> ''),
@@ -241,7 +241,7 @@ d AS (SELECT *, replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;',
 SELECT page_id, t AS heading, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped,
   CASE WHEN url LIKE 'https://%' THEN url ELSE 'https://' || substr(url, 8) END AS url, (lower(url) LIKE '%ads%' OR lower(url) LIKE '%doubleclick%' OR lower(url) LIKE '%googlesyndication%' OR lower(url) LIKE '%analytics%') AS blocked,
   coalesce(regexp_matches(regexp_extract(h, '\p{L}'), '\p{Arabic}'), false) AS rtl FROM d""",
-    "inline_markup": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '([a-z]{9,})', '<strong>\1</strong>', 'g'), ' (the|de) ', ' <code>\1</code> ', 'g')) AS html_md5 FROM documents WHERE NOT regexp_matches(text, '[*`\[]')""",
+    "inline_markup": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(translate(text, '*`[', '___'), '([a-z]{9,})', '<strong>\1</strong>', 'g'), ' (the|de) ', ' <code>\1</code> ', 'g')) AS html_md5 FROM documents""",
     "numerals": """WITH d AS (SELECT doc_id, (doc_id % 3999 + 1)::BIGINT AS n FROM documents)
 SELECT doc_id, repeat('M', n // 1000) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][n // 100 % 10 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][n // 10 % 10 + 1]
   || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10 + 1] AS roman,
