@@ -31,6 +31,15 @@ def _cells(h1: list[np.ndarray], bits: int) -> np.ndarray:
     return (np.concatenate(h1) if h1 else np.zeros(0, np.uint64)) >> np.uint64(64 - bits)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on: high bytes of small gaps stand together, and the shuffle's compression takes them away."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _numbers(planes: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _sketch(n: int, bits: int, shard_bits: int):
     """A block's part of the sketch: for each shard its non-zero cells in order, and which of them count two or more."""
 
@@ -45,7 +54,7 @@ def _sketch(n: int, bits: int, shard_bits: int):
                 low = (c & np.uint64((1 << (bits - shard_bits)) - 1)).astype(np.uint32)
                 gaps = np.diff(low, prepend=np.uint32(0))
                 wide = bool(gaps.max() > 65535)
-                rows.append((int(s[0]), block, wide, gaps.astype(np.uint32 if wide else np.uint16).tobytes(), np.packbits(k > 1).tobytes()))
+                rows.append((int(s[0]), block, wide, _planes(gaps.astype(np.uint32 if wide else np.uint16)), np.packbits(k > 1).tobytes()))
         return pa.Table.from_pylist([dict(zip(SKETCH.names, r, strict=True)) for r in rows], SKETCH)
 
     return one
@@ -60,7 +69,7 @@ def _merge(table: pa.Table) -> pa.Table:
     """Adds up a shard of the sketch over all blocks, and tells each block which of its cells count two or more."""
     parts, sure = [], []
     for wide, cells, twice in zip(*(table.column(c).to_pylist() for c in ("wide", "cells", "twice")), strict=True):
-        c = np.cumsum(np.frombuffer(cells, np.uint32 if wide else np.uint16), dtype=np.uint64).astype(np.uint32)
+        c = np.cumsum(_numbers(cells, np.uint32 if wide else np.uint16), dtype=np.uint64).astype(np.uint32)
         parts.append(c)
         sure.append(c[np.unpackbits(np.frombuffer(twice, np.uint8), count=len(c)).astype(bool)])
     every = np.sort(np.concatenate(parts))
