@@ -24,8 +24,10 @@ LEAST_SCORE = 0.4
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language that the classifier recognises; text without letters, or torn between languages, goes."""
     model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
-    found = language_id.identify(docs.select(*COLUMNS), model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    rows = docs.select(*COLUMNS).filter("text is not null").withColumn("_text", F.md5("text"))  # texts don't travel: the verdict is one of the text alone
+    found = language_id.identify(rows, model, keep=["_text"])
+    gone = found.filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select("_text").distinct()
+    return rows.join(Workspace(spark, "pipeline").save(gone, "no-language"), "_text", "left_anti").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from ._store import Workspace
 from ._text import chunks
 
 LETTERS = re.compile(r"[^\W\d_]{1,40}")
@@ -21,6 +22,8 @@ WORDS = 60_000
 GRAMS = 60_000
 SMOOTH = 0.5
 FLUSH = 200_000
+#: Log frequencies that are summed in Spark are whole numbers of 1 / UNIT, so that no order of rows changes a sum.
+UNIT = 1 << 32
 CACHE = 200_000
 
 
@@ -55,15 +58,38 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of n-grams by language, from distinct words with their counts."""
+    part: dict[str, Counter] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, count in part.items():
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array([lang] * len(count), pa.string()), pa.array(list(count.values()), pa.int64())], schema=COUNTS)
+        part.clear()
+
+    for batch in batches:
+        for word, by_lang in zip(batch.column("word").to_pylist(), batch.column("by_lang").to_pylist(), strict=True):
+            found = Counter(g for k in range(1, GRAM + 1) for g in grams(word, k))
+            for lang, n in by_lang:
+                count = part.setdefault(lang, Counter())
+                for g, times in found.items():
+                    count[g] += n * times
+        if sum(map(len, part.values())) > FLUSH:
+            yield from flush()
+    yield from flush()
+
+
 @dataclass
 class Model:
-    """Log frequency of words and n-grams in each language; at most WORDS + GRAMS rows."""
+    """Log frequency of words and n-grams in each language: the WORDS + GRAMS most frequent in memory, all others in tables (None: there are none)."""
 
     langs: list[str]
     prior: np.ndarray
     words: dict[str, int]
     grams: dict[str, int]
     logs: np.ndarray
+    more_words: DataFrame | None = None
+    more_grams: DataFrame | None = None
 
     def unseen(self, words: list[str]) -> np.ndarray:
         """Row of each word: the mean over its positions of the longest known n-gram that starts there; nothing known: no evidence."""
@@ -89,43 +115,58 @@ def _log_frequency(count: np.ndarray, tokens: np.ndarray, kinds: int) -> np.ndar
     return np.log((count + SMOOTH) / (tokens + SMOOTH * kinds))
 
 
+def _tabled(counts: DataFrame, ws: Workspace, name: str) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+    """Counts by word as a written table (word, total, by_lang), and each language's tokens and kinds."""
+    table = ws.save(counts.groupBy("word", "lang").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")), name)
+    sums = table.select(F.explode("by_lang").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
+    return table, {r["lang"]: (r["n"], r["kinds"]) for r in sums}
+
+
+def _frequent(table: DataFrame, most: int) -> tuple[list, DataFrame | None]:
+    """`most` rows at most, all that are as frequent as some count, and the table of the others."""
+    steps = table.groupBy("total").agg(F.count(F.lit(1)).alias("rows")).withColumn("rows", F.sum("rows").over(Window.orderBy(F.desc("total"))))
+    got = steps.agg(F.max("rows").alias("all"), F.min(F.when(F.col("rows") <= most, F.col("total"))).alias("least")).first()
+    more = None
+    if (got["all"] or 0) > most:
+        if got["least"] is not None:
+            table, more = table.filter(F.col("total") >= got["least"]), table.filter(F.col("total") < got["least"])
+        else:
+            last = table.select("word").orderBy("word").limit(most).agg(F.max("word")).first()[0]
+            table, more = table.filter(F.col("word") <= last), table.filter(F.col("word") > last)
+    return sorted(table.select("word", "by_lang").collect(), key=lambda r: r["word"]), more
+
+
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Counts words over all rows that have a text and a language; WORDS words at most are kept: all that are as frequent as some count.
+    """Counts words over all rows that have a text and a language, and n-grams over all those words, weighed by their counts.
 
-    The n-grams are those of the kept words, weighed by their counts; GRAMS at most, again the most frequent.
+    The WORDS most frequent words and GRAMS most frequent n-grams are kept in memory, the others as tables in the shared folder.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    counts = rows.mapInArrow(_count, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    by_word = counts.groupBy("word").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")).persist()
-    sums = by_word.select(F.explode("by_lang").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
-    steps = by_word.groupBy("total").agg(F.count(F.lit(1)).alias("words")).withColumn("words", F.sum("words").over(Window.orderBy(F.desc("total"))))
-    least = steps.filter(F.col("words") <= WORDS).agg(F.min("total").alias("t")).first()["t"]
-    frequent = by_word.filter(F.col("total") >= least) if least is not None else by_word.orderBy("word").limit(WORDS)
-    top = frequent.select("word", "by_lang").collect()  # WORDS rows at most
-    by_word.unpersist()
-    top.sort(key=lambda r: r["word"])
-    langs = sorted(r["lang"] for r in sums)
+    ws = Workspace(docs.sparkSession, "language")
+    by_word, words = _tabled(rows.mapInArrow(_count, "word string, lang string, n long"), ws, "words")
+    langs = sorted(words)
     if not langs:
         return Model([], np.zeros(0), {}, {}, np.zeros((0, 0), np.float32))
-    index, tokens = {x: i for i, x in enumerate(langs)}, np.zeros(len(langs))
-    for r in sums:
-        tokens[index[r["lang"]]] = r["n"]
-    n = np.zeros((len(top), len(langs)))
-    part: dict[str, np.ndarray] = {}
-    for i, r in enumerate(top):
-        for lang, c in r["by_lang"].items():
-            n[i, index[lang]] += c
-        for k in range(1, GRAM + 1):
-            for g in grams(r["word"], k):
-                if g in part:
-                    part[g] += n[i]
-                else:
-                    part[g] = n[i].copy()
-    best = sorted(part, key=lambda g: (-part[g].sum(), g))[:GRAMS]
-    m = np.array([part[g] for g in best])
-    logs = np.concatenate((_log_frequency(n, tokens, max(r["kinds"] for r in sums)), _log_frequency(m, sum(part.values()), len(part))))
+    by_gram, parts = _tabled(by_word.select("word", "by_lang").mapInArrow(_split, "word string, lang string, n long"), ws, "grams")
+    index = {x: i for i, x in enumerate(langs)}
+
+    def table(by: DataFrame, most: int, tokens: np.ndarray, kinds: int) -> tuple[list[str], np.ndarray, DataFrame | None]:
+        top, more = _frequent(by, most)
+        n = np.zeros((len(top), len(langs)))
+        for i, r in enumerate(top):
+            for lang, c in r["by_lang"].items():
+                n[i, index[lang]] += c
+        if more is not None:
+            each = [F.log((F.coalesce(F.try_element_at("by_lang", F.lit(x)), F.lit(0)) + SMOOTH) / (float(t) + SMOOTH * kinds)) for x, t in zip(langs, tokens, strict=True)]
+            more = more.select("word", F.array(*[F.round(x * UNIT).cast("long") for x in each]).alias("logs"))
+        return [r["word"] for r in top], _log_frequency(n, tokens, kinds), more
+
+    tokens = np.array([words[x][0] for x in langs], float)
+    known, word_logs, more_words = table(by_word, WORDS, tokens, max(k for _, k in words.values()))
+    pieces, gram_logs, more_grams = table(by_gram, GRAMS, np.array([parts[x][0] for x in langs], float), by_gram.count())
     prior = np.log(tokens + 1)
-    return Model(langs, prior - prior.max(), {r["word"]: i for i, r in enumerate(top)}, {g: len(top) + i for i, g in enumerate(best)}, logs.astype(np.float32))
+    logs = np.concatenate((word_logs, gram_logs)).astype(np.float32)
+    return Model(langs, prior - prior.max(), {w: i for i, w in enumerate(known)}, {g: len(known) + i for i, g in enumerate(pieces)}, logs, more_words, more_grams)
 
 
 def _predict(m: Model, text_col: str, keep: list[str]):
@@ -168,6 +209,97 @@ def _predict(m: Model, text_col: str, keep: list[str]):
     return run
 
 
+def _begin(m: Model, text_col: str, keep: list[str]):
+    """The sum over the words in memory (null: the text has no word), and the text's other words with their counts."""
+    values, known, prior = m.logs, m.words, m.prior  # tasks get no table
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate((values, np.zeros((1, values.shape[1]), np.float32))).astype(np.float64)
+        get, other = known.get, len(values)
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            for lo, hi in chunks(texts):
+                sums, rest = [], []
+                for t in texts[lo:hi]:
+                    words = _words(t)
+                    at = np.fromiter((get(w, other) for w in words), np.int64, len(words))
+                    sums.append((rows[at].sum(axis=0) + prior).tolist() if words else None)
+                    rest.append(list(Counter(words[i] for i in np.flatnonzero(at == other)).items()))
+                stay = [batch.column(c).slice(lo, hi - lo) for c in keep]
+                more = pa.array([[{"word": w, "n": n} for w, n in r] for r in rest], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([*stay, pa.array(sums, pa.list_(pa.float64())), more], names=[*keep, "_sums", "_more"])
+
+    return run
+
+
+_PLACES = pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("gram", pa.string()), ("n", pa.int64()), ("logs", pa.list_(pa.int64()))]))
+
+
+def _places(m: Model):
+    """For each unseen word, what its n-grams in memory settle (one entry, at -1), and for the places where a longer one may be in the table
+    the n-grams to be looked up there (logs null), next to the longest that is in memory."""
+    values, known, whole = m.logs, m.grams, m.more_grams is None  # tasks get no table
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs, get = np.round(values.astype(np.float64) * UNIT).astype(np.int64), known.get
+        for batch in batches:
+            out = []
+            for word in batch.column("word").to_pylist():
+                w, settled, places = f"^{word}$", [], []
+                for i in range(len(w)):
+                    longer = []
+                    row = None
+                    for g in dict.fromkeys(w[i : i + n] for n in range(GRAM, 0, -1)):
+                        if (row := get(g)) is not None:
+                            break
+                        longer.append(g)
+                    if whole or not longer:
+                        settled += [] if row is None else [row]
+                        continue
+                    places += [{"at": i, "size": len(g), "gram": g, "n": 1, "logs": None} for g in longer]
+                    if row is not None:
+                        places.append({"at": i, "size": 0, "gram": None, "n": 1, "logs": logs[row].tolist()})
+                if settled:
+                    places.append({"at": -1, "size": 0, "gram": None, "n": len(settled), "logs": logs[settled].sum(axis=0).tolist()})
+                out.append(places)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(out, _PLACES)], names=["word", "places"])
+
+    return run
+
+
+def _each(column: str, size: int) -> list[Column]:
+    return [F.col(column)[i] for i in range(size)]
+
+
+def _scored_by_tables(rows: DataFrame, m: Model, text_col: str, keep: list[str], schema: StructType) -> DataFrame:
+    """As _predict, with the words and n-grams that are not in memory joined from their tables."""
+    size = len(m.langs)
+    ws = Workspace(rows.sparkSession, "language")
+    begun = StructType([*schema.fields[: len(keep)], *StructType.fromDDL("_sums array<double>, _more array<struct<word: string, n: bigint>>").fields])
+    first = ws.save(rows.mapInArrow(_begin(m, text_col, keep), begun).withColumn("_row", F.monotonically_increasing_id()), "begun")
+    asked = first.select("_row", F.explode("_more").alias("m")).select("_row", "m.word", "m.n")
+    unseen = asked.select("word").distinct()
+    if m.more_words is not None:
+        unseen = unseen.join(m.more_words.select("word"), "word", "left_anti")
+    places = unseen.mapInArrow(_places(m), "word string, places array<struct<at: int, size: int, gram: string, n: bigint, logs: array<bigint>>>")
+    places = places.select("word", F.explode("places").alias("p")).select("word", "p.*")
+    if m.more_grams is not None:
+        places = ws.save(places, "places")
+        found = places.filter("gram is not null").drop("logs").join(m.more_grams.withColumnRenamed("word", "gram"), "gram")
+        places = places.filter("gram is null").unionByName(found.select(*places.columns))
+        places = places.groupBy("word", "at").agg(F.max_by(F.struct("n", "logs"), "size").alias("p")).select("word", "p.*")
+    mean = [F.round(F.sum(x) / F.sum("n")).cast("long") for x in _each("logs", size)]
+    logs = places.groupBy("word").agg(F.array(*mean).alias("logs"))
+    if m.more_words is not None:
+        logs = logs.unionByName(m.more_words)
+    sums = asked.join(logs, "word").groupBy("_row").agg(F.array(*[F.sum(F.col("n") * x) for x in _each("logs", size)]).alias("_rest"))
+    total = [s + F.coalesce(r / float(UNIT), F.lit(0.0)) for s, r in zip(_each("_sums", size), _each("_rest", size), strict=True)]
+    ranked = F.array(*[F.struct(t.alias("total"), F.lit(-i).alias("place"), F.lit(x).alias("lang")) for i, (t, x) in enumerate(zip(total, m.langs, strict=True))])
+    out = first.join(sums, "_row", "left").withColumn("_best", F.when(F.col("_sums").isNotNull(), F.array_max(ranked)))
+    share = 1.0 / sum((F.exp(t - F.col("_best.total")) for t in total), F.lit(0.0))
+    return out.select(*keep, F.coalesce("_best.lang", F.lit("und")).alias("lang_pred"), F.coalesce(share, F.lit(0.0)).alias("score"))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for documents that no model may learn from: crc32 of the id's text leaves 2 modulo 4. A null id is never held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -187,4 +319,6 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
     kept = docs.select(*keep)
     schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     rows = docs.select(*dict.fromkeys([*keep, text_col]))
+    if model.more_words is not None or model.more_grams is not None:
+        return _scored_by_tables(rows, model, text_col, keep, schema)
     return rows.mapInArrow(_predict(model, text_col, keep), schema)

@@ -99,6 +99,21 @@ def test_language_backs_off(spark):
     assert got == {1: "x", 2: "y", 3: "x", 4: "und"}
 
 
+def test_language_counts_every_word(spark, sf, awkward, monkeypatch):
+    """What does not fit in memory is looked up: a small memory gives the result of a large one."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").unionByName(awkward.select("doc_id", "text", "lang"))
+
+    def run():
+        model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
+        return sorted((str(r["doc_id"]), r["lang_pred"], round(r["score"], 4)) for r in language_id.identify(docs, model, keep=["doc_id"]).collect())
+
+    whole = run()
+    for words, grams in ((50, 50), (50, 10**6), (10**6, 50)):
+        monkeypatch.setattr(language_id, "WORDS", words)
+        monkeypatch.setattr(language_id, "GRAMS", grams)
+        assert run() == whole
+
+
 def test_license(spark, awkward, empty):
     mit = dict(license_scan.KNOWN[:1])["MIT"]
     changed = "© 2020 Someone\nCopyright (c) 1999 A. Person\n" + mit.upper().replace(",", " ;").replace("LICENSE", "Licence")
