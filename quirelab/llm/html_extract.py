@@ -17,18 +17,26 @@ from pyspark.sql import functions as F
 SAMPLE = 1000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+MATH = frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none"
+    " mtable mtr mlabeledtr mtd maction semantics annotation annotation-xml".split()
+)
+APART = frozenset("br mspace mtr mlabeledtr mtd annotation annotation-xml".split())
+INLINE |= MATH
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table body article main section div nav aside header footer form blockquote".split())
-ASIDE = frozenset("nav header footer aside form menu dialog button select fieldset head figcaption".split())
+ASIDE = frozenset("nav header footer aside form menu dialog button select fieldset head".split())
 MAIN = frozenset("article main".split())
 BAD_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|byline|comments?|consent|cookies?|disclaimer|disqus|footer|gdpr|header|login|masthead|menu|modal|nav\w*"
     r"|newsletter|notices?|overlay|pagination|pager|popup|promo\w*|recommend\w*|related|repl(?:y|ies)|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|tags|toolbar|widget)(?=$|[\s_-])",
     re.I,
 )
+#: What an article itself has too: inside an article or main element, such a name does not make a block an aside.
+OWN_NAME = re.compile(r"(?:^|[\s_-])(?:byline|disclaimer|header|notices?|tags)(?=$|[\s_-])", re.I)
 GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text)(?=$|[\s_-])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -42,6 +50,7 @@ class Node:
     depth: int
     aside: bool = False
     main: bool = False
+    article: bool = False
 
 
 @dataclass
@@ -99,7 +108,7 @@ def blocks(page: str) -> list[Block]:
                 at = close.end() if close else (end if tag in ("script", "style") else at)
             continue
         if tag in INLINE:
-            if tag == "br":
+            if tag in APART:
                 now.parts.append(" ")
             elif tag == "a":
                 in_link = True
@@ -113,12 +122,13 @@ def blocks(page: str) -> list[Block]:
         if tag not in VOID:
             names = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m.group(3))} if m.group(3) else {}
             label = f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}"
-            node = Node(tag, node, node.depth + 1, node.aside, node.main)
+            node = Node(tag, node, node.depth + 1, node.aside, node.main, node.article or tag in MAIN)
             if tag in MAIN or (GOOD_NAME.search(label) and tag != "body"):
                 node.main = True
-            if tag == "header" and node.parent.main and not BAD_NAME.search(label):
+            named = OWN_NAME.sub(" ", label) if node.parent.article else label
+            if tag == "header" and node.parent.main and not BAD_NAME.search(named):
                 pass  # an article's own head
-            elif tag in ASIDE or "hidden" in names or names.get("aria-hidden") == "true" or HIDDEN.search(names.get("style", "")) or (BAD_NAME.search(label) and tag not in MAIN and tag != "body"):
+            elif tag in ASIDE or "hidden" in names or names.get("aria-hidden") == "true" or HIDDEN.search(names.get("style", "")) or (BAD_NAME.search(named) and tag not in MAIN and tag != "body"):
                 node.aside = True
         in_link = False
         cut()

@@ -331,6 +331,18 @@ def test_html(spark):
     assert by[2]["text"] == by[3]["text"] == "" and by[4]["text"] == "x < y" and by[5]["n_chars"] == 249_999
 
 
+def test_html_keeps_all_of_an_article():
+    """Captions, formulas, author line and keywords of an article stay; the same names outside, and what is no part of it, go."""
+    page = (
+        "<div class='tags'>Site tags</div><nav>Home</nav><article><header class='entry-header'><h1>On squares</h1></header><p class='byline'>By A. Writer</p><p>The area is <math><msup><mi>a</mi><mn>2</mn></msup></math> here.</p>"
+        "<math display='block'><mi>x</mi><mo>=</mo><mn>1</mn></math><figure><img src=x><figcaption>Figure 1: a square</figcaption></figure><div class='share'>Share this</div><div class='cookie-notice'>We use cookies.</div>"
+        "<div class='tags'>geometry, squares</div></article><footer>Foot</footer>"
+    )
+    page = f"<div id='page'><header class='site-header'><p>The name of this site, and what it is about.</p></header>{page}</div>"
+    got = html_extract.main_text(page)
+    assert got == "On squares\n\nBy A. Writer\n\nThe area is a2 here.\n\nx=1\n\nFigure 1: a square\n\ngeometry, squares"
+
+
 def test_min_cut_is_least():
     """Against every labelling of small graphs."""
     rng = random.Random(2)
