@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,12 @@ SPELLINGS = (
     ("per cent", "percent"), ("merchantability", "merchantability"), ("http", "https"),
 )
 COPYRIGHT = r"^[^\p{L}\p{N}]*(copyright|copr|c|©)[^\p{L}\p{N}]+([^\p{L}]*[0-9]{4}|\(c\)|©)"
+#: Further lines that no licence text is made of: the holder before the year, "The X Authors", a year to be filled in, all rights reserved.
+NO_TEXT = (
+    r"^[^\p{L}\p{N}]*(?:(?:copyright|copr|\(c\)|©)[^\p{L}\p{N}]+(?!(?:holders?|owners?)\b)"
+    r"(?:.*\b(?:19|20)[0-9]{2}[^\p{L}]*(?:present[^\p{L}]*)?|.*\b(?:authors|contributors|developers|maintainers)[^\p{L}\p{N}]*|(?:\(?c\)[^\p{L}\p{N}]*)?(?:yyyy|year|19yy)\b.*)(?:all rights reserved[^\p{L}\p{N}]*)?"
+    r"|all rights reserved[^\p{L}\p{N}]*)$"
+)
 
 _WARRANTY = (
     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
@@ -66,9 +75,43 @@ KNOWN = (
     ("CC0-1.0", "Released under CC0 1.0."),
 )
 
+#: Whole texts in the folder `licenses`, and how many of their first lines are a title.
+WHOLE = {
+    "Apache-2.0": 3, "GPL-1.0": 2, "GPL-2.0": 2, "GPL-3.0": 2, "LGPL-2.0": 2, "LGPL-2.1": 2, "LGPL-3.0": 2, "MPL-1.1": 2, "MPL-2.0": 1,
+    "CC0-1.0": 2, "GFDL-1.2": 2, "GFDL-1.3": 2, "Artistic-1.0-Perl": 1, "BSD-3-Clause": 0,
+}
+_BSD_TITLES = ("BSD License", "The BSD License")
+#: Titles under which the short texts are found.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "0BSD License"),
+    "BSD-2-Clause": (*_BSD_TITLES, "BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License", "BSD 2-Clause \"Simplified\" License", "FreeBSD License"),
+    "BSD-3-Clause": (*_BSD_TITLES, "BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "Revised BSD License", "BSD 3-Clause \"New\" or \"Revised\" License"),
+}
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(license, text) of the whole texts in their usual forms: with and without title; long ones with and without what follows their
+    terms, short ones under each of TITLES and with or without numbers before their conditions."""
+    out, short = [], [(n, t) for n, t in KNOWN if n in TITLES and len(t) > 300]
+    for name, title in WHOLE.items():
+        text = (Path(__file__).parent / "licenses" / f"{name}.txt").read_text()
+        if name in TITLES:
+            short.append((name, text))
+            continue
+        lines = [x for x in text.split("\n") if re.search(r"[^\W_]", x)]
+        ends = [len(lines), *(i + j for i, x in enumerate(lines) if x.strip() == "END OF TERMS AND CONDITIONS" for j in (0, 1))]
+        out += [(name, "\n".join(lines[lo:hi])) for lo in range(title + 1) for hi in ends]
+    for name, text in short:
+        body = text.removeprefix(f"{TITLES[name][0]}\n")
+        bodies = dict.fromkeys((body, re.sub(r"(?m)^[0-9]\. ", "", body)))
+        out += [(name, f"{title}\n{b}") for title in ("", *TITLES[name]) for b in bodies]
+    return out
+
 
 def canonical_lines(text: Column) -> Column:
-    """Lines in lower case without copyright lines; punctuation is space, spellings are equal; lines left empty are dropped."""
+    """Lines in lower case without copyright lines and "all rights reserved"; punctuation is space, spellings are equal; lines left empty are dropped."""
 
     def one(line: Column) -> Column:
         x = F.concat(F.lit(" "), F.regexp_replace(line, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
@@ -78,7 +121,7 @@ def canonical_lines(text: Column) -> Column:
                 x = F.replace(x, F.lit(f" {a} "), F.lit(f" {b} "))
         return F.substring(x, F.lit(2), F.length(x) - 2)
 
-    lines = F.filter(F.split(F.lower(text), "\n", -1), lambda x: ~x.rlike(COPYRIGHT))
+    lines = F.filter(F.split(F.lower(text), "\n", -1), lambda x: ~x.rlike(COPYRIGHT) & ~x.rlike(NO_TEXT))
     return F.filter(F.transform(lines, one), lambda x: x != "")
 
 
@@ -86,9 +129,9 @@ def digest(canonical: Column) -> Column:
     return F.sha2(canonical.cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(digest, license) of the known texts, canonicalised by the same expressions. As small as the table that it is given."""
-    texts = spark.createDataFrame(list(known), "license string, text string")
+def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """(digest, license) of the known texts (KNOWN and whole_texts() by default), canonicalised by the same expressions. As small as the table that it is given."""
+    texts = spark.createDataFrame([*KNOWN, *whole_texts()] if known is None else list(known), "license string, text string")
     return texts.select(digest(F.array_join(canonical_lines(F.col("text")), " ")).alias("digest"), "license").dropDuplicates(["digest"])
 
 

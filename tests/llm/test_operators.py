@@ -124,6 +124,27 @@ def test_license(spark, awkward, empty):
     assert license_scan.license_scan(awkward, known).count() == awkward.count() and license_scan.license_scan(empty, known).count() == 0
 
 
+def test_license_whole_texts(spark):
+    """Whole licence texts, in the forms they usually have."""
+    text = {n: t for n, t in reversed(license_scan.KNOWN) if len(t) > 300}
+    mit = text["MIT"].removeprefix("MIT License\n")
+    rows = [("MIT", f"The MIT License (MIT)\n\nCopyright (c) 2015 Jane Doe\n\n{mit}"), ("MIT", f"Copyright Jane Doe 2020\n{mit}"), ("MIT", f"MIT License\nCopyright The Frob Authors\nAll rights reserved.\n{mit}")]
+    rows += [("ISC", f"ISC License\n\nCopyright Jane Doe, 2019-2021. All rights reserved.\n{text['ISC']}"), ("BSD-3-Clause", f"BSD 3-Clause License\nCopyright (c) 2001, X\nAll rights reserved.\n{text['BSD-3-Clause']}")]
+    rows += [("BSD-2-Clause", re.sub("(?m)^[0-9][.]", "*", text["BSD-2-Clause"])), (None, f"{mit}\nAnd more."), (None, "All rights reserved.\nCopyright The Frob Authors")]
+    folder = license_scan.Path(license_scan.__file__).parent / "licenses"
+    assert len(license_scan.WHOLE) == len(list(folder.iterdir()))
+    for name in license_scan.WHOLE:
+        whole = (folder / f"{name}.txt").read_text()
+        rows += [(name, whole), (None, whole[: len(whole) // 2])]
+        if "END OF TERMS AND CONDITIONS" in whole:
+            rows.append((name, whole.partition("END OF TERMS AND CONDITIONS")[0]))
+    apache = (folder / "Apache-2.0.txt").read_text()
+    rows += [("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2020 Jane Doe")), ("Apache-2.0", apache[apache.index("TERMS AND") :])]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in license_scan.license_scan(docs, license_scan.known_digests(spark)).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for n, _ in rows]
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     centre = rng.normal(size=(6, 16))
