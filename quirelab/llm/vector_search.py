@@ -174,8 +174,13 @@ def _rerank(most: int):
             near = (q[lo : lo + 256] @ c.T) / (q_norm[lo : lo + 256, None] * c_norm)
             for i, row in enumerate(near, lo):
                 row[alone & (first == query[i])] = -np.inf
-                for j in np.argsort(-row, kind="stable")[:most]:
-                    if row[j] > -np.inf:
+                seen, left = {query[i]}, most
+                for j in np.argsort(-row, kind="stable"):
+                    if not left or row[j] == -np.inf:
+                        break
+                    if not seen.issuperset(own[j]):  # a vector whose ids are all nearer by another one takes no place
+                        seen.update(own[j])
+                        left -= 1
                         who.append(query[i]), found.append(own[j]), score.append(row[j])
         return pa.Table.from_arrays([pa.array(who, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(score, pa.float64())], schema=FOUND)
 
@@ -191,7 +196,8 @@ def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_
     Equal vectors are searched once: only the k + 1 smallest ids of each can be among anyone's nearest, since ties go to smaller ids.
 
     Vectors null, zero, or with null or non-finite components take no part, nor do rows with a null id or of another length than most of
-    the sample. Rows that share an id and a vector count once. A query with fewer other rows in reach gets all of them. Empty table: empty result.
+    the sample. Rows that share an id and a vector count once. Of different vectors of one id,
+    the least (by its first differing component) is searched for, and the nearest one ranks the id, which takes one place. A query with fewer other rows in reach gets all of them. Empty table: empty result.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vector"), queries.alias("asks"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vector")))
@@ -205,15 +211,14 @@ def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_
         .groupBy("vector").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     )
     placed = distinct.mapInArrow(_route(router, 1), "vector array<double>, ids array<long>, part array<int>").withColumn("part", F.col("part")[0])
-    asked = rows.filter("asks").select(F.col("id").alias("query_id"), "vector").dropDuplicates(["query_id"])
+    asked = rows.filter("asks").select(F.col("id").alias("query_id"), "vector").groupBy("query_id").agg(F.min("vector").alias("vector"))
     asked = asked.mapInArrow(_route(router, router.probes), "query_id long, vector array<double>, part array<int>").withColumn("part", F.explode("part"))
     sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # one row a partition
     pieces = F.array(*[F.lit(-(-sizes.get(p, 1) // BLOCK)) for p in range(len(router.bias))])[F.col("part")]
     placed = placed.withColumn("block", F.pmod(F.xxhash64(F.col("ids")[0]), pieces).cast("int"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), pieces - 1)))
     found = placed.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(_rerank(k + 1), "query_id long, ids array<long>, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("ids")[0])
-    each = found.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1)
-    each = each.select("query_id", F.explode("ids").alias("id"), "score").filter("id <> query_id")
+    each = found.repartition("query_id").select("query_id", F.explode("ids").alias("id"), "score").filter("id <> query_id")
+    each = each.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return each.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

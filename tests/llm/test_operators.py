@@ -173,6 +173,16 @@ def test_vectors(spark):
     assert len(few) == 2
 
 
+def test_vectors_that_share_an_id(spark):
+    """One vector of the query, whatever the order of rows; an id takes one place, by its nearest vector."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0])] + [(7, [0.01 * i, 1.0]) for i in range(1, 12)] + [(i, [0.2 + 0.1 * i, 1.0]) for i in range(1, 7)]
+    for r in (rows, rows[::-1]):
+        df = spark.createDataFrame(r, "vec_id long, embedding array<double>").coalesce(1)
+        got = vector_search.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()
+        assert [(x["rank"], x["vec_id"]) for x in got] == [(1, 7), (2, 1), (3, 2), (4, 3), (5, 4)]
+        assert got[0]["score"] == pytest.approx(1 / (1 + 0.01**2) ** 0.5)
+
+
 def test_balanced_parts():
     graph = vector_search.neighbour_graph(np.random.default_rng(1).normal(size=(300, 8)), 5)
     part = vector_search.balanced_parts(graph, 6)
