@@ -30,6 +30,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quirelab/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        self._there: dict[str, DataFrame] = {}
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{self._n:02d}-{name}"
@@ -38,9 +39,16 @@ class Workspace:
         df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._quire_path = path
+        self._there[path] = out
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             jpath = self.spark._jvm.org.apache.hadoop.fs.Path(t._quire_path)
             jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
+            self._there.pop(t._quire_path, None)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Drops all other tables."""
+        stay = {t._quire_path for t in tables}
+        self.drop(*[t for path, t in self._there.items() if path not in stay])

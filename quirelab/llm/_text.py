@@ -79,23 +79,24 @@ class Words:
         a = self.start[first]
         return mix((sums[self.end[last]] - sums[a]) * inverse[a])
 
-    def shingles(self, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Text index and hash of the distinct k-word shingles of each text, sorted by both.
+    def shingles(self, k: int, both: bool = False) -> tuple[np.ndarray, ...]:
+        """Text index and hash of the distinct k-word shingles of each text, sorted by both; with `both`, distinct by two hashes, the second one as well.
 
         A text of 1 to k-1 words has its whole sequence as its one shingle; one without words has none.
         """
-        at, h = self.windows(k, which)
-        doc = self.doc[at]
         short = np.flatnonzero((self.count > 0) & (self.count < k))
-        if len(short):
-            doc = np.concatenate((doc, short))
-            h = np.concatenate((h, self.spans(self.first[short], self.first[short + 1] - 1, which)))
-        order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
-        if len(h):
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
-            doc, h = doc[new], h[new]
-        return doc, h
+        keys = []
+        for which in (0, 1)[: 1 + both]:
+            at, h = self.windows(k, which)
+            keys.append(np.concatenate((h, self.spans(self.first[short], self.first[short + 1] - 1, which))) if len(short) else h)
+        keys.append(np.concatenate((self.doc[at], short)))
+        keys = keys[1:-1] + [keys[0], keys[-1]]  # the first hash sorts before the second
+        order = np.lexsort(keys)
+        keys = [x[order] for x in keys]
+        if len(order):
+            new = np.concatenate(([True], np.logical_or.reduce([x[1:] != x[:-1] for x in keys])))
+            keys = [x[new] for x in keys]
+        return tuple(keys[::-1])
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:

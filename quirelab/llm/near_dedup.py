@@ -19,7 +19,7 @@ ROWS = 4
 SAMPLES = 4096
 SKETCH_BITS = 2048
 SALTS = 32
-BLOCK = 512
+BLOCK = 128
 MISS = 1e-6
 
 
@@ -110,12 +110,12 @@ def _confirm(shingle: int, percent: int):
             good = np.zeros(len(ta), bool)
             for lo, hi in chunks([(x or b"") + (y or b"") for x, y in zip(ta, tb, strict=True)]):
                 n = hi - lo
-                doc, h = Words(ta[lo:hi] + tb[lo:hi], lower=True).shingles(shingle)
+                doc, h, h2 = Words(ta[lo:hi] + tb[lo:hi], lower=True).shingles(shingle, both=True)
                 size = np.bincount(doc, minlength=2 * n)
                 pair = doc % n
-                order = np.lexsort((h, pair))
-                pair, h = pair[order], h[order]
-                both = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (h[1:] == h[:-1])], minlength=n)
+                order = np.lexsort((h2, h, pair))
+                pair, h, h2 = pair[order], h[order], h2[order]
+                both = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (h[1:] == h[:-1]) & (h2[1:] == h2[:-1])], minlength=n)
                 good[lo:hi] = (both > 0) & (100 * both >= percent * (size[:n] + size[n:] - both))
             mask = pa.array(good)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], schema=PAIRS)
@@ -141,20 +141,21 @@ def _sift(similarity: float):
 
 
 def _across(similarity: float):
-    """Pairs of different components within (or between) two blocks of one bucket whose sketches are near.
+    """Pairs of different components between the two sides of a cell (or within it, if it has one side) whose sketches are near.
 
     Documents that share several buckets meet in the first of them alone.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, block, size, sampled = (table.column(c).to_numpy() for c in ("id", "root", "block", "size", "sampled"))
+        ids, comp, size, sampled = (table.column(c).to_numpy() for c in ("id", "root", "size", "sampled"))
+        side = table.column("side").to_numpy()
         sketch = _bits(table.column("sketch"))
         bands = np.array(table.column("bands").to_pylist(), np.int64)[:, : table.column("band")[0].as_py()]
-        lo, hi = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         a, b = [], []
         for i in left:
-            r = right[(comp[right] != comp[i]) & (right > i if lo == hi else True)]
+            r = right if len(right) else left[left > i]
+            r = r[comp[r] != comp[i]]
             r = r[~(bands[r] == bands[i]).any(axis=1)]
             apart = np.bitwise_count(sketch[r] ^ sketch[i]).sum(axis=1)
             near = r[may_link(apart, size[r], size[i], sampled[r], sampled[i], similarity)]
@@ -166,6 +167,27 @@ def _across(similarity: float):
     return run
 
 
+def _cells(open_: DataFrame) -> DataFrame:
+    """Members of open buckets (band, bucket, id, root, n_main, n_rest, is_main) dealt into cells (kind, i, j) of two sides, BLOCK of each at most or so.
+
+    The bucket's largest component is in blocks of its own, which meet the blocks of the rest and never one another; blocks of the
+    rest meet each other too. So a bucket of n members, m of which are not in its largest component, makes about m * n / BLOCK rows and not n * n / BLOCK.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    mains, rests = blocks("n_main"), blocks("n_rest")
+    own = F.pmod(F.xxhash64("id", F.lit(7)), F.when(F.col("is_main"), mains).otherwise(rests)).cast("int")
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    block = F.col("_block")
+    to_rests = F.transform(F.sequence(F.lit(0), rests - 1), lambda q: cell("main", block, q, 0))
+    to_mains = F.transform(F.sequence(F.lit(0), mains - 1), lambda p: cell("main", p, block, 1))
+    among = F.transform(
+        F.sequence(F.lit(0), rests - 1),
+        lambda q: F.struct(F.lit("rest").alias("kind"), F.least(block, q).alias("i"), F.greatest(block, q).alias("j"), (block > q).cast("int").alias("side")),
+    )
+    cells = F.when(F.col("is_main"), to_rests).otherwise(F.concat(to_mains, among))
+    return open_.withColumn("_block", own).withColumn("_cell", F.explode(cells)).select("*", "_cell.*").drop("_block", "_cell", "n_main", "n_rest", "is_main")
+
+
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rows: int = ROWS) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row.
 
@@ -179,9 +201,10 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     3. Each bucket of a band has its smallest id as leader, found by salted minima. Every document picks the leader that most of
        its bands agree on; sketches sift these links, and the two full sets confirm them. The links form a forest.
     4. Buckets that still hold more than one component are searched whole, block of BLOCK against block, for pairs of different
-       components whose sketches are near; full sets confirm these too. Pairs within a component are never looked at.
-    5. Components of all confirmed links.
-    Shingles are compared by 64-bit hashes.
+       components whose sketches are near; full sets confirm these too. Pairs within a component are never looked at, and members
+       of a bucket's largest component are sent to blocks of the others only.
+    5. Components of all confirmed links. All tables in between are dropped.
+    Sets are measured by 64-bit hashes of shingles, links confirmed by 128-bit ones.
 
     Null or empty text, and text without words: n_shingles 0, linked with nothing, kept. Rows that share an id are one
     document with each of its texts' sets: they get the same component_id. A null id is linked with nothing and has a null
@@ -218,25 +241,20 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     forest = confirmed(sifted, "forest")
     roots = flatten_parents(ws, forest.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("parent")))
 
-    mixed = members.join(roots, "id", "left").select("band", "bucket", "n", "salt", "id", F.coalesce("root", "id").alias("root"))
-    kinds = mixed.groupBy("band", "bucket", "salt").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    open_ = kinds.groupBy("band", "bucket").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.collect_list("salt").alias("salts")).filter("least < most")
-    members2 = ws.save(mixed.join(open_.select("band", "bucket", F.explode("salts").alias("salt")), ["band", "bucket", "salt"]), "open")
-    with_sketch = members2.join(reps.select("id", "size", "sampled", "sketch", "bands"), "id")
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit(7)), n_blocks).cast("int")
-    pieces = (
-        with_sketch.withColumn("block", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-        .select("band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "size", "sampled", "sketch", "bands")
-    )
-    pieces = pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "band", "bucket", "i", "j")  # few bytes, much work: not to be coalesced
-    found = pieces.groupBy("band", "bucket", "i", "j").applyInArrow(_across(similarity), "a long, b long").distinct()
+    mixed = members.join(roots, "id", "left").select("band", "bucket", "id", F.coalesce("root", "id").alias("root"))
+    sizes = mixed.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("size"))
+    kinds = sizes.groupBy("band", "bucket").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("all")).filter("all > main.size")
+    open_ = ws.save(kinds.select("band", "bucket", F.col("main.root").alias("main"), F.col("main.size").alias("n_main"), (F.col("all") - F.col("main.size")).alias("n_rest")), "open")
+    members2 = ws.save(mixed.join(open_, ["band", "bucket"]).withColumn("is_main", F.col("root") == F.col("main")).drop("main"), "crowd")  # both sides are written tables: Spark may split a crowded bucket
+    pieces = _cells(members2.join(reps.select("id", "size", "sampled", "sketch", "bands"), "id"))
+    cell = ["band", "bucket", "kind", "i", "j"]
+    pieces = pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *cell)  # few bytes, much work: not to be coalesced
+    found = pieces.groupBy(*cell).applyInArrow(_across(similarity), "a long, b long").distinct()
     found = ws.save(found.join(tried, ["a", "b"], "left_anti"), "across")
     more = confirmed(found, "more") if not found.isEmpty() else found
     links = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")).unionByName(same)
     total = components(ws, links)
-    total = ws.save(total, "result")
-    ws.drop(reps, members, tried, sifted, members2)
     out = signed.select("id", "n_shingles").join(total, "id", "left").withColumn("component_id", F.coalesce("root", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    done = ws.save(out.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")), "result")
+    ws.keep(done)
+    return done.withColumnRenamed("id", id_col)
