@@ -4,17 +4,200 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import Words, as_bytes, chunks
 
 BLOCK_BYTES = 6 << 20
-SHARD_WINDOWS = 3_000_000
-CELL_BITS = 7
+#: Rows of the sketch, and counters of each for every window of the input, at least.
+DEPTH, CELLS = 2, 8
+#: Counters, or windows, that meet in one task.
+SHARD = 3_000_000
+#: (block, shard) pairs up to which blocks send straight to shards.
+STRAIGHT = 1 << 21
+SPREAD = np.uint64(0xD1B54A32D192ED03)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How counters and windows are dealt: blocks of documents, shards of keys, and groups of `group` blocks between them where blocks and shards are many."""
+
+    blocks: int
+    bits: int
+    shard_bits: int
+    group: int
+    coarse_bits: int
+
+    @staticmethod
+    def of(total_bytes: int) -> Layout:
+        windows = max(total_bytes // 6, 1)
+        blocks = max(1, math.ceil(total_bytes / BLOCK_BYTES))
+        shard_bits = max(0, math.ceil(math.log2(DEPTH * windows / SHARD)))
+        if blocks << shard_bits <= STRAIGHT:
+            return Layout(blocks, math.ceil(math.log2(windows * CELLS)), shard_bits, 1, shard_bits)
+        coarse = (shard_bits + 1) // 2
+        return Layout(blocks, math.ceil(math.log2(windows * CELLS)), shard_bits, max(2, int(SHARD * 2**coarse / (DEPTH * windows / blocks))), coarse)
+
+
+@dataclass
+class Entries:
+    """Distinct keys in order, each with whether it occurs more than once. Of windows also the rest of the hash, and the smallest document."""
+
+    key: np.ndarray
+    many: np.ndarray
+    rest: np.ndarray | None = None
+    lo: np.ndarray | None = None
+
+
+PART = pa.schema([("node", pa.int64()), ("shard", pa.int64()), ("n", pa.int64()), ("low_bits", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("many", pa.binary()), ("rest", pa.binary()), ("base", pa.int64()), ("lo", pa.binary())])
+REPLY = pa.schema([("node", pa.int64()), ("shard", pa.int64()), ("n", pa.int64()), ("many", pa.binary()), ("base", pa.int64()), ("lo", pa.binary())])
+PART_SQL = "node long, shard long, n long, low_bits int, high binary, low binary, many binary, rest binary, base long, lo binary"
+REPLY_SQL = "node long, shard long, n long, many binary, base long, lo binary"
+
+
+def _narrow(x: np.ndarray | None) -> tuple[int, bytes]:
+    """Numbers as the fewest bytes that hold what they are above the smallest."""
+    if x is None or not len(x):
+        return 0, b""
+    base, most = int(x.min()), int(x.max()) - int(x.min())
+    return base, (x - base).astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64).tobytes()
+
+
+def _wide(base: int, data: bytes, n: int) -> np.ndarray:
+    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(data) // n] if n else np.uint8
+    return np.frombuffer(data, kind).astype(np.int64) + base
+
+
+def _bits(x: np.ndarray) -> bytes:
+    return np.packbits(x).tobytes()
+
+
+def _flags(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+
+
+def pack_sorted(x: np.ndarray) -> tuple[int, bytes, bytes]:
+    """Rice code of ascending numbers: of each gap the high part in unary, the low bits as they are, byte by byte and then bit by bit."""
+    gap = np.diff(x, prepend=np.uint64(0))
+    k = max(int(int(x[-1]) / len(x)).bit_length() - 1, 0)
+    end = np.cumsum((gap >> np.uint64(k)).astype(np.int64) + 1)
+    high = np.zeros(end[-1], np.uint8)
+    high[end - 1] = 1
+    whole = np.ascontiguousarray(gap).view(np.uint8).reshape(-1, 8)[:, : k // 8].tobytes()
+    return k, _bits(high), whole + b"".join(_bits((gap >> np.uint64(j)).astype(np.uint8) & 1) for j in range(k // 8 * 8, k))
+
+
+def unpack_sorted(k: int, high: bytes, low: bytes, n: int) -> np.ndarray:
+    end = np.flatnonzero(np.unpackbits(np.frombuffer(high, np.uint8)))[:n] + 1
+    gap = (np.diff(end, prepend=0) - 1).astype(np.uint64) << np.uint64(k)
+    whole = np.zeros((n, 8), np.uint8)
+    whole[:, : k // 8] = np.frombuffer(low, np.uint8, n * (k // 8)).reshape(n, k // 8)
+    gap |= whole.view(np.uint64).ravel()
+    at, size = n * (k // 8), -(-n // 8)
+    for j in range(k // 8 * 8, k):
+        gap |= np.unpackbits(np.frombuffer(low, np.uint8, size, at), count=n).astype(np.uint64) << np.uint64(j)
+        at += size
+    return np.cumsum(gap, dtype=np.uint64)
+
+
+def _send(e: Entries, node: int, shift: int) -> pa.Table:
+    """One row for each shard that entries fall into."""
+    shard = (e.key >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(e.key), np.int64)
+    edge = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+    rows = []
+    for a, b in zip(edge, edge[1:], strict=False):
+        if b > a:
+            k, high, low = pack_sorted(e.key[a:b] - (np.uint64(int(shard[a]) << shift) if shift < 64 else np.uint64(0)))
+            base, lo = _narrow(None if e.lo is None else e.lo[a:b])
+            rows.append((node, int(shard[a]), b - a, k, high, low, _bits(e.many[a:b]), b"" if e.rest is None else e.rest[a:b].tobytes(), base, lo))
+    return pa.Table.from_pylist([dict(zip(PART.names, r, strict=True)) for r in rows], PART)
+
+
+def _merge(parts: pa.Table, shift: int) -> tuple[Entries, list[np.ndarray]]:
+    """The sum of several nodes' entries, and where each part's are in it. An entry of two nodes, or of one that has it more than once, occurs more than once."""
+    rows = parts.to_pylist()
+    n = [r["n"] for r in rows]
+    prefix = [np.uint64(r["shard"] << shift if shift < 64 else 0) for r in rows]
+    key = np.concatenate([p + unpack_sorted(r["low_bits"], r["high"], r["low"], r["n"]) for p, r in zip(prefix, rows, strict=True)])
+    many = np.concatenate([_flags(r["many"], r["n"]) for r in rows])
+    rest = np.concatenate([np.frombuffer(r["rest"], np.uint32) for r in rows])
+    windows = len(rest) > 0
+    order = np.lexsort((rest, key)) if windows else np.argsort(key, kind="stable")
+    k = key[order]
+    new = np.concatenate(([True], k[1:] != k[:-1]))
+    if windows:
+        new[1:] |= rest[order][1:] != rest[order][:-1]
+    first = np.flatnonzero(new)
+    place = np.empty(len(key), np.int64)
+    place[order] = np.cumsum(new) - 1
+    more = np.logical_or.reduceat(many[order], first) | (np.diff(np.append(first, len(key))) > 1)
+    out = Entries(k[first], more)
+    if windows:
+        out.rest = rest[order][first]
+        out.lo = np.minimum.reduceat(np.concatenate([_wide(r["base"], r["lo"], r["n"]) for r in rows])[order], first)
+    return out, np.split(place, np.cumsum(n)[:-1])
+
+
+def _answer(parts: pa.Table, e: Entries, place: list[np.ndarray]) -> pa.Table:
+    """To each part, which of its entries occur more than once, and of these the smallest document."""
+    rows = []
+    for node, shard, at in zip(parts.column("node").to_pylist(), parts.column("shard").to_pylist(), place, strict=True):
+        many = e.many[at]
+        base, lo = _narrow(None if e.lo is None else e.lo[at[many]])
+        rows.append({"node": node, "shard": shard, "n": len(at), "many": _bits(many), "base": base, "lo": lo})
+    return pa.Table.from_pylist(rows, REPLY)
+
+
+def _read(replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of all entries of one node in order, and the smallest document of those that are set."""
+    rows = sorted(replies.to_pylist(), key=lambda r: r["shard"])
+    many = [_flags(r["many"], r["n"]) for r in rows]
+    lo = [_wide(r["base"], r["lo"], int(m.sum())) for r, m in zip(rows, many, strict=True) if r["lo"]]
+    return np.concatenate(many or [np.zeros(0, bool)]), np.concatenate(lo or [np.zeros(0, np.int64)])
+
+
+def _up(shift: int, finer: int):
+    """A group of blocks adds up its parts of a coarse shard, and sends on the sum by finer shards."""
+    return lambda t: _send(_merge(t, shift)[0], t.column("up")[0].as_py(), finer)
+
+
+def _top(shift: int):
+    """All parts of one shard are added up; each sender gets its answer."""
+
+    def one(t: pa.Table) -> pa.Table:
+        return _answer(t, *_merge(t, shift))
+
+    return one
+
+
+def _down(shift: int):
+    """A group of blocks passes the answers to its sum on to its blocks."""
+
+    def one(parts: pa.Table, replies: pa.Table) -> pa.Table:
+        e, place = _merge(parts, shift)
+        e.many, lo = _read(replies)
+        if e.lo is not None:
+            e.lo[e.many] = lo
+        return _answer(parts, e, place)
+
+    return one
+
+
+def _exchange(parts: DataFrame, layout: Layout, key_bits: int) -> DataFrame:
+    """Answers (node, shard, n, many, base, lo) to the parts that blocks sent."""
+    fine = key_bits - layout.shard_bits
+    if layout.group == 1:
+        return parts.groupBy("shard").applyInArrow(_top(fine), REPLY_SQL)
+    coarse, inner = key_bits - layout.coarse_bits, layout.shard_bits - layout.coarse_bits
+    parts = parts.withColumn("up", F.floor(F.col("node") / layout.group))
+    top = parts.groupBy("up", "shard").applyInArrow(_up(coarse, fine), PART_SQL).groupBy("shard").applyInArrow(_top(fine), REPLY_SQL)
+    back = top.withColumn("coarse", F.shiftright("shard", inner))
+    return parts.groupBy("up", "shard").cogroup(back.groupBy("node", "coarse")).applyInArrow(_down(coarse), REPLY_SQL)
 
 
 def _hashed(table: pa.Table, n: int) -> Iterator[tuple[np.ndarray, Words, np.ndarray, np.ndarray, np.ndarray]]:
@@ -27,114 +210,81 @@ def _hashed(table: pa.Table, n: int) -> Iterator[tuple[np.ndarray, Words, np.nda
         yield ids[lo:hi], words, at, h1, (words.windows(n, 1)[1] >> np.uint64(32)).astype(np.uint32)
 
 
-def _cells(h1: list[np.ndarray], bits: int) -> np.ndarray:
-    return (np.concatenate(h1) if h1 else np.zeros(0, np.uint64)) >> np.uint64(64 - bits)
-
+def _cells(h1: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Counter of each window in each row of the sketch, counted through all rows."""
+    out = []
+    for row in range(DEPTH):
+        out.append((h1 >> np.uint64(64 - bits)) + np.uint64(row << bits))
+        h1 = h1 * SPREAD
+    return out
 
-def _planes(x: np.ndarray) -> bytes:
-    """All first bytes, then all second ones, and so on: high bytes of small gaps stand together, and the shuffle's compression takes them away."""
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
+def _sketch(n: int, layout: Layout, key_bits: int):
+    """A block's part of the sketch: its counters that aren't zero."""
 
-def _numbers(planes: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
-def _sketch(n: int, bits: int, shard_bits: int):
-    """A block's part of the sketch: for each shard its non-zero cells in order, and which of them count two or more."""
-
-    def one(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        cell, count = np.unique(_cells([h for _, _, _, h, _ in _hashed(table, n)], bits), return_counts=True)
-        shard = (cell >> np.uint64(bits - shard_bits)).astype(np.int64)
-        cut = np.flatnonzero(np.diff(shard)) + 1
-        rows = []
-        for c, k, s in zip(np.split(cell, cut), np.split(count, cut), np.split(shard, cut), strict=True):
-            if len(c):
-                low = (c & np.uint64((1 << (bits - shard_bits)) - 1)).astype(np.uint32)
-                gaps = np.diff(low, prepend=np.uint32(0))
-                wide = bool(gaps.max() > 65535)
-                rows.append((int(s[0]), block, wide, _planes(gaps.astype(np.uint32 if wide else np.uint16)), np.packbits(k > 1).tobytes()))
-        return pa.Table.from_pylist([dict(zip(SKETCH.names, r, strict=True)) for r in rows], SKETCH)
+    def one(docs: pa.Table) -> pa.Table:
+        h1 = np.concatenate([h for _, _, _, h, _ in _hashed(docs, n)] or [np.zeros(0, np.uint64)])
+        cell, count = np.unique(np.concatenate(_cells(h1, layout.bits)), return_counts=True)
+        return _send(Entries(cell, count > 1), docs.column("node")[0].as_py(), key_bits - layout.coarse_bits)
 
     return one
 
 
-SKETCH = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("wide", pa.bool_()), ("cells", pa.binary()), ("twice", pa.binary())])
-FLAGS = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("flags", pa.binary()), ("n", pa.int32())])
-SPANS = pa.schema([("block", pa.int32()), ("h1", pa.int64()), ("h2", pa.int32()), ("lo", pa.int64()), ("more", pa.bool_())])
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    """Adds up a shard of the sketch over all blocks, and tells each block which of its cells count two or more."""
-    parts, sure = [], []
-    for wide, cells, twice in zip(*(table.column(c).to_pylist() for c in ("wide", "cells", "twice")), strict=True):
-        c = np.cumsum(_numbers(cells, np.uint32 if wide else np.uint16), dtype=np.uint64).astype(np.uint32)
-        parts.append(c)
-        sure.append(c[np.unpackbits(np.frombuffer(twice, np.uint8), count=len(c)).astype(bool)])
-    every = np.sort(np.concatenate(parts))
-    repeated = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *sure]))
-    shard, rows = table.column("shard")[0].as_py(), []
-    for block, c in zip(table.column("block").to_pylist(), parts, strict=True):
-        i = np.minimum(np.searchsorted(repeated, c), max(len(repeated) - 1, 0))
-        found = repeated[i] == c if len(repeated) else np.zeros(len(c), bool)
-        rows.append({"block": block, "shard": shard, "flags": np.packbits(found).tobytes(), "n": len(c)})
-    return pa.Table.from_pylist(rows, FLAGS)
-
-
-def _candidates(n: int, bits: int):
-    """Windows of a block whose estimated count is two or more, with the smallest document id of each, and whether it has more."""
-
-    def one(docs: pa.Table, flags: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return SPANS.empty_table()
-        h1, h2, doc = [], [], []
-        for ids, words, at, a, b in _hashed(docs, n):
-            h1.append(a), h2.append(b), doc.append(ids[words.doc[at]])
-        cells = _cells(h1, bits)
-        if not len(cells):
-            return SPANS.empty_table()
-        order = np.argsort(flags.column("shard").to_numpy())
-        bitmaps, counts = flags.column("flags").to_pylist(), flags.column("n").to_pylist()
-        flag = np.concatenate([np.unpackbits(np.frombuffer(bitmaps[i], np.uint8), count=counts[i]) for i in order]).astype(bool)
-        keep = flag[np.searchsorted(np.unique(cells), cells)]
-        a, b, d = np.concatenate(h1)[keep], np.concatenate(h2)[keep], np.concatenate(doc)[keep].astype(np.int64)
-        order = np.lexsort((d, b, a))
-        a, b, d = a[order], b[order], d[order]
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
-        lo = np.flatnonzero(new)
-        hi = np.concatenate((lo[1:], [len(a)])) - 1 if len(lo) else lo
-        block = np.full(len(lo), docs.column("block")[0].as_py(), np.int32)
-        return pa.Table.from_arrays([pa.array(x) for x in (block, a[lo].view(np.int64), b[lo].view(np.int32), d[lo], d[hi] > d[lo])], schema=SPANS)
+def _repeated(docs: pa.Table, replies: pa.Table, n: int, bits: int) -> tuple[Entries, np.ndarray, np.ndarray]:
+    """Windows of a block whose estimated count, the least of their counters, is two or more; which windows these are, and each one's place among them."""
+    h1, h2, doc = [], [], []
+    for ids, words, at, a, b in _hashed(docs, n):
+        h1.append(a), h2.append(b), doc.append(ids[words.doc[at]])
+    h1, h2, doc = np.concatenate(h1), np.concatenate(h2), np.concatenate(doc).astype(np.int64)
+    flag, _ = _read(replies)
+    cells = _cells(h1, bits)
+    known = np.unique(np.concatenate(cells))
+    keep = np.ones(len(h1), bool)
+    for c in cells:
+        keep[keep] = flag[np.searchsorted(known, c[keep])]
+    a, b, d = h1[keep], h2[keep], doc[keep]
+    order = np.lexsort((d, b, a))
+    a, b, d = a[order], b[order], d[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(a)) - 1 if len(first) else first
+    place = np.empty(len(a), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return Entries(a[first], d[last] > d[first], b[first], d[first]), keep, place
+
+
+def _candidates(n: int, layout: Layout):
+    def one(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        if not docs.num_rows or not replies.num_rows:
+            return PART.empty_table()
+        return _send(_repeated(docs, replies, n, layout.bits)[0], docs.column("node")[0].as_py(), 64 - layout.coarse_bits)
 
     return one
 
 
-def _remove(n: int, out: pa.Schema):
+def _remove(n: int, layout: Layout, out: pa.Schema):
     """Documents of a block without the words that windows of smaller ids cover."""
 
-    def one(docs: pa.Table, known: pa.Table) -> pa.Table:
+    def one(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return out.empty_table()
-        k1 = known.column("h1").to_numpy().view(np.uint64)
-        order = np.argsort(k1)
-        k1, k2 = k1[order], known.column("h2").to_numpy().view(np.uint32)[order]
-        lowest = known.column("lo").to_numpy()[order]
+        exact = np.array(replies.column("exact").to_pylist(), bool)
+        keep = place = least = np.zeros(0, np.int64)
+        if exact.any():
+            e, keep, place = _repeated(docs, replies.filter(pa.array(~exact)), n, layout.bits)
+            many, lo = _read(replies.filter(pa.array(exact)))
+            least = np.full(len(e.key), np.iinfo(np.int64).max)
+            least[many] = lo
+        seen = used = 0
         n_words, n_removed, kept = [], [], []
-        for ids, words, at, h1, h2 in _hashed(docs, n):
+        for ids, words, at, _, _ in _hashed(docs, n):
             gone = np.zeros(len(words.doc) + 1, np.int64)
-            if len(k1) and len(at):
-                i = np.searchsorted(k1, h1)
-                more = True
-                hit = np.zeros(len(at), bool)
-                while more:  # windows that share the first hash alone stand next to each other
-                    ok = (i < len(k1)) & (k1[np.minimum(i, len(k1) - 1)] == h1)
-                    j = np.minimum(i, len(k1) - 1)
-                    hit |= ok & (k2[j] == h2) & (lowest[j] < ids[words.doc[at]])
-                    i = i + 1
-                    more = bool((ok & (k2[j] != h2)).any())
-                np.add.at(gone, at[hit], 1)
-                np.subtract.at(gone, at[hit] + n, 1)
+            if len(keep):
+                some = np.flatnonzero(keep[seen : seen + len(at)])
+                hit = least[place[used : used + len(some)]] < ids[words.doc[at[some]]]
+                seen, used, some = seen + len(at), used + len(some), at[some[hit]]
+                np.add.at(gone, some, 1)
+                np.subtract.at(gone, some + n, 1)
             covered = np.cumsum(gone)[:-1] > 0
             removed = np.bincount(words.doc[covered], minlength=len(words.count))
             n_words += words.count.tolist()
@@ -156,38 +306,29 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     window whose words also start in a document with a smaller id. Windows are judged on the input. `kept` holds the
     remaining words, joined by one space.
 
-    Documents are dealt into blocks of about BLOCK_BYTES by a hash of the id. (1) Every block writes its part of a
-    count-min sketch: one row of 2^CELL_BITS cells or more per window of the input, as sorted cells with counts saturated
-    at two, cut into shards of about SHARD_WINDOWS windows. (2) Parts are merged shard by shard, and each block gets one bit for
-    each of its cells: total two or more. The sketch grows with the input, in more shards, so that no task or driver ever
-    holds it all. An estimate is never below the true count, so no repeated window is lost. (3) Only windows estimated
-    repeated are grouped exactly, by 96 bits of hash, after each block has reduced them to its smallest id: a
-    window that is in every document gives one row a block. (4) Blocks get the smallest id of each and cut their texts.
+    Documents are dealt into blocks of about BLOCK_BYTES by a hash of the id. (1) Every block counts its windows in a count-min sketch of
+    DEPTH rows with CELLS or more counters for each window of the input, so that its error is the same at every size. (2) The blocks' sketches
+    are added up, counters saturating at two, in shards of about SHARD counters, and each block learns which of its own counters are two or more. An
+    estimate, the least of a window's counters, is never below the true count, so no repeated window is lost. (3) Only windows estimated repeated are
+    grouped exactly, by 96 bits of hash, in shards too, after each block has reduced them to its smallest id. (4) Blocks get the smallest
+    id of each and cut their texts. Where (block, shard) pairs are more than STRAIGHT, groups of blocks add up their parts first and pass answers on,
+    so pairs grow as the input to the power 1.5, and a window of every block is one entry a group. No task or driver holds the whole sketch.
     The shuffle of texts by block is made once and reused.
 
     Null or empty text, and text without words: no words, `kept` empty. Rows that share an id don't remove each other's words.
     A null id is kept whole and takes nothing from others. Empty table: empty result. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    total = rows.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    windows = max(total // 6, 1)
-    blocks = max(1, math.ceil(total / BLOCK_BYTES))
-    shard_bits = max(0, math.ceil(math.log2(windows / SHARD_WINDOWS))) if windows > SHARD_WINDOWS else 0
-    bits = max(math.ceil(math.log2(windows)) + CELL_BITS, shard_bits + 8)
-    bits = min(bits, shard_bits + 32)
-    placed = rows.filter(F.col("id").isNotNull()).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "text")
-    by_block = lambda: placed.groupBy("block")
-    parts = by_block().applyInArrow(_sketch(window, bits, shard_bits), "shard int, block int, wide boolean, cells binary, twice binary")
-    flags = parts.groupBy("shard").applyInArrow(_merge, "block int, shard int, flags binary, n int")
-    spans = by_block().cogroup(flags.groupBy("block")).applyInArrow(_candidates(window, bits), "block int, h1 long, h2 int, lo long, more boolean")
-    same = Window.partitionBy("h1", "h2")
-    repeated = (
-        spans.withColumn("least", F.min("lo").over(same))
-        .filter("more or lo > least")
-        .select("block", "h1", "h2", F.col("least").alias("lo"))
-    )
+    layout = Layout.of(rows.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"])
+    key_bits = layout.bits + (DEPTH - 1).bit_length()
+    placed = rows.filter(F.col("id").isNotNull()).select(F.pmod(F.xxhash64("id"), F.lit(layout.blocks)).alias("node"), "id", "text")
+    by_block = lambda: placed.groupBy("node")
+    estimates = _exchange(by_block().applyInArrow(_sketch(window, layout, key_bits), PART_SQL), layout, key_bits)
+    found = by_block().cogroup(estimates.groupBy("node")).applyInArrow(_candidates(window, layout), PART_SQL)
+    firsts = _exchange(found, layout, 64)
+    replies = estimates.withColumn("exact", F.lit(False)).unionByName(firsts.withColumn("exact", F.lit(True)))
     out = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-    done = by_block().cogroup(repeated.groupBy("block")).applyInArrow(_remove(window, out), "id long, n_words long, n_removed long, kept string")
+    done = by_block().cogroup(replies.groupBy("node")).applyInArrow(_remove(window, layout, out), "id long, n_words long, n_removed long, kept string")
     unknown = rows.filter(F.col("id").isNull())
     split = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     whole = unknown.select("id", F.size(split).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join(split, " ").alias("kept"))

@@ -308,17 +308,48 @@ def test_substring_dedup(spark, awkward, empty):
     assert any(x[1] for v in expected.values() for x in v)
 
 
-def test_substring_dedup_many_blocks(spark, sf, monkeypatch):
-    """Small blocks and shards give the same result as one block."""
+@pytest.mark.parametrize("straight", [1 << 21, 1])
+def test_substring_dedup_many_blocks(spark, sf, monkeypatch, straight):
+    """Small blocks and shards give the same result as one block, straight and by way of groups of blocks."""
     import quirelab.llm.substring_dedup as m
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     one = sorted(map(tuple, substring_dedup(docs).collect()))
-    monkeypatch.setattr(m, "BLOCK_BYTES", 60_000)
-    monkeypatch.setattr(m, "SHARD_WINDOWS", 9_000)
+    monkeypatch.setattr(m, "BLOCK_BYTES", 40_000)
+    monkeypatch.setattr(m, "SHARD", 9_000)
+    monkeypatch.setattr(m, "STRAIGHT", straight)
+    layout = m.Layout.of(docs.agg(F.sum(F.octet_length("text"))).first()[0])
+    assert layout.blocks > 5 and layout.shard_bits > 2 and (layout.group > 1) == (straight == 1)
     assert sorted(map(tuple, substring_dedup(docs).collect())) == one
 
 
+def test_sorted_numbers_are_packed():
+    import quirelab.llm.substring_dedup as m
+
+    rng = np.random.default_rng(5)
+    for top, n in ((1, 1), (2, 2), (1 << 12, 700), (1 << 63, 900), ((1 << 64) - 1, 3), (1 << 40, 1)):
+        x = np.unique(rng.integers(0, top, n, dtype=np.uint64))
+        k, high, low = m.pack_sorted(x)
+        assert (m.unpack_sorted(k, high, low, len(x)) == x).all()
+
+
+def test_sketch_never_underestimates():
+    """Counters of several nodes added up: a window of two documents is never taken for a single one, and few single ones for repeated."""
+    import quirelab.llm.substring_dedup as m
+
+    rng = np.random.default_rng(6)
+    h = mix(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    nodes = [np.append(h[i * 5000 : (i + 1) * 5000], h[:300]) for i in range(4)]
+    bits = (20_000 * m.CELLS).bit_length()
+    parts = []
+    for i, x in enumerate(nodes):
+        cell, count = np.unique(np.concatenate(m._cells(x, bits)), return_counts=True)
+        parts.append(m._send(m.Entries(cell, count > 1), i, 64))
+    e, _ = m._merge(m.pa.concat_tables(parts), 64)
+    high = lambda x: np.logical_and.reduce([e.many[np.searchsorted(e.key, c)] for c in m._cells(x, bits)])
+    assert high(h[:300]).all() and high(h[300:]).mean() < 0.03
+
+
 def test_mixing(spark, awkward, empty):
     got = mix_sources(awkward).collect()
     assert len(got) == awkward.count() and mix_sources(empty).count() == 0
