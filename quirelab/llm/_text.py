@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WORD = r"[^\x20\x09-\x0D]+"
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -57,13 +58,16 @@ class Words:
         else:
             self.end = self.start = np.zeros(0, np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.count)))
+        self._sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    @lru_cache(maxsize=2)
     def _prefix(self, which: int) -> tuple[np.ndarray, np.ndarray]:
+        if which in self._sums:
+            return self._sums[which]
         size = max(2 * _CHUNK, 1 << int(len(self.buf)).bit_length())
         byte, power, inverse = _tables(_BASES[which], size)
         sums = np.zeros(len(self.buf) + 1, np.uint64)
         np.cumsum(byte[self.buf] * power[: len(self.buf)], out=sums[1:])
+        self._sums[which] = sums, inverse
         return sums, inverse
 
     def windows(self, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -103,14 +107,14 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def chunks(texts: list[bytes | None], limit: int = _CHUNK) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of about `limit` bytes, so that work arrays stay small; no text is cut."""
-    lo = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or b"")
-        if i > lo and size + n > limit:
+def slices(*columns: pa.Array | pa.ChunkedArray, limit: int = _CHUNK) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows whose texts have about `limit` bytes together, so that work arrays stay small; no text is cut."""
+    size = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    lo = total = 0
+    for i, n in enumerate(size.tolist()):
+        if i > lo and total + n > limit:
             yield lo, i
-            lo, size = i, 0
-        size += n
-    if lo < len(texts):
-        yield lo, len(texts)
+            lo, total = i, 0
+        total += n
+    if lo < len(size):
+        yield lo, len(size)

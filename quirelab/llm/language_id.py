@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ._store import Workspace
-from ._text import chunks
+from ._text import slices
 
-LETTERS = re.compile(r"[^\W\d_]{1,40}")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 GRAM = 4
 WORDS = 60_000
 GRAMS = 60_000
@@ -28,9 +28,8 @@ CACHE = 200_000
 
 
 def _words(text: str | None) -> list[str]:
-    """Runs of letters in lower case; none if all of them are number signs such as ½, which LETTERS takes too."""
-    found = LETTERS.findall(text.lower()) if text else []
-    return found if any(map(str.isalpha, found)) or any(c.isalpha() for w in found for c in w) else []
+    """Runs of letters, with their combining marks, in lower case."""
+    return LETTERS.findall(text.lower()) if text else []
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -51,8 +50,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words.clear()
 
     for batch in batches:
-        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-            words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+        for lo, hi in slices(batch.column("text")):
+            for text, lang in zip(*(batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("text", "lang")), strict=True):
+                words.setdefault(lang, Counter()).update(_words(text))
             if sum(map(len, words.values())) > FLUSH:
                 yield from flush()
     yield from flush()
@@ -123,13 +123,14 @@ def _tabled(counts: DataFrame, ws: Workspace, name: str) -> tuple[DataFrame, dic
 
 
 def _frequent(table: DataFrame, most: int) -> tuple[list, DataFrame | None]:
-    """`most` rows at most, all that are as frequent as some count, and the table of the others."""
-    steps = table.groupBy("total").agg(F.count(F.lit(1)).alias("rows")).withColumn("rows", F.sum("rows").over(Window.orderBy(F.desc("total"))))
-    got = steps.agg(F.max("rows").alias("all"), F.min(F.when(F.col("rows") <= most, F.col("total"))).alias("least")).first()
+    """`most` rows at most, all whose count is of some magnitude (an eighth of a power of two) or more, and the table of the others."""
+    table = table.withColumn("size", F.floor(F.log2("total") * 8))
+    steps = table.groupBy("size").agg(F.count(F.lit(1)).alias("rows")).withColumn("rows", F.sum("rows").over(Window.orderBy(F.desc("size"))))  # some hundred rows at most
+    got = steps.agg(F.max("rows").alias("all"), F.min(F.when(F.col("rows") <= most, F.col("size"))).alias("least")).first()
     more = None
     if (got["all"] or 0) > most:
         if got["least"] is not None:
-            table, more = table.filter(F.col("total") >= got["least"]), table.filter(F.col("total") < got["least"])
+            table, more = table.filter(F.col("size") >= got["least"]), table.filter(F.col("size") < got["least"])
         else:
             last = table.select("word").orderBy("word").limit(most).agg(F.max("word")).first()[0]
             table, more = table.filter(F.col("word") <= last), table.filter(F.col("word") > last)
@@ -147,7 +148,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
     langs = sorted(words)
     if not langs:
         return Model([], np.zeros(0), {}, {}, np.zeros((0, 0), np.float32))
-    by_gram, parts = _tabled(by_word.select("word", "by_lang").mapInArrow(_split, "word string, lang string, n long"), ws, "grams")
+    by_gram, parts = _tabled(by_word.select("word", "by_lang").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_split, "word string, lang string, n long"), ws, "grams")
     index = {x: i for i, x in enumerate(langs)}
 
     def table(by: DataFrame, most: int, tokens: np.ndarray, kinds: int) -> tuple[list[str], np.ndarray, DataFrame | None]:
@@ -176,9 +177,8 @@ def _predict(m: Model, text_col: str, keep: list[str]):
         seen = dict(m.words)
         used = n_known
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            for lo, hi in chunks(texts):
-                found = [_words(t) for t in texts[lo:hi]]
+            for lo, hi in slices(batch.column(text_col)):
+                found = [_words(t) for t in batch.column(text_col).slice(lo, hi - lo).to_pylist()]
                 size = np.fromiter(map(len, found), np.int64, len(found))
                 lang, score = ["und"] * len(found), np.zeros(len(found))
                 if m.langs and size.sum():
@@ -217,10 +217,9 @@ def _begin(m: Model, text_col: str, keep: list[str]):
         rows = np.concatenate((values, np.zeros((1, values.shape[1]), np.float32))).astype(np.float64)
         get, other = known.get, len(values)
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            for lo, hi in chunks(texts):
+            for lo, hi in slices(batch.column(text_col)):
                 sums, rest = [], []
-                for t in texts[lo:hi]:
+                for t in batch.column(text_col).slice(lo, hi - lo).to_pylist():
                     words = _words(t)
                     at = np.fromiter((get(w, other) for w in words), np.int64, len(words))
                     sums.append((rows[at].sum(axis=0) + prior).tolist() if words else None)
@@ -308,7 +307,7 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Every row with lang_pred and score, told from its whole text alone. `keep` names the input columns to return, all by default.
 
-    A word is a run of letters, lower-cased, cut after 40. A known word adds its log frequency in each language; an unseen
+    A word is a run of letters and their combining marks, lower-cased. A known word adds its log frequency in each language; an unseen
     one the mean over its positions of the longest known n-gram there, from GRAM characters down to one. The score is the
     winner's share of the likelihood, 0 to 1; ties go to the language that sorts first.
 

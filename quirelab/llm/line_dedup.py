@@ -10,6 +10,11 @@ from ._text import WORD
 SALTS = 32
 
 
+def salts_for(rows: int) -> int:
+    """So many that a window which a third of the rows hold is dealt over tasks whose load grows as the square root of the rows alone."""
+    return max(SALTS, int(rows**0.5) // 32)
+
+
 def _ident(doc: Column, text: Column) -> Column:
     """Orders documents: null ids last, then by id, then by a digest of the text."""
     return F.struct(doc.isNull().alias("x"), doc.alias("d"), F.xxhash64(text).alias("t"))
@@ -23,8 +28,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     a line covered by any later one is removed. Windows are judged on the input. Remaining lines are joined by \\n.
 
     First occurrences come from a minimum per window that is combined before the shuffle; the way back to the
-    occurrences is keyed by (window, salt), so a window that occurs in a third of all documents is dealt over SALTS tasks
-    for each. Windows are compared by two 64-bit hashes.
+    occurrences is keyed by (window, salt), so a window that occurs in a third of all documents is dealt over salts_for(rows) tasks. Windows are compared by two 64-bit hashes.
 
     Null text stays null, with no lines. Empty text has one blank line. A text of fewer than `lines` lines has no window
     and stays. Rows that share an id count as one document if their texts agree and as separate ones if not. Null ids come
@@ -33,6 +37,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     base = docs.drop(*[c for c in ("n_lines", "n_removed") if c not in (id_col, text_col)])
     text = F.col(text_col)
     parts = F.split(text, "\n", -1)
+    salts = salts_for(base.select(F.count(F.lit(1)).alias("n")).first()["n"])
     some = base.filter(F.size(parts) >= lines).select(_ident(F.col(id_col), text).alias("doc"), parts.alias("part"))
     here = lambda i: [F.col("part")[i + j] for j in range(lines)]
     at = F.transform(
@@ -42,7 +47,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     seen = (
         some.select("doc", F.explode(F.filter(at, lambda w: w["shown"])).alias("w"))
         .select("doc", F.col("w.pos").alias("pos"), F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
-        .withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+        .withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
     )
     first = F.min(F.struct("doc", "pos"))
     partial = seen.groupBy("h1", "h2", "salt").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))

@@ -45,10 +45,10 @@ def mix_sources(
 
     Within a source each document expects target / source_size copies; the expectations are summed over the
     documents in a fixed order, one offset per source is added, and a document is emitted once for each whole
-    number that its part of the sum crosses. Documents are ordered by (salt, size, id, text digest), which spreads
-    every size over the mix. The prefix sum is in two levels: counts per (source, salt) first, then row numbers
-    within each (source, salt), so that a source that holds most of the rows is spread over many tasks; there are
-    sqrt(rows) / 2 salts. The offset comes from md5 of seed and source: reruns agree.
+    number that its part of the sum crosses. Documents are ordered by (size class, salt, size, id, text digest), so that
+    every size is taken at its share. The prefix sum is in two levels: counts per (source, class, salt) first, then row numbers
+    within each (source, class, salt), so that a source that holds most of the rows is spread over many tasks; there are
+    sqrt(rows) / 64 + 1 salts. The offset comes from md5 of seed and source: reruns agree.
 
     Null or empty text: size 0, taken 0. Null source: a source of its own, last. Null id: ordered first, as one more
     value. Equal rows count as separate documents. A source or table without words: target 0, no copies. Input columns
@@ -96,5 +96,5 @@ def mix_sources(
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
-    """Each row of mix_sources() as often as the mix takes it."""
+    """Each row of mix_sources() as often as the mix takes it: repeated rows for copies over one, none for copies of null or 0. Other columns stay. Empty table: empty result."""
     return mixed.withColumn("_copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))))).drop("_copy")

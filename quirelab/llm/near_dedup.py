@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ._components import components, flatten_parents
 from ._store import Workspace
-from ._text import Words, as_bytes, chunks, mix
+from ._text import Words, as_bytes, mix, slices
 
 ROWS = 4
 SAMPLES = 4096
@@ -79,10 +79,9 @@ SIGNED = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.b
 def _sign(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            for lo, hi in chunks(texts):
-                doc, h = Words(texts[lo:hi], lower=True).shingles(shingle)
+            for lo, hi in slices(batch.column("text")):
                 n = hi - lo
+                doc, h = Words(as_bytes(batch.column("text").slice(lo, n)), lower=True).shingles(shingle)
                 sizes = np.bincount(doc, minlength=n)
                 first = np.concatenate(([0], np.cumsum(sizes)))
                 keys = [hashlib.blake2b(h[first[i] : first[i + 1]].tobytes(), digest_size=16).digest() for i in range(n)]
@@ -106,11 +105,11 @@ def _confirm(shingle: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ta, tb = as_bytes(batch.column("ta")), as_bytes(batch.column("tb"))
-            good = np.zeros(len(ta), bool)
-            for lo, hi in chunks([(x or b"") + (y or b"") for x, y in zip(ta, tb, strict=True)]):
+            good = np.zeros(batch.num_rows, bool)
+            for lo, hi in slices(batch.column("ta"), batch.column("tb")):
                 n = hi - lo
-                doc, h, h2 = Words(ta[lo:hi] + tb[lo:hi], lower=True).shingles(shingle, both=True)
+                texts = [t for c in ("ta", "tb") for t in as_bytes(batch.column(c).slice(lo, n))]
+                doc, h, h2 = Words(texts, lower=True).shingles(shingle, both=True)
                 size = np.bincount(doc, minlength=2 * n)
                 pair = doc % n
                 order = np.lexsort((h2, h, pair))

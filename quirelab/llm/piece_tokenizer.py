@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import chunks
+from ._text import slices
 
 SPACE = "▁"
 NONE = np.int64(1) << 40
-CACHE = 150_000
+#: Bytes of encoded parts that a worker remembers, each with what its entry takes.
+CACHE, ENTRY = 48 << 20, 200
 NORMAL, CONTROL, BYTE, UNKNOWN = range(4)
 
 
@@ -89,6 +90,7 @@ class Coder:
         self.alone = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else "")) if self.closed else re.compile(r"(?s).+")
         self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(v.pieces, v.kinds, strict=True)]
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -197,11 +199,14 @@ class Coder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, without begin and end."""
         units = [self.alone.findall((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.known) > CACHE:
+        if self.held > CACHE:
             self.known.clear()
+            self.held = 0
         fresh = list(dict.fromkeys(u for row in units for u in row if u not in self.known))
         if fresh:
-            self.known.update(zip(fresh, self.encode_words(fresh), strict=True))
+            ids = self.encode_words(fresh)
+            self.known.update(zip(fresh, ids, strict=True))
+            self.held += ENTRY * len(fresh) + 4 * sum(map(len, fresh)) + sum(map(len, ids))
         get = self.known.__getitem__
         return [b"".join(map(get, row)) for row in units]
 
@@ -234,9 +239,8 @@ def _run(v: Vocabulary):
         c = coder(v)
         begin, end = (np.array([x], "<u4").tobytes() for x in (v.bos, v.eos))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in chunks(texts):
-                ids = [begin + x + end for x in c.encode([t or "" for t in texts[lo:hi]])]
+            for lo, hi in slices(batch.column("text")):
+                ids = [begin + x + end for x in c.encode([t or "" for t in batch.column("text").slice(lo, hi - lo).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.string())], schema=TOKENS)
 
     return run
@@ -247,7 +251,7 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc
 
     ids are packed as little-endian unsigned 32-bit integers. Texts are cut where no piece can reach across (before a space mark
     that follows another character, and around characters that no longer piece holds); the distinct parts of a batch are
-    encoded together and remembered, up to CACHE of them in a worker.
+    encoded together and remembered, up to CACHE bytes and one run of texts more in a worker.
 
     Null and empty text: begin and end only, decoded empty. Repeated ids stay separate rows. Null ids stay. Other columns are ignored.
     """

@@ -7,14 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import Words, as_bytes, chunks
+from ._text import Words, as_bytes, slices
 
 BUCKET_BITS = 14
 CHARACTERS = (2, 4)
 SAMPLE = 3000
+#: Bytes of text of the sample, which bound what comes to the driver.
+SAMPLE_BYTES = 12 << 20
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 KEEP_FROM = 0.5
@@ -25,19 +27,21 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 def _groups(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Document and bucket of every feature, one group after another: words, word pairs, character n-grams of each length.
 
-    Character n-grams run over the words joined by one space, so they see where words begin and end.
+    Character n-grams, of code points, run over the words joined by one space, so they see where words begin and end.
     """
     shift = np.uint64(64 - BUCKET_BITS)
     for k in (1, 2):
         at, h = words.windows(k)
         yield words.doc[at], (h >> shift).astype(np.int64)
     sums, inverse = words._prefix(0)
-    owner = np.repeat(words.doc, words.end - words.start + 1)
+    begins = np.flatnonzero((words.buf[: len(sums) - 1] & 0xC0) != 0x80) if len(words.doc) else np.zeros(0, np.int64)
+    owner = np.repeat(words.doc, words.end - words.start + 1)[begins]
+    begins = np.append(begins, len(sums) - 1)
     for n in CHARACTERS:
-        at = np.flatnonzero(owner[: max(len(owner) - n + 1, 0)] == owner[n - 1 :]) if len(owner) >= n else np.zeros(0, np.int64)
-        h = (sums[at + n] - sums[at]) * inverse[at]
+        i = np.flatnonzero(owner[: max(len(owner) - n + 1, 0)] == owner[n - 1 :]) if len(owner) >= n else np.zeros(0, np.int64)
+        h = (sums[begins[i + n]] - sums[begins[i]]) * inverse[begins[i]]
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-        yield owner[at], (h >> shift).astype(np.int64)
+        yield owner[i], (h >> shift).astype(np.int64)
 
 
 N_GROUPS = 2 + len(CHARACTERS)
@@ -46,9 +50,9 @@ N_GROUPS = 2 + len(CHARACTERS)
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's share of its features by (group, bucket), as indices and values."""
     for batch in batches:
-        texts, quality = as_bytes(batch.column("text")), batch.column("quality").to_pylist()
-        for lo, hi in chunks(texts):
-            words = Words(texts[lo:hi])
+        quality = batch.column("quality").to_pylist()
+        for lo, hi in slices(batch.column("text")):
+            words = Words(as_bytes(batch.column("text").slice(lo, hi - lo)))
             at, value, doc = [], [], []
             for g, (d, b) in enumerate(_groups(words)):
                 pair, n = np.unique(d << BUCKET_BITS | b, return_counts=True)
@@ -110,14 +114,18 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` labelled rows, those whose ids hash smallest; a quarter of them calibrates.
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fits on at most `sample` labelled rows and `sample_bytes` of text, those whose ids hash smallest, one row an id; a quarter of them calibrates.
 
     Labels other than 0 and 1, null ids and null texts are left out. Without both classes: a model that keeps everything.
     """
     some = labels.filter(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").cast("int").alias("quality"))
     some = some.orderBy(F.xxhash64(id_col), id_col).limit(sample)
     rows = docs.select(id_col, F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(some), id_col)
+    rows = rows.groupBy(id_col).agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
+    before = Window.orderBy(F.xxhash64(id_col), id_col)  # over `sample` rows at most, without their texts
+    few = rows.select(id_col, F.octet_length("text").alias("n")).withColumn("n", F.sum("n").over(before)).filter(F.col("n") <= sample_bytes).select(id_col)
+    rows = rows.join(F.broadcast(few), id_col)
     got = rows.select("text", "quality").mapInArrow(_features, "quality int, at array<int>, value array<float>").toArrow()
     y = got.column("quality").to_numpy().astype(float)
     if len(set(y.tolist())) < 2 or len(y) < 8:
@@ -162,9 +170,8 @@ def _repeated_words(words: Words) -> np.ndarray:
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            for lo, hi in chunks(texts):
-                n, part = hi - lo, texts[lo:hi]
+            for lo, hi in slices(batch.column("text")):
+                n, part = hi - lo, as_bytes(batch.column("text").slice(lo, hi - lo))
                 words = Words(part)
                 z = np.zeros(n)
                 for g, (d, b) in enumerate(_groups(words)):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, as_bytes, chunks
+from ._text import Words, as_bytes, slices
 
 BLOCK_BYTES = 6 << 20
 #: Rows of the sketch, and counters of each for every window of the input, at least.
@@ -203,9 +203,8 @@ def _exchange(parts: DataFrame, layout: Layout, key_bits: int) -> DataFrame:
 def _hashed(table: pa.Table, n: int) -> Iterator[tuple[np.ndarray, Words, np.ndarray, np.ndarray, np.ndarray]]:
     """Ids and words of runs of documents, with first word, and both hashes, of each window."""
     ids = table.column("id").to_numpy(zero_copy_only=False)
-    texts = as_bytes(table.column("text"))
-    for lo, hi in chunks(texts):
-        words = Words(texts[lo:hi])
+    for lo, hi in slices(table.column("text")):
+        words = Words(as_bytes(table.column("text").slice(lo, hi - lo)))
         at, h1 = words.windows(n)
         yield ids[lo:hi], words, at, h1, (words.windows(n, 1)[1] >> np.uint64(32)).astype(np.uint32)
 

@@ -4,17 +4,19 @@ repeated rows, no rows, other columns with clashing names."""
 import random
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quirelab.llm import html_extract, language_id, license_scan, quality, vector_search
 from quirelab.llm.line_dedup import line_dedup
 from quirelab.llm.mixing import emit_copies, mix_sources
 from quirelab.llm.near_dedup import bands_for, may_link, near_dedup, odd_sketches
-from quirelab.llm._text import mix
+from quirelab.llm._text import Words, mix
 from quirelab.llm.substring_dedup import substring_dedup
 
 CLASH = "size long, target string, n_words long, row long, id string, block int, n_lines string, score string, kept string, text2 string"
@@ -68,6 +70,22 @@ def test_quality(spark, awkward, empty):
     assert quality.train(empty, labels) is quality.EMPTY and quality.train(awkward, labels.limit(0)) is quality.EMPTY
 
 
+def test_quality_sees_characters():
+    """Character n-grams are of code points, whatever their bytes."""
+    got = [np.bincount(d, minlength=3).tolist() for d, _ in quality._groups(Words(["éa 日b".encode(), b"", b"x"]))]
+    assert got == [[2, 0, 1], [1, 0, 0], [5, 0, 1], [3, 0, 0]]  # a word ends in a space
+
+
+def test_quality_sample_is_bounded(spark):
+    """Long texts and repeated ids don't widen what comes to the driver."""
+    docs = spark.createDataFrame([(i, "good text here " * 20 if i % 2 else "bad $$ ## " * 20) for i in range(40)] + [(3, "good text here " * 20)] * 50 + [(100, "x" * 200_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(100, 0, 0)], "doc_id long, quality int, toxic int")
+    small = quality.train(docs, labels, sample_bytes=9000)
+    assert small is not quality.EMPTY
+    got = {r["doc_id"]: r["quality"] for r in quality.quality(docs, small).collect()}
+    assert got[1] > 0.5 > got[0]
+
+
 def test_quality_learns(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")  # the smallest tables have too few labels to learn from
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -100,6 +118,66 @@ def test_language_backs_off(spark):
     assert got == {1: "x", 2: "y", 3: "x", 4: "und"}
 
 
+def test_language_against_brute_force(spark, sf):
+    """Prediction and score of every document, from the definition."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    find = lambda t: regex.findall(r"\p{L}[\p{L}\p{M}]*", (t or "").lower())
+    held = lambda d: zlib.crc32(str(d).encode()) % 4 == 2
+    known, pieces = defaultdict(Counter), defaultdict(Counter)
+    for r in rows:
+        if not held(r["doc_id"]) and r["text"] is not None and r["lang"] is not None:
+            for w in find(r["text"]):
+                known[w][r["lang"]] += 1
+    for w, by in known.items():
+        for n in range(1, language_id.GRAM + 1):
+            for g in language_id.grams(w, n):
+                for lang, c in by.items():
+                    pieces[g][lang] += c
+    langs = sorted({lang for by in known.values() for lang in by})
+    of = lambda table, lang: sum(by[lang] for by in table.values())
+    tokens, parts = {x: of(known, x) for x in langs}, {x: of(pieces, x) for x in langs}
+    kinds = max(sum(1 for by in known.values() if by[x]) for x in langs)
+
+    def word(w, lang):
+        if w in known:
+            return np.log((known[w][lang] + 0.5) / (tokens[lang] + 0.5 * kinds))
+        w, out = f"^{w}$", []
+        for i in range(len(w)):
+            g = next((w[i : i + n] for n in range(language_id.GRAM, 0, -1) if w[i : i + n] in pieces), None)
+            if g is not None:
+                out.append(np.log((pieces[g][lang] + 0.5) / (parts[lang] + 0.5 * len(pieces))))
+        return sum(out) / len(out) if out else 0.0
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    got = {r["doc_id"]: r for r in language_id.identify(docs, model, keep=["doc_id"]).collect()}
+    assert len(got) == len(rows) and {held(r["doc_id"]) for r in rows} == {True, False}
+    memo = {}
+    for r in rows:
+        words_ = find(r["text"])
+        total = {x: np.log(tokens[x] + 1) for x in langs}
+        for w in words_:
+            if w not in memo:
+                memo[w] = [word(w, x) for x in langs]
+            for x, v in zip(langs, memo[w], strict=True):
+                total[x] += v
+        top = max(total.values())
+        share = 1 / sum(np.exp(v - top) for v in total.values())
+        mine = got[r["doc_id"]]
+        if not words_:
+            assert (mine["lang_pred"], mine["score"]) == ("und", 0.0)
+        else:
+            assert total[mine["lang_pred"]] == pytest.approx(top, abs=1e-2) and mine["score"] == pytest.approx(share, abs=1e-2)
+
+
+def test_language_words_and_ties(spark):
+    """Combining marks are part of a word; a word may be of any length; with equal evidence the language that sorts first wins."""
+    assert language_id._words("नमस्ते 3½x e\u0301t") == ["नमस्ते", "x", "e\u0301t"] and language_id._words("a" * 500) == ["a" * 500] and language_id._words("\u0301 12") == []
+    model = language_id.train(spark.createDataFrame([("aa bb", "y"), ("aa bb", "x")], "text string, lang string"))
+    got = language_id.identify(spark.createDataFrame([(1, "aa"), (2, "zz")], "doc_id long, text string"), model).collect()
+    assert {(r["lang_pred"], r["score"]) for r in got} == {("x", 0.5)}
+
+
 def test_language_counts_every_word(spark, sf, awkward, monkeypatch):
     """What does not fit in memory is looked up: a small memory gives the result of a large one."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").unionByName(awkward.select("doc_id", "text", "lang"))
