@@ -118,6 +118,20 @@ def _send(e: Entries, node: int, shift: int) -> pa.Table:
     return pa.Table.from_pylist([dict(zip(PART.names, r, strict=True)) for r in rows], PART)
 
 
+def _grouped(key: np.ndarray, rest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the keys, where each distinct one begins in it, and the place of each key among the distinct ones."""
+    order = np.argsort(key)
+    k = key[order]
+    new = np.concatenate((np.ones(min(len(k), 1), bool), k[1:] != k[:-1]))
+    if rest is not None and ((rest[order][1:] != rest[order][:-1]) & ~new[1:]).any():  # the first hash alone is not enough
+        order = np.lexsort((rest, key))
+        k, r = key[order], rest[order]
+        new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+    place = np.empty(len(key), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), place
+
+
 def _merge(parts: pa.Table, shift: int) -> tuple[Entries, list[np.ndarray]]:
     """The sum of several nodes' entries, and where each part's are in it. An entry of two nodes, or of one that has it more than once, occurs more than once."""
     rows = parts.to_pylist()
@@ -127,18 +141,10 @@ def _merge(parts: pa.Table, shift: int) -> tuple[Entries, list[np.ndarray]]:
     many = np.concatenate([_flags(r["many"], r["n"]) for r in rows])
     rest = np.concatenate([np.frombuffer(r["rest"], np.uint32) for r in rows])
     windows = len(rest) > 0
-    order = np.lexsort((rest, key)) if windows else np.argsort(key, kind="stable")
-    k = key[order]
-    new = np.concatenate(([True], k[1:] != k[:-1]))
+    order, first, place = _grouped(key, rest if windows else None)
+    out = Entries(key[order[first]], np.logical_or.reduceat(many[order], first) | (np.diff(np.append(first, len(key))) > 1))
     if windows:
-        new[1:] |= rest[order][1:] != rest[order][:-1]
-    first = np.flatnonzero(new)
-    place = np.empty(len(key), np.int64)
-    place[order] = np.cumsum(new) - 1
-    more = np.logical_or.reduceat(many[order], first) | (np.diff(np.append(first, len(key))) > 1)
-    out = Entries(k[first], more)
-    if windows:
-        out.rest = rest[order][first]
+        out.rest = rest[order[first]]
         out.lo = np.minimum.reduceat(np.concatenate([_wide(r["base"], r["lo"], r["n"]) for r in rows])[order], first)
     return out, np.split(place, np.cumsum(n)[:-1])
 
@@ -236,20 +242,15 @@ def _repeated(docs: pa.Table, replies: pa.Table, n: int, bits: int) -> tuple[Ent
         h1.append(a), h2.append(b), doc.append(ids[words.doc[at]])
     h1, h2, doc = np.concatenate(h1), np.concatenate(h2), np.concatenate(doc).astype(np.int64)
     flag, _ = _read(replies)
-    cells = _cells(h1, bits)
-    known = np.unique(np.concatenate(cells))
-    keep = np.ones(len(h1), bool)
-    for c in cells:
-        keep[keep] = flag[np.searchsorted(known, c[keep])]
+    _, _, place = _grouped(np.concatenate(_cells(h1, bits)))
+    keep = flag[place].reshape(DEPTH, -1).all(axis=0)
     a, b, d = h1[keep], h2[keep], doc[keep]
-    order = np.lexsort((d, b, a))
-    a, b, d = a[order], b[order], d[order]
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(a)) - 1 if len(first) else first
-    place = np.empty(len(a), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return Entries(a[first], d[last] > d[first], b[first], d[first]), keep, place
+    order, first, place = _grouped(a, b)
+    if not len(a):
+        return Entries(a, np.zeros(0, bool), b, d), keep, place
+    d = d[order]
+    lo = np.minimum.reduceat(d, first)
+    return Entries(a[order[first]], np.maximum.reduceat(d, first) > lo, b[order[first]], lo), keep, place
 
 
 def _candidates(n: int, layout: Layout):
