@@ -262,6 +262,44 @@ def test_vectors_that_share_an_id(spark):
         assert got[0]["score"] == pytest.approx(1 / (1 + 0.01**2) ** 0.5)
 
 
+def recall_of(spark, x, **more):
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got, hit, q = defaultdict(set), 0, range(0, len(x), 50)
+    for r in vector_search.nearest(df, F.col("vec_id") % 50 == 0, **more).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    for i in q:
+        s = n @ n[i]
+        s[i] = -9
+        hit += len(set(np.argsort(-s)[:5].tolist()) & got[i])
+    assert all(len(got[i]) == 5 for i in q)
+    return hit / 5 / len(q)
+
+
+def test_vectors_in_two_cuts_and_small_blocks(spark, monkeypatch):
+    """Leaves of a second cut, and many blocks of candidates and queries: recall against brute force."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(60, 16))
+    x = centre[rng.integers(0, 60, 3000)] + 0.5 * rng.normal(size=(3000, 16))
+    assert recall_of(spark, x) >= 0.9
+    monkeypatch.setattr(vector_search, "SAMPLE", 512)
+    monkeypatch.setattr(vector_search, "LEAF", 40)
+    monkeypatch.setattr(vector_search, "BLOCK", 16)
+    assert vector_search.parts_for(3000) == (9, 9)
+    assert recall_of(spark, x) >= 0.9
+
+
+def test_vectors_probe_until_k_are_there(spark):
+    """Few vectors, far apart: every query still gets k; with fewer others, all of them. Long vectors, and ties between different vectors, go by id."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.eye(40)[i] + 0.01 * rng.normal(size=(4, 40)) for i in range(40)])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    assert vector_search.nearest(df, F.col("vec_id") % 20 == 0, recall=0.01).groupBy("query_id").count().filter("count = 5").count() == 8
+    long = spark.createDataFrame([(i, [1.0 if j in (0, i) else 0.0 for j in range(20_000)]) for i in range(7)], "vec_id long, embedding array<double>")
+    got = vector_search.nearest(long, F.col("vec_id") == 3).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [0, 1, 2, 4, 5] and got[1]["score"] == pytest.approx(0.5)
+
+
 def test_balanced_parts():
     graph = vector_search.neighbour_graph(np.random.default_rng(1).normal(size=(300, 8)), 5)
     part = vector_search.balanced_parts(graph, 6)
