@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from pathlib import Path
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +15,18 @@ SPELLINGS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub licence", "sublicense"), ("sub license", "sublicense"),
     ("non commercial", "noncommercial"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"),
     ("favour", "favor"), ("honour", "honor"), ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("whilst", "while"),
-    ("per cent", "percent"), ("merchantability", "merchantability"), ("http", "https"),
+    ("per cent", "percent"), ("http", "https"),
 )
-COPYRIGHT = r"^[^\p{L}\p{N}]*(copyright|copr|c|©)[^\p{L}\p{N}]+([^\p{L}]*[0-9]{4}|\(c\)|©)"
-#: Further lines that no licence text is made of: the holder before the year, "The X Authors", a year to be filled in, all rights reserved.
+#: What a line holds that is no part of a licence text: a year or sign after the word "copyright", the holder before the year, "The X Authors", a year
+#: to be filled in, "all rights reserved". A line that begins with HOLDER is part of one all the same.
+_SIGN = r"[^\p{L}\p{N}\n]*"
+COPYRIGHT = rf"{_SIGN}(?:copyright|copr|c|©)[^\p{{L}}\p{{N}}\n]+(?:[^\p{{L}}\n]*[0-9]{{4}}|\(c\)|©)"
+HOLDER = rf"{_SIGN}(?:copyright|copr|\(c\)|©)[^\p{{L}}\p{{N}}\n]+(?:holders?|owners?)\b"
 NO_TEXT = (
-    r"^[^\p{L}\p{N}]*(?:(?:copyright|copr|\(c\)|©)[^\p{L}\p{N}]+(?!(?:holders?|owners?)\b)"
-    r"(?:.*\b(?:19|20)[0-9]{2}[^\p{L}]*(?:present[^\p{L}]*)?|.*\b(?:authors|contributors|developers|maintainers)[^\p{L}\p{N}]*|(?:\(?c\)[^\p{L}\p{N}]*)?(?:yyyy|year|19yy)\b.*)(?:all rights reserved[^\p{L}\p{N}]*)?"
-    r"|all rights reserved[^\p{L}\p{N}]*)$"
+    rf"{_SIGN}(?:(?:copyright|copr|\(c\)|©)[^\p{{L}}\p{{N}}\n]+"
+    r"(?:.*\b(?:19|20)[0-9]{2}[^\p{L}\n]*(?:present[^\p{L}\n]*)?|.*\b(?:authors|contributors|developers|maintainers)[^\p{L}\p{N}\n]*|(?:\(?c\)[^\p{L}\p{N}\n]*)?(?:yyyy|year|19yy)\b.*)"
+    r"(?:all rights reserved[^\p{L}\p{N}\n]*)?|all rights reserved[^\p{L}\p{N}\n]*)$"
 )
-
 _WARRANTY = (
     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
     "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
@@ -111,28 +115,56 @@ def whole_texts() -> list[tuple[str, str]]:
 
 
 def canonical_lines(text: Column) -> Column:
-    """Lines in lower case without copyright lines and "all rights reserved"; punctuation is space, spellings are equal; lines left empty are dropped."""
+    """Lines in lower case without copyright lines and "all rights reserved"; punctuation is space, spellings are equal; lines left empty are dropped.
+
+    The text goes through each step as a whole. In between, a word has a space of its own on either side.
+    """
+    x = F.lower(text)
+    x = F.regexp_replace(x, rf"(?md)^(?:{COPYRIGHT}.*|(?!{HOLDER}){NO_TEXT})", "")
+    x = F.concat(F.lit(" "), F.replace(F.regexp_replace(x, r"[^\p{L}\p{N}\n]+", "  "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
+    for a, b in SPELLINGS:
+        x = F.replace(x, F.lit(_spaced(a)), F.lit(_spaced(b)))
+    x = F.regexp_replace(x, " {2,}", " ")
+    return F.filter(F.transform(F.split(x, "\n", -1), lambda line: F.trim(line)), lambda line: line != "")
 
-    def one(line: Column) -> Column:
-        x = F.concat(F.lit(" "), F.regexp_replace(line, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-        x = F.concat(F.lit(" "), F.regexp_replace(x, "^ +| +$", ""), F.lit(" "))
-        for a, b in SPELLINGS:
-            if a != b:
-                x = F.replace(x, F.lit(f" {a} "), F.lit(f" {b} "))
-        return F.substring(x, F.lit(2), F.length(x) - 2)
 
-    lines = F.filter(F.split(F.lower(text), "\n", -1), lambda x: ~x.rlike(COPYRIGHT) & ~x.rlike(NO_TEXT))
-    return F.filter(F.transform(lines, one), lambda x: x != "")
+def _spaced(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
+
+
+def canonical(text: str) -> list[str]:
+    """As canonical_lines(), for one text on the driver."""
+    out = []
+    for line in text.lower().split("\n"):
+        if regex.match(COPYRIGHT, line) or (regex.match(NO_TEXT, line) and not regex.match(HOLDER, line)):
+            continue
+        line = f" {regex.sub(r'[^\p{L}\p{N}]+', '  ', line)} "
+        for a, b in SPELLINGS:
+            line = line.replace(_spaced(a), _spaced(b))
+        if line := " ".join(line.split()):
+            out.append(line)
+    return out
 
 
 def digest(canonical: Column) -> Column:
     return F.sha2(canonical.cast("binary"), 256)
 
 
+def digests(known: tuple[tuple[str, str], ...] | None = None) -> list[tuple[str, str]]:
+    """(digest, license) of the known texts, KNOWN and whole_texts() by default; of texts that are equal, the first."""
+    out: dict[str, str] = {}
+    for name, text in [*KNOWN, *whole_texts()] if known is None else known:
+        out.setdefault(hashlib.sha256(" ".join(canonical(text)).encode()).hexdigest(), name)
+    return list(out.items())
+
+
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
-    """(digest, license) of the known texts (KNOWN and whole_texts() by default), canonicalised by the same expressions. As small as the table that it is given."""
-    texts = spark.createDataFrame([*KNOWN, *whole_texts()] if known is None else list(known), "license string, text string")
-    return texts.select(digest(F.array_join(canonical_lines(F.col("text")), " ")).alias("digest"), "license").dropDuplicates(["digest"])
+    """digests() as a table, of one row a known text."""
+    return spark.createDataFrame(digests(known), "digest string, license string")
+
+
+#: Known digests up to which their table is broadcast.
+BROADCAST = 100_000
 
 
 def license_scan(docs: DataFrame, known: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,7 +172,7 @@ def license_scan(docs: DataFrame, known: DataFrame, *, id_col: str = "doc_id", t
 
     `license` is the known licence whose digest the whole canonical text has, else null. `notices` are the licences, in order and
     once each, of lines that are a known text as a whole, and n_notices counts those lines. `known` (digest, license) is a table
-    of one row a licence text, and is broadcast if Spark measures it as small.
+    of one row a licence text, and is broadcast if it has BROADCAST rows at most.
 
     Null or empty text, or one of copyright lines and punctuation alone: null, none, 0. Rows that share an id share what is found
     in any of them, n_notices summed. Null ids: null, none, 0. Empty table: empty result. Other columns are ignored.
@@ -149,7 +181,8 @@ def license_scan(docs: DataFrame, known: DataFrame, *, id_col: str = "doc_id", t
     whole = F.array(F.struct(F.lit(True).alias("whole"), digest(F.array_join("lines", " ")).alias("digest")))
     each = F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), digest(x).alias("digest")))
     units = lines.select("id", F.explode(F.concat(whole, each)).alias("u")).select("id", "u.whole", "u.digest")
-    hits = units.join(known.select("digest", "license"), "digest")
+    known = known.select("digest", "license")
+    hits = units.join(F.broadcast(known) if known.limit(BROADCAST + 1).count() <= BROADCAST else known, "digest")
     found = hits.groupBy("id").agg(
         F.min(F.when(F.col("whole"), F.col("license"))).alias("license"),
         F.sort_array(F.collect_set(F.when(~F.col("whole"), F.col("license")))).alias("notices"),

@@ -32,6 +32,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def quality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op1_quality_rules that SQL can express."""
+    out = quality.quality(_table(spark, sf_dir, "documents"), quality.EMPTY)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_html_extract": op9_html_extract,
     "op10_line_dedup": op10_line_dedup,
+    "quality_measures": quality_measures,
 }
 
 _WORDS = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
@@ -95,23 +102,30 @@ _WORDS = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
 
 def _canonical(text: str) -> str:
     """Canonical lines of a text, in SQL."""
-    x = r"' ' || trim(regexp_replace(l, '[^\p{L}\p{N}]+', ' ', 'g')) || ' '"
+    x = r"' ' || regexp_replace(l, '[^\p{L}\p{N}]+', '  ', 'g') || ' '"
     for a, b in license_scan.SPELLINGS:
-        if a != b:
-            x = f"replace({x}, ' {a} ', ' {b} ')"
-    lines = f"list_filter(string_split(lower({text}), chr(10)), lambda l: NOT regexp_matches(l, '{license_scan.COPYRIGHT}'))"
-    return f"list_filter(list_transform({lines}, lambda l: trim({x})), lambda l: l <> '')"
-
-
-def _quoted(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
+        x = f"replace({x}, '{license_scan._spaced(a)}', '{license_scan._spaced(b)}')"
+    match = lambda pattern: f"regexp_matches(l, '^(?:{pattern})')"
+    notice = f"{match(license_scan.COPYRIGHT)} OR ({match(license_scan.NO_TEXT)} AND NOT {match(license_scan.HOLDER)})"
+    lines = f"list_filter(string_split(lower({text}), chr(10)), lambda l: NOT ({notice}))"
+    return f"list_filter(list_transform({lines}, lambda l: trim(regexp_replace({x}, ' +', ' ', 'g'))), lambda l: l <> '')"
 
 
-_KNOWN = ",\n".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in license_scan.KNOWN)
+_KNOWN = ",\n".join(f"('{digest}', '{name}')" for digest, name in license_scan.digests())
 
 ORACLE_SQL = {
+    "quality_measures": f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("text")} AS ws FROM documents),
+t AS (SELECT doc_id, p, hash(ws[p], ws[p+1], ws[p+2]) AS k, ws[p:p+2] AS three FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM w)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, k, three) AS n FROM t) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(p, p + 3)) AS p FROM r) GROUP BY 1),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+      FROM w JOIN l USING (doc_id) LEFT JOIN c ON c.doc_id = w.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m""",
     "op3_license_scan": f"""
-WITH known AS (SELECT sha256(array_to_string({_canonical("t")}, ' ')) AS digest, min(license) AS license FROM (VALUES {_KNOWN}) k(license, t) GROUP BY 1),
+WITH known(digest, license) AS (VALUES {_KNOWN}),
 c AS (SELECT doc_id, coalesce({_canonical("text")}, []) AS ls FROM documents),
 u AS (SELECT doc_id, true AS whole, sha256(array_to_string(ls, ' ')) AS digest FROM c WHERE len(ls) > 0
       UNION ALL SELECT doc_id, false, sha256(l) FROM (SELECT doc_id, unnest(ls) AS l FROM c)),
