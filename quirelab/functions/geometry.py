@@ -89,6 +89,48 @@ def image_fit(iw: Column, ih: Column, orientation: Column, fit: Column, margin:
     return F.struct(pw.alias("page_w"), ph.alias("page_h"), (margin + (aw - w) / 2).alias("x"), (margin + (ah - h) / 2).alias("y"), w.alias("w"), h.alias("h"))
 
 
+# Slide page sizes and margins in points; a name that is not listed is A4, or no margin.
+PAGE_SIZES = {"A4": A4, "Letter": (612.0, 792.0), "Legal": (612.0, 1008.0), "A3": (841.89, 1190.55)}
+SLIDE_MARGINS = {"none": 0.0, "small": 36.0, "medium": 72.0, "large": 108.0}
+
+
+def slide_fit(size: Column, orientation: Column, margin: Column, fit: Column, w: Column, h: Column) -> Column:
+    """Page and place of a w x h slide: centred inside the margins, scaled to fit or as it is."""
+    pw, ph, m = F.lit(A4[0]), F.lit(A4[1]), F.lit(0.0)
+    for name, (a, b) in PAGE_SIZES.items():
+        pw, ph = F.when(size == name, a).otherwise(pw), F.when(size == name, b).otherwise(ph)
+    for name, points in SLIDE_MARGINS.items():
+        m = F.when(margin == name, points).otherwise(m)
+    wide = orientation == "landscape"
+    pw, ph = F.when(wide, ph).otherwise(pw), F.when(wide, pw).otherwise(ph)
+    scale = F.when(fit, F.least((pw - m * 2) / w, (ph - m * 2) / h)).otherwise(1.0)
+    box = {"page_w": pw, "page_h": ph, "x": m + (pw - m * 2 - w * scale) / 2, "y": m + (ph - m * 2 - h * scale) / 2, "w": w * scale, "h": h * scale}
+    return F.struct(*[c.alias(k) for k, c in box.items()])
+
+
+def centred(x0: Column, x1: Column, fs: Column, left: Column, right: Column) -> Column:
+    """A line clearly shorter than the space between left and right, about its middle, and indented."""
+    w = right - left
+    near = F.abs((x0 + x1) / 2 - (left + right) / 2) < F.greatest(1.5 * fs, 0.03 * w)
+    return (x1 - x0 < 0.85 * w) & near & (x0 > left + 2 * fs)
+
+
+def image_box(m: list[Column], width: Column, height: Column, least: float = 24.0) -> Column:
+    """Box on the page of the unit square under the matrix (a, b, c, d, e, f), clamped to the page; null if a side is under `least`."""
+    a, b, c, d, e, f = m
+    xs, ys = F.array(e, a + e, c + e, a + c + e), F.array(f, b + f, d + f, b + d + f)
+    x0, x1 = F.greatest(F.lit(0.0), F.array_min(xs)), F.least(width, F.array_max(xs))
+    y0, y1 = F.greatest(F.lit(0.0), F.array_min(ys)), F.least(height, F.array_max(ys))
+    return F.when((x1 - x0 >= least) & (y1 - y0 >= least), F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")))
+
+
+def distinct_boxes(boxes: Column, near: float = 1.0) -> Column:
+    """Boxes in order, without those all of whose edges lie within `near` of one that stays."""
+    same = lambda p, q: (F.abs(p["x0"] - q["x0"]) < near) & (F.abs(p["y0"] - q["y0"]) < near) & (F.abs(p["x1"] - q["x1"]) < near) & (F.abs(p["y1"] - q["y1"]) < near)
+    none = F.filter(boxes, lambda b: F.lit(False))
+    return F.aggregate(boxes, none, lambda kept, b: F.when(F.exists(kept, lambda k: same(k, b)), kept).otherwise(F.array_append(kept, b)))
+
+
 def contain(bw: Column, bh: Column, nw: Column, nh: Column) -> Column:
     """Scale and offsets that show an image whole in a box; null unless all sizes are positive."""
     s = F.least(bw / nw, bh / nh)

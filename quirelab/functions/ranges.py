@@ -82,6 +82,14 @@ def contains(ranges: Column, page: Column) -> Column:
     return F.exists(ranges, lambda r: (page >= r["start"]) & (page <= r["end"]))
 
 
+def selected_pages(mode: Column, first: Column, last: Column, total: Column) -> Column:
+    """All pages, or first..last as far as there are pages; none if a bound is missing or they are reversed."""
+    some = F.when((first <= last) & (first <= F.least(last, total)), F.sequence(first, F.least(last, total)))
+    empty = F.array().cast("array<int>")
+    whole = F.when(total > 0, F.sequence(F.lit(1), total)).otherwise(empty)
+    return F.when(mode == "all", whole).otherwise(F.coalesce(some, empty))
+
+
 def toggle(pages: Column, page: Column) -> Column:
     """The sorted page list without the page if it has it, else with it."""
     return F.when(F.array_contains(pages, page), F.filter(pages, lambda p: p != page)).otherwise(F.array_sort(F.array_append(pages, page)))

@@ -115,3 +115,21 @@ def issues(c: dict[str, Column]) -> Column:
         issue(~c["strict"] & c["tolerant"], "strict-parse-fail", "warning", "structure"), issue(~c["strict"] & ~c["tolerant"] & ~c["recoverable"], "unreadable", "critical", "structure", False),
         issue(~c["metadata"] & c["strict"], "corrupt-metadata", "info", "metadata"),
     ))
+
+
+def tail_candidates(content: Column) -> Column:
+    """Rebuilt files, as array<struct<kind, content>>: from the header (put there if the first 1024 bytes have none) to the last object's end, with a
+    fresh tail, first with the old trailer, if it names a root, less its pointers to earlier tables. None without an object's end."""
+    text = F.decode(content, "ISO-8859-1")
+    head = F.substring(text, 1, 1024)
+    before = F.regexp_extract(head, r"(?s)^(.*)%PDF-", 1)
+    body = F.when(head.contains("%PDF-"), F.substring(text, F.char_length(before) + 1, F.char_length(text))).otherwise(F.concat(F.lit("%PDF-1.7\n"), text))
+    objects = F.regexp_extract(body, r"(?s)^(.*endobj)", 1)
+    tail = F.substring(body, F.char_length(objects) - 5, F.char_length(body))
+    trailer = F.regexp_extract(tail, r"(?s)trailer\s*(<<.*?>>)\s*(?:startxref|\z)", 1)
+    fresh = F.regexp_replace(trailer, r"/(Prev|XRefStm)\s+\d+", "")
+    file = lambda kind, end: F.struct(F.lit(kind).alias("kind"), F.encode(F.concat(objects, end), "ISO-8859-1").alias("content"))
+    whole = file("rebuilt-tail", F.concat(F.lit("\ntrailer\n"), fresh, F.lit("\nstartxref\n0\n%%EOF\n")))
+    bare = file("rebuilt-tail-no-trailer", F.lit("\nstartxref\n0\n%%EOF\n"))
+    both = F.when(trailer.rlike(r"/Root\s+\d+\s+\d+\s+R"), F.array(whole, bare)).otherwise(F.array(bare))
+    return F.when(body.contains("endobj"), both).otherwise(F.filter(both, lambda c: F.lit(False)))

@@ -18,6 +18,15 @@ MARKDOWN_PAGE_WORDS = 450
 # List markers.
 BULLET = "^[•●◦▪■□–—‣⁃∙·*\\-]\\s*"
 NUMBER = r"^(\(?\d{1,2}[.)]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,4}[.)])\s+"
+# What names of bold and of italic fonts hold, whatever the case.
+BOLD_NAME = r"(?i)bold|black|heavy|semibold|demi|[-,_ ]?medi(um)?\b|[-,]bd\b|cmbx|cmb10|cmssbx|\bsb\b"
+ITALIC_NAME = r"(?i)italic|oblique|ital\b|[-,]it\b|cmti|cmmi|cmsl|cmitt|slanted"
+# Names of font families by kind, looked for in this order.
+FAMILIES = (
+    ("mono", "mono|courier|consolas|menlo|monaco"),
+    ("sans", r"sans-serif|system-ui|-apple-system|blinkmacsystemfont|segoe|helvetica|arial|inter\b"),
+    ("serif", "serif|georgia|times|merriweather|baskerville|garamond"),
+)
 
 
 @F.pandas_udf(types.StringType())
@@ -73,8 +82,8 @@ def splice(text: Column, start: Column, end: Column, prefix: str, suffix: str =
 
 
 def words(text: Column, normal: bool = True) -> Column:
-    """Lower-case words of letters and digits; dashes and soft hyphens inside words are dropped."""
-    t = F.lower(nfkc(text) if normal else text)
+    """Lower-case words of letters and digits; dashes and soft hyphens inside words are dropped. Only text that isn't all ASCII goes to Python for its normal form."""
+    t = F.lower(F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text) if normal else text)
     t = F.regexp_replace(t, r"[\u00ad\u2010-\u2015-]", "")
     return F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
@@ -95,23 +104,39 @@ def markdown_stats(text: Column) -> Column:
 
 
 def font_style(name: Column) -> Column:
+    """Whether a font's name, without the tag of a subset, says bold or italic."""
     bare = F.regexp_replace(name, "^[A-Z]{6}\\+", "")
-    return F.struct(bare.rlike("(?i)bold|black|heavy|semibold|demi").alias("bold"), bare.rlike("(?i)italic|oblique").alias("italic"))
+    return F.struct(bare.rlike(BOLD_NAME).alias("bold"), bare.rlike(ITALIC_NAME).alias("italic"))
+
+
+def font_key(family: Column, weight: Column, style: Column) -> Column:
+    """sans, serif or mono, with -b for a weight of 600 or more and i for any style but normal."""
+    kind = F.lit("sans")
+    for name, pattern in reversed(FAMILIES):
+        kind = F.when(F.lower(family).rlike(pattern), name).otherwise(kind)
+    number = F.coalesce(F.nullif(F.regexp_extract(weight, r"^\s*([+-]?\d+)", 1).try_cast("int"), F.lit(0)), F.lit(400))
+    bold, italic = (weight == "bold") | (number >= 600), style != "normal"
+    mark = F.concat(F.when(bold, F.lit("b")).otherwise(F.lit("")), F.when(italic, F.lit("i")).otherwise(F.lit("")))
+    return F.concat(kind, F.when(mark == "", F.lit("")).otherwise(F.concat(F.lit("-"), mark)))
+
+
+def list_kind(text: Column) -> Column:
+    """bullet or number by the marker that a line begins with, else null; a bullet needs more than two characters."""
+    return F.when(text.rlike(BULLET) & (F.char_length(text) > 2), "bullet").when(text.rlike(NUMBER), "number")
 
 
 def join_lines(lines: Column) -> Column:
-    """Lines of a paragraph as one text: a word hyphenated at a line's end is joined, other lines get one space."""
+    """Lines of a paragraph as one text: a word hyphenated at a line's end is joined, other lines get one space, unless the text so far is empty or ends in space.
+
+    What stands before a line depends on the line before it alone, since an empty line leaves a space behind, so lines are looked at side by side."""
+    broken = lambda first, second: first.rlike("[A-Za-z]-$") & second.rlike("^[a-z]")
 
-    def add(acc: Column, line: Column) -> Column:
-        hyphen = acc.rlike("[A-Za-z]-$") & line.rlike("^[a-z]")
-        return (
-            F.when(acc.isNull(), line)
-            .when(hyphen, F.concat(F.substring(acc, F.lit(1), F.char_length(acc) - 1), line))
-            .when(acc.rlike(r"\s$") | (acc == ""), F.concat(acc, line))
-            .otherwise(F.concat(acc, F.lit(" "), line))
-        )
+    def placed(line: Column, i: Column) -> Column:
+        before, after = F.get(lines, i - 1), F.coalesce(F.get(lines, i + 1), F.lit(""))
+        space = F.when((i == 0) | broken(before, line) | before.rlike(r"\s$") | (before == ""), "").otherwise(" ")
+        return F.concat(space, F.when(broken(line, after), F.substring(line, F.lit(1), F.char_length(line) - 1)).otherwise(line))
 
-    return F.coalesce(F.aggregate(lines, F.lit(None).cast("string"), add), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(lines, placed), ""), F.lit(""))
 
 
 def repeat_key(text: Column) -> Column:
@@ -138,10 +163,12 @@ def inline_markup(text: Column) -> Column:
 
 
 def color(css: Column) -> Column:
-    """rgb() or rgba() as parts from 0 to 1; null for anything else."""
-    pattern = r"^rgba?\(\s*([\d.]+)[,\s]+([\d.]+)[,\s]+([\d.]+)(?:[,/\s]+([\d.]+))?\s*\)"
+    """rgb() or rgba() as parts from 0 to 1, opacity as a number or in percent; null for anything else."""
+    pattern = r"rgba?\(\s*([\d.]+)[,\s]+([\d.]+)[,\s]+([\d.]+)(?:\s*[,/]\s*([\d.]+%?))?\s*\)"
     part = lambda i: F.regexp_extract(css, pattern, i).try_cast("double")
-    return F.when(css.rlike(pattern), F.struct((part(1) / 255).alias("r"), (part(2) / 255).alias("g"), (part(3) / 255).alias("b"), F.coalesce(part(4), F.lit(1.0)).alias("a")))
+    alpha = F.regexp_extract(css, pattern, 4)
+    share = F.regexp_replace(alpha, "%$", "").try_cast("double") / F.when(alpha.endswith("%"), 100.0).otherwise(1.0)
+    return F.when(css.rlike(pattern), F.struct((part(1) / 255).alias("r"), (part(2) / 255).alias("g"), (part(3) / 255).alias("b"), F.when(alpha == "", 1.0).otherwise(share).alias("a")))
 
 
 def hex_color(code: Column) -> Column:
@@ -153,7 +180,8 @@ def hex_color(code: Column) -> Column:
 
 
 def blend(c: Column, a: Column, backdrop: Column) -> Column:
-    """A colour of opacity a over a backdrop."""
+    """A colour of opacity a, held within 0 and 1, over a backdrop."""
+    a = F.greatest(F.lit(0.0), F.least(F.lit(1.0), a))
     return F.struct(*[(c[k] * a + backdrop[k] * (1 - a)).alias(k) for k in "rgb"])
 
 
@@ -176,10 +204,16 @@ def roman(n: Column) -> Column:
 
 
 def alpha(n: Column) -> Column:
-    """a..z, aa.. : numerals without zero, for n up to 18278 (three letters)."""
-    letter = lambda x: F.chr((x % 26 + 97).cast("long"))
-    two, three = F.floor((n - 27) / 26), F.floor((n - 703) / 676)
-    return F.when(n < 1, "").otherwise(F.concat(F.when(n > 702, letter(three)).otherwise(""), F.when(n > 26, letter(two)).otherwise(""), letter(n - 1)))
+    """a..z, aa.. : numerals without zero, of any length; empty below 1."""
+
+    def step(acc: Column, _: Column) -> Column:
+        left = acc["left"] - 1
+        letter = F.chr(F.pmod(left, F.lit(26)) + 97)
+        more = F.struct(F.call_function("div", left, F.lit(26)).alias("left"), F.concat(letter, acc["out"]).alias("out"))
+        return F.when(acc["left"] > 0, more).otherwise(acc)
+
+    start = F.struct(n.cast("long").alias("left"), F.lit("").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda acc: acc["out"])  # 26^14 is beyond a long
 
 
 def blocked_url(url: Column) -> Column:
@@ -188,24 +222,41 @@ def blocked_url(url: Column) -> Column:
     return u.contains("ads") | u.contains("doubleclick") | u.contains("googlesyndication") | u.contains("analytics")
 
 
-TOKEN = re.compile(r"(?P<comment>//[^\n]*|/\*.*?\*/|#[^\n]*)|(?P<string>\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`)|(?P<number>\b\d+(?:\.\d+)?\b)|(?P<word>[A-Za-z_]\w*)(?P<call>(?=\s*\())?", re.S)
+# Words of programming languages.
+KEYWORDS = (
+    "const let var function return if else for while import export from class async await def public private protected interface type struct new try catch finally throw switch case break continue default void"
+    " package func select defer go match impl trait fn mut val lambda enum extends implements static readonly as in of yield"
+)
+CONSTANTS = "true false null undefined nil None self this super"
+
+
+def code_pattern(keywords: str = KEYWORDS, constants: str = CONSTANTS) -> re.Pattern:
+    """One alternative for each kind of token, in the order in which they are tried."""
+    any_of = lambda names: "|".join(map(re.escape, names.split()))
+    kinds = {
+        "comment": r"//[^\n]*|/\*.*?\*/|#[^\n]*|<!--.*?-->",
+        "string": r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`[^`]*`",
+        "number": r"\b(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\b",
+        "keyword": rf"\b(?:{any_of(keywords)})\b",
+        "boolean": rf"\b(?:{any_of(constants)})\b",
+        "function": r"\b[A-Za-z_$][\w$]*(?=\s*\()",
+    }
+    return re.compile("|".join(f"(?P<{k}>{p})" for k, p in kinds.items()), re.S | re.A)
 
 
-def code_tokens(keywords: frozenset[str]):
-    """A vectorised function from source text to (kind, text) tokens: comments, strings, numbers, keywords, booleans, calls."""
+def code_tokens(keywords: str = KEYWORDS, constants: str = CONSTANTS):
+    """A vectorised function from source text to (kind, text) tokens: comments, strings, numbers, keywords, constants, calls."""
+    pattern = code_pattern(keywords, constants)
 
     @F.pandas_udf(types.ArrayType(types.StructType([types.StructField("kind", types.StringType()), types.StructField("text", types.StringType())])))
     def tokens(s: pd.Series) -> pd.Series:
-        def one(code: str) -> list[dict[str, str]]:
-            out = []
-            for m in TOKEN.finditer(code):
-                kind, text = m.lastgroup, m.group(0)
-                if kind in ("word", "call"):
-                    kind = "boolean" if text in ("true", "false", "null", "None", "True", "False") else "keyword" if text in keywords else "function" if m.group("call") is not None else ""
-                if kind:
-                    out.append({"kind": kind, "text": text})
-            return out
-
-        return s.map(one, na_action="ignore")
+        return s.map(lambda code: [{"kind": m.lastgroup, "text": m.group()} for m in pattern.finditer(code)], na_action="ignore")
 
     return tokens
+
+
+def shown_text(text: Column, covered: str) -> Column:
+    """Text for a font that covers the characters of the class `covered`: marks and joiners that stray go, other uncovered characters become ?, white space but line ends spaces."""
+    t = F.regexp_replace(text, r"[^\S\n]|\u00a0|\ufeff", " ")
+    t = F.regexp_replace(t, rf"(?![{covered}\n ])[\p{{M}}\u200c\u200d]", "")
+    return F.regexp_replace(t, rf"(?![{covered}\n ])(?s:.)", "?")

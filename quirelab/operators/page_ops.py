@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from quirelab.functions import ranges as R
 
@@ -118,12 +120,49 @@ def append_capped(files: DataFrame, most: int = 20) -> DataFrame:
     return files.filter(F.col("file_seq").isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy("job_id").orderBy("file_seq"))).filter(F.col("_n") <= most).drop("_n")
 
 
+@F.pandas_udf(types.ArrayType(types.StringType()))
+def _told_apart(names: pd.Series) -> pd.Series:
+    """Names of one archive in order, each made different from all before it by the first number from 2 that does."""
+
+    def one(own: list[str]) -> list[str]:
+        taken: dict[str, int] = {}
+        out = []
+        for name in own:
+            stem, dot, end = name.rpartition(".") if "." in name else (name, "", "")
+            new = name
+            while new in taken:
+                taken[name] += 1
+                new = f"{stem} ({taken[name]}){dot}{end}"
+            taken[new] = 1
+            out.append(new)
+        return out
+
+    return names.map(one)
+
+
 def unique_names(files: DataFrame) -> DataFrame:
-    """Names of one archive: the n-th file of a name gets ` (n)` before its extension. A literal name of that form is not looked for."""
-    n = F.row_number().over(Window.partitionBy("job_id", "name").orderBy("file_seq"))
-    ext = F.regexp_extract("name", r"(\.[^.]*)$", 1)
-    stem = F.expr("substring(name, 1, length(name) - length(regexp_extract(name, '([.][^.]*)$', 1)))")
-    return files.withColumn("_n", n).withColumn("unique_name", F.when(F.col("_n") == 1, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), ext))).drop("_n")
+    """files (job_id, file_seq, name, ...) with `unique_name`: a name that its archive has already gets ` (n)` before its extension, n the first from 2 that no earlier
+    file has, be it by its own name. Equal file_seq: ties by name. An archive is one list of names."""
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy("file_seq", "name"))
+    rows = files.withColumn("_place", place)
+    lists = rows.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("_place", "name"))).alias("l")).select("job_id", F.posexplode(_told_apart(F.transform("l", lambda x: x["name"]))).alias("_place", "unique_name"))
+    return rows.join(lists.withColumn("_place", F.col("_place") + 1), ["job_id", "_place"]).drop("_place")
+
+
+def missing_contents(refs: DataFrame, objects: DataFrame) -> DataFrame:
+    """(doc_id, page_no) of pages that refer (doc_id, page_no, ref) to an object that the document (doc_id, ref) does not have."""
+    return refs.join(objects.select("doc_id", "ref").distinct(), ["doc_id", "ref"], "left_anti").select("doc_id", "page_no").distinct()
+
+
+def clean_pieces(pieces: DataFrame) -> DataFrame:
+    """Pieces (doc_id, page_no, piece_no, raw, x, y, w, fs): blank ones and those of half a point or less go, spaces around the text too, with their share of the box; of doubles the first stays."""
+    edge = r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+$"
+    text = F.regexp_replace("raw", edge, "")
+    lead = F.char_length("raw") - F.char_length(F.regexp_replace("raw", r"^[\s\u00a0\ufeff]+", ""))
+    each = F.col("w") / F.char_length("raw")
+    shown = pieces.filter((F.col("fs") > 0.5) & (text != "")).withColumn("str", text)
+    shown = shown.withColumn("x", F.col("x") + lead * each).withColumn("w", F.greatest(F.lit(0.1), F.col("w") - (F.char_length("raw") - F.char_length("str")) * each))
+    return dedup_pieces(shown.drop("raw"))
 
 
 def dedup_pieces(pieces: DataFrame) -> DataFrame:

@@ -22,14 +22,21 @@ def repeated_lines(lines: DataFrame, least: int = 3) -> DataFrame:
     return keyed.groupBy("doc_id", "line_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
+#: Runs of references up to which they are broadcast.
+BROADCAST = 1_000_000
+
+
 def run_pairs(ref: DataFrame, out: DataFrame, run: int = 12) -> DataFrame:
     """(ref_id, out_id) of word lists that share a run of `run` words; each list is (id, words).
 
-    A run that a third of all texts have would pair every reference with all of them; references are a stated, small set, and
-    the distinct runs of each side meet in one equi-join.
+    Runs meet by two 64-bit hashes. References are a stated set; their runs are broadcast if they are BROADCAST at most, so that none of the
+    other side's travel, and pairs are told apart before they do. A run that all texts share pairs each reference that has it with all of them, since these are pairs.
     """
-    grams = lambda d, name: d.select(F.col("id").alias(name), F.explode(F.array_distinct(_runs(F.col("words"), run))).alias("run"))
-    return grams(ref, "ref_id").join(grams(out, "out_id"), "run").select("ref_id", "out_id").distinct()
+    both = lambda r: F.struct(F.xxhash64(r).alias("a"), F.xxhash64(r, F.lit(1)).alias("b"))
+    grams = lambda d, name: d.select(F.col("id").alias(name), F.explode(F.array_distinct(F.transform(_runs(F.col("words"), run), both))).alias("run"))
+    known = grams(ref, "ref_id")
+    few = known.limit(BROADCAST + 1).count() <= BROADCAST
+    return grams(out, "out_id").join(F.broadcast(known) if few else known, "run").select("ref_id", "out_id").distinct()
 
 
 def _runs(words: Column, run: int) -> Column:
@@ -144,3 +151,17 @@ def wrap_mono(text: pd.Series, columns: pd.Series) -> pd.Series:
         return [*lines, line.rstrip()]
 
     return pd.Series([one(t, int(n)) if t is not None else None for t, n in zip(text, columns, strict=True)])
+
+
+def without_blank_end(lines: DataFrame) -> DataFrame:
+    """Lines (doc_id, line_no, k, line) up to each document's last one that isn't blank."""
+    last = F.max(F.when(F.col("line") != "", F.struct("line_no", "k"))).over(Window.partitionBy("doc_id"))
+    return lines.withColumn("_last", last).filter(F.struct("line_no", "k") <= F.col("_last")).drop("_last")
+
+
+def rank_of(rows: DataFrame, by: str, value: str, p: float) -> DataFrame:
+    """(by, value): the percentile of each group by nearest rank, from counts of distinct values, so that no group's rows come together."""
+    counts = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("_rows"))
+    w = Window.partitionBy(by)
+    counts = counts.withColumn("_upto", F.sum("_rows").over(w.orderBy(value))).withColumn("_all", F.sum("_rows").over(w))
+    return counts.filter(F.col("_upto") > F.floor(F.lit(p) * (F.col("_all") - 1) + 0.5)).groupBy(by).agg(F.min(value).alias(value))

@@ -12,6 +12,7 @@ from quirelab.operators import page_ops as P
 from quirelab.sources import tables as T
 
 SPLIT, EXTRACT = "1-2, 4", "2-3, 1, 3"
+ZIP_NAMES = ("a (2).pdf", "a.pdf", "a.pdf", "b", "x.tar.gz", "b")
 
 
 def _docs(pages: DataFrame, spec: str) -> DataFrame:
@@ -112,7 +113,7 @@ def rotate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zip_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = T.pages(spark, sf_dir).select(F.col("doc_id").alias("job_id"), F.col("page_no").alias("file_seq"), F.concat("role", F.when(F.col("page_no") % 3 == 0, "").otherwise(".x.pdf")).alias("name"))
+    files = T.pages(spark, sf_dir).select(F.col("doc_id").alias("job_id"), F.col("page_no").alias("file_seq"), F.element_at(F.array(*map(F.lit, ZIP_NAMES)), (F.col("page_no") % len(ZIP_NAMES) + 1).cast("int")).alias("name"))
     return P.unique_names(files).select("job_id", "file_seq", "unique_name")
 
 
@@ -238,9 +239,10 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS out_page, t
 u AS (SELECT doc_id, page_no, 'original' AS type, 0 AS k FROM p UNION ALL SELECT doc_id, page_no, 'blank', 1 FROM b)
 SELECT doc_id, page_no, type, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, k) AS new_seq FROM u""",
     "rotate_pages": f"WITH {_P} SELECT doc_id, page_no, (((page_no % 4) * 90 + CASE page_no WHEN 1 THEN 360 WHEN 3 THEN 180 ELSE 0 END) % 360)::INT AS rotation FROM p",
-    "zip_names": f"""WITH {_P}, f AS (SELECT doc_id, page_no, role AS stem, CASE WHEN page_no % 3 = 0 THEN '' ELSE '.x.pdf' END AS tail FROM p),
-g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, stem, tail ORDER BY page_no) AS k FROM f)
-SELECT doc_id AS job_id, page_no AS file_seq, CASE WHEN k = 1 THEN stem || tail WHEN tail = '' THEN stem || ' (' || k || ')' ELSE stem || '.x (' || k || ').pdf' END AS unique_name FROM g""",
+    "zip_names": r"""WITH RECURSIVE f AS (SELECT conv_id AS job_id, (turn + 1)::INT AS file_seq, ['a (2).pdf', 'a.pdf', 'a.pdf', 'b', 'x.tar.gz', 'b'][(turn + 1) % 6 + 1] AS name FROM conversations),
+r(job_id, file_seq, used, unique_name) AS (SELECT DISTINCT job_id, 0, []::VARCHAR[], NULL::VARCHAR FROM f UNION ALL SELECT job_id, file_seq, list_append(used, u), u FROM (SELECT f.job_id, f.file_seq, r.used,
+  CASE WHEN list_contains(r.used, f.name) THEN list_filter(list_transform(range(2, 99), lambda n: regexp_replace(f.name, '(\.[^.]*)?$', ' (' || n || ')\1')), lambda c: NOT list_contains(r.used, c))[1] ELSE f.name END AS u FROM r JOIN f ON f.job_id = r.job_id AND f.file_seq = r.file_seq + 1))
+SELECT job_id, file_seq, unique_name FROM r WHERE file_seq > 0""",
     "page_labels": f"""WITH {_P}, l AS (SELECT doc_id, page_no, (page_no + 8) || ' of 4, ' || (page_no + 8) AS label, ['tl', 'mc', 'br'][page_no % 3 + 1] AS raw,
   [18.0, 36.0, 54.0, 36.0][page_no % 4 + 1]::DOUBLE AS m, CASE WHEN doc_id % 2 = 0 THEN page_no % 2 = 0 ELSE page_no % 2 = 1 END AS is_left FROM p WHERE page_no BETWEEN 2 AND 5),
 s AS (SELECT *, CASE WHEN is_left THEN raw[1] || translate(raw[2], 'lr', 'rl') ELSE raw END AS spot, length(label) * 12.0::DOUBLE * 0.6::DOUBLE AS w FROM l)

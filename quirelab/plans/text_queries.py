@@ -24,7 +24,7 @@ def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = O.word_rows(T.table(spark, sf_dir, "documents"), F.col("text"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs")).filter("n >= 3")
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,9 +32,10 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = T.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("h"), "url")
+    p = T.table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("h"), "url")
     plain = X.decode_entities(F.col("h"))
-    return p.select("page_id", plain.alias("heading"), X.escape_html(plain).alias("escaped"), X.url_with_scheme(F.regexp_replace("url", "^http://", " ")).alias("url"), X.blocked_url(F.col("url")).alias("blocked"), X.is_rtl(F.col("h")).alias("rtl"))
+    digest = lambda c: F.md5(c.cast("binary"))
+    return p.select("page_id", digest(plain).alias("plain_md5"), digest(X.escape_html(plain)).alias("escaped_md5"), X.url_with_scheme(F.regexp_replace("url", "^http://", " ")).alias("url"), X.blocked_url(F.col("url")).alias("blocked"), X.is_rtl(F.col("h")).alias("rtl"))
 
 
 def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,28 +52,30 @@ def inline_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (F.col("doc_id") % 3999 + 1).cast("int")
-    return T.table(spark, sf_dir, "documents").select("doc_id", X.roman(n).alias("roman"), X.alpha(n).alias("alpha"))
+    return T.table(spark, sf_dir, "documents").select("doc_id", X.roman(n).alias("roman"), X.alpha(F.col("doc_id") * 97).alias("alpha"))
 
 
-def _word_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ref = T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), X.words(F.col("text")).alias("words"))
-    out = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.words(F.col("text")).alias("words"))
-    return ref, out
+def _compared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of benchmark items and documents that share five words, and the word lists of those alone."""
+    lists = lambda d: d.select("id", X.words(F.col("text")).alias("words"))
+    ref = T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    out = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    pairs = O.run_pairs(lists(ref), lists(out), 5).persist()  # made anew where an executor is lost
+    only = lambda d, key: lists(d.join(pairs.select(F.col(key).alias("id")).distinct(), "id", "left_semi"))
+    return pairs, only(ref, "ref_id"), only(out, "out_id")
 
 
 def multiset_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref, out = _word_lists(spark, sf_dir)
-    return O.multiset_recall(O.run_pairs(ref, out, 5), ref, out)
+    return O.multiset_recall(*_compared(spark, sf_dir))
 
 
 def run_coverage_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref, out = _word_lists(spark, sf_dir)
-    return O.run_coverage(O.run_pairs(ref, out, 5), ref, out, RUN)
+    return O.run_coverage(*_compared(spark, sf_dir), RUN)
 
 
 def ordered_recall_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref, out = _word_lists(spark, sf_dir)
-    pairs = O.run_pairs(ref, out, 5).join(ref.select(F.col("id").alias("ref_id"), F.col("words").alias("rw")), "ref_id").join(out.select(F.col("id").alias("out_id"), F.col("words").alias("ow")), "out_id")
+    pairs, ref, out = _compared(spark, sf_dir)
+    pairs = pairs.join(ref.select(F.col("id").alias("ref_id"), F.col("words").alias("rw")), "ref_id").join(out.select(F.col("id").alias("out_id"), F.col("words").alias("ow")), "out_id")
     return pairs.select("ref_id", "out_id", O.ordered_recall("rw", "ow").alias("recall"))
 
 
@@ -145,15 +148,18 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T.pages(spark, sf_dir).select("doc_id", "page_no", F.char_length("text").cast("double").alias("n"), "text", (F.char_length("text") % 101).alias("confidence"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "text"))), lambda r: F.concat(F.lit("--- Page "), r["page_no"].cast("string"), F.lit(" ---\n"), r["text"])), "\n\n")
-    return p.groupBy("doc_id").agg(
-        F.coalesce(F.percentile("n", 0.5), F.lit(0.0)).alias("median"), O.nearest_rank(F.collect_list("n"), 0.9).alias("p90"),
-        F.coalesce(S.half_up(F.avg("confidence")), F.lit(0)).cast("int").alias("mean_confidence"), F.md5(joined.cast("binary")).alias("joined_md5"),
-    )
+    stats = p.groupBy("doc_id").agg(F.coalesce(F.percentile("n", 0.5), F.lit(0.0)).alias("median"), F.coalesce(S.half_up(F.avg("confidence")), F.lit(0)).cast("int").alias("mean_confidence"))
+    return stats.join(O.rank_of(p, "doc_id", "n", 0.9).withColumnRenamed("n", "p90"), "doc_id")
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of a document's joined text, in order, each under its header."""
+    shown = F.concat(F.lit("--- Page "), F.col("page_no").cast("string"), F.lit(" ---\n"), "text")
+    return T.pages(spark, sf_dir).select("doc_id", "page_no", F.md5(shown.cast("binary")).alias("text_md5"))
 
 
 def wrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = T.lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode(O.wrap_mono("line", F.lit(80))).alias("k", "line"))
+    lines = O.without_blank_end(T.lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode(O.wrap_mono("line", F.lit(80))).alias("k", "line")))
     at = F.row_number().over(L.document_order("doc_id", "line_no", "k")) - 1
     return lines.select("doc_id", "line_no", "k", "line", (F.floor(at / 54) + 1).cast("int").alias("page_no"))
 
@@ -192,7 +198,7 @@ def paginated(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     ocr_pieces, scanned_pages, markdown_blocks, paginated, text_stats, word_counts, repeated_lines, clean_text, joined_lines, inline_markup, numerals, multiset_recall, run_coverage_12, ordered_recall_lcs, word_search, phrase_search,
     recent_items, favourite_items, best_candidate, related_documents, keyword_search, categories_first_seen, weighted_mode, layout_rows, layout_fragments, headings,
-    page_statistics, wrap_lines,
+    page_statistics, page_texts, wrap_lines,
 )}
 
 _WORDS = r"list_filter(string_split_regex(regexp_replace(lower({}), '[\x{{ad}}\x{{2010}}-\x{{2015}}-]', '', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
@@ -232,20 +238,22 @@ i AS (SELECT *, CASE kind WHEN 'h2' THEN substr(whole, 4) WHEN 'h3' THEN substr(
 SELECT doc_id, min(n) AS first_line, CASE WHEN any_value(kind) = 'list' THEN CASE WHEN regexp_matches(arg_min(line, n), '^[-*]') THEN 'ul' ELSE 'ol' END ELSE any_value(kind) END AS kind, string_agg(item, '¦' ORDER BY n) AS items FROM i GROUP BY doc_id, b""",
     "text_stats": r"""WITH s AS (SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '[^\s\x{a0}\x{feff}\x0b]+')) AS words, len(string_split(text, chr(10))) AS lines FROM documents)
 SELECT doc_id, chars, words, CASE WHEN words = 0 THEN 0 ELSE greatest(1, ceil(chars / 1650.0::DOUBLE)) END::BIGINT AS pages, lines, greatest(1, ceil(words / 450.0::DOUBLE))::BIGINT AS markdown_pages FROM s""",
-    "word_counts": f"SELECT w AS word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS w FROM documents) GROUP BY 1 HAVING count(*) >= 3",
+    "word_counts": f"SELECT w AS word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS w FROM documents) GROUP BY 1",
     "repeated_lines": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 k AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '#', 'g'), '[\s\x{a0}\x{feff}]+', ' ', 'g')) AS line_key FROM l)
 SELECT doc_id, line_key, count(*) AS n FROM k WHERE line_key <> '' GROUP BY 1, 2 HAVING count(*) >= 3""",
-    "clean_text": r"""WITH p AS (SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS h, url FROM pages),
+    "clean_text": r"""WITH p AS (SELECT page_id, html AS h, url FROM pages),
 d AS (SELECT *, replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') AS t FROM p)
-SELECT page_id, t AS heading, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped,
+SELECT page_id, md5(t) AS plain_md5, md5(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS escaped_md5,
   CASE WHEN url LIKE 'https://%' THEN url ELSE 'https://' || substr(url, 8) END AS url, (lower(url) LIKE '%ads%' OR lower(url) LIKE '%doubleclick%' OR lower(url) LIKE '%googlesyndication%' OR lower(url) LIKE '%analytics%') AS blocked,
   coalesce(regexp_matches(regexp_extract(h, '\p{L}'), '\p{Arabic}'), false) AS rtl FROM d""",
+    "joined_lines": r"""SELECT doc_id, md5(list_reduce(string_split(regexp_replace(text, '([a-z]{4})([a-z]{3})', '\1-' || chr(10) || '\2', 'g'), chr(10)), lambda a, l: CASE WHEN regexp_matches(right(a, 2), '[A-Za-z]-$') AND regexp_matches(l, '^[a-z]')
+  THEN left(a, length(a) - 1) || l WHEN a = '' OR regexp_matches(right(a, 1), '[\s\x0b]$') THEN a || l ELSE a || ' ' || l END)) AS joined_md5 FROM documents""",
     "inline_markup": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(translate(text, '*`[', '___'), '([a-z]{9,})', '<strong>\1</strong>', 'g'), ' (the|de) ', ' <code>\1</code> ', 'g')) AS html_md5 FROM documents""",
     "numerals": """WITH d AS (SELECT doc_id, (doc_id % 3999 + 1)::BIGINT AS n FROM documents)
 SELECT doc_id, repeat('M', n // 1000) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][n // 100 % 10 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][n // 10 % 10 + 1]
   || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10 + 1] AS roman,
-  CASE WHEN n > 702 THEN chr((97 + (n - 703) // 676 % 26)::INT) ELSE '' END || CASE WHEN n > 26 THEN chr((97 + (n - 27) // 26 % 26)::INT) ELSE '' END || chr((97 + (n - 1) % 26)::INT) AS alpha FROM d""",
+  (WITH RECURSIVE a(left_, out_) AS (SELECT doc_id * 97, '' UNION ALL SELECT (left_ - 1) // 26, chr((97 + (left_ - 1) % 26)::INT) || out_ FROM a WHERE left_ > 0) SELECT out_ FROM a WHERE left_ = 0) AS alpha FROM d""",
     "multiset_recall": f"WITH {_LISTS} SELECT * FROM bag",
     "run_coverage_12": f"""WITH {_LISTS},
 rg AS (SELECT id, len(ws) AS n, unnest(range(1, len(ws) - 10)) AS p, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i+11], ' '))) AS g FROM r WHERE len(ws) >= 12),
@@ -289,7 +297,7 @@ v AS (SELECT *, bool_or(short AND fs >= body * 1.15::DOUBLE) OVER (PARTITION BY
 l AS (SELECT *, CASE WHEN short AND fs >= body * 1.15::DOUBLE THEN 1 WHEN bold AND short AND words <= 14 AND fs >= body * 0.95::DOUBLE AND NOT regexp_matches(shown, '[.,;:]$') THEN CASE WHEN larger THEN 2 ELSE 1 END ELSE 0 END AS level FROM v)
 SELECT doc_id, page_no::INT AS page_no, row_no, shown AS text, fs AS size, level FROM l WHERE level > 0""",
     "page_statistics": """WITH p AS (SELECT conv_id AS doc_id, turn + 1 AS page_no, text, length(text)::DOUBLE AS n FROM conversations),
-g AS (SELECT doc_id, quantile_cont(n, 0.5) AS median, list(n ORDER BY n) AS l, floor(avg(n::BIGINT % 101) + 0.5)::INT AS mean_confidence,
-  md5(string_agg('--- Page ' || page_no || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY page_no)) AS joined_md5 FROM p GROUP BY 1)
-SELECT doc_id, median, l[least(len(l) - 1, greatest(0, floor(0.9::DOUBLE * (len(l) - 1) + 0.5)))::INT + 1] AS p90, mean_confidence, joined_md5 FROM g""",
+g AS (SELECT doc_id, quantile_cont(n, 0.5) AS median, list(n ORDER BY n) AS l, floor(avg(n::BIGINT % 101) + 0.5)::INT AS mean_confidence FROM p GROUP BY 1)
+SELECT doc_id, median, l[least(len(l) - 1, greatest(0, floor(0.9::DOUBLE * (len(l) - 1) + 0.5)))::INT + 1] AS p90, mean_confidence FROM g""",
+    "page_texts": """SELECT conv_id AS doc_id, (turn + 1)::INT AS page_no, md5('--- Page ' || turn + 1 || ' ---' || chr(10) || text) AS text_md5 FROM conversations""",
 }

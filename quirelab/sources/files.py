@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from xml.etree import ElementTree
 
@@ -24,19 +25,41 @@ def _names(content: bytes) -> list[str]:
     return [s.attrib["name"] for s in root.iter() if s.tag.rpartition("}")[2] == "sheet"]
 
 
-def _paragraphs(content: bytes) -> list[str]:
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        root = ElementTree.fromstring(z.read("word/document.xml"))
-    local = lambda e: e.tag.rpartition("}")[2]
-    return ["".join(t.text or "" for t in p.iter() if local(t) == "t") for p in root.iter() if local(p) == "p"]
+def _local(e: ElementTree.Element) -> str:
+    return e.tag.rpartition("}")[2]
+
+
+def _value(e: ElementTree.Element) -> str | None:
+    return next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == "val"), None)
 
 
-def _tolerant(read):
-    def one(content: bytes | None) -> list[str]:
+def _text(p: ElementTree.Element) -> str:
+    return "".join(t.text or "" if _local(t) == "t" else " " for t in p.iter() if _local(t) in ("t", "tab", "br"))
+
+
+def _docx(content: bytes) -> dict:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = next(e for e in ElementTree.fromstring(z.read("word/document.xml")).iter() if _local(e) == "body")
+    page, paragraphs, styles, tables = 1, [], [], []
+    for e in body.iter():
+        kind = _local(e)
+        if kind == "p":
+            page += any(_local(x) == "pageBreakBefore" and _value(x) in (None, "true", "1", "on") for x in e.iter())
+            paragraphs.append({"page": page, "text": _text(e)})
+        elif kind == "pStyle" and re.fullmatch(r"Heading\d|Title", _value(e) or ""):
+            styles.append(_value(e))
+        elif kind == "tbl":
+            rows = [r for r in e.iter() if _local(r) == "tr"]
+            tables.append({"rows": len(rows), "columns": max((sum(_local(c) == "tc" for c in r.iter()) for r in rows), default=0)})
+    return {"paragraphs": paragraphs, "headings": styles, "tables": tables}
+
+
+def _tolerant(read, otherwise):
+    def one(content: bytes | None):
         try:
-            return read(content) if content else []
-        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, OSError):
-            return []
+            return read(content) if content else otherwise
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, OSError, StopIteration):
+            return otherwise
 
     return one
 
@@ -44,13 +67,23 @@ def _tolerant(read):
 @F.pandas_udf(types.ArrayType(types.StringType()))
 def sheet_names(content: pd.Series) -> pd.Series:
     """Sheet names of a workbook; an empty list for anything that can't be read as one."""
-    return content.map(_tolerant(_names))
+    return content.map(_tolerant(_names, []))
 
 
-@F.pandas_udf(types.ArrayType(types.StringType()))
-def docx_paragraphs(content: pd.Series) -> pd.Series:
-    """Paragraph texts of a word-processor file; an empty list for anything that can't be read as one."""
-    return content.map(_tolerant(_paragraphs))
+def _struct(**fields: types.DataType) -> types.StructType:
+    return types.StructType([types.StructField(k, t) for k, t in fields.items()])
+
+
+DOCX = _struct(
+    paragraphs=types.ArrayType(_struct(page=types.IntegerType(), text=types.StringType())), headings=types.ArrayType(types.StringType()),
+    tables=types.ArrayType(_struct(rows=types.IntegerType(), columns=types.IntegerType())),
+)
+
+
+@F.pandas_udf(DOCX)
+def docx_scan(content: pd.Series) -> pd.DataFrame:
+    """Paragraphs of a word-processor file with the page that they stand on by page breaks before paragraphs, styles of its headings, and sizes of its tables; empty lists for anything that can't be read as one."""
+    return pd.DataFrame([_tolerant(_docx, {"paragraphs": [], "headings": [], "tables": []})(c) for c in content], columns=["paragraphs", "headings", "tables"])
 
 
 def keep_sheets(sheets: DataFrame, chosen: DataFrame) -> DataFrame:

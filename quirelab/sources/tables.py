@@ -39,7 +39,7 @@ def mono_pieces(rows: DataFrame, size: float = 12.0, margin: float = 72.0) -> Da
     before = Window.partitionBy("doc_id", "line_no").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     out = words.withColumn("col", F.coalesce(F.sum(n + 1).over(before), F.lit(0))).filter(n > 0)
     return out.select(
-        "doc_id", (F.floor(F.col("line_no") / 60) + 1).cast("int").alias("page_no"), (F.col("line_no") * 10000 + F.col("k")).alias("piece_no"), "line_no", "str",
+        "doc_id", (F.floor(F.col("line_no") / 60) + 1).cast("int").alias("page_no"), (F.col("line_no").cast("long") * (1 << 32) + F.col("k")).alias("piece_no"), "line_no", "str",
         (F.lit(margin) + F.col("col") * F.col("fs") * 0.6).alias("x"), (F.lit(margin) + (F.col("line_no") % 60) * size * 1.2).alias("y"),
         (n * F.col("fs") * 0.6).alias("w"), "fs", "bold",
     )

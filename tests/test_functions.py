@@ -1,6 +1,7 @@
 """Expressions against hand-made cases."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -13,6 +14,7 @@ from quirelab.functions import ranges as R
 from quirelab.functions import scores as S
 from quirelab.functions import text as X
 from quirelab.operators import catalog_ops as C
+from quirelab.operators import layout_ops as L
 from quirelab.operators import page_ops as P
 from quirelab.operators import text_ops as O
 from quirelab.sources import files
@@ -102,7 +104,7 @@ def test_text(spark):
     assert value(spark, X.color(F.lit("rgba(255, 0, 0, 0.5)")))["a"] == 0.5 and value(spark, X.color(F.lit("red"))) is None
     assert value(spark, X.splice(F.lit("abcd"), F.lit(1), F.lit(3), "**", "**")) == "a**bc**d"
     assert value(spark, X.pdf_name(F.lit("a.MD"), F.lit("t"))) == "a.pdf" and value(spark, X.pdf_name(F.lit(None).cast("string"), F.lit("My Doc"))) == "my_doc.pdf"
-    assert [t["kind"] for t in value(spark, X.code_tokens(frozenset({"if"}))(F.lit("if f(1) # x\n 'a'")))] == ["keyword", "function", "number", "comment", "string"]
+    assert [t["kind"] for t in value(spark, X.code_tokens("if")(F.lit("if f(1) # x\n 'a'")))] == ["keyword", "function", "number", "comment", "string"]
 
 
 def test_joined_lines_match_a_loop(spark, sf):
@@ -170,3 +172,100 @@ def test_wrap():
 
     got = O.wrap_mono.func(pd.Series(["aa bb  cc", "", "abcdefgh", None]), pd.Series([5, 5, 3, 3])).tolist()
     assert got == [["aa bb", "cc"], [""], ["abc", "def", "gh"], None]
+
+
+@pytest.mark.parametrize("name,bold,italic", [
+    ("ABCDEF+NimbusRomNo9L-Medi", True, False), ("CMBX10", True, False), ("CMTI10", False, True), ("Arial,Bd", True, False), ("Foo-It", False, True), ("Slanted", False, True), ("Minion SB", True, False), ("Abd", False, False),
+    ("ABCDEF+Times-Roman", False, False), ("Helvetica-BoldOblique", True, True),
+])
+def test_font_style(spark, name, bold, italic):
+    assert tuple(value(spark, X.font_style(F.lit(name)))) == (bold, italic)
+
+
+def test_colours_and_numerals(spark):
+    assert value(spark, X.color(F.lit("rgba(1,2,3,50%)")))["a"] == 0.5 and value(spark, X.color(F.lit("rgba(1 2 3 / 0.25)")))["a"] == 0.25 and value(spark, X.color(F.lit("rgb(1.2.3,2,3)")))["r"] is None
+    red, white = F.struct(F.lit(1.0).alias("r"), F.lit(0.0).alias("g"), F.lit(0.0).alias("b")), F.struct(*[F.lit(1.0).alias(k) for k in "rgb"])
+    assert tuple(value(spark, X.blend(red, F.lit(3.0), white))) == (1.0, 0.0, 0.0) and tuple(value(spark, X.blend(red, F.lit(0.25), white))) == (1.0, 0.75, 0.75)
+
+    def alpha(n):
+        out = ""
+        while n > 0:
+            n -= 1
+            out, n = chr(97 + n % 26) + out, n // 26
+        return out
+
+    for n in (0, 1, 26, 27, 52, 702, 703, 18278, 18279, 475254, 475255, 2**63 - 1):
+        assert value(spark, X.alpha(F.lit(n))) == alpha(n)
+    assert value(spark, X.font_key(F.lit("Courier New"), F.lit("bold"), F.lit("italic"))) == "mono-bi" and value(spark, X.font_key(F.lit("Inter"), F.lit("400"), F.lit("normal"))) == "sans"
+
+
+def test_code_tokens(spark):
+    code = "<!-- a\nb --> 0xFF 1.5e-3 nil self undefined const $x = foo (`t\nu`, \"q\\\"\") /* c */ constant # end"
+    got = [(t["kind"], t["text"]) for t in value(spark, X.code_tokens()(F.lit(code)))]
+    assert got == [
+        ("comment", "<!-- a\nb -->"), ("number", "0xFF"), ("number", "1.5e-3"), ("boolean", "nil"), ("boolean", "self"), ("boolean", "undefined"), ("keyword", "const"), ("function", "foo"), ("string", "`t\nu`"), ("string", '"q\\""'),
+        ("comment", "/* c */"), ("comment", "# end"),
+    ]
+
+
+def test_archive_names(spark):
+    """The first free number, whether a name has it by itself or was given it."""
+    for names, expected in (
+        (["a.pdf", "a (2).pdf", "a.pdf"], ["a.pdf", "a (2).pdf", "a (3).pdf"]), (["a.pdf", "a.pdf", "a (2).pdf"], ["a.pdf", "a (2).pdf", "a (2) (2).pdf"]), (["x", "x", "x.tar.gz", "x.tar.gz"], ["x", "x (2)", "x.tar.gz", "x.tar (2).gz"]),
+    ):
+        df = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "job_id int, file_seq int, name string")
+        assert [r["unique_name"] for r in P.unique_names(df).orderBy("file_seq").collect()] == expected
+
+
+def test_word_files_and_text_sink(spark, tmp_path):
+    buf = io.BytesIO()
+    body = (
+        '<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>a</w:t><w:tab/><w:t>b &lt; c</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p/></w:tc><w:tc><w:p/></w:tc></w:tr><w:tr><w:tc><w:p/></w:tc></w:tr></w:tbl>'
+        '<w:p><w:pPr><w:pageBreakBefore/></w:pPr><w:r><w:t>next</w:t></w:r></w:p><w:p><w:pPr><w:pageBreakBefore w:val="false"/></w:pPr></w:p>'
+    )
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="u"><w:body>{body}</w:body></w:document>')
+    df = spark.createDataFrame([(1, buf.getvalue()), (2, b"no zip"), (3, None)], "id int, content binary")
+    got = {r["id"]: r["d"] for r in df.select("id", files.docx_scan("content").alias("d")).collect()}
+    assert [tuple(p) for p in got[1]["paragraphs"]] == [(1, "Head"), (1, "a b < c"), (1, ""), (1, ""), (1, ""), (2, "next"), (2, "")]
+    assert got[1]["headings"] == ["Heading1"] and [tuple(t) for t in got[1]["tables"]] == [(2, 2)] and got[2]["paragraphs"] == got[3]["tables"] == []
+    files.write_text(spark.createDataFrame([("é",), ("b",)], "t string"), str(tmp_path / "out"))
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["b", "é"]
+
+
+def test_pagination(spark):
+    """Nothing that fits a page is cut; a heading does not end a page; what is taller than a page is cut."""
+    def tops(atoms):
+        df = spark.createDataFrame([(1, float(t), float(b), k) for t, b, k in atoms], "doc_id long, top double, bottom double, keep_with_next boolean")
+        return [r["top"] for r in L.paginate(df, 100.0).orderBy("page_no").collect()]
+
+    assert tops([(0, 40, False), (50, 90, False)]) == [0.0]
+    assert tops([(0, 60, False), (70, 120, False), (130, 160, False)]) == [0.0, 70.0]
+    assert tops([(0, 60, False), (70, 90, True), (95, 140, False)]) == [0.0, 70.0]
+    assert tops([(0, 250, False)]) == [0.0, 100.0, 200.0]
+
+
+def test_lines_are_bold_by_characters(spark):
+    frags = spark.createDataFrame([(1, 1, 0, 0, "short", 0.0, 1.0, 10.0, 12.0, 0, 5), (1, 1, 0, 1, "a very long bold text that outweighs it by far, as anyone can see", 2.0, 9.0, 10.0, 12.0, 64, 64)],
+        "doc_id long, page_no int, row_no long, frag_no long, text string, x0 double, x1 double, base double, size double, n_bold long, n_chars long")
+    assert L.lines_of(frags).first()["bold"] is True and L.lines_of(frags.withColumn("n_bold", F.col("n_bold") - 5)).first()["bold"] is False
+
+
+def test_runs_drift(spark):
+    """A run goes on while sizes are near what it began with, not what came last; sub- and superscripts have the line's size."""
+    rows = [(0, "a", 0.0, 10.0, 5.0, 12.0), (1, "b", 7.0, 10.0, 5.0, 12.5), (2, "c", 13.0, 10.0, 5.0, 12.8), (3, "2", 18.0, 6.0, 3.0, 8.0), (4, "i", 21.0, 12.0, 3.0, 8.0)]
+    df = spark.createDataFrame([(1, 1, 0, n, s, x, y, w, fs, False) for n, s, x, y, w, fs in rows], "doc_id long, page_no int, row_no long, piece_no long, str string, x double, y double, w double, fs double, bold boolean")
+    lines = spark.createDataFrame([(1, 1, 0, 12.0, 10.0)], "doc_id long, page_no int, row_no long, size double, base double")
+    got = [(r["text"], r["script"], r["size"]) for r in L.runs(df, lines).orderBy("run_no").collect()]
+    assert got == [("a b", None, 12.0), ("c", None, 12.8), ("2", "sup", 12.0), ("i", "sub", 12.0)]
+
+
+def test_pairs_by_hashed_runs(spark, monkeypatch):
+    rng = random.Random(1)
+    lists = [[rng.choice("abcd") for _ in range(rng.randrange(0, 14))] for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(lists)), "id int, words array<string>")
+    runs = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    expected = {(i, j) for i, a in enumerate(lists) for j, b in enumerate(lists) if runs(a) & runs(b)}
+    for most in (10**6, 1):
+        monkeypatch.setattr(O, "BROADCAST", most)
+        assert {tuple(r) for r in O.run_pairs(df, df, 5).collect()} == expected
