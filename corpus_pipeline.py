@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet in the shared
 folder and reads them again as the next one's documents.
+
+Every stage takes an empty table and returns one, and ignores columns that are not those of documents. Texts of any length
+go through whole.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ LEAST_SCORE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that the classifier recognises; text without letters, or torn between languages, goes."""
+    """Documents with a language that the classifier recognises; null text, text without letters, or torn between languages, goes.
+
+    Repeated and null ids stay as rows, each by its own text. Where no row has a language to learn from, all go."""
     model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
     rows = docs.select(*COLUMNS).filter("text is not null").withColumn("_text", F.md5("text"))  # texts don't travel: the verdict is one of the text alone
     found = language_id.identify(rows, model, keep=["_text"])
@@ -31,25 +36,33 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without lines that a repeated passage of three lines covers."""
+    """Every document, without lines that a repeated passage of three lines covers.
+
+    Null text stays null, with a null n_chars; empty text stays. Rows that share id and text count as one document and lose the same lines. Null ids come last."""
     out = line_dedup(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more; of a group the smallest id stays.
+
+    Null and empty texts are nobody's copies and stay, and so do rows with a null id. Rows that share an id stay or go together."""
     rows = docs.select(*COLUMNS)
     gone = near_dedup(rows, shingle=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
     return rows.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target mixture takes them."""
+    """Documents as often as the target mixture takes them.
+
+    Texts without words, null ones too, weigh nothing and are taken like others of their source. A null source is a source of its own. Equal rows count separately."""
     return emit_copies(mix_sources(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with a digest of what they decode to."""
+    """Number and digest of the token ids of each document, and a digest of what they decode to.
+
+    Null and empty text: begin and end alone. Repeated and null ids stay as rows."""
     out = piece_tokenizer.encode_decode(docs, piece_tokenizer.Vocabulary.load(piece_model()))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
