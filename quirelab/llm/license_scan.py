@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from pathlib import Path
@@ -20,13 +21,16 @@ SPELLINGS = (
 #: What a line holds that is no part of a licence text: a year or sign after the word "copyright", the holder before the year, "The X Authors", a year
 #: to be filled in, "all rights reserved". A line that begins with HOLDER is part of one all the same.
 _SIGN = r"[^\p{L}\p{N}\n]*"
-COPYRIGHT = rf"{_SIGN}(?:copyright|copr|c|©)[^\p{{L}}\p{{N}}\n]+(?:[^\p{{L}}\n]*[0-9]{{4}}|\(c\)|©)"
+COPYRIGHT = rf"{_SIGN}(?:copyright|copr|\(c\)|©)[^\p{{L}}\p{{N}}\n]+(?:[^\p{{L}}\n]*[0-9]{{4}}|\(c\)|©)"
 HOLDER = rf"{_SIGN}(?:copyright|copr|\(c\)|©)[^\p{{L}}\p{{N}}\n]+(?:holders?|owners?)\b"
 NO_TEXT = (
     rf"{_SIGN}(?:(?:copyright|copr|\(c\)|©)[^\p{{L}}\p{{N}}\n]+"
     r"(?:.*\b(?:19|20)[0-9]{2}[^\p{L}\n]*(?:present[^\p{L}\n]*)?|.*\b(?:authors|contributors|developers|maintainers)[^\p{L}\p{N}\n]*|(?:\(?c\)[^\p{L}\p{N}\n]*)?(?:yyyy|year|19yy)\b.*)"
     r"(?:all rights reserved[^\p{L}\p{N}\n]*)?|all rights reserved[^\p{L}\p{N}\n]*)$"
 )
+#: One of these is in every such line.
+SIGNS = ("copyright", "copr", "©", "(c)", "all rights reserved")
+
 _WARRANTY = (
     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
     "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
@@ -120,11 +124,12 @@ def canonical_lines(text: Column) -> Column:
     The text goes through each step as a whole. In between, a word has a space of its own on either side.
     """
     x = F.lower(text)
-    x = F.regexp_replace(x, rf"(?md)^(?:{COPYRIGHT}.*|(?!{HOLDER}){NO_TEXT})", "")
+    signs = functools.reduce(Column.__or__, [x.contains(s) for s in SIGNS])
+    x = F.when(signs, F.regexp_replace(x, rf"(?md)^(?:{COPYRIGHT}.*|(?!{HOLDER}){NO_TEXT})", "")).otherwise(x)
     x = F.concat(F.lit(" "), F.replace(F.regexp_replace(x, r"[^\p{L}\p{N}\n]+", "  "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for a, b in SPELLINGS:
         x = F.replace(x, F.lit(_spaced(a)), F.lit(_spaced(b)))
-    x = F.regexp_replace(x, " {2,}", " ")
+    x = F.replace(x, F.lit("  "), F.lit(" "))  # spaces in a row are left at the ends of lines alone
     return F.filter(F.transform(F.split(x, "\n", -1), lambda line: F.trim(line)), lambda line: line != "")
 
 
@@ -177,10 +182,10 @@ def license_scan(docs: DataFrame, known: DataFrame, *, id_col: str = "doc_id", t
     Null or empty text, or one of copyright lines and punctuation alone: null, none, 0. Rows that share an id share what is found
     in any of them, n_notices summed. Null ids: null, none, 0. Empty table: empty result. Other columns are ignored.
     """
-    lines = docs.select(F.col(id_col).alias("id"), canonical_lines(F.col(text_col)).alias("lines")).filter("id is not null and size(lines) > 0")
+    lines = docs.select(F.col(id_col).alias("id"), canonical_lines(F.col(text_col)).alias("lines")).filter("id is not null")
     whole = F.array(F.struct(F.lit(True).alias("whole"), digest(F.array_join("lines", " ")).alias("digest")))
     each = F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), digest(x).alias("digest")))
-    units = lines.select("id", F.explode(F.concat(whole, each)).alias("u")).select("id", "u.whole", "u.digest")
+    units = lines.select("id", F.explode(F.when(F.size("lines") > 0, F.concat(whole, each))).alias("u")).select("id", "u.whole", "u.digest")
     known = known.select("digest", "license")
     hits = units.join(F.broadcast(known) if known.limit(BROADCAST + 1).count() <= BROADCAST else known, "digest")
     found = hits.groupBy("id").agg(
