@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -255,6 +256,22 @@ def code_tokens(keywords: str = KEYWORDS, constants: str = CONSTANTS):
     return tokens
 
 
+# Characters of scripts that are set from right to left or shaped; whatever else has a letter or digit is base text.
+SCRIPTS = {"arabic": r"\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\ufb50-\ufdff\ufe70-\ufeff", "hebrew": r"\u0590-\u05ff\ufb1d-\ufb4f", "devanagari": r"\u0900-\u097f", "thai": r"\u0e00-\u0e7f"}
+
+
+def script_pattern() -> str:
+    """Runs of one script, which take in the spaces and punctuation between two pieces of it, and runs of anything else."""
+    each = [rf"[{c}](?:[{c}\p{{M}}\u200c\u200d]|[\s\p{{P}}]+[{c}])*" for c in SCRIPTS.values()]
+    return "|".join([*each, f"[^{''.join(SCRIPTS.values())}]+"])
+
+
+def script_runs(text: Column) -> Column:
+    """The text cut into runs of one script each, as array<struct<script, text>>; base: no script of SCRIPTS."""
+    name = lambda run: functools.reduce(lambda rest, k: F.when(run.rlike(f"^[{SCRIPTS[k]}]"), k).otherwise(rest), SCRIPTS, F.lit("base"))
+    return F.transform(F.regexp_extract_all(text, F.lit(f"({script_pattern()})"), F.lit(1)), lambda run: F.struct(name(run).alias("script"), run.alias("text")))
+
+
 def shown_text(text: Column, covered: str) -> Column:
     """Text for a font that covers the characters of the class `covered`: marks and joiners that stray go, other uncovered characters become ?, white space but line ends spaces."""
     t = F.regexp_replace(text, r"[^\S\n]|\u00a0|\ufeff", " ")

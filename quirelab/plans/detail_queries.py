@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,6 +143,26 @@ def shown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", _md5(X.shown_text(raw, "\\x20-\\x7e\\u00e0-\\u00ff")).alias("shown_md5"))
 
 
+def script_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit("abc, العربية، نص 12 x שלום ! עולם. "), "text", F.lit(" नमस्ते दुनिया"))
+    runs = X.script_runs(raw)
+    shown = F.array_join(F.transform(runs, lambda r: F.concat(r["script"], F.lit("="), r["text"])), "¦")
+    return _documents(spark, sf_dir).select("doc_id", F.size(runs).alias("n_runs"), _md5(shown).alias("runs_md5"))
+
+
+def glyph_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.char_length("text") / 4).cast("int")
+    g = T.pages(spark, sf_dir).filter("page_no = 1 and length(text) >= 4").select(F.col("doc_id").alias("run_id"), "text", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    g = g.select("run_id", "text", F.when(F.col("run_id") % 2 == 1, F.col("n") - 1 - F.col("i")).otherwise(F.col("i")).alias("glyph_no"), (F.floor(F.col("i") / 3) * 12).cast("int").alias("cluster"))
+    return L.cluster_groups(g).select("run_id", "group_no", "cluster", "n_glyphs", _md5(F.col("text")).alias("text_md5"))
+
+
+def word_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    w = T.pages(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(words)).alias("word")).distinct()
+    return L.in_blocks(w, "doc_id", "word")
+
+
 def distinct_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T.mono_pieces(T.lines(spark, sf_dir))
     twice = p.unionByName(p.withColumn("piece_no", F.col("piece_no") + 1_000_000).withColumn("x", F.col("x") + F.when(F.col("line_no") % 2 == 0, 0.0).otherwise(2.0)))
@@ -286,7 +308,7 @@ def kept_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    font_styles, inline_colors, list_markers, centred_lines, slide_places, chosen_pages, crop_edges, stage_and_quads, health_from_bytes, rebuilt_tails, detached_pages, clean_strings, shown_texts, distinct_pieces, cleaned_pieces,
+    font_styles, inline_colors, list_markers, centred_lines, slide_places, chosen_pages, crop_edges, stage_and_quads, health_from_bytes, rebuilt_tails, detached_pages, clean_strings, shown_texts, script_segments, glyph_clusters, word_blocks, distinct_pieces, cleaned_pieces,
     image_rects, line_runs, fragment_rows, document_shape, heading_sizes, block_html, nested_words, lowest_pages, category_items, menu_items, post_tools, curated_items, hit_cursor, other_documents, sitemap_rows, best_strategy, kept_sheets,
 )}
 
@@ -302,9 +324,7 @@ _PLANTED = r"""f AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN '%PDF-1.4' ||
   || CASE WHEN doc_id % 9 <> 0 THEN '%%EOF' || chr(10) ELSE '' END AS t FROM documents)"""
 
 
-def _hex(i: int) -> str:
-    return f"(instr('0123456789abcdef', lower(substr(h, {i}, 1))) - 1)"
-
+_SCRIPTS = re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", X.script_pattern())
 
 ORACLE_SQL = {
     "font_styles": f"""WITH d AS (SELECT doc_id, regexp_replace({_sql_one_of(FONTS, "doc_id")}, '^[A-Z]{{6}}\\+', '') AS n, lower({_sql_one_of(FAMILY, "doc_id")}) AS f, {_sql_one_of(("bold", "600", "400", "normal", "0"), "doc_id")} AS w, doc_id % 3 <> 0 AS slant FROM documents),
@@ -345,6 +365,11 @@ SELECT doc_id, md5(c) AS sanitized_md5, md5(regexp_replace(t, '[^\x09\x0A\x0D\x2
   CASE WHEN doc_id % 4 = 0 THEN 'my_first_doc.pdf' ELSE regexp_replace(name, '(?i)\.(md|markdown|txt)$', '.pdf') END AS pdf_name, ['HELLO WIDE WORLD', 'hello wide world', 'Hello Wide World', 'hello wide World'][doc_id % 4 + 1] AS cased FROM k""",
     "shown_texts": r"""WITH s AS (SELECT doc_id, 'e' || chr(769) || chr(8205) || chr(160) || chr(9) || 'x' || chr(10) || chr(20013) || text AS t FROM documents)
 SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '[\t\r\f\x0b\x{a0}\x{feff}\x{85}]', ' ', 'g'), '[\p{M}\x{200c}\x{200d}]', '', 'g'), '[^\n\x20-\x7e\x{e0}-\x{ff}]', '?', 'g')) AS shown_md5 FROM s""",
+    "script_segments": f"""WITH s AS (SELECT doc_id, regexp_extract_all('abc, العربية، نص 12 x שלום ! עולם. ' || text || ' नमस्ते दुनिया', '{_SCRIPTS}') AS r FROM documents)
+SELECT doc_id, len(r)::INT AS n_runs, md5(array_to_string(list_transform(r, lambda x: CASE WHEN regexp_matches(x, '^[\\x{{600}}-\\x{{6ff}}]') THEN 'arabic' WHEN regexp_matches(x, '^[\\x{{590}}-\\x{{5ff}}]') THEN 'hebrew' WHEN regexp_matches(x, '^[\\x{{900}}-\\x{{97f}}]') THEN 'devanagari' ELSE 'base' END || '=' || x), '¦')) AS runs_md5 FROM s""",
+    "glyph_clusters": f"""WITH {_PAGES}, t AS (SELECT doc_id AS run_id, text, length(text) // 4 AS n FROM p WHERE page_no = 1 AND length(text) >= 4), c AS (SELECT run_id, text, n, unnest(range((n + 2) // 3)) AS k FROM t)
+SELECT run_id, CASE WHEN run_id % 2 = 1 THEN (n + 2) // 3 - 1 - k ELSE k END::BIGINT AS group_no, (k * 12)::INT AS cluster, least(3, n - 3 * k)::BIGINT AS n_glyphs, md5(CASE WHEN 3 * (k + 1) < n THEN substr(text, k * 12 + 1, 12) ELSE substr(text, k * 12 + 1) END) AS text_md5 FROM c""",
+    "word_blocks": rf"""WITH {_PAGES}, w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word FROM p) SELECT doc_id, word, (row_number() OVER (PARTITION BY doc_id ORDER BY word) - 1) // 100 AS block_no FROM w""",
     "distinct_pieces": r"""WITH ln AS (SELECT doc_id, (unnest(range(1, len(ls) + 1)) - 1)::INT AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), w AS (SELECT doc_id, line_no, len(list_filter(string_split(line, ' '), lambda x: x <> '')) AS n FROM ln)
 SELECT doc_id, (line_no // 60 + 1)::INT AS page_no, sum(CASE WHEN line_no % 2 = 0 THEN n ELSE 2 * n END)::BIGINT AS n_pieces, sum(CASE WHEN line_no % 2 = 0 THEN 0 ELSE n END)::BIGINT AS n_second FROM w WHERE n > 0 GROUP BY ALL""",
     "cleaned_pieces": rf"""WITH {_LINES}, r AS (SELECT doc_id, line_no AS piece_no, repeat(' ', line_no % 3) || line || repeat(' ', line_no % 2) AS raw FROM ln WHERE line_no % 10 <> 9), t AS (SELECT *, regexp_replace(raw, '^[\s\x0b\x{{a0}}\x{{feff}}]+', '') AS r1 FROM r), u AS (SELECT *, regexp_replace(r1, '[\s\x0b\x{{a0}}\x{{feff}}]+$', '') AS s FROM t)

@@ -269,3 +269,10 @@ def test_pairs_by_hashed_runs(spark, monkeypatch):
     for most in (10**6, 1):
         monkeypatch.setattr(O, "BROADCAST", most)
         assert {tuple(r) for r in O.run_pairs(df, df, 5).collect()} == expected
+
+
+def test_script_runs(spark):
+    """Spaces and punctuation between two pieces of a script are part of it, those at its edges are not."""
+    got = [tuple(r) for r in value(spark, X.script_runs(F.lit("abc, العربية، نص 12 שלום")))]
+    assert got == [("base", "abc, "), ("arabic", "العربية، نص"), ("base", " 12 "), ("hebrew", "שלום")]
+    assert "".join(t for _, t in got) == "abc, العربية، نص 12 שלום" and value(spark, X.script_runs(F.lit(""))) == []
