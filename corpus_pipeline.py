@@ -32,7 +32,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = docs.select(*COLUMNS).filter("text is not null").withColumn("_text", F.md5("text"))  # texts don't travel: the verdict is one of the text alone
     found = language_id.identify(rows, model, keep=["_text"])
     gone = found.filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select("_text").distinct()
-    return rows.join(Workspace(spark, "pipeline").save(gone, "no-language"), "_text", "left_anti").select(*COLUMNS)
+    gone = Workspace(spark, "pipeline").save(gone, "no-language")
+    model.close()
+    return rows.join(gone, "_text", "left_anti").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,6 +48,10 @@ class Workspace:
             jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
             self._there.pop(t._quire_path, None)
 
+    def close(self) -> None:
+        """Drops all tables."""
+        self.keep()
+
     def keep(self, *tables: DataFrame) -> None:
         """Drops all other tables."""
         stay = {t._quire_path for t in tables}

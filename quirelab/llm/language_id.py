@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +90,12 @@ class Model:
     logs: np.ndarray
     more_words: DataFrame | None = None
     more_grams: DataFrame | None = None
+    tables: Workspace | None = None
+
+    def close(self) -> None:
+        """Drops the tables, once results of identify() have been made."""
+        if self.tables is not None:
+            self.tables.close()
 
     def unseen(self, words: list[str]) -> np.ndarray:
         """Row of each word: the mean over its positions of the longest known n-gram that starts there; nothing known: no evidence."""
@@ -167,10 +173,12 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
     pieces, gram_logs, more_grams = table(by_gram, GRAMS, np.array([parts[x][0] for x in langs], float), by_gram.count())
     prior = np.log(tokens + 1)
     logs = np.concatenate((word_logs, gram_logs)).astype(np.float32)
-    return Model(langs, prior - prior.max(), {w: i for i, w in enumerate(known)}, {g: len(known) + i for i, g in enumerate(pieces)}, logs, more_words, more_grams)
+    return Model(langs, prior - prior.max(), {w: i for i, w in enumerate(known)}, {g: len(known) + i for i, g in enumerate(pieces)}, logs, more_words, more_grams, ws)
 
 
 def _predict(m: Model, text_col: str, keep: list[str]):
+    m = replace(m, more_words=None, more_grams=None, tables=None)  # tasks get no table
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_known = len(m.logs)
         rows = np.concatenate((m.logs, np.zeros((CACHE, len(m.langs)), np.float32))) if m.langs else None
@@ -296,7 +304,9 @@ def _scored_by_tables(rows: DataFrame, m: Model, text_col: str, keep: list[str],
     ranked = F.array(*[F.struct(t.alias("total"), F.lit(-i).alias("place"), F.lit(x).alias("lang")) for i, (t, x) in enumerate(zip(total, m.langs, strict=True))])
     out = first.join(sums, "_row", "left").withColumn("_best", F.when(F.col("_sums").isNotNull(), F.array_max(ranked)))
     share = 1.0 / sum((F.exp(t - F.col("_best.total")) for t in total), F.lit(0.0))
-    return out.select(*keep, F.coalesce("_best.lang", F.lit("und")).alias("lang_pred"), F.coalesce(share, F.lit(0.0)).alias("score"))
+    done = ws.save(out.select(*keep, F.coalesce("_best.lang", F.lit("und")).alias("lang_pred"), F.coalesce(share, F.lit(0.0)).alias("score")), "result")
+    ws.keep(done)
+    return done
 
 
 def held_out(doc_id: Column) -> Column:
@@ -309,7 +319,8 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
 
     A word is a run of letters and their combining marks, lower-cased. A known word adds its log frequency in each language; an unseen
     one the mean over its positions of the longest known n-gram there, from GRAM characters down to one. The score is the
-    winner's share of the likelihood, 0 to 1; ties go to the language that sorts first.
+    winner's share of the likelihood, 0 to 1; ties go to the language that sorts first. With a model that has tables, the result is written in the shared
+    folder, and other tables of the call are dropped.
 
     Null text, or text without a letter: `und`, score 0; so is all text if the model has no language. Repeated ids and null
     ids stay as rows. Empty table: empty result. Input columns called lang_pred or score are replaced.

@@ -5,30 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import Workspace
 from ._text import WORD
 
 
-def with_targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+def ranked(ws: Workspace, sources: DataFrame) -> DataFrame:
+    """Sources (skey, source, source_size) with their rank from 0 in code-point order, null last. Ranges of sources are numbered each by itself, after the counts of those before."""
+    dealt = sources.repartitionByRange(F.col("source").isNull(), "source").withColumn("range", F.spark_partition_id())
+    dealt = ws.save(dealt, "sources")
+    counts = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # one row a range
+    place = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last()))
+    return dealt.join(F.broadcast(before), "range").withColumn("rank", F.col("before") + place - 1).drop("range", "before")
+
+
+def with_targets(ws: Workspace, sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """Adds `target` to one row per source (skey, source, source_size).
 
-    Sources in code-point order, null last, get the weights in turn. The whole size is shared by weight;
-    a source stops at `most` times its own size and the excess is shared again. With sources sorted by
-    most * size / weight, the level that the rest share is the largest (total - capped so far) / (weights left),
-    so one ordered pass replaces the repeated sharing.
+    Sources in code-point order, null last, get the weights in turn. The whole size is shared by weight; a source stops at `most` times its own
+    size and the excess is shared again, until none is above. Each round is one aggregate over the sources; only its sums come to the driver.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(w) for w in weights])
-    s = sources.withColumn("w", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
-    s = s.withColumn("cap", F.lit(most) * F.col("source_size"))
-    before = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn(
-        "level",
-        (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0))),
-    )
-    target = F.least(F.col("cap").cast("double"), F.col("w") * F.max("level").over(whole))
-    return s.select("skey", "source", "source_size", target.alias("target"))
+    s = ranked(ws, sources).withColumn("w", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int"))).withColumn("cap", F.lit(most) * F.col("source_size"))
+    s = ws.save(s.select("skey", "source", "source_size", "w", "cap"), "weights")
+    level, stopped = 0.0, -1
+    while True:
+        above = F.lit(stopped >= 0) & (F.col("cap") < F.col("w") * F.lit(level))
+        got = s.agg(F.sum("source_size").alias("all"), F.sum(F.when(above, F.col("cap"))).alias("capped"), F.sum(F.when(~above, F.col("w"))).alias("w"), F.count_if(above).alias("n")).first()
+        if got["n"] == stopped or not got["w"]:
+            break
+        stopped, level = got["n"], (got["all"] - (got["capped"] or 0)) / got["w"]
+    return s.select("skey", "source", "source_size", F.least(F.col("cap").cast("double"), F.col("w") * F.lit(level)).alias("target"))
 
 
 def mix_sources(
@@ -70,7 +77,7 @@ def mix_sources(
         F.min(source_col).alias("source"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")
     )
     sources = cells.groupBy("skey").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"))
-    targets = with_targets(sources, weights, most)
+    targets = with_targets(Workspace(docs.sparkSession, "mix"), sources, weights, most)
     earlier = Window.partitionBy("skey").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("skey")).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
     placed = (

@@ -42,6 +42,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
     out = language_id.identify(docs, model, keep=["doc_id"])
+    model.close()
     return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 

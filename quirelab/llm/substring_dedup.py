@@ -306,7 +306,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     window whose words also start in a document with a smaller id. Windows are judged on the input. `kept` holds the
     remaining words, joined by one space.
 
-    Documents are dealt into blocks of about BLOCK_BYTES by a hash of the id. (1) Every block counts its windows in a count-min sketch of
+    Documents are dealt into blocks of about BLOCK_BYTES by a hash of id and text, so that an id of very many texts is spread too. (1) Every block counts its windows in a count-min sketch of
     DEPTH rows with CELLS or more counters for each window of the input, so that its error is the same at every size. (2) The blocks' sketches
     are added up, counters saturating at two, in shards of about SHARD counters, and each block learns which of its own counters are two or more. An
     estimate, the least of a window's counters, is never below the true count, so no repeated window is lost. (3) Only windows estimated repeated are
@@ -321,7 +321,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     layout = Layout.of(rows.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"])
     key_bits = layout.bits + (DEPTH - 1).bit_length()
-    placed = rows.filter(F.col("id").isNotNull()).select(F.pmod(F.xxhash64("id"), F.lit(layout.blocks)).alias("node"), "id", "text")
+    placed = rows.filter(F.col("id").isNotNull()).select(F.pmod(F.xxhash64("id", "text"), F.lit(layout.blocks)).alias("node"), "id", "text")
     by_block = lambda: placed.groupBy("node")
     estimates = _exchange(by_block().applyInArrow(_sketch(window, layout, key_bits), PART_SQL), layout, key_bits)
     found = by_block().cogroup(estimates.groupBy("node")).applyInArrow(_candidates(window, layout), PART_SQL)
