@@ -224,6 +224,20 @@ def test_license_whole_texts(spark):
     assert [got[i] for i in range(len(rows))] == [n for n, _ in rows]
 
 
+def test_license_odd_rows(spark):
+    """Repeated ids share what is found, counts added; long texts are read to their end; columns of the result's names don't matter; a null id finds nothing."""
+    mit, notice = dict(license_scan.KNOWN[:1])["MIT"], "Licensed under CC BY 4.0."
+    rows = [(1, f"x\n{notice}\n{notice}"), (1, notice), (2, "word " * 60_000 + f"\n{notice}"), (3, mit), (3, "no licence"), (None, notice), (4, "licence license  LICENCE"), (5, "C: 1234\n" + notice)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("license", "notices", "n_notices", "digest", "id", "u", "lines", "whole")})
+    got = sorted(map(tuple, license_scan.license_scan(df, license_scan.known_digests(spark)).collect()), key=str)
+    one = (1, "CC-BY-4.0", ["CC-BY-4.0"], 3)
+    expected = [one, one, (2, None, ["CC-BY-4.0"], 1), (3, "MIT", [], 0), (3, "MIT", [], 0), (None, None, [], 0), (4, None, [], 0), (5, None, ["CC-BY-4.0"], 1)]
+    assert got == sorted(expected, key=str)
+    assert license_scan.canonical("licence license  LICENCE") == ["license license license"]
+    many = license_scan.known_digests(spark, tuple((f"L{i}", f"text {i}") for i in range(50)))
+    assert license_scan.license_scan(spark.createDataFrame([(1, "Text 7!")], "doc_id long, text string"), many).first()["license"] == "L7"
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     centre = rng.normal(size=(6, 16))
@@ -402,6 +416,20 @@ def test_tokenizer_matches_the_library(spark, awkward, empty):
         assert np.frombuffer(r["ids"], "<u4").tolist() == expected and r["n_tokens"] == len(expected) and r["decoded"] == sp.decode(expected)
 
 
+def test_tokenizer_memory_is_bounded(monkeypatch):
+    """What a worker remembers is counted in bytes and let go beyond a bound; ids stay the same."""
+    from quirelab.llm import piece_tokenizer
+    from quirelab.llm.queries import piece_model
+
+    monkeypatch.setattr(piece_tokenizer, "CACHE", 100_000)
+    c = piece_tokenizer.Coder(piece_tokenizer.Vocabulary.load(piece_model()))
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(2000)) for _ in range(60)]
+    first = [c.encode([t])[0] for t in texts]
+    held = sum(piece_tokenizer.ENTRY + 4 * len(k) + len(v) for k, v in c.known.items())
+    assert held == c.held < 100_000 + 20_000 and [c.encode([t])[0] for t in texts] == first
+
+
 def test_substring_dedup(spark, awkward, empty):
     n, rows = 13, [r[:2] for r in base_rows()]
     first = {}
