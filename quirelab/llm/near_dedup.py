@@ -20,6 +20,8 @@ SAMPLES = 4096
 SKETCH_BITS = 2048
 SALTS = 32
 BLOCK = 128
+#: Documents outside its largest component from which a bucket is crowded; how often crowds are dealt out by finer bands.
+CROWD, DEALS = 4096, 2
 MISS = 1e-6
 
 
@@ -74,6 +76,7 @@ def may_link(apart: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, in_a: np
 
 
 SIGNED = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("sampled", pa.int32())])
+SIGNED_SQL = "id long, n_shingles long, key binary, bands array<long>, sketch binary, sampled int"
 
 
 def _sign(shingle: int, bands: int, rows: int):
@@ -201,7 +204,8 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
        its bands agree on; sketches sift these links, and the two full sets confirm them. The links form a forest.
     4. Buckets that still hold more than one component are searched whole, block of BLOCK against block, for pairs of different
        components whose sketches are near; full sets confirm these too. Pairs within a component are never looked at, and members
-       of a bucket's largest component are sent to blocks of the others only.
+       of a bucket's largest component are sent to blocks of the others only. If more than CROWD are outside of that, the bucket's documents are dealt into
+       buckets anew by bands of twice as many rows (as many bands as leave the same chance MISS), where documents that aren't alike meet far less, and 3 and 4 are done there.
     5. Components of all confirmed links. All tables in between are dropped.
     Sets are measured by 64-bit hashes of shingles, links confirmed by 128-bit ones.
 
@@ -211,47 +215,60 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     similarity = percent / 100
-    bands = bands_for(similarity, rows)
     ws = Workspace(spark, "near")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = ws.save(texts.mapInArrow(_sign(shingle, bands, rows), "id long, n_shingles long, key binary, bands array<long>, sketch binary, sampled int"), "signed")
+    signed = ws.save(texts.mapInArrow(_sign(shingle, bands_for(similarity, rows), rows), SIGNED_SQL), "signed")
     real = signed.filter("n_shingles > 0 and id is not null")
     classes = ws.save(real.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     same = real.join(classes.filter("n > 1").select("key", "rep"), "key").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     reps = real.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["key", "id"])
-    reps = ws.save(reps.select("id", F.col("n_shingles").alias("size"), "sketch", "sampled", "bands"), "reps")
-
-    spread = reps.select("id", F.posexplode("bands").alias("band", "bucket")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    partial = spread.groupBy("band", "bucket", "salt").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n"))
-    shared = partial.groupBy("band", "bucket").agg(F.min("leader").alias("leader"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts")).filter("n > 1")
-    members = ws.save(spread.join(shared.select("band", "bucket", "leader", "n", F.explode("salts").alias("salt")), ["band", "bucket", "salt"]), "members")
-
-    votes = members.filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("n"))
-    pick = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "leader")).alias("best")).select(F.col("id").alias("a"), F.col("best.leader").alias("b"))
-    tried = ws.save(pick, "tried")
-    side = lambda c: reps.select(F.col("id").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("size", "sampled", "sketch")])
-    sifted = ws.save(tried.join(side("a"), "a").join(side("b"), "b").mapInArrow(_sift(similarity), "a long, b long"), "sifted")
+    reps = ws.save(reps.select("id", "key", F.col("n_shingles").alias("size"), "sketch", "sampled", "bands"), "reps")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         text = lambda c, new: texts.filter("id is not null").select(F.col("id").alias(c), F.col("text").alias(new))
         both = pairs.join(text("a", "ta"), "a").join(text("b", "tb"), "b").select("a", "b", "ta", "tb")
         return ws.save(both.mapInArrow(_confirm(shingle, percent), "a long, b long"), name)
 
-    forest = confirmed(sifted, "forest")
-    roots = flatten_parents(ws, forest.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("parent")))
-
-    mixed = members.join(roots, "id", "left").select("band", "bucket", "id", F.coalesce("root", "id").alias("root"))
-    sizes = mixed.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("size"))
-    kinds = sizes.groupBy("band", "bucket").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("all")).filter("all > main.size")
-    open_ = ws.save(kinds.select("band", "bucket", F.col("main.root").alias("main"), F.col("main.size").alias("n_main"), (F.col("all") - F.col("main.size")).alias("n_rest")), "open")
-    members2 = ws.save(mixed.join(open_, ["band", "bucket"]).withColumn("is_main", F.col("root") == F.col("main")).drop("main"), "crowd")  # both sides are written tables: Spark may split a crowded bucket
-    pieces = _cells(members2.join(reps.select("id", "size", "sampled", "sketch", "bands"), "id"))
-    cell = ["band", "bucket", "kind", "i", "j"]
-    pieces = pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *cell)  # few bytes, much work: not to be coalesced
-    found = pieces.groupBy(*cell).applyInArrow(_across(similarity), "a long, b long").distinct()
-    found = ws.save(found.join(tried, ["a", "b"], "left_anti"), "across")
-    more = confirmed(found, "more") if not found.isEmpty() else found
-    links = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")).unionByName(same)
+    links, roots, crowd = same, None, None
+    for deal in range(DEALS):
+        if deal:  # bands of twice as many rows part the documents of crowded buckets
+            finer = texts.join(crowd, "id", "left_semi").mapInArrow(_sign(shingle, bands_for(similarity, rows << deal), rows << deal), SIGNED_SQL)
+            reps = ws.save(finer.select("id", "key", "bands").dropDuplicates(["id", "key"]).join(reps.drop("bands"), ["id", "key"]), "reps")
+        rooted = reps.select("id", "bands", F.col("id").alias("root")) if roots is None else reps.select("id", "bands").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        spread = rooted.select("id", "root", F.posexplode("bands").alias("band", "bucket")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        partial = spread.groupBy("band", "bucket", "salt").agg(F.min(F.struct("id", "root")).alias("leader"), F.count(F.lit(1)).alias("n"))
+        shared = partial.groupBy("band", "bucket").agg(F.min("leader").alias("leader"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts")).filter("n > 1")
+        members = spread.join(shared.select("band", "bucket", "leader", F.explode("salts").alias("salt")), ["band", "bucket", "salt"])
+        members = ws.save(members.select("band", "bucket", "id", F.col("leader.id").alias("leader"), (F.col("root") == F.col("leader.root")).alias("joined")), "members")
+
+        votes = members.filter("not joined").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("n"))
+        tried = ws.save(votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "leader")).alias("best")).select(F.col("id").alias("a"), F.col("best.leader").alias("b")), "tried")
+        side = lambda c: reps.select(F.col("id").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("size", "sampled", "sketch")])  # noqa: E731, B023
+        sifted = ws.save(tried.join(side("a"), "a").join(side("b"), "b").mapInArrow(_sift(similarity), "a long, b long"), "sifted")
+        forest = confirmed(sifted, "forest")
+        if roots is None:
+            roots = flatten_parents(ws, forest.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("parent")))
+        else:
+            roots = components(ws, links.unionByName(forest))
+
+        mixed = members.join(roots, "id", "left").select("band", "bucket", "id", F.coalesce("root", "id").alias("root"))
+        sizes = mixed.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("size"))
+        kinds = sizes.groupBy("band", "bucket").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("all")).filter("all > main.size")
+        open_ = ws.save(kinds.select("band", "bucket", F.col("main.root").alias("main"), F.col("main.size").alias("n_main"), (F.col("all") - F.col("main.size")).alias("n_rest")), "open")
+        inside = ws.save(mixed.join(open_, ["band", "bucket"]).withColumn("is_main", F.col("root") == F.col("main")).drop("main"), "inside")  # both sides are written tables: Spark may split a crowded bucket
+        crowded = F.lit(False) if deal + 1 == DEALS else F.col("n_rest") > CROWD
+        pieces = _cells(inside.filter(~crowded).join(reps.select("id", "size", "sampled", "sketch", "bands"), "id"))
+        cell = ["band", "bucket", "kind", "i", "j"]
+        pieces = pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *cell)  # few bytes, much work: not to be coalesced
+        found = pieces.groupBy(*cell).applyInArrow(_across(similarity), "a long, b long").distinct()
+        found = ws.save(found.join(tried, ["a", "b"], "left_anti"), "across")
+        links = links.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        if not found.isEmpty():
+            links = links.unionByName(confirmed(found, "more"))
+        if deal + 1 == DEALS or open_.filter(crowded).isEmpty():
+            break
+        crowd = ws.save(inside.filter(crowded).select("id").distinct(), "crowd")
+        roots = components(ws, links)
     total = components(ws, links)
     out = signed.select("id", "n_shingles").join(total, "id", "left").withColumn("component_id", F.coalesce("root", "id"))
     done = ws.save(out.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")), "result")
