@@ -352,11 +352,11 @@ def test_near_dedup(spark, awkward, empty, k, percent):
     assert near_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [4096, 3])
-def test_near_dedup_chain_and_crowd(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("bound", [4096, 3])
+def test_near_dedup_chain_and_crowd(spark, monkeypatch, bound):
     """A chain whose ends aren't alike, and a crowd of near copies most pairs of which are under the threshold; with a small bound the crowd is dealt by finer bands."""
     dealt = []
-    monkeypatch.setattr("quirelab.llm.near_dedup.CROWD", crowd)
+    monkeypatch.setattr("quirelab.llm.near_dedup.CROWD", bound)
     monkeypatch.setattr("quirelab.llm.near_dedup.bands_for", lambda j, rows: dealt.append(rows) or bands_for(j, rows))
     rng = random.Random(9)
     base = [f"v{rng.randrange(500)}" for _ in range(120)]
@@ -373,7 +373,7 @@ def test_near_dedup_chain_and_crowd(spark, monkeypatch, crowd):
         rows.append((1000 + i, " ".join(c)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup(df, shingle=3, percent=85).collect()}
-    assert got == components_by_force(rows, 3, 85) and dealt == ([4] if crowd > 3 else [4, 8])
+    assert got == components_by_force(rows, 3, 85) and dealt == ([4] if bound > 3 else [4, 8])
 
 
 @pytest.mark.parametrize("n", [12, 150, 2000, 20_000])
