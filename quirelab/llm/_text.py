@@ -107,12 +107,12 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def slices(*columns: pa.Array | pa.ChunkedArray, limit: int = _CHUNK) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of rows whose texts have about `limit` bytes together, so that work arrays stay small; no text is cut."""
+def slices(*columns: pa.Array | pa.ChunkedArray, limit: int = _CHUNK, most: int = 2048) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of `most` rows at most, whose texts have about `limit` bytes together, so that work arrays stay small; no text is cut."""
     size = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
     lo = total = 0
     for i, n in enumerate(size.tolist()):
-        if i > lo and total + n > limit:
+        if i > lo and (total + n > limit or i - lo == most):
             yield lo, i
             lo, total = i, 0
         total += n

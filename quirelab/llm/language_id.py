@@ -25,6 +25,8 @@ FLUSH = 200_000
 #: Log frequencies that are summed in Spark are whole numbers of 1 / UNIT, so that no order of rows changes a sum.
 UNIT = 1 << 32
 CACHE = 200_000
+#: Words whose places are looked at together, which bounds the memory of a task.
+SLICE = 500
 
 
 def _words(text: str | None) -> list[str]:
@@ -249,7 +251,7 @@ def _places(m: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs, get = np.round(values.astype(np.float64) * UNIT).astype(np.int64), known.get
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             out = []
             for word in batch.column("word").to_pylist():
                 w, settled, places = f"^{word}$", [], []
