@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import small_batches
+
 SAMPLE = 1000
 SAMPLE_BLOCKS = 20_000
 BUCKETS = 1 << 14
@@ -494,6 +496,7 @@ def extract_main_text(pages: DataFrame, model: Model = DEFAULT, *, id_col: str =
     Null or empty html: empty text. A page without tags is one block, judged by its shape. Equal costs on both sides: boilerplate. Repeated and null
     ids stay as rows. Empty table: empty result. Other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     out = rows.mapInArrow(_extract(model), "id long, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias("url"), "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ._store import Workspace
+from ._store import Workspace, small_batches
 from ._text import slices
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -150,6 +150,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
 
     The WORDS most frequent words and GRAMS most frequent n-grams are kept in memory, the others as tables in the shared folder.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     ws = Workspace(docs.sparkSession, "language")
     by_word, words = _tabled(rows.mapInArrow(_count, "word string, lang string, n long"), ws, "words")
@@ -327,6 +328,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
     Null text, or text without a letter: `und`, score 0; so is all text if the model has no language. Repeated ids and null
     ids stay as rows. Empty table: empty result. Input columns called lang_pred or score are replaced.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     kept = docs.select(*keep)
     schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])

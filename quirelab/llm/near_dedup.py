@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components, flatten_parents
-from ._store import Workspace
+from ._store import Workspace, small_batches
 from ._text import Words, as_bytes, mix, slices
 
 ROWS = 4
@@ -214,6 +214,7 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     component_id, and is kept. Empty table: empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     similarity = percent / 100
     ws = Workspace(spark, "near")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import small_batches
 from ._text import slices
 
 SPACE = "▁"
@@ -255,6 +256,7 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc
 
     Null and empty text: begin and end only, decoded empty. Repeated ids stay separate rows. Null ids stay. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(_run(vocabulary), "id long, ids binary, decoded string")
     return out.select(F.col("id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")

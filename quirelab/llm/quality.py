@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import small_batches
 from ._text import Words, as_bytes, slices
 
 BUCKET_BITS = 14
@@ -195,6 +196,7 @@ def quality(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     Null or empty text: zeros, base_failed. Repeated ids and null ids stay as rows. Empty table: empty result. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = ", ".join(f"{f.name} {'double' if f.name == 'quality' else 'long'}" for f in SCORED)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import Workspace
+from ._store import Workspace, small_batches
 
 #: Vectors that teach a cut, at most.
 SAMPLE = 4096
@@ -332,6 +332,7 @@ def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_
     gets all of them. Ties go to the smaller id. Long vectors: nothing depends on their length but work. Empty table: empty result. Other columns are ignored.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     ws = Workspace(spark, "nearest")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vector"), queries.alias("asks"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vector")))
