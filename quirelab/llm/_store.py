@@ -25,7 +25,7 @@ BATCH_BYTES = 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Lets Spark hand texts to Python in Arrow batches of BATCH_BYTES at most, unless the session asks for less: a task holds each batch twice, beside the heap and in Python."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "-1").removesuffix("b")
+    now = (spark.conf.get(key, None) or "").removesuffix("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
