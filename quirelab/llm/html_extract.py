@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import small_batches
+from ._text import thrifty
 
 SAMPLE = 1000
 SAMPLE_BLOCKS = 20_000
@@ -430,7 +431,7 @@ LESSONS = pa.schema([("x", pa.list_(pa.float64())), ("names", pa.list_(pa.int32(
 
 
 def _lessons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in thrifty(batches):
         rows = [r for page in batch.column("html").to_pylist() if page for r in lesson(blocks(page))]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(LESSONS.types)], schema=LESSONS)
 
@@ -477,7 +478,7 @@ TEXTS = pa.schema([("id", pa.int64()), ("url", pa.string()), ("text", pa.string(
 
 def _extract(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             texts = [main_text(p, model) if p else "" for p in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], schema=TEXTS)
 

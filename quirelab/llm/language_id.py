@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ._store import Workspace, small_batches
-from ._text import slices
+from ._text import slices, thrifty
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 GRAM = 4
@@ -51,7 +51,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array([lang] * len(count), pa.string()), pa.array(list(count.values()), pa.int64())], schema=COUNTS)
         words.clear()
 
-    for batch in batches:
+    for batch in thrifty(batches):
         for lo, hi in slices(batch.column("text")):
             for text, lang in zip(*(batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("text", "lang")), strict=True):
                 words.setdefault(lang, Counter()).update(_words(text))
@@ -69,7 +69,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array([lang] * len(count), pa.string()), pa.array(list(count.values()), pa.int64())], schema=COUNTS)
         part.clear()
 
-    for batch in batches:
+    for batch in thrifty(batches):
         for word, by_lang in zip(batch.column("word").to_pylist(), batch.column("by_lang").to_pylist(), strict=True):
             found = Counter(g for k in range(1, GRAM + 1) for g in grams(word, k))
             for lang, n in by_lang:
@@ -187,7 +187,7 @@ def _predict(m: Model, text_col: str, keep: list[str]):
         rows = np.concatenate((m.logs, np.zeros((CACHE, len(m.langs)), np.float32))) if m.langs else None
         seen = dict(m.words)
         used = n_known
-        for batch in batches:
+        for batch in thrifty(batches):
             for lo, hi in slices(batch.column(text_col)):
                 found = [_words(t) for t in batch.column(text_col).slice(lo, hi - lo).to_pylist()]
                 size = np.fromiter(map(len, found), np.int64, len(found))
@@ -227,7 +227,7 @@ def _begin(m: Model, text_col: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.concatenate((values, np.zeros((1, values.shape[1]), np.float32))).astype(np.float64)
         get, other = known.get, len(values)
-        for batch in batches:
+        for batch in thrifty(batches):
             for lo, hi in slices(batch.column(text_col)):
                 sums, rest = [], []
                 for t in batch.column(text_col).slice(lo, hi - lo).to_pylist():
@@ -252,7 +252,7 @@ def _places(m: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs, get = np.round(values.astype(np.float64) * UNIT).astype(np.int64), known.get
-        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+        for batch in (b.slice(at, SLICE) for b in thrifty(batches) for at in range(0, b.num_rows, SLICE)):
             out = []
             for word in batch.column("word").to_pylist():
                 w, settled, places = f"^{word}$", [], []

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ._components import components, flatten_parents
 from ._store import Workspace, small_batches
-from ._text import Words, as_bytes, mix, slices
+from ._text import Words, as_bytes, mix, slices, thrifty
 
 ROWS = 4
 SAMPLES = 4096
@@ -81,7 +81,7 @@ SIGNED_SQL = "id long, n_shingles long, key binary, bands array<long>, sketch bi
 
 def _sign(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             for lo, hi in slices(batch.column("text")):
                 n = hi - lo
                 doc, h = Words(as_bytes(batch.column("text").slice(lo, n)), lower=True).shingles(shingle)
@@ -107,7 +107,7 @@ def _confirm(shingle: int, percent: int):
     """Keeps pairs whose full shingle sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             good = np.zeros(batch.num_rows, bool)
             for lo, hi in slices(batch.column("ta"), batch.column("tb")):
                 n = hi - lo
@@ -133,7 +133,7 @@ def _sift(similarity: float):
     """Keeps pairs whose sketches are near enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             apart = np.bitwise_count(_bits(batch.column("sketch_a")) ^ _bits(batch.column("sketch_b"))).sum(axis=1)
             n = {c: batch.column(c).to_numpy() for c in ("size_a", "size_b", "sampled_a", "sampled_b")}
             mask = pa.array(may_link(apart, n["size_a"], n["size_b"], n["sampled_a"], n["sampled_b"], similarity))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import small_batches
-from ._text import slices
+from ._text import slices, thrifty
 
 SPACE = "▁"
 NONE = np.int64(1) << 40
@@ -239,7 +239,7 @@ def _run(v: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(v)
         begin, end = (np.array([x], "<u4").tobytes() for x in (v.bos, v.eos))
-        for batch in batches:
+        for batch in thrifty(batches):
             for lo, hi in slices(batch.column("text")):
                 ids = [begin + x + end for x in c.encode([t or "" for t in batch.column("text").slice(lo, hi - lo).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.string())], schema=TOKENS)

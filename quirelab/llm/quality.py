@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import small_batches
-from ._text import Words, as_bytes, slices
+from ._text import Words, as_bytes, slices, thrifty
 
 BUCKET_BITS = 14
 CHARACTERS = (2, 4)
@@ -50,7 +50,7 @@ N_GROUPS = 2 + len(CHARACTERS)
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's share of its features by (group, bucket), as indices and values."""
-    for batch in batches:
+    for batch in thrifty(batches):
         quality = batch.column("quality").to_pylist()
         for lo, hi in slices(batch.column("text")):
             words = Words(as_bytes(batch.column("text").slice(lo, hi - lo)))
@@ -170,7 +170,7 @@ def _repeated_words(words: Words) -> np.ndarray:
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thrifty(batches):
             for lo, hi in slices(batch.column("text")):
                 n, part = hi - lo, as_bytes(batch.column("text").slice(lo, hi - lo))
                 words = Words(part)
