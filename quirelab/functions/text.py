@@ -22,6 +22,8 @@ NUMBER = r"^(\(?\d{1,2}[.)]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,4}[.)])\s+"
 # What names of bold and of italic fonts hold, whatever the case.
 BOLD_NAME = r"(?i)bold|black|heavy|semibold|demi|[-,_ ]?medi(um)?\b|[-,]bd\b|cmbx|cmb10|cmssbx|\bsb\b"
 ITALIC_NAME = r"(?i)italic|oblique|ital\b|[-,]it\b|cmti|cmmi|cmsl|cmitt|slanted"
+# How a colour is written.
+COLOR = r"rgba?\(\s*([\d.]+)[,\s]+([\d.]+)[,\s]+([\d.]+)(?:\s*[,/]\s*([\d.]+%?))?\s*\)"
 # Names of font families by kind, looked for in this order.
 FAMILIES = (
     ("mono", "mono|courier|consolas|menlo|monaco"),
@@ -165,11 +167,10 @@ def inline_markup(text: Column) -> Column:
 
 def color(css: Column) -> Column:
     """rgb() or rgba() as parts from 0 to 1, opacity as a number or in percent; null for anything else."""
-    pattern = r"rgba?\(\s*([\d.]+)[,\s]+([\d.]+)[,\s]+([\d.]+)(?:\s*[,/]\s*([\d.]+%?))?\s*\)"
-    part = lambda i: F.regexp_extract(css, pattern, i).try_cast("double")
-    alpha = F.regexp_extract(css, pattern, 4)
+    part = lambda i: F.regexp_extract(css, COLOR, i).try_cast("double")
+    alpha = F.regexp_extract(css, COLOR, 4)
     share = F.regexp_replace(alpha, "%$", "").try_cast("double") / F.when(alpha.endswith("%"), 100.0).otherwise(1.0)
-    return F.when(css.rlike(pattern), F.struct((part(1) / 255).alias("r"), (part(2) / 255).alias("g"), (part(3) / 255).alias("b"), F.when(alpha == "", 1.0).otherwise(share).alias("a")))
+    return F.when(css.rlike(COLOR), F.struct((part(1) / 255).alias("r"), (part(2) / 255).alias("g"), (part(3) / 255).alias("b"), F.when(alpha == "", 1.0).otherwise(share).alias("a")))
 
 
 def hex_color(code: Column) -> Column:
@@ -232,7 +233,7 @@ CONSTANTS = "true false null undefined nil None self this super"
 
 
 def code_pattern(keywords: str = KEYWORDS, constants: str = CONSTANTS) -> re.Pattern:
-    """One alternative for each kind of token, in the order in which they are tried."""
+    """One alternative for each kind of token, in the order in which they are tried. The forms of comments, strings and numbers."""
     any_of = lambda names: "|".join(map(re.escape, names.split()))
     kinds = {
         "comment": r"//[^\n]*|/\*.*?\*/|#[^\n]*|<!--.*?-->",
