@@ -22,21 +22,13 @@ def repeated_lines(lines: DataFrame, least: int = 3) -> DataFrame:
     return keyed.groupBy("doc_id", "line_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
-#: Runs of references up to which they are broadcast.
-BROADCAST = 1_000_000
-
-
 def run_pairs(ref: DataFrame, out: DataFrame, run: int = 12) -> DataFrame:
     """(ref_id, out_id) of word lists that share a run of `run` words; each list is (id, words).
 
-    Runs meet by two 64-bit hashes. References are a stated set; their runs are broadcast if they are BROADCAST at most, so that none of the
-    other side's travel, and pairs are told apart before they do. A run that all texts share pairs each reference that has it with all of them, since these are pairs.
+    The distinct runs of each side meet in one equi-join. A run that all texts share pairs each reference that has it with all of them, since these are pairs.
     """
-    both = lambda r: F.struct(F.xxhash64(r).alias("a"), F.xxhash64(r, F.lit(1)).alias("b"))
-    grams = lambda d, name: d.select(F.col("id").alias(name), F.explode(F.array_distinct(F.transform(_runs(F.col("words"), run), both))).alias("run"))
-    known = grams(ref, "ref_id")
-    few = known.limit(BROADCAST + 1).count() <= BROADCAST
-    return grams(out, "out_id").join(F.broadcast(known) if few else known, "run").select("ref_id", "out_id").distinct()
+    grams = lambda d, name: d.select(F.col("id").alias(name), F.explode(F.array_distinct(_runs(F.col("words"), run))).alias("run"))
+    return grams(ref, "ref_id").join(grams(out, "out_id"), "run").select("ref_id", "out_id").distinct()
 
 
 def _runs(words: Column, run: int) -> Column:

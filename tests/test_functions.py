@@ -260,15 +260,13 @@ def test_runs_drift(spark):
     assert got == [("a b", None, 12.0), ("c", None, 12.8), ("2", "sup", 12.0), ("i", "sub", 12.0)]
 
 
-def test_pairs_by_hashed_runs(spark, monkeypatch):
+def test_pairs_by_runs(spark):
     rng = random.Random(1)
     lists = [[rng.choice("abcd") for _ in range(rng.randrange(0, 14))] for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(lists)), "id int, words array<string>")
     runs = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
     expected = {(i, j) for i, a in enumerate(lists) for j, b in enumerate(lists) if runs(a) & runs(b)}
-    for most in (10**6, 1):
-        monkeypatch.setattr(O, "BROADCAST", most)
-        assert {tuple(r) for r in O.run_pairs(df, df, 5).collect()} == expected
+    assert {tuple(r) for r in O.run_pairs(df, df, 5).collect()} == expected
 
 
 def test_script_runs(spark):
