@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_extract, language_id, license_scan, piece_tokenizer, quality, vector_search
+from .fingerprints import fingerprints
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .near_dedup import near_dedup
+from .prefix_trie import prefix_trie, sequences, with_heads_of
+from .source_divergence import source_divergence
 from .substring_dedup import substring_dedup
 
 
@@ -83,6 +86,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    heads = F.crc32(conv.cast("string").cast("binary")) % 4
+    return prefix_trie(with_heads_of(sequences(_table(spark, sf_dir, "conversations")), conv - conv % 20, heads))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -94,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_html_extract": op9_html_extract,
     "op10_line_dedup": op10_line_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_fingerprints": op13_fingerprints,
     "quality_measures": quality_measures,
 }
 
@@ -191,4 +211,53 @@ g AS (SELECT t.doc_id, count(c.p) AS n_removed, coalesce(string_agg(t.line, chr(
 SELECT l.doc_id, coalesce(len(l.ls), 0)::BIGINT AS n_lines, coalesce(g.n_removed, 0)::BIGINT AS n_removed,
        CASE WHEN l.text IS NOT NULL THEN sha256(g.kept) END AS kept_sha256
 FROM l LEFT JOIN g ON g.doc_id = l.doc_id""",
+    "op11_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+o AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM o GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10),
+z AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+t AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM c GROUP BY 1, 2),
+p AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (coalesce(t.n, 0) + 2 * z.v) AS p, 1 + (1000000000 * (k.n + 2)) // (z.n + 2 * z.v) AS q
+  FROM g JOIN kept k USING (lang) JOIN z USING (lang) LEFT JOIN t USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b USING (lang, term) GROUP BY 1, 2, 3),
+u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+w AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM u)
+SELECT * FROM w WHERE part = 'pair' OR rank <= 10""",
+    "op12_prefix_trie": r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+o AS (
+  SELECT conv_id, row_number() OVER w AS k, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')))),
+h AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS head_of,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM o), crc),
+r AS (
+  SELECT h.conv_id, o.k, role, text FROM h JOIN o ON o.conv_id = head_of AND o.k <= h
+  UNION ALL SELECT h.conv_id, o.k, role, text FROM h JOIN o ON o.conv_id = h.conv_id AND o.k > h),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS d FROM r),
+p AS (
+  SELECT conv_id, 0::BIGINT AS d, NULL::VARCHAR AS up, 'root' AS path, 0::BIGINT AS words FROM h
+  UNION ALL SELECT n.conv_id, n.d, p.path, md5(p.path || ':' || length(n.role) || ':' || n.role || n.text), len(regexp_extract_all(n.text, '[^\x20\x09-\x0D]+'))::BIGINT FROM p JOIN n ON n.conv_id = p.conv_id AND n.d = p.d + 1),
+l AS (SELECT conv_id, max(d) AS len FROM p GROUP BY 1),
+m AS (
+  SELECT path, any_value(up) AS up, any_value(d) AS depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (WHERE len = d), '')) AS ends_sha256
+  FROM p JOIN l ON l.conv_id = p.conv_id GROUP BY 1),
+k AS (SELECT up AS path, count(*) AS n FROM m WHERE up IS NOT NULL GROUP BY 1),
+s AS (SELECT path AS top, path FROM m UNION ALL SELECT s.top, m.path FROM s JOIN m ON m.up = s.path),
+a AS (SELECT s.top AS path, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves, sum((m.n_convs - 1) * m.words)::BIGINT AS saved_tokens FROM s JOIN m ON m.path = s.path LEFT JOIN k ON k.path = s.path GROUP BY 1)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, coalesce(k.n, 0) AS n_children, a.n_leaves, a.saved_tokens, m.ends_sha256
+FROM m JOIN a ON a.path = m.path LEFT JOIN k ON k.path = m.path LEFT JOIN m u ON u.path = m.up""",
 }
