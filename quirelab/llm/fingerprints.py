@@ -9,11 +9,12 @@ from ._store import Workspace
 
 # A line is cut after each sentence, and after 160 code points where no sentence ends, so that a text of one line is more than one digest.
 PARAGRAPH = r"[^\n.!?]{1,160}[.!?]*|[.!?]+"
-PARTS, CELLS, ROUNDS, SPLIT_BITS = 3, 16, 16, 2
+PARTS, CELLS = 3, 16
+FIRST_STEPS, STEPS = 9, 3  # of peeling, each over one part: of the first sketch, and of larger ones, whose parts hold few digests
+HOPELESS = 45  # a sketch with more cells in use is not worth peeling
+DEAL = 150_000  # digests to a task
+SPLIT_BITS, LEVELS = 6, 9  # a larger sketch has 64 times the cells; so often at most
 COPIES = 4096
-_CELL = "struct<n:int,key:bigint,check:bigint>"
-_PEELED = f"struct<cells:array<{_CELL}>,added:array<bigint>,removed:array<bigint>>"
-_NO_KEYS = "array<bigint>"
 
 
 def paragraphs(text: Column) -> Column:
@@ -26,95 +27,81 @@ def _check(key: Column) -> Column:
 
 
 def _spot(key: Column, part: int) -> Column:
-    """Which cell of a part holds a key."""
-    return F.shiftrightunsigned(key, 4 * part).bitwiseAND(F.lit(CELLS - 1))
+    """The cell of a part that holds a key; parts have CELLS each."""
+    return (F.shiftrightunsigned(key, 4 * part).bitwiseAND(F.lit(CELLS - 1)) + part * CELLS).cast("int")
 
 
-def _put(cell: Column, n: Column, key: Column, check: Column) -> Column:
-    return F.struct((cell["n"] + n).cast("int").alias("n"), cell["key"].bitwiseXOR(key).alias("key"), cell["check"].bitwiseXOR(check).alias("check")).cast(_CELL)
+def _row(cell: Column, n: Column, key: Column, check: Column, digest: Column | None = None) -> Column:
+    return F.struct(cell.alias("cell"), n.cast("long").alias("n"), key.alias("key"), check.alias("check"), (F.lit(None) if digest is None else digest).cast("long").alias("digest"))
 
 
-def _fill(cells: Column, keys: Column, sign: int) -> Column:
-    """Cells with the keys put in, or taken out: an array of cells, all of part 0 first."""
+def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Cells of one place added up: numbers as a sum, digests and check values by XOR. Cells with nothing in them go; recovered digests (cell -1) stay."""
+    out = rows.groupBy(*by, "cell", "digest").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
+    return out.filter("cell = -1 OR n <> 0 OR key <> 0 OR check <> 0")
 
-    def part(j: int) -> Column:
-        mine = lambda i: F.filter(keys, lambda k: _spot(k, j) == i)
-        return F.transform(F.slice(cells, j * CELLS + 1, CELLS), lambda c, i: F.aggregate(mine(i), c, lambda acc, k: _put(acc, F.lit(sign), k, _check(k))))
 
-    return F.concat(*[part(j) for j in range(PARTS)])
+def sketch(sets: DataFrame, by: list[str]) -> DataFrame:
+    """(by, cell, digest, n, key, check): the sketches of sets (by, key, sign). A digest goes into one cell of every part; a digest of sign -1 is subtracted, so the
+    sketch of two sets of opposite signs is the difference of their sketches, in which common digests cancel out."""
+    spots = F.array(*[_row(_spot(F.col("key"), j), F.col("sign"), F.col("key"), _check(F.col("key"))) for j in range(PARTS)])
+    return _summed(sets.select(*by, F.inline(spots)), by)
 
 
-def _empty_cells() -> Column:
-    zero = F.lit(0).cast("bigint")
-    return F.array_repeat(F.struct(F.lit(0).alias("n"), zero.alias("key"), zero.alias("check")).cast(_CELL), PARTS * CELLS)
+def peel(cells: DataFrame, by: list[str], steps: int = FIRST_STEPS) -> DataFrame:
+    """Sketches as far as they can be peeled: a cell of one digest gives it away, it is taken out of its other cells, and these may then hold one.
 
-
-def sketch(keys: Column) -> Column:
-    """The cells of a set of digests: each digest is in one cell of every part; a cell holds their number, and the XOR of them and of their check values."""
-    return _fill(_empty_cells(), keys, 1)
-
-
-def subtract(a: Column, b: Column) -> Column:
-    """The sketch of what differs: digests that both hold cancel out."""
-    return F.zip_with(a, b, lambda x, y: _put(x, -y["n"], y["key"], y["check"]))
-
-
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def peel(cells: Column) -> Column:
-    """(cells, added, removed) of a difference: a cell of one digest gives it away; it is taken out of its other cells, which may then hold one.
-
-    Nothing is left in the cells if all digests were found; otherwise a larger sketch is needed.
+    Recovered digests are rows of cell -1 with `digest` and its sign `n`; cells that are still there tell that a sketch was too small. One part is
+    peeled at a time, so that no digest is found twice. Nothing is shuffled if cells come dealt by some of `by`.
     """
-    alone = lambda cells, n: F.array_distinct(F.transform(F.filter(cells, lambda c: (c["n"] == n) & (c["check"] == _check(c["key"]))), lambda c: c["key"]))
+    for step in range(steps):
+        j = step % PARTS
+        alone = (F.col("cell") >= j * CELLS) & (F.col("cell") < (j + 1) * CELLS) & (F.abs("n") == 1) & (F.col("check") == _check(F.col("key")))
+        out = [_row(_spot(F.col("key"), i), -F.col("n"), F.col("key"), F.col("check")) for i in range(PARTS) if i != j]
+        found = F.array(_row(F.lit(-1), F.col("n"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.col("key")), *out)
+        as_is = F.array(_row(F.col("cell"), F.col("n"), F.col("key"), F.col("check"), F.col("digest")))
+        cells = _summed(cells.select(*by, F.inline(F.when(alone, found).otherwise(as_is))), by)
+    return cells
 
-    def step(s: Column, _: Column) -> Column:
-        one = F.struct(alone(s["cells"], 1).alias("p"), alone(s["cells"], -1).alias("m"))
-        taken = lambda o: F.struct(
-            _fill(_fill(s["cells"], o["p"], -1), o["m"], 1).alias("cells"), F.concat(s["added"], o["p"]).alias("added"), F.concat(s["removed"], o["m"]).alias("removed")
-        ).cast(_PEELED)
-        return _let(one, lambda o: F.when((F.size(o["p"]) > 0) | (F.size(o["m"]) > 0), taken(o)).otherwise(s))
 
-    start = F.struct(cells.alias("cells"), F.array().cast(_NO_KEYS).alias("added"), F.array().cast(_NO_KEYS).alias("removed")).cast(_PEELED)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
+def worth_peeling(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches without those that have next to no empty cell: one cell that can't be peeled stands for these."""
+    kept = F.collect_list(F.struct("cell", "n", "key", "check", "digest"))
+    zero = F.lit(0).cast("long")
+    full = F.array(_row(F.lit(PARTS * CELLS), zero, zero, F.lit(-1).cast("long")))
+    return cells.groupBy(*by).agg(kept.alias("c")).select(*by, F.inline(F.when(F.size("c") > HOPELESS, full).otherwise(F.col("c"))))
 
 
-def spelled(cells: Column) -> Column:
-    """A sketch as text: number, digests and check value of each cell in hexadecimal."""
-    wide = lambda c, n: F.lpad(F.lower(F.hex(c)), n, "0")
-    return F.array_join(F.transform(cells, lambda c: F.concat(wide(c["n"].cast("long"), 4), wide(c["key"], 16), wide(c["check"], 8))), "")
+def _tasks(digests: int) -> int:
+    return max(1, min(digests // DEAL + 1, 100_000))
 
 
-def differences(pairs: DataFrame, ws: Workspace, *, id_cols: list[str]) -> DataFrame:
-    """pairs (id_cols, a, b, cells_a, cells_b; a and b sets of digests) as (id_cols, n_added, n_removed): digests that only a, only b holds, recovered from the two sketches.
+def differences(ws: Workspace, sets: DataFrame, by: list[str]) -> DataFrame:
+    """(by, digest, n): what the sets (by, key, sign) of the two signs don't share, n telling whose it is, recovered by peeling the difference of their sketches.
 
-    Where peeling fails, a larger sketch is tried: four times the cells, as one sketch for each value of the next two bits of the digests; those of them that
-    fail are enlarged again. A row holds one such part, so its work is bounded; after 24 bits what is left is compared directly (not met in tests).
+    Where peeling fails, a larger sketch is tried: 64 times the cells, as one sketch for each value of the digests' next six bits; those of these that fail are enlarged
+    again. Whatever is left after LEVELS such steps (54 bits of the digests alike; not met in tests) is compared directly. Sets must come dealt by some of `by`.
     """
-    done, level, todo = None, 0, pairs
-    while True:
-        tried = todo.withColumn("_left", peel(subtract(F.col("cells_a"), F.col("cells_b"))))
-        ok = F.forall("_left.cells", lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0))
-        tried = tried.select(*id_cols, ok.alias("ok"), F.size("_left.added").alias("n_added"), F.size("_left.removed").alias("n_removed"), F.when(~ok, F.col("a")).alias("a"), F.when(~ok, F.col("b")).alias("b"))
-        tried = ws.save(tried, f"tried{level}")
-        found = tried.filter("ok").select(*id_cols, "n_added", "n_removed")
+    bucket = F.lit(0).cast("long")
+    todo, done = sets.withColumn("bucket", bucket), None
+    for level in range(LEVELS + 1):
+        ids = [*by, "bucket"]
+        cells = peel(sketch(todo, ids), ids, STEPS) if level else peel(worth_peeling(sketch(todo, ids), ids), ids, FIRST_STEPS)
+        left = ws.save(cells, f"peeled{level}")
+        found = left.filter("cell = -1").select(*by, "bucket", "digest", "n")
+        failed = left.filter("cell >= 0").select(*ids).distinct()
+        found = found.join(failed, ids, "left_anti").select(*by, "digest", "n")
         done = found if done is None else done.unionByName(found)
-        todo = tried.filter("NOT ok").select(*id_cols, "a", "b")
-        if todo.isEmpty():
-            break
-        if level == 12:
-            done = done.unionByName(todo.select(*id_cols, F.size(F.array_except("a", "b")).alias("n_added"), F.size(F.array_except("b", "a")).alias("n_removed")))
-            break
-        shift = 62 - SPLIT_BITS * level
-        bits = lambda k, shift=shift: F.shiftrightunsigned(k, shift).bitwiseAND(F.lit((1 << SPLIT_BITS) - 1))
-        todo = todo.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit((1 << SPLIT_BITS) - 1))))
-        todo = todo.select(*id_cols, *[F.filter(c, lambda k: bits(k) == F.col("_at")).alias(c) for c in ("a", "b")]).filter("size(a) + size(b) > 0")
-        todo = todo.withColumn("cells_a", sketch(F.col("a"))).withColumn("cells_b", sketch(F.col("b")))
-        level += 1
-    return done.groupBy(*id_cols).agg(F.sum("n_added").alias("n_added"), F.sum("n_removed").alias("n_removed"))
+        if failed.isEmpty():
+            return done
+        todo = todo.join(failed, ids, "left_semi")
+        if level < LEVELS:
+            shift = 64 - SPLIT_BITS * (level + 1)
+            todo = todo.withColumn("bucket", F.shiftrightunsigned("key", shift))
+            todo = ws.save(todo, f"again{level}")
+            todo = todo.repartition(_tasks(todo.count()), by[0])
+    rest = todo.groupBy(*by, F.col("key").alias("digest")).agg(F.sum("sign").alias("n")).filter("n <> 0")
+    return done.unionByName(rest)
 
 
 def likeness(n_a: Column, n_b: Column, differing: Column) -> Column:
@@ -122,62 +109,68 @@ def likeness(n_a: Column, n_b: Column, differing: Column) -> Column:
     return F.when(n_a + n_b == 0, F.lit(1.0)).otherwise((n_a + n_b - differing) / (n_a + n_b + differing))
 
 
+def _spelled() -> Column:
+    """The cells of one sketch as text, in their order: place, number, digests and check value in hexadecimal."""
+    wide = lambda c, n: F.lpad(F.lower(F.hex(c)), n, "0")
+    return F.array_join(F.sort_array(F.collect_list(F.concat(wide(F.col("cell").cast("long"), 2), wide(F.col("n"), 4), wide(F.col("key"), 16), wide(F.col("check"), 8)))), "")
+
+
 def ring(ws: Workspace, keys: DataFrame, order: list[str]) -> DataFrame:
-    """Keys with `place`, their number from 0 in `order`, and `all`, how many there are. Ranges are numbered each by itself, after the counts of those before."""
+    """Keys (k, order, others) with `place`, their number in `order`, and `before`, the k of the one before; the last one comes before the first. Ranges are numbered each by itself, after the counts of those before."""
     dealt = ws.save(keys.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"), F.sum("n").over(Window.partitionBy()).alias("all"))  # one row a range
+    before = counts.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"), F.sum("n").over(Window.partitionBy()).alias("_all"))  # one row a range
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return dealt.join(before, "_range").withColumn("place", F.col("_before") + place - 1).drop("_range", "_before")
+    placed = ws.save(dealt.join(before, "_range").withColumn("_place", F.col("_before") + place - 1).drop("_range", "_before"), "places")
+    earlier = placed.select(((F.col("_place") + 1) % F.col("_all")).alias("_place"), F.col("k").alias("before"), F.col("n_chars").alias("before_chars"))
+    return placed.join(earlier, "_place").withColumnRenamed("_place", "place").drop("_all")
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_paragraphs, n_differing) of every row.
 
-    A fingerprint is the sketch of a text's paragraphs (see PARAGRAPH), 48 cells in hexadecimal: equal texts have equal ones, and two can be subtracted.
-    Likeness is told from the difference of two fingerprints: peeling gives the digests that only one text has, hence those in common. Where more differ than
-    the cells can tell, larger sketches of the same paragraphs are tried.
+    A fingerprint is the sketch of a text's paragraphs (see PARAGRAPH), its cells in hexadecimal: equal texts have equal ones, and two can be subtracted.
+    Likeness is told from such differences: peeling gives the digests that only one text has, hence the number in common. Where more differ than the
+    cells can tell, larger sketches of the same paragraphs are tried.
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many (or all) of the next document's; after the last comes the first.
 
     Documents are ordered by id, null last, then by digest of the text. Equal rows (id and text) count as one document; each gets its result. Null text is empty. A single
-    document is its own next one. Empty texts have no paragraphs and are wholly alike. Empty table: no rows. Other columns are ignored.
+    document is its own next one. Empty texts have no paragraphs, an empty fingerprint, and are wholly alike. Empty table: no rows. Other columns are ignored.
 
-    Copies of a row meet with their count combined before the shuffle, and are dealt again by COPIES at the end. Texts are shuffled once, and a quarter of them, as heads
+    Copies of a row meet with one text kept before the shuffle, and are dealt again by COPIES at the end. Texts are shuffled once, and a quarter of them, as heads
     for the document before, once more; from then on only digests travel. Places come from ranges, so that no task sees all ids.
     """
     ws = Workspace(docs.sparkSession, "fingerprints")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).isNull().alias("x"), F.col(id_col).alias("d"), F.unhex(F.md5(text.cast("binary"))).alias("m"), text.alias("text"))
-    texts = ws.save(base.groupBy("x", "d", "m").agg(F.count(F.lit(1)).alias("copies"), F.any_value("text").alias("text"), F.char_length(F.any_value("text")).cast("long").alias("n_chars")), "texts")
-    placed = ws.save(ring(ws, texts.select("x", "d", "m", "n_chars"), ["x", "d", "m"]).drop("n_chars"), "places")
-    whole = texts.join(placed, ["x", "d", "m"]).select("place", "all", F.col("d").alias(id_col), "copies", "n_chars", "text")
-    whole = ws.save(whole, "placed")
-    ws.drop(texts)
-
-    wants = whole.select(((F.col("place") + 1) % F.col("all")).alias("place"), F.expr("n_chars div 4").alias("wanted"))
-    heads = whole.join(wants, "place").select(((F.col("place") + F.col("all") - 1) % F.col("all")).alias("place"), F.expr("left(text, cast(wanted as int))").alias("head"))
+    digest = F.md5(text.cast("binary"))
+    k = F.unhex(F.md5(F.concat_ws("|", digest, F.col(id_col).cast("string")).cast("binary")))
+    base = docs.select(k.alias("k"), F.col(id_col).isNull().alias("x"), F.col(id_col).alias("d"), digest.alias("m"), text.alias("text"))
+    keys = base.groupBy("k", "x", "d", "m").agg(F.count(F.lit(1)).alias("copies"), F.max(F.char_length("text")).cast("long").alias("n_chars"))
+    placed = ws.save(ring(ws, keys, ["x", "d", "m"]).select("k", "place", F.col("d").alias(id_col), "copies", "n_chars", "before", "before_chars"), "ring")
+
+    texts = base.groupBy("k").agg(F.any_value("text").alias("text"))
+    head = F.expr("left(text, cast(before_chars div 4 as int))")
+    heads = texts.join(placed.select("k", "before", "before_chars"), "k").select(F.col("before").alias("k"), head.alias("head"), paragraphs(F.col("text")).alias("next"))
     edited = F.concat(F.expr("left(text, cast(n_chars - n_chars div 4 as int))"), F.col("head"))
-    seen = whole.join(heads, "place").withColumn("edited", edited)
-    seen = seen.select("place", "all", id_col, "copies", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("theirs"))
-    seen = ws.save(seen, "paragraphs")
-    made = ws.save(seen.withColumn("own_cells", sketch(F.col("own"))).withColumn("their_cells", sketch(F.col("theirs"))), "sketches")
-    ws.drop(whole, seen)
-
-    following = made.select(((F.col("place") + F.col("all") - 1) % F.col("all")).alias("place"), F.col("own").alias("b"), F.col("own_cells").alias("cells_b"))
-    pair = lambda which, b, cells_b: [F.col("place"), F.lit(which).alias("pair"), F.col("own").alias("a"), F.col(b).alias("b"), F.col("own_cells").alias("cells_a"), F.col(cells_b).alias("cells_b")]
-    pairs = made.select(*pair("edited", "theirs", "their_cells")).unionByName(made.join(following, "place").select(*pair("next", "b", "cells_b")))
-    apart = differences(pairs, ws, id_cols=["place", "pair"]).withColumn("n", F.col("n_added") + F.col("n_removed"))
-    apart = apart.groupBy("place").agg(
-        F.max(F.when(F.col("pair") == "edited", F.col("n"))).alias("n_differing"), F.max(F.when(F.col("pair") == "next", F.col("n"))).alias("_next"),
-        F.max(F.when(F.col("pair") == "next", F.col("n_removed") - F.col("n_added"))).alias("_more"),
-    )
-    n, m = F.size("own"), F.size("theirs")
-    out = made.join(apart, "place").select(
-        id_col, "copies", "n_chars", "edited_sha256", spelled(F.col("own_cells")).alias("fingerprint"), spelled(F.col("their_cells")).alias("edited_fingerprint"),
-        likeness(n, m, F.col("n_differing")).alias("near_edited"), likeness(n, n + F.col("_more"), F.col("_next")).alias("near_next"), n.cast("long").alias("n_paragraphs"), "n_differing",
+    seen = texts.join(placed.select("k", "place", id_col, "copies", "n_chars"), "k").join(heads, "k").withColumn("edited", edited)
+    seen = ws.save(seen.select("place", id_col, "copies", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("edited"), "next"), "paragraphs")
+
+    digests = seen.agg(F.sum(3 * F.size("own") + F.size("edited") + F.size("next")).alias("n")).first()["n"] or 0
+    dealt = seen.select("place", "own", "edited", "next").repartition(_tasks(digests), "place")
+    of = lambda column, tag, sign: F.transform(column, lambda p: F.struct(F.lit(tag).alias("tag"), p.alias("key"), F.lit(sign).alias("sign")))
+    sets = dealt.select("place", F.inline(F.concat(of("own", 0, 1), of("edited", 1, 1))))
+    spelled = sketch(sets, ["place", "tag"]).groupBy("place", "tag").agg(_spelled().alias("f"))
+    marks = spelled.groupBy("place").agg(*[F.max(F.when(F.col("tag") == t, F.col("f"))).alias(c) for t, c in ((0, "fingerprint"), (1, "edited_fingerprint"))])
+    pairs = dealt.select("place", F.inline(F.concat(of("own", 1, 1), of("edited", 1, -1), of("own", 2, 1), of("next", 2, -1))))
+    apart = differences(ws, pairs, ["place", "tag"]).groupBy("place").agg(F.count_if(F.col("tag") == 1).alias("_edited"), F.count_if(F.col("tag") == 2).alias("_next"))
+    n, m, o = F.size("own"), F.size("edited"), F.size("next")
+    out = seen.join(marks, "place", "left").join(apart, "place", "left").na.fill(0, ["_edited", "_next"]).na.fill("", ["fingerprint", "edited_fingerprint"])
+    out = out.select(
+        id_col, "copies", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(n, m, F.col("_edited")).alias("near_edited"),
+        likeness(n, o, F.col("_next")).alias("near_next"), n.cast("long").alias("n_paragraphs"), F.col("_edited").alias("n_differing"),
     )
     out = ws.save(out, "result")
     ws.keep(out)
-    copies = out.filter("copies > 1").withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}")))).repartition(F.col(id_col), "_deal")
+    copies = out.filter("copies > 1").withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}")))).repartition(F.col(id_col), F.col("_deal"))
     copies = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col("copies") - F.col("_deal") * COPIES)))).drop("_deal", "_copy")
     return out.filter("copies = 1").unionByName(copies).drop("copies")
