@@ -12,7 +12,7 @@ PARAGRAPH = r"[^\n.!?]{1,160}[.!?]*|[.!?]+"
 PARTS, CELLS = 3, 16
 FIRST_STEPS, STEPS = 9, 3  # of peeling, each over one part: of the first sketch, and of larger ones, whose parts hold few digests
 HOPELESS = 45  # a sketch with more cells in use is not worth peeling
-DEAL = 150_000  # digests to a task
+DEAL, PARAGRAPH_CHARS = 500_000, 70  # digests to a task; so many code points a digest, roughly, to tell their number
 SPLIT_BITS, LEVELS = 6, 9  # a larger sketch has 64 times the cells; so often at most
 COPIES = 4096
 
@@ -72,36 +72,44 @@ def worth_peeling(cells: DataFrame, by: list[str]) -> DataFrame:
     return cells.groupBy(*by).agg(kept.alias("c")).select(*by, F.inline(F.when(F.size("c") > HOPELESS, full).otherwise(F.col("c"))))
 
 
-def _tasks(digests: int) -> int:
-    return max(1, min(digests // DEAL + 1, 100_000))
+def _bits(key: Column, level: int) -> Column:
+    """Which of the parts of the larger sketch of a level a digest belongs to: its first bits."""
+    return F.shiftrightunsigned(key, 64 - SPLIT_BITS * level) if level else F.lit(0).cast("long")
 
 
-def differences(ws: Workspace, sets: DataFrame, by: list[str]) -> DataFrame:
-    """(by, digest, n): what the sets (by, key, sign) of the two signs don't share, n telling whose it is, recovered by peeling the difference of their sketches.
+def recovered(sets: DataFrame, by: list[str], level: int = 0) -> DataFrame:
+    """(by, bucket, digest, n; or cell where a sketch was too small): what the sets (by, key, sign) of the two signs don't share, by peeling the difference of their sketches.
+    n tells whose a digest is. At level 0 there is one sketch; at others 64 times as many as at the one before, by the digests' first bits."""
+    ids = [*by, "bucket"]
+    cells = sketch(sets.withColumn("bucket", _bits(F.col("key"), level)), ids)
+    return peel(cells, ids, STEPS) if level else peel(worth_peeling(cells, ids), ids, FIRST_STEPS)
 
-    Where peeling fails, a larger sketch is tried: 64 times the cells, as one sketch for each value of the digests' next six bits; those of these that fail are enlarged
-    again. Whatever is left after LEVELS such steps (54 bits of the digests alike; not met in tests) is compared directly. Sets must come dealt by some of `by`.
+
+def differences(ws: Workspace, pairs: DataFrame, k: str, a: str, others: list[str]) -> DataFrame:
+    """(k, tag, n_added, n_removed): how many digests of the set `a` each of the sets `others`, tagged by place, has not, and the other way round.
+
+    Where peeling fails, a larger sketch is tried, of the digests of the parts that failed alone. What is left after LEVELS such steps (54 bits of the digests alike; not met in
+    tests) is compared directly. Between levels only numbers and failed parts are written. `pairs` should come dealt by `k`: then nothing is shuffled but these.
     """
-    bucket = F.lit(0).cast("long")
-    todo, done = sets.withColumn("bucket", bucket), None
-    for level in range(LEVELS + 1):
-        ids = [*by, "bucket"]
-        cells = peel(sketch(todo, ids), ids, STEPS) if level else peel(worth_peeling(sketch(todo, ids), ids), ids, FIRST_STEPS)
-        left = ws.save(cells, f"peeled{level}")
-        found = left.filter("cell = -1").select(*by, "bucket", "digest", "n")
-        failed = left.filter("cell >= 0").select(*ids).distinct()
-        found = found.join(failed, ids, "left_anti").select(*by, "digest", "n")
-        done = found if done is None else done.unionByName(found)
-        if failed.isEmpty():
-            return done
-        todo = todo.join(failed, ids, "left_semi")
-        if level < LEVELS:
-            shift = 64 - SPLIT_BITS * (level + 1)
-            todo = todo.withColumn("bucket", F.shiftrightunsigned("key", shift))
-            todo = ws.save(todo, f"again{level}")
-            todo = todo.repartition(_tasks(todo.count()), by[0])
-    rest = todo.groupBy(*by, F.col("key").alias("digest")).agg(F.sum("sign").alias("n")).filter("n <> 0")
-    return done.unionByName(rest)
+    done, failed = None, None
+    for level in range(LEVELS + 2):
+        todo = pairs if failed is None else pairs.join(failed, k)
+        keep = lambda tag: (lambda p: F.lit(True)) if failed is None else (lambda p: F.array_contains(f"parts{tag}", _bits(p, level - 1)))
+        signed = lambda c, tag, sign: F.transform(F.filter(c, keep(tag)), lambda p: F.struct(F.lit(tag).alias("tag"), p.alias("key"), F.lit(sign).alias("sign")))
+        rows = todo.select(k, F.inline(F.concat(*[x for tag, o in enumerate(others) for x in (signed(a, tag, 1), signed(o, tag, -1))])))
+        if level > LEVELS:
+            left = rows.groupBy(k, "tag", "key").agg(F.sum("sign").alias("n")).filter("n <> 0").withColumn("cell", F.lit(-1)).withColumn("bucket", F.lit(0).cast("long"))
+        else:
+            left = recovered(rows, [k, "tag"], level)
+        part = left.groupBy(k, "tag", "bucket").agg(F.count_if((F.col("cell") == -1) & (F.col("n") > 0)).alias("n_added"), F.count_if((F.col("cell") == -1) & (F.col("n") < 0)).alias("n_removed"), F.bool_or(F.col("cell") >= 0).alias("short"))
+        told = lambda c: F.sum(F.when(~F.col("short"), F.col(c))).alias(c)
+        told = ws.save(part.groupBy(k, "tag").agg(told("n_added"), told("n_removed"), F.collect_list(F.when(F.col("short"), F.col("bucket"))).alias("parts")), f"told{level}")
+        done = told if done is None else done.unionByName(told)
+        short = told.filter("size(parts) > 0")
+        if short.isEmpty():
+            return done.groupBy(k, "tag").agg(F.sum("n_added").alias("n_added"), F.sum("n_removed").alias("n_removed"))
+        none = F.array().cast("array<bigint>")
+        failed = short.groupBy(k).agg(*[F.coalesce(F.max(F.when(F.col("tag") == tag, F.col("parts"))), none).alias(f"parts{tag}") for tag in range(len(others))])
 
 
 def likeness(n_a: Column, n_b: Column, differing: Column) -> Column:
@@ -126,6 +134,16 @@ def ring(ws: Workspace, keys: DataFrame, order: list[str]) -> DataFrame:
     return placed.join(earlier, "_place").withColumnRenamed("_place", "place").drop("_all")
 
 
+def _in_buckets(ws: Workspace, df: DataFrame, name: str, digests: int) -> DataFrame:
+    """A table of the shared folder that is read back dealt by k, DEAL digests or so to a bucket, so that what follows needs no shuffle. Buckets are a multiple of the session's shuffle partitions, or each task would write to all."""
+    spark = ws.spark
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n *= max(1, min(digests // (DEAL * n), 100_000 // n))
+    table = f"quirelab_{ws.root.rpartition('-')[2]}_{name}"
+    df.write.format("parquet").bucketBy(n, "k").option("path", f"{ws.root}/{name}").saveAsTable(table)
+    return spark.table(table)
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_paragraphs, n_differing) of every row.
 
@@ -151,26 +169,29 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     texts = base.groupBy("k").agg(F.any_value("text").alias("text"))
     head = F.expr("left(text, cast(before_chars div 4 as int))")
     heads = texts.join(placed.select("k", "before", "before_chars"), "k").select(F.col("before").alias("k"), head.alias("head"), paragraphs(F.col("text")).alias("next"))
-    edited = F.concat(F.expr("left(text, cast(n_chars - n_chars div 4 as int))"), F.col("head"))
-    seen = texts.join(placed.select("k", "place", id_col, "copies", "n_chars"), "k").join(heads, "k").withColumn("edited", edited)
-    seen = ws.save(seen.select("place", id_col, "copies", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("edited"), "next"), "paragraphs")
-
-    digests = seen.agg(F.sum(3 * F.size("own") + F.size("edited") + F.size("next")).alias("n")).first()["n"] or 0
-    dealt = seen.select("place", "own", "edited", "next").repartition(_tasks(digests), "place")
-    of = lambda column, tag, sign: F.transform(column, lambda p: F.struct(F.lit(tag).alias("tag"), p.alias("key"), F.lit(sign).alias("sign")))
-    sets = dealt.select("place", F.inline(F.concat(of("own", 0, 1), of("edited", 1, 1))))
-    spelled = sketch(sets, ["place", "tag"]).groupBy("place", "tag").agg(_spelled().alias("f"))
-    marks = spelled.groupBy("place").agg(*[F.max(F.when(F.col("tag") == t, F.col("f"))).alias(c) for t, c in ((0, "fingerprint"), (1, "edited_fingerprint"))])
-    pairs = dealt.select("place", F.inline(F.concat(of("own", 1, 1), of("edited", 1, -1), of("own", 2, 1), of("next", 2, -1))))
-    apart = differences(ws, pairs, ["place", "tag"]).groupBy("place").agg(F.count_if(F.col("tag") == 1).alias("_edited"), F.count_if(F.col("tag") == 2).alias("_next"))
-    n, m, o = F.size("own"), F.size("edited"), F.size("next")
-    out = seen.join(marks, "place", "left").join(apart, "place", "left").na.fill(0, ["_edited", "_next"]).na.fill("", ["fingerprint", "edited_fingerprint"])
-    out = out.select(
-        id_col, "copies", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(n, m, F.col("_edited")).alias("near_edited"),
-        likeness(n, o, F.col("_next")).alias("near_next"), n.cast("long").alias("n_paragraphs"), F.col("_edited").alias("n_differing"),
-    )
-    out = ws.save(out, "result")
-    ws.keep(out)
-    copies = out.filter("copies > 1").withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}")))).repartition(F.col(id_col), F.col("_deal"))
+    changed = F.concat(F.expr("left(text, cast(n_chars - n_chars div 4 as int))"), F.col("head"))
+    seen = texts.join(placed.select("k", id_col, "copies", "n_chars"), "k").join(heads, "k").withColumn("changed", changed)
+    seen = seen.select("k", id_col, "copies", "n_chars", F.sha2("changed", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("changed")).alias("edited"), "next")
+    chars = placed.agg(F.sum("n_chars").alias("n")).first()["n"] or 0
+    seen = _in_buckets(ws, seen, "paragraphs", chars // PARAGRAPH_CHARS * 4)
+
+    apart = differences(ws, seen.select("k", "own", "edited", "next"), "k", "own", ["edited", "next"])
+    n_of = lambda tag, name: F.sum(F.when(F.col("tag") == tag, F.col("n_added") + F.col("n_removed"))).alias(name)
+    apart = ws.save(apart.groupBy("k").agg(n_of(0, "_edited"), n_of(1, "_next")), "apart")
+    ws.keep(apart)
+
+    def told(some: DataFrame) -> DataFrame:
+        of = lambda column, tag: F.transform(column, lambda p: F.struct(F.lit(tag).alias("tag"), p.alias("key"), F.lit(1).alias("sign")))
+        sets = some.select("k", F.inline(F.concat(of("own", 0), of("edited", 1))))
+        spelled = sketch(sets, ["k", "tag"]).groupBy("k", "tag").agg(_spelled().alias("f"))
+        marks = spelled.groupBy("k").agg(*[F.max(F.when(F.col("tag") == t, F.col("f"))).alias(c) for t, c in ((0, "fingerprint"), (1, "edited_fingerprint"))])
+        n, m, o = F.size("own"), F.size("edited"), F.size("next")
+        out = some.join(marks, "k", "left").join(apart, "k", "left").na.fill(0, ["_edited", "_next"]).na.fill("", ["fingerprint", "edited_fingerprint"])
+        return out.select(
+            id_col, "copies", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(n, m, F.col("_edited")).alias("near_edited"),
+            likeness(n, o, F.col("_next")).alias("near_next"), n.cast("long").alias("n_paragraphs"), F.col("_edited").alias("n_differing"),
+        )
+
+    copies = told(seen.filter("copies > 1")).withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}")))).repartition(F.col(id_col), F.col("_deal"))
     copies = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col("copies") - F.col("_deal") * COPIES)))).drop("_deal", "_copy")
-    return out.filter("copies = 1").unionByName(copies).drop("copies")
+    return told(seen.filter("copies = 1")).unionByName(copies).drop("copies")
