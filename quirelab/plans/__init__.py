@@ -1,6 +1,6 @@
 """The library's registered queries, and their SQL."""
 
-from quirelab.plans import detail_queries, page_queries, text_queries
+from quirelab.plans import block_queries, detail_queries, page_queries, text_queries
 
-QUERIES = {**page_queries.QUERIES, **text_queries.QUERIES, **detail_queries.QUERIES}
-ORACLE_SQL = {**page_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **detail_queries.ORACLE_SQL}
+QUERIES = {**page_queries.QUERIES, **text_queries.QUERIES, **detail_queries.QUERIES, **block_queries.QUERIES}
+ORACLE_SQL = {**page_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **detail_queries.ORACLE_SQL, **block_queries.ORACLE_SQL}

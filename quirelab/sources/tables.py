@@ -43,3 +43,30 @@ def mono_pieces(rows: DataFrame, size: float = 12.0, margin: float = 72.0) -> Da
         (F.lit(margin) + F.col("col") * F.col("fs") * 0.6).alias("x"), (F.lit(margin) + (F.col("line_no") % 60) * size * 1.2).alias("y"),
         (n * F.col("fs") * 0.6).alias("w"), "fs", "bold",
     )
+
+
+def set_fragments(docs: DataFrame) -> DataFrame:
+    """Texts set on pages: (doc_id, page_no, frag_no, text, n_chars, x0, x1, top, bottom, base, size, bold).
+
+    Six words make a line, 80 lines a page. By doc_id % 4 a page has tables between prose (two words a cell, some cells wrapped), two columns under a title, three
+    columns, or one column of indented paragraphs with larger and bold lines.
+    """
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = lambda i, n, at: F.slice("words", i * 6 + at, F.lit(n))
+    d = docs.select("doc_id", (F.col("doc_id") % 4).alias("style"), words.alias("words")).filter("size(words) > 0")
+    lines = d.select("doc_id", "style", "words", F.posexplode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 6).cast("int"))).alias("i", "_"))
+    k = F.col("i") % 80
+    table = (F.col("style") == 0) & (F.floor(k / 8) % 2 == 1)
+    cells = F.when(F.col("style") != 0, F.array(cut(F.col("i"), 6, 1))).when(~table, F.array(cut(F.col("i"), 6, 1))).when(k % 8 == 3, F.array(cut(F.col("i"), 2, 3)))
+    lines = lines.withColumn("k", k).withColumn("table", table).withColumn("cells", cells.otherwise(F.array(*[cut(F.col("i"), 2, at) for at in (1, 3, 5)])))
+    f = lines.select("doc_id", "style", "i", "k", "table", F.posexplode("cells").alias("c", "ws")).filter("size(ws) > 0").withColumn("text", F.array_join("ws", " ")).withColumn("n", F.char_length("text"))
+    k, c, n, r2, r3 = F.col("k"), F.col("c"), F.col("n"), (F.col("k") - 1) % 40, F.col("k") % 27
+    by = lambda *v: F.when(F.col("style") == 0, v[0]).when(F.col("style") == 1, v[1]).when(F.col("style") == 2, v[2]).otherwise(v[3])
+    x0 = by(F.when(F.col("table"), F.when(k % 8 == 3, 232).otherwise(72 + 160 * c)).otherwise(72), F.when(k == 0, 100).otherwise(72 + 246 * F.floor((k - 1) / 40)), 72 + 170 * F.floor(k / 27), F.when(k % 5 == 0, 90).otherwise(72))
+    w = by(F.when(F.col("table"), n * 5).otherwise(F.least(n * 8, F.lit(460))), F.when(k == 0, F.lit(380)).otherwise(F.least(n * 6, F.lit(222))), F.least(n * 5, F.lit(150)), F.least(n * 11, F.lit(460)))
+    y = by(60 + 18 * k - F.when(F.col("table") & (k % 8 == 3), 5).otherwise(0), F.when(k == 0, 60).otherwise(90 + 14 * r2), 60 + 14 * r3, 60 + 14 * k + 10 * F.floor(k / 9))
+    f = f.withColumn("size", F.when((F.col("style") == 3) & (k % 17 == 16), 16.0).otherwise(12.0)).withColumn("base", y.cast("double")).withColumn("x0", x0.cast("double")).withColumn("w", w.cast("double"))
+    return f.select(
+        "doc_id", (F.floor(F.col("i") / 80) + 1).cast("int").alias("page_no"), (k * 4 + c).cast("long").alias("frag_no"), "text", n.cast("long").alias("n_chars"), "x0", (F.col("x0") + F.col("w")).alias("x1"),
+        (F.col("base") - 0.8 * F.col("size")).alias("top"), (F.col("base") + 0.22 * F.col("size")).alias("bottom"), "base", "size", ((F.col("style") == 3) & (k % 13 == 12)).alias("bold"),
+    )
