@@ -100,6 +100,11 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def fingerprint_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op13_fingerprints that SQL can express."""
+    return op13_fingerprints(spark, sf_dir).drop("fingerprint", "edited_fingerprint")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_prefix_trie": op12_prefix_trie,
     "op13_fingerprints": op13_fingerprints,
     "quality_measures": quality_measures,
+    "fingerprint_measures": fingerprint_measures,
 }
 
 _WORDS = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
@@ -260,4 +266,16 @@ s AS (SELECT path AS top, path FROM m UNION ALL SELECT s.top, m.path FROM s JOIN
 a AS (SELECT s.top AS path, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves, sum((m.n_convs - 1) * m.words)::BIGINT AS saved_tokens FROM s JOIN m ON m.path = s.path LEFT JOIN k ON k.path = s.path GROUP BY 1)
 SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, coalesce(k.n, 0) AS n_children, a.n_leaves, a.saved_tokens, m.ends_sha256
 FROM m JOIN a ON a.path = m.path LEFT JOIN k ON k.path = m.path LEFT JOIN m u ON u.path = m.up""",
+    "fingerprint_measures": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+u AS (SELECT *, coalesce(lead(text) OVER o, first_value(text) OVER o) AS after FROM t WINDOW o AS (ORDER BY doc_id)),
+e AS (SELECT *, left(text, n - n // 4) || left(after, n // 4) AS edited FROM u),
+p AS (
+  SELECT doc_id, n, edited, list_distinct(regexp_extract_all(text, '[^\n.!?]{1,160}[.!?]*|[.!?]+')) AS a,
+         list_distinct(regexp_extract_all(edited, '[^\n.!?]{1,160}[.!?]*|[.!?]+')) AS b, list_distinct(regexp_extract_all(after, '[^\n.!?]{1,160}[.!?]*|[.!?]+')) AS c
+  FROM e),
+k AS (SELECT *, len(list_intersect(a, b)) AS ab, len(list_intersect(a, c)) AS ac FROM p)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, len(a)::BIGINT AS n_paragraphs, (len(a) + len(b) - 2 * ab)::BIGINT AS n_differing,
+       CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE ab::DOUBLE / (len(a) + len(b) - ab) END AS near_edited, CASE WHEN len(a) + len(c) = 0 THEN 1 ELSE ac::DOUBLE / (len(a) + len(c) - ac) END AS near_next
+FROM k""",
 }

@@ -32,7 +32,7 @@ def source_divergence(docs: DataFrame, *, lang_col: str = "lang", source_col: st
     `min_docs` of its documents hold; its groups (lang, source) get a share of SCALE for each kept term, occurring or not. Two shares p and q
     lie floor((p - q)^2 / (p + q)) apart; a pair sums that over the kept terms. Ranks: value descending, then item in UTF-8 order.
 
-    Each text is read once: its terms go out sorted, the first of each kind marked, so one aggregate, combined before the shuffle, counts
+    Each text is read once: its terms go out as they occur, and once more each kind once, so one aggregate, combined before the shuffle, counts
     occurrences and documents. Kept terms meet their language's groups by (lang, salt), so that a language of most rows is dealt over salts_for(terms)
     tasks; pairs meet by (lang, term), each unordered pair once. Only the first few of a group are ranked where ranks are limited.
 
@@ -42,10 +42,10 @@ def source_divergence(docs: DataFrame, *, lang_col: str = "lang", source_col: st
     ws = Workspace(docs.sparkSession, "divergence")
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
     named = docs.select(F.coalesce(lang_col, F.lit("")).alias("lang"), F.coalesce(source_col, F.lit("")).alias("source"), text.alias("text"))
-    sorted_terms = named.select("lang", "source", F.sort_array(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).alias("terms"))
-    marked = F.transform("terms", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (t != F.get("terms", i - 1))).cast("long").alias("fresh")))
-    found = sorted_terms.select("lang", "source", F.explode(marked).alias("t")).groupBy("lang", "source", F.col("t.term").alias("term"))
-    counts = ws.save(found.agg(F.count(F.lit(1)).alias("n"), F.sum("t.fresh").alias("docs")), "counts")
+    terms = named.select("lang", "source", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("terms"))
+    twice = terms.select("lang", "source", F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("which", "some"))
+    found = twice.select("lang", "source", "which", F.explode("some").alias("term")).groupBy("lang", "source", "term")
+    counts = ws.save(found.agg(F.count_if(F.col("which") == 0).alias("n"), F.count_if(F.col("which") == 1).alias("docs")), "counts")
 
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
     kept = ws.save(kept.select("lang", "term", "lang_n"), "kept")
