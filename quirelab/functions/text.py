@@ -221,7 +221,7 @@ def alpha(n: Column) -> Column:
 def blocked_url(url: Column) -> Column:
     """Requests that an ad filter drops; it looks for the bare letters, so /uploads is one too."""
     u = F.lower(url)
-    return u.contains("ads") | u.contains("doubleclick") | u.contains("googlesyndication") | u.contains("analytics")
+    return u.contains("ads") | u.contains("doubleclick.net") | u.contains("googleadservices.com") | u.contains("adnxs.com")
 
 
 # Words of programming languages.

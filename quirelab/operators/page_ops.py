@@ -122,7 +122,7 @@ def append_capped(files: DataFrame, most: int = 20) -> DataFrame:
 
 @F.pandas_udf(types.ArrayType(types.StringType()))
 def _told_apart(names: pd.Series) -> pd.Series:
-    """Names of one archive in order, each made different from all before it by the first number from 2 that does."""
+    """Names of one group in order, each made different from all before it by the first number from 2 that does."""
 
     def one(own: list[str]) -> list[str]:
         taken: dict[str, int] = {}
@@ -142,11 +142,20 @@ def _told_apart(names: pd.Series) -> pd.Series:
 
 def unique_names(files: DataFrame) -> DataFrame:
     """files (job_id, file_seq, name, ...) with `unique_name`: a name that its archive has already gets ` (n)` before its extension, n the first from 2 that no earlier
-    file has, be it by its own name. Equal file_seq: ties by name. An archive is one list of names."""
-    place = F.row_number().over(Window.partitionBy("job_id").orderBy("file_seq", "name"))
-    rows = files.withColumn("_place", place)
-    lists = rows.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("_place", "name"))).alias("l")).select("job_id", F.posexplode(_told_apart(F.transform("l", lambda x: x["name"]))).alias("_place", "unique_name"))
-    return rows.join(lists.withColumn("_place", F.col("_place") + 1), ["job_id", "_place"]).drop("_place")
+    file has, be it by its own name. Equal file_seq: ties by name. Null names stay null.
+
+    Only names that agree but for such numbers can meet. Where all of them are one name its copies are numbered by a window; only groups that hold numbers of their own are
+    settled name by name.
+    """
+    kin = F.regexp_replace("name", r"( \(\d+\))+(?=(\.[^.]*)?$)", "")
+    group = Window.partitionBy("job_id", "_kin")
+    rows = files.withColumn("_kin", kin).withColumn("_place", F.row_number().over(group.orderBy("file_seq", "name"))).withColumn("_mixed", F.min("name").over(group) != F.max("name").over(group))
+    stem, end = F.regexp_replace("name", r"\.[^.]*$", ""), F.regexp_extract("name", r"(\.[^.]*)$", 1)
+    plain = rows.filter("NOT coalesce(_mixed, false)").withColumn("unique_name", F.when((F.col("_place") == 1) | F.col("name").isNull(), F.col("name")).otherwise(F.concat(stem, F.lit(" ("), "_place", F.lit(")"), end)))
+    mixed = rows.filter("_mixed")
+    lists = mixed.groupBy("job_id", "_kin").agg(F.sort_array(F.collect_list(F.struct("_place", "name"))).alias("l"))
+    lists = lists.select("job_id", "_kin", F.posexplode(_told_apart(F.transform("l", lambda x: x["name"]))).alias("_at", "unique_name")).withColumn("_place", F.col("_at") + 1).drop("_at")
+    return plain.unionByName(mixed.join(lists, ["job_id", "_kin", "_place"])).drop("_kin", "_place", "_mixed")
 
 
 def missing_contents(refs: DataFrame, objects: DataFrame) -> DataFrame:

@@ -87,21 +87,21 @@ def lowest(metrics: DataFrame, by: str, score: str, most: int = 4) -> DataFrame:
 
 
 def find_word(words: DataFrame, query: str) -> DataFrame:
-    """Words (doc_id, page_no, word_no, text, x0, x1) that hold the query, and the part of the box that its first occurrence takes."""
+    """Words (doc_id, page_no, word_no, text, x0, x1) that hold the query, and the part of the box that its first occurrence takes. A blank query finds nothing."""
     t, q, w = F.lower("text"), query.strip().lower(), F.col("x1") - F.col("x0")
     at, n = F.locate(q, t) - 1, F.char_length(t)
-    return words.filter(t.contains(q)).withColumn("hit_x0", F.col("x0") + w * at / n).withColumn("hit_x1", F.col("x0") + w * (at + len(q)) / n)
+    return words.filter(t.contains(q) & F.lit(q != "")).withColumn("hit_x0", F.col("x0") + w * at / n).withColumn("hit_x1", F.col("x0") + w * (at + len(q)) / n)
 
 
 def find_phrase(words: DataFrame, query: str, by: tuple[str, ...] = ("doc_id", "page_no")) -> DataFrame:
-    """One hit for each word of each place where consecutive words of a page hold the query's words in turn; places may overlap."""
+    """One hit for each word of each place where consecutive words of a page hold the query's words in turn; places may overlap. A blank query finds nothing."""
     parts = query.strip().lower().split()
     w = Window.partitionBy(*by).orderBy("word_no")
-    match = F.lit(True)
+    match = F.lit(len(parts) > 0)
     for i, p in enumerate(parts):
         match = match & F.coalesce(F.lead(F.lower("text"), i).over(w).contains(p), F.lit(False))
     starts = words.withColumn("_m", match).filter("_m").select(*by, F.col("word_no").alias("start_no"))
-    spots = starts.withColumn("word_no", F.explode(F.sequence("start_no", F.col("start_no") + (len(parts) - 1))))
+    spots = starts.withColumn("word_no", F.explode(F.sequence("start_no", F.col("start_no") + max(len(parts) - 1, 0))))
     return spots.join(words, [*by, "word_no"])
 
 
@@ -118,31 +118,39 @@ def weighted_mode(rows: DataFrame, by: tuple[str, ...], value: Column, weight: C
     return g.groupBy(*by).agg(F.max_by("v", F.struct("w", -F.col("s"))).alias("value"), F.max("w").alias("weight"))
 
 
-@F.pandas_udf(types.ArrayType(types.StringType()))
-def wrap_mono(text: pd.Series, columns: pd.Series) -> pd.Series:
-    """Lines of a paragraph in a font of equal widths: breaks at spaces that overflow, cuts words longer than a line."""
-    import regex
-
-    def one(par: str, n: int) -> list[str]:
-        lines, line = [], ""
-        for token in regex.findall(r"\S+|\s+", par):
-            if len(line) + len(token) <= n:
-                line += token
-            elif token.isspace():
-                lines.append(line.rstrip())
-                line = ""
-            else:
-                if line.strip():
-                    lines.append(line.rstrip())
-                marks, line = regex.findall(r"\X", token), ""
-                for m in marks:
-                    if line and len(line) + len(m) > n:
-                        lines.append(line)
-                        line = ""
-                    line += m
-        return [*lines, line.rstrip()]
-
-    return pd.Series([one(t, int(n)) if t is not None else None for t, n in zip(text, columns, strict=True)])
+# What counts as white space.
+BLANK = r"[\s\u000b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
+
+def _fitting(word: Column, columns: Column) -> Column:
+    """A word in parts of at most `columns` code points, cut between user-perceived characters; one that is longer stands alone."""
+    pack = lambda parts, c: F.when(
+        (F.size(parts) > 0) & (F.char_length(F.element_at(parts, -1)) + F.char_length(c) <= columns), F.concat(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(F.concat(F.element_at(parts, -1), c)))
+    ).otherwise(F.array_append(parts, c))
+    return F.aggregate(F.regexp_extract_all(word, F.lit(r"(\X)"), F.lit(1)), F.array().cast("array<string>"), pack)
+
+
+def wrap_mono(text: Column, columns: Column) -> Column:
+    """Lines of a paragraph in a font of equal widths, as an array.
+
+    Words too long for a line are cut into parts first, each of which begins a line. The rest is one fold over words and spaces, whose state is the lines so far and the one being
+    set: what fits is added, spaces that don't fit end a line and go, a word that doesn't fit begins one. Spaces at a line's end go. Empty text is one empty line; null stays null.
+    """
+    item = lambda t, fresh: F.struct(t.alias("t"), F.lit(fresh).alias("fresh"))
+    tokens = F.regexp_extract_all(text, F.lit(f"({BLANK}+|(?:(?!{BLANK}).)+)"), F.lit(1))
+    blank = lambda t: t.rlike(f"^{BLANK}")
+    items = F.flatten(F.transform(tokens, lambda t: F.when(blank(t) | (F.char_length(t) <= columns), F.array(item(t, False))).otherwise(F.transform(_fitting(t, columns), lambda c: item(c, True)))))
+    trimmed = lambda t: F.regexp_replace(t, f"{BLANK}+$", "")
+    state = lambda done, now: F.struct(done.alias("done"), now.alias("now"))
+
+    def place(s: Column, i: Column) -> Column:
+        fits = ~i["fresh"] & (F.char_length(s["now"]) + F.char_length(i["t"]) <= columns)
+        full = F.array_append(s["done"], trimmed(s["now"]))
+        begun = F.when(trimmed(s["now"]) != "", full).otherwise(s["done"])
+        return F.when(fits, state(s["done"], F.concat(s["now"], i["t"]))).when(blank(i["t"]), state(full, F.lit(""))).otherwise(state(begun, i["t"]))
+
+    start = state(F.array().cast("array<string>"), F.lit(""))
+    return F.aggregate(items, start, place, lambda s: F.array_append(s["done"], trimmed(s["now"])))
 
 
 def without_blank_end(lines: DataFrame) -> DataFrame:

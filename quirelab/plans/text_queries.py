@@ -159,7 +159,7 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = O.without_blank_end(T.lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode(O.wrap_mono("line", F.lit(80))).alias("k", "line")))
+    lines = O.without_blank_end(T.lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode(O.wrap_mono(F.col("line"), F.lit(80))).alias("k", "line")))
     at = F.row_number().over(L.document_order("doc_id", "line_no", "k")) - 1
     return lines.select("doc_id", "line_no", "k", "line", (F.floor(at / 54) + 1).cast("int").alias("page_no"))
 
@@ -245,7 +245,7 @@ SELECT doc_id, line_key, count(*) AS n FROM k WHERE line_key <> '' GROUP BY 1, 2
     "clean_text": r"""WITH p AS (SELECT page_id, html AS h, url FROM pages),
 d AS (SELECT *, replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') AS t FROM p)
 SELECT page_id, md5(t) AS plain_md5, md5(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS escaped_md5,
-  CASE WHEN url LIKE 'https://%' THEN url ELSE 'https://' || substr(url, 8) END AS url, (lower(url) LIKE '%ads%' OR lower(url) LIKE '%doubleclick%' OR lower(url) LIKE '%googlesyndication%' OR lower(url) LIKE '%analytics%') AS blocked,
+  CASE WHEN url LIKE 'https://%' THEN url ELSE 'https://' || substr(url, 8) END AS url, (lower(url) LIKE '%ads%' OR lower(url) LIKE '%doubleclick.net%' OR lower(url) LIKE '%adnxs.com%') AS blocked,
   coalesce(regexp_matches(regexp_extract(h, '\p{L}'), '\p{Arabic}'), false) AS rtl FROM d""",
     "joined_lines": r"""SELECT doc_id, md5(list_reduce(string_split(regexp_replace(text, '([a-z]{4})([a-z]{3})', '\1-' || chr(10) || '\2', 'g'), chr(10)), lambda a, l: CASE WHEN regexp_matches(right(a, 2), '[A-Za-z]-$') AND regexp_matches(l, '^[a-z]')
   THEN left(a, length(a) - 1) || l WHEN a = '' OR regexp_matches(right(a, 1), '[\s\x0b]$') THEN a || l ELSE a || ' ' || l END)) AS joined_md5 FROM documents""",
@@ -281,6 +281,15 @@ SELECT doc_id, o AS original_size, best AS size, CASE WHEN size < o THEN name EL
 SELECT id, rank, related_id FROM p WHERE rank <= 3""",
     "keyword_search": "SELECT p_partkey, p_name AS name FROM part WHERE contains(lower(p_name), 'widget') OR contains(lower(p_type), 'widget') OR contains(p_brand, 'widget')",
     "categories_first_seen": "SELECT source, min(doc_id) AS first_seq FROM documents GROUP BY 1",
+    "wrap_lines": r"""WITH l AS (SELECT doc_id, (unnest(range(1, len(ls) + 1)) - 1)::INT AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+t AS (SELECT doc_id, line_no, flatten(list_transform(regexp_extract_all(line, '[\s\x0b\x{a0}]+|[^\s\x0b\x{a0}]+'), lambda t: CASE WHEN length(t) <= 80 OR regexp_matches(t, '^[\s\x0b\x{a0}]') THEN [{'t': t, 'cut': false}] ELSE list_transform(range((length(t) + 79) // 80), lambda i: {'t': t[i*80+1:i*80+80], 'cut': true}) END)) AS ts FROM l),
+r AS (SELECT doc_id, line_no, list_reduce(list_prepend({'d': []::VARCHAR[], 'c': '', 'cut': false}, list_transform(ts, lambda x: {'d': []::VARCHAR[], 'c': x.t, 'cut': x.cut})), lambda s, x: CASE
+  WHEN NOT x.cut AND length(s.c) + length(x.c) <= 80 THEN {'d': s.d, 'c': s.c || x.c, 'cut': false} WHEN regexp_matches(x.c, '^[\s\x0b\x{a0}]') THEN {'d': s.d || [regexp_replace(s.c, '[\s\x0b\x{a0}]+$', '')], 'c': '', 'cut': false}
+  ELSE {'d': CASE WHEN regexp_matches(s.c, '[^\s\x0b\x{a0}]') THEN s.d || [regexp_replace(s.c, '[\s\x0b\x{a0}]+$', '')] ELSE s.d END, 'c': x.c, 'cut': false} END) AS s FROM t),
+w AS (SELECT doc_id, line_no, s.d || [regexp_replace(s.c, '[\s\x0b\x{a0}]+$', '')] AS ws FROM r),
+u AS (SELECT doc_id, line_no, (unnest(range(1, len(ws) + 1)) - 1)::INT AS k, unnest(ws) AS line FROM w),
+v AS (SELECT *, max(CASE WHEN line <> '' THEN line_no * 1000000 + k END) OVER (PARTITION BY doc_id) AS last FROM u)
+SELECT doc_id, line_no, k, line, ((row_number() OVER (PARTITION BY doc_id ORDER BY line_no, k) - 1) // 54 + 1)::INT AS page_no FROM v WHERE line_no * 1000000 + k <= last""",
     "weighted_mode": f"""WITH {_PIECES}, g AS (SELECT doc_id, floor(fs * 2 + 0.5) / 2 AS v, sum(length(s)) AS n, min(line_no * 10000 + k) AS f FROM pw GROUP BY 1, 2),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS nth FROM g)
 SELECT doc_id, v::DOUBLE AS value, n::BIGINT AS weight FROM b WHERE nth = 1""",

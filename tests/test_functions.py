@@ -167,11 +167,23 @@ def test_files(spark, tmp_path):
     assert sorted(map(tuple, files.keep_sheets(sheets, chosen).collect())) == [("p", "B"), ("q", "A")]
 
 
-def test_wrap():
-    import pandas as pd
+@pytest.mark.parametrize("text,columns,expected", [
+    ("aa bb  cc", 5, ["aa bb", "cc"]), ("", 5, [""]), ("abcdefgh", 3, ["abc", "def", "gh"]), (None, 3, None), ("a   b", 2, ["a", "b"]), ("  abcd", 3, ["abc", "d"]), ("x abcdef yz", 4, ["x", "abcd", "ef", "yz"]), ("e\u0301e\u0301e", 3, ["e\u0301", "e\u0301e"]),
+])
+def test_wrap(spark, text, columns, expected):
+    assert value(spark, O.wrap_mono(F.lit(text).cast("string"), F.lit(columns))) == expected
+
+
+def test_blank_queries_find_nothing(spark):
+    words = spark.createDataFrame([(1, 1, i, w, 0.0, 9.0) for i, w in enumerate("of the of".split())], "doc_id long, page_no int, word_no int, text string, x0 double, x1 double")
+    assert [O.find_word(words, q).count() for q in ("", "  ", "of")] == [0, 0, 2]
+    assert [O.find_phrase(words, q).count() for q in ("", "  ", "of the")] == [0, 0, 2]
+
 
-    got = O.wrap_mono.func(pd.Series(["aa bb  cc", "", "abcdefgh", None]), pd.Series([5, 5, 3, 3])).tolist()
-    assert got == [["aa bb", "cc"], [""], ["abc", "def", "gh"], None]
+def test_names_of_an_archive_with_null(spark):
+    names = ["a.txt", None, "a.txt", "a (2).txt", None, "a.txt", ".x", ".x", "b (3)", "b (3)"]
+    got = P.unique_names(spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "job_id long, file_seq long, name string")).orderBy("file_seq").collect()
+    assert [r["unique_name"] for r in got] == ["a.txt", None, "a (2).txt", "a (2) (2).txt", None, "a (3).txt", ".x", " (2).x", "b (3)", "b (3) (2)"]
 
 
 @pytest.mark.parametrize("name,bold,italic", [
