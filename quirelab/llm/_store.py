@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +31,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def without_copies(rows: DataFrame) -> DataFrame:
+    """Rows (id, text) with `copies`: equal rows once, so that one row which makes up much of a table is one row. Texts are moved for that only if there are such rows."""
+    same = [F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")]
+    counted = rows.groupBy("id", same[0].alias("h1"), same[1].alias("h2")).agg(F.count(F.lit(1)).alias("copies"))
+    if counted.filter("copies > 1").isEmpty():
+        return rows.withColumn("copies", F.lit(1).cast("long"))
+    kept = rows.withColumn("h1", same[0]).withColumn("h2", same[1]).groupBy("id", "h1", "h2").agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    return kept.select("id", "text", "copies")
+
+
+DEAL = 4096
+
+
+def with_copies(rows: DataFrame, id_col: str = "id") -> DataFrame:
+    """Rows as often as `copies` says, without that column; many copies are dealt over tasks, DEAL at a time."""
+    each = F.sequence(F.lit(1).cast("long"), F.least(F.lit(DEAL).cast("long"), F.col("copies") - F.col("_deal") * DEAL))
+    many = rows.filter("copies > 1").withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {DEAL}")))).repartition(id_col, "_deal")
+    return rows.filter("copies = 1").drop("copies").unionByName(many.withColumn("_copy", F.explode(each)).drop("_copy", "_deal", "copies"))
+
+
 class Workspace:
     """Intermediate tables of one operator call, as Parquet in the shared folder.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import Workspace
+from ._store import Workspace, with_copies
 
 # A line is cut after each sentence, and after 160 code points where no sentence ends, so that a text of one line is more than one digest.
 PARAGRAPH = r"[^\n.!?]{1,160}[.!?]*|[.!?]+"
@@ -14,7 +14,6 @@ FIRST_STEPS, STEPS = 9, 3  # of peeling, each over one part: of the first sketch
 HOPELESS = 45  # a sketch with more cells in use is not worth peeling
 DEAL, PARAGRAPH_CHARS = 500_000, 70  # digests to a task; so many code points a digest, roughly, to tell their number
 SPLIT_BITS, LEVELS = 6, 9  # a larger sketch has 64 times the cells; so often at most
-COPIES = 4096
 
 
 def paragraphs(text: Column) -> Column:
@@ -155,7 +154,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Documents are ordered by id, null last, then by digest of the text. Equal rows (id and text) count as one document; each gets its result. Null text is empty. A single
     document is its own next one. Empty texts have no paragraphs, an empty fingerprint, and are wholly alike. Empty table: no rows. Other columns are ignored.
 
-    Copies of a row meet with one text kept before the shuffle, and are dealt again by COPIES at the end. Texts are shuffled once, and a quarter of them, as heads
+    Copies of a row meet with one text kept before the shuffle, and are dealt again at the end. Texts are shuffled once, and a quarter of them, as heads
     for the document before, once more; from then on only digests travel. Places come from ranges, so that no task sees all ids.
     """
     ws = Workspace(docs.sparkSession, "fingerprints")
@@ -192,6 +191,4 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             likeness(n, o, F.col("_next")).alias("near_next"), n.cast("long").alias("n_paragraphs"), F.col("_edited").alias("n_differing"),
         )
 
-    copies = told(seen.filter("copies > 1")).withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}")))).repartition(F.col(id_col), F.col("_deal"))
-    copies = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col("copies") - F.col("_deal") * COPIES)))).drop("_deal", "_copy")
-    return told(seen.filter("copies = 1")).unionByName(copies).drop("copies")
+    return with_copies(told(seen.filter("copies = 1")).unionByName(told(seen.filter("copies > 1"))), id_col)

@@ -53,7 +53,7 @@ def mix_sources(
     Within a source each document expects target / source_size copies; the expectations are summed over the
     documents in a fixed order, one offset per source is added, and a document is emitted once for each whole
     number that its part of the sum crosses. Documents are ordered by (size class, salt, size, id, text digest), so that
-    every size is taken at its share. The prefix sum is in two levels: counts per (source, class, salt) first, then row numbers
+    every size is taken at its share; salts are of id and text, so null ids, or one id of many texts, are dealt too. The prefix sum is in two levels: counts per (source, class, salt) first, then row numbers
     within each (source, class, salt), so that a source that holds most of the rows is spread over many tasks; there are
     sqrt(rows) / 64 + 1 salts. The offset comes from md5 of seed and source: reruns agree.
 
@@ -71,7 +71,8 @@ def mix_sources(
         .withColumn("_bits", F.length(F.bin("size")))
         .withColumn("_class", F.col("_bits") * 8 + F.expr("shiftright(size, greatest(_bits - 4, 0))"))
         .withColumn("_skey", F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")))
-        .withColumn("_salt", F.pmod(F.conv(F.substring(F.md5(F.coalesce(ident, F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(salts)))
+        .withColumn("_digest", F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+        .withColumn("_salt", F.pmod(F.conv(F.substring(F.md5(F.concat(F.coalesce(ident, F.lit("")), F.lit("|"), "_digest").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(salts)))
     )
     cells = base.groupBy(F.col("_skey").alias("skey"), F.col("_class").alias("class"), F.col("_salt").alias("salt")).agg(
         F.min(source_col).alias("source"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")
@@ -90,7 +91,7 @@ def mix_sources(
             offset.alias("offset"),
         )
     )
-    order = Window.partitionBy("_skey", "_class", "_salt").orderBy("size", id_col, F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    order = Window.partitionBy("_skey", "_class", "_salt").orderBy("size", id_col, "_digest")
     k = F.col("before") + F.col("_k")
     copies = (F.floor(k * F.col("each") + F.col("offset")) - F.floor((k - 1) * F.col("each") + F.col("offset"))).cast("int")
     return (
@@ -98,7 +99,7 @@ def mix_sources(
         .join(placed, ["_skey", "_class", "_salt"])
         .withColumn("copies", copies)
         .withColumn("taken", F.col("size") * F.col("copies"))
-        .drop("_skey", "_bits", "_class", "_salt", "_k", "before", "each", "offset")
+        .drop("_skey", "_bits", "_class", "_salt", "_digest", "_k", "before", "each", "offset")
     )
 
 

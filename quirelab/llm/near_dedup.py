@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components, flatten_parents
-from ._store import Workspace, small_batches
+from ._store import Workspace, small_batches, without_copies
 from ._text import Words, as_bytes, mix, slices, thrifty
+from .line_dedup import salts_for
 
 ROWS = 4
 SAMPLES = 4096
 SKETCH_BITS = 2048
-SALTS = 32
 BLOCK = 128
 #: Documents outside its largest component from which a bucket is crowded; how often crowds are dealt out by finer bands.
 CROWD, DEALS = 4096, 2
@@ -225,18 +225,20 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     reps = real.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["key", "id"])
     reps = ws.save(reps.select("id", "key", F.col("n_shingles").alias("size"), "sketch", "sampled", "bands"), "reps")
 
+    once = without_copies(texts.filter("id is not null")).drop("copies")  # or m copies of a row and n of another would meet m * n times
+
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        text = lambda c, new: texts.filter("id is not null").select(F.col("id").alias(c), F.col("text").alias(new))
+        text = lambda c, new: once.select(F.col("id").alias(c), F.col("text").alias(new))
         both = pairs.join(text("a", "ta"), "a").join(text("b", "tb"), "b").select("a", "b", "ta", "tb")
         return ws.save(both.mapInArrow(_confirm(shingle, percent), "a long, b long"), name)
 
-    links, roots, crowd = same, None, None
+    links, roots, crowd, salts = same, None, None, salts_for(reps.count())
     for deal in range(DEALS):
         if deal:  # bands of twice as many rows part the documents of crowded buckets
             finer = texts.join(crowd, "id", "left_semi").mapInArrow(_sign(shingle, bands_for(similarity, rows << deal), rows << deal), SIGNED_SQL)
             reps = ws.save(finer.select("id", "key", "bands").dropDuplicates(["id", "key"]).join(reps.drop("bands"), ["id", "key"]), "reps")
         rooted = reps.select("id", "bands", F.col("id").alias("root")) if roots is None else reps.select("id", "bands").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        spread = rooted.select("id", "root", F.posexplode("bands").alias("band", "bucket")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        spread = rooted.select("id", "root", F.posexplode("bands").alias("band", "bucket")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
         partial = spread.groupBy("band", "bucket", "salt").agg(F.min(F.struct("id", "root")).alias("leader"), F.count(F.lit(1)).alias("n"))
         shared = partial.groupBy("band", "bucket").agg(F.min("leader").alias("leader"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts")).filter("n > 1")
         members = spread.join(shared.select("band", "bucket", "leader", F.explode("salts").alias("salt")), ["band", "bucket", "salt"])

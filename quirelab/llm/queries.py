@@ -190,7 +190,7 @@ FROM w LEFT JOIN g ON g.doc_id = w.doc_id""",
 WITH salts AS (SELECT (floor(sqrt(greatest(count(*), 1)) / 64) + 1)::BIGINT AS n FROM documents),
 b AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS skey, len({_WORDS.format("text")})::BIGINT AS size, md5(coalesce(text, '')) AS digest,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % (SELECT n FROM salts) AS salt FROM documents),
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 8))::BIGINT % (SELECT n FROM salts) AS salt FROM documents),
 d AS (SELECT *, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 4, 0)) AS class FROM b),
 s AS (SELECT skey, min(source) AS source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 s1 AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, 3 * source_size AS cap FROM s),

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import with_copies, without_copies
 from ._text import Words, as_bytes, slices
 
 BLOCK_BYTES = 6 << 20
@@ -294,7 +295,7 @@ def _remove(n: int, layout: Layout, out: pa.Schema):
                     stays = ~covered[words.first[d] : words.first[d + 1]]
                     w = [w[i] for i in np.flatnonzero(stays)]
                 kept.append(b" ".join(w))
-        return pa.Table.from_arrays([docs.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], schema=out)
+        return pa.Table.from_arrays([docs.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), docs.column("copies")], schema=out)
 
     return one
 
@@ -315,21 +316,21 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     so pairs grow as the input to the power 1.5, and a window of every block is one entry a group. No task or driver holds the whole sketch.
     The shuffle of texts by block is made once and reused.
 
-    Null or empty text, and text without words: no words, `kept` empty. Rows that share an id don't remove each other's words.
+    Null or empty text, and text without words: no words, `kept` empty. Rows that share an id don't remove each other's words; equal rows are judged once, and all returned.
     A null id is kept whole and takes nothing from others. Empty table: empty result. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     layout = Layout.of(rows.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"])
     key_bits = layout.bits + (DEPTH - 1).bit_length()
-    placed = rows.filter(F.col("id").isNotNull()).select(F.pmod(F.xxhash64("id", "text"), F.lit(layout.blocks)).alias("node"), "id", "text")
+    placed = without_copies(rows.filter(F.col("id").isNotNull())).select(F.pmod(F.xxhash64("id", "text"), F.lit(layout.blocks)).alias("node"), "id", "text", "copies")
     by_block = lambda: placed.groupBy("node")
     estimates = _exchange(by_block().applyInArrow(_sketch(window, layout, key_bits), PART_SQL), layout, key_bits)
     found = by_block().cogroup(estimates.groupBy("node")).applyInArrow(_candidates(window, layout), PART_SQL)
     firsts = _exchange(found, layout, 64)
     replies = estimates.withColumn("exact", F.lit(False)).unionByName(firsts.withColumn("exact", F.lit(True)))
-    out = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-    done = by_block().cogroup(replies.groupBy("node")).applyInArrow(_remove(window, layout, out), "id long, n_words long, n_removed long, kept string")
+    out = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("copies", pa.int64())])
+    done = by_block().cogroup(replies.groupBy("node")).applyInArrow(_remove(window, layout, out), "id long, n_words long, n_removed long, kept string, copies long")
     unknown = rows.filter(F.col("id").isNull())
     split = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     whole = unknown.select("id", F.size(split).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join(split, " ").alias("kept"))
-    return done.unionByName(whole).withColumnRenamed("id", id_col)
+    return with_copies(done).unionByName(whole).withColumnRenamed("id", id_col)

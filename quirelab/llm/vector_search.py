@@ -163,8 +163,10 @@ def fit(x: np.ndarray, parts: int) -> Cut:
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    """Vectors as rows, each scaled by the power of two that brings its largest component under 1: cosines stay what they are, to the last bit, and no norm overflows."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
 
 
 CUTS = pa.schema([("leaf", pa.int32()), ("weights", pa.binary()), ("bias", pa.binary())])
