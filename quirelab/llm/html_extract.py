@@ -46,8 +46,8 @@ HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # What the standards say of elements and roles.
 MAIN = frozenset("article main".split())
 ASIDE = frozenset("nav footer aside form menu dialog fieldset head search navigation banner contentinfo complementary alertdialog toolbar menubar".split())
-# Where the weights of names start. A name that is a whole class, id or tag counts twice.
-STARTS = {
+# What names weigh that no lesson has shown; for names that lessons show, the learned weight counts alone. A name that is a whole class, id or tag counts twice.
+UNSEEN = {
     -10.0: "ad ads advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies disqus gdpr masthead modal navbar newsletter pagination pager"
     " popup promo promoted promotion respond sidebar signup skip sponsor sponsored subscribe toolbar topbar widget",
     -6.0: "recommend recommended recommendations related",
@@ -58,8 +58,9 @@ STARTS = {
     -0.5: "byline tags",
     1.0: "article body content entry main page post story text",
 }
-START = {name: w for w, names in STARTS.items() for name in names.split()}
-BELONGS, OUTSIDE, LEAST, SHAPED, CHANGED = 4.5, -12.0, -18.0, 3.0, 3.0
+START = {name: w for w, names in UNSEEN.items() for name in names.split()}
+ANCHOR, PENALTY = 0.05, 5e-5  # how firmly the weights of shapes are held to DEFAULT, and all others to 0
+SHAPED, MOST = 3.0, 1.5  # how much shapes, and names that speak for a block, can say
 #: Neighbours on the page by tree distance: the share that are alike, before any page is seen, and how many pairs that guess counts for.
 ALIKE, GUESSED, TIGHT = (0.9, 0.9, 0.85, 0.7, 0.65, 0.6), 20.0, 1.5
 #: Smoothness between the next two blocks under one parent, or grandparent.
@@ -74,9 +75,10 @@ class Node:
     parent: Node | None
     depth: int
     own: tuple[str, ...] = ()
-    says: float = 0.0
-    good: float = 0.0
+    says: int = 0  # 1 in an article, -1 in what the standards set apart
+    good: float = 0.0  # weights of the names around
     bad: float = 0.0
+    hidden: bool = False
     scope: dict[str, int] = field(default_factory=dict)
 
 
@@ -90,15 +92,17 @@ class Block:
 
 @dataclass
 class Model:
-    """Weights of block shapes, changes to the starting weights of names by hash bucket, and the smoothness between neighbours on the page by the distance of their elements."""
+    """Weights of block features and of names by hash bucket (NaN where lessons have not shown it), how much an article element says on pages that have one, and the smoothness between neighbours on
+    the page by the distance of their elements."""
 
-    shape: tuple[float, ...]
+    features: tuple[float, ...]
     names: np.ndarray
+    marked: float
     next: tuple[float, ...]
 
     def weight(self, token: str) -> float:
-        name = token[2:]
-        return START.get(name, 0.0) + float(self.names[bucket(token)])
+        w = float(self.names[bucket(token)])
+        return w if w == w else 0.0 if token[0] == "p" else START.get(token[2:], 0.0)
 
 
 def bucket(token: str) -> int:
@@ -106,12 +110,13 @@ def bucket(token: str) -> int:
 
 
 def tokens_of(tag: str, label: str) -> list[str]:
-    """Names of an element: each class and id as a whole, and their parts; its tag, if the page made that up."""
+    """Names of an element: each class and id as a whole, and their parts, set apart where a name has more than two; its tag, if the page made that up."""
     words = label.split()
     if "-" in tag or tag == "noscript":
         words.append(tag)
     out = [f"c:{w.lower()}" for w in words]
-    out += [f"n:{p.lower()}" for w in words for p in PART.findall(HUMP.sub(" ", w))]
+    for parts in (PART.findall(HUMP.sub(" ", w)) for w in words):
+        out += [f"{'n' if len(parts) < 3 else 'p'}:{x.lower()}" for x in parts]
     return list(dict.fromkeys(out))
 
 
@@ -162,7 +167,7 @@ class _Reader:
         return m.end()
 
     def cut(self) -> None:
-        if self.now.parts:
+        if self.now.parts and not self.now.node.hidden:
             text = "".join(self.now.parts)
             self.now.text = " ".join((_html.unescape(text) if "&" in text else text).split())
             if self.now.text:
@@ -190,18 +195,17 @@ class _Reader:
             self.link_depth = None
 
     def push(self, tag: str, rest: str) -> None:
-        says, good, bad, role, own = self.node.says, self.node.good, self.node.bad, "", []
-        label = ""
+        above, role, own, label = self.node, "", [], ""
+        says, good, bad, hidden = above.says, above.good, above.bad, above.hidden
         if rest:
-            names = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)}
-            role = names.get("role", "").strip().lower()
-            label = f"{names.get('class', '')} {names.get('id', '')}"
-            if "hidden" in names or names.get("aria-hidden", "").lower() == "true" or HIDDEN.search(names.get("style", "")):
-                says = OUTSIDE
-        if tag in ASIDE or role in ASIDE or (tag == "header" and says <= 0):
-            says = OUTSIDE
+            found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)}
+            role = found.get("role", "").strip().lower()
+            label = f"{found.get('class', '')} {found.get('id', '')}"
+            hidden = hidden or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(found.get("style", "")))
+        if tag in ASIDE or role in ASIDE or (tag == "header" and says <= 0) or (tag == "article" and says > 0):  # an article in an article is a reader's comment
+            says = -1
         elif (tag in MAIN or role in MAIN) and says >= 0:
-            says = BELONGS
+            says = 1
         if tag not in ("html", "body"):
             own = tokens_of(tag, label)
             for t in own:
@@ -214,7 +218,7 @@ class _Reader:
         if tag not in SCOPE:
             scope[tag] = scope.get(tag, 0) + 1
         self.open[tag] = self.open.get(tag, 0) + 1
-        self.node = Node(tag, self.node, self.node.depth + 1, tuple(own), says, good, bad, scope)
+        self.node = Node(tag, above, above.depth + 1, tuple(own), says, good, bad, hidden, scope)
 
     def start(self, tag: str, rest: str, at: int) -> int:
         if tag in SKIPPED and not (tag == "button" and any(self.node.scope.get(h) for h in HEADS)):
@@ -278,18 +282,18 @@ class _Reader:
         return self.out
 
 
-def shape(b: Block) -> list[float]:
-    """What a block looks like, whatever element it stands in."""
+def features(b: Block) -> list[float]:
+    """What a block looks like, and last whether the standards set its element apart."""
     words, size = b.text.count(" ") + 1, len(b.text)
     return [
         1.0, math.log1p(words), min(b.link / size, 1.0), float(b.text[-1] in ".!?\"'…:。！？"), float(words < 4), float(b.node.tag == "p"), float(b.node.tag in HEADS), float(b.node.tag == "li"),
-        min(sum(map(b.text.count, ",;.")) / words, 1.0),
+        min(sum(map(b.text.count, ",;.")) / words, 1.0), float(b.node.says < 0),
     ]
 
 
-#: For pages that teach nothing.
-DEFAULT = Model((-1.5, 0.7, -4.0, 0.8, -1.0, 1.0, 0.8, -0.5, 0.5), np.zeros(BUCKETS, np.float32), tuple(0.5 * math.log(p / (1 - p)) for p in ALIKE))
-FEATURES = len(DEFAULT.shape)
+#: For tables whose pages teach nothing.
+DEFAULT = Model((-1.5, 0.7, -4.0, 0.8, -1.0, 1.0, 0.8, -0.5, 0.5, -6.0), np.full(BUCKETS, np.nan, np.float32), 4.5, tuple(0.5 * math.log(p / (1 - p)) for p in ALIKE))
+FEATURES = len(DEFAULT.features)
 
 
 def blocks(page: str, model: Model = DEFAULT) -> list[Block]:
@@ -297,11 +301,12 @@ def blocks(page: str, model: Model = DEFAULT) -> list[Block]:
     return _Reader(page, model).blocks()
 
 
-def cost(b: Block, model: Model) -> float:
-    """Log odds that a block is main text: its shape (within SHAPED), the names around it, and what standard elements say."""
-    z = max(-SHAPED, min(SHAPED, sum(w * x for w, x in zip(model.shape, shape(b), strict=True))))
-    good = min(BELONGS, b.node.good + max(b.node.says, 0.0))
-    return z + good + max(LEAST, b.node.bad + min(b.node.says, 0.0))
+def cost(b: Block, model: Model, marked: bool) -> float:
+    """Log odds that a block is main text: its shape (within SHAPED), whether it is set apart, the names around it, and on pages with an article element (`marked`) whether that holds it."""
+    x = features(b)
+    z = max(-SHAPED, min(SHAPED, sum(w * v for w, v in zip(model.features[:-1], x[:-1], strict=True))))
+    inside = (model.marked if b.node.says > 0 else -model.marked) if marked else 0.0
+    return z + model.features[-1] * x[-1] + min(MOST, b.node.good) + b.node.bad + inside
 
 
 def distance(a: Node, b: Node) -> int:
@@ -403,31 +408,38 @@ def min_cut(costs: list[float], links: dict[tuple[int, int], float]) -> list[boo
     return fixed
 
 
+def labels(found: list[Block], model: Model = DEFAULT) -> list[bool]:
+    """Which blocks of a page are main text: the minimum cut of their costs."""
+    marked = any(b.node.says > 0 for b in found)
+    return min_cut([cost(b, model, marked) for b in found], edges(found, model))
+
+
 def main_text(page: str, model: Model = DEFAULT) -> str:
     found = blocks(page, model)
-    keep = min_cut([cost(b, model) for b in found], edges(found, model))
-    return "\n\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
+    return "\n\n".join(b.text for b, k in zip(found, labels(found, model), strict=True) if k)
+
+
+AROUND = 64
 
 
-def lesson(found: list[Block]) -> list[tuple[list[float], list[int], float, int, bool, bool]]:
-    """Shape, buckets of names, sum of their starting weights, distance to the block before (-1: none), whether that has the same label, and label
-    of each block of a page that marks its article with a standard element: inside of it or outside."""
+def lesson(found: list[Block]) -> list[tuple[list[float], list[int], int, bool, bool]]:
+    """Features, buckets of names, distance to the block before (-1: none), whether that has the same label, and label of each block of a page that marks its article
+    with a standard element: inside of it or outside. Names are taken from the AROUND nearest elements, so that very deep pages stay cheap to learn from."""
     out = []
     if any(b.node.says > 0 for b in found):
         for i, b in enumerate(found):
             names, x, before = [], b.node, found[i - 1].node
-            for _ in range(64):
+            for _ in range(AROUND):
                 if x is None:
                     break
                 names += x.own
                 x = x.parent
-            names = list(dict.fromkeys(names))
             apart = min(distance(before, b.node), len(ALIKE) - 1) if i else -1
-            out.append((shape(b), [bucket(t) for t in names], sum(START.get(t[2:], 0.0) for t in names), apart, (before.says > 0) == (b.node.says > 0), b.node.says > 0))
+            out.append((features(b), [bucket(t) for t in dict.fromkeys(names)], apart, (before.says > 0) == (b.node.says > 0), b.node.says > 0))
     return out
 
 
-LESSONS = pa.schema([("x", pa.list_(pa.float64())), ("names", pa.list_(pa.int32())), ("start", pa.float64()), ("apart", pa.int32()), ("same", pa.bool_()), ("y", pa.bool_())])
+LESSONS = pa.schema([("x", pa.list_(pa.float64())), ("names", pa.list_(pa.int32())), ("apart", pa.int32()), ("same", pa.bool_()), ("y", pa.bool_())])
 
 
 def _lessons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,16 +449,16 @@ def _lessons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE, most: int = SAMPLE_BLOCKS) -> Model:
-    """A logistic regression over block shapes and hashed names, taught by pages that mark their article with standard elements.
+    """A logistic regression over block features and hashed names, taught by pages that mark their article with standard elements.
 
-    Those elements themselves are no features, so the weights serve pages without them. The weights of names start from START, those of
-    shapes from DEFAULT, and move as far as the sample asks for; the smoothness between neighbours is half the log odds that they are alike. Fits on the pages whose ids hash smallest, `sample` at most, one row
-    an id, and of their blocks on the `most` that hash smallest. DEFAULT without both kinds of blocks.
+    Shapes are fitted alone, so that they tell what they can; their weights start from, and are held to, DEFAULT, since few sites show all shapes. Names and what is set apart are fitted alone too, from 0,
+    held by a small penalty. What an article element says on pages that have one is fitted last, given the others: it is what is to be told, so the others serve pages without it. The smoothness between neighbours is half the log odds that they are alike. Fits on the
+    pages whose ids hash smallest, `sample` at most, one row an id, and of their blocks on the `most` that hash smallest. DEFAULT without both kinds of blocks.
     """
     rows = pages.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
     ids = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = rows.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("html").alias("html"))
-    found = rows.select("html").mapInArrow(_lessons, "x array<double>, names array<int>, start double, apart int, same boolean, y boolean")
+    found = rows.select("html").mapInArrow(_lessons, "x array<double>, names array<int>, apart int, same boolean, y boolean")
     got = found.orderBy(F.xxhash64(*LESSONS.names), *LESSONS.names).limit(most).toArrow()
     y = got.column("y").to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
@@ -454,23 +466,34 @@ def train(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html",
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), FEATURES)
     at = got.column("names").combine_chunks()
     doc, at = np.repeat(np.arange(len(y)), at.value_lengths().to_numpy()), at.flatten().to_numpy()
-    start = got.column("start").to_numpy()
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    first = np.array(DEFAULT.shape)
-    w, names = first.copy(), np.zeros(BUCKETS)
-    mw, vw, mn, vn = np.zeros_like(w), np.zeros_like(w), np.zeros_like(names), np.zeros_like(names)
-    for t in range(1, 201):  # Adam over the whole sample
-        p = 1 / (1 + np.exp(-np.clip(x @ w + start + np.bincount(doc, weights=names[at], minlength=len(y)), -30, 30)))
-        g = balance * (p - y) / len(y)
-        for value, grad, m, v in ((w, x.T @ g + 0.01 * (w - first), mw, vw), (names, np.bincount(at, weights=g[doc], minlength=BUCKETS) + 0.002 * names, mn, vn)):
-            m += 0.1 * (grad - m)
-            v += 0.01 * (grad * grad - v)
-            value -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+    look, first = x[:, :-1], np.array(DEFAULT.features[:-1])
+
+    def fit(values: list[np.ndarray], logit, gradients) -> None:
+        """Adam over the whole sample."""
+        m, v = [np.zeros_like(a) for a in values], [np.zeros_like(a) for a in values]
+        for t in range(1, 301):
+            g = balance * (1 / (1 + np.exp(-np.clip(logit(), -30, 30))) - y) / len(y)
+            for k, (value, grad) in enumerate(zip(values, gradients(g), strict=True)):
+                m[k] += 0.1 * (grad - m[k])
+                v[k] += 0.01 * (grad * grad - v[k])
+                value -= 0.05 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)
+
+    shape, apart_, names = first.copy(), np.zeros(2), np.zeros(BUCKETS)
+    fit([shape], lambda: look @ shape, lambda g: [look.T @ g + ANCHOR * (shape - first)])
+    named = lambda: np.bincount(doc, weights=names[at], minlength=len(y))
+    fit([apart_, names], lambda: apart_[0] * x[:, -1] + apart_[1] + named(), lambda g: [np.array([x[:, -1] @ g, g.sum()]) + PENALTY * apart_, np.bincount(at, weights=g[doc], minlength=BUCKETS) + PENALTY * names])
+    w = np.append(shape, apart_[0])
+    z, side, marked = np.clip(look @ shape, -SHAPED, SHAPED) + apart_[0] * x[:, -1] + named(), np.where(y == 1, 1.0, -1.0), 0.0
+    for _ in range(50):  # Newton's method for one weight
+        p = 1 / (1 + np.exp(-np.clip(z + marked * side, -30, 30)))
+        marked -= ((balance * (p - y) * side).mean() + PENALTY * marked) / ((balance * p * (1 - p)).mean() + PENALTY)
     apart, same = got.column("apart").to_numpy(), got.column("same").to_numpy(zero_copy_only=False)
     alike, other = (np.bincount(apart[(apart >= 0) & (same == k)], minlength=len(ALIKE)) for k in (True, False))
     odds = np.log((alike + GUESSED * np.array(ALIKE)) / (other + GUESSED * (1 - np.array(ALIKE))))
     smooth = tuple(float(round(z, 6)) for z in np.clip(0.5 * odds, 0, TIGHT))
-    return Model(tuple(float(round(z, 6)) for z in w), np.clip(names, -CHANGED, CHANGED).round(4).astype(np.float32), smooth)
+    names[np.bincount(at, minlength=BUCKETS) == 0] = np.nan
+    return Model(tuple(float(round(z, 6)) for z in w), names.round(4).astype(np.float32), float(round(marked, 6)), smooth)
 
 
 TEXTS = pa.schema([("id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
@@ -488,11 +511,10 @@ def _extract(model: Model):
 def extract_main_text(pages: DataFrame, model: Model = DEFAULT, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url, text, n_chars) for every page: its main text, blocks joined by an empty line.
 
-    The page is cut into blocks at the edges of block elements. A block's cost is the log odds of a classifier over its shape, the
-    names (classes, ids) around it and what standard elements say of it. Costs are capacities to the two terminals; neighbours on the page and in
-    the element tree are linked, the more the nearer; maximum flow finds the minimum cut, which parts main text from the rest. A standard element such as
-    nav outweighs all links, so its blocks are settled before; where pages have no such elements, the cut decides. Character references
-    are decoded and white space becomes one space. Time is linear in the page but for the flow among blocks that are not settled.
+    The page is cut into blocks at the edges of block elements. A block's cost is the log odds of a classifier over its shape, the standard elements that set it apart, the names
+    (classes, ids) around it, and, on pages that have one, whether an article element holds it. All these weights are learned; UNSEEN serves only names that no lesson has shown. Costs are capacities to
+    the two terminals; neighbours on the page and in the element tree are linked, the more the nearer; maximum flow finds the minimum cut, which parts main text from the rest. Hidden elements
+    have no text. Character references are decoded and white space becomes one space. Time is linear in the page but for the flow among blocks that are not settled.
 
     Null or empty html: empty text. A page without tags is one block, judged by its shape. Equal costs on both sides: boilerplate. Repeated and null
     ids stay as rows. Empty table: empty result. Other columns are ignored.

@@ -237,3 +237,56 @@ def test_very_large_and_very_small_components(spark):
         best = np.argsort(-near)[:3]
         assert [got[(q, k + 1)][0] for k in range(3)] == best.tolist()
         assert np.allclose([got[(q, k + 1)][1] for k in range(3)], near[best])
+
+
+# ---- learned costs of pages
+
+
+def read_simply(html):
+    """The article between its tags, cut at every tag that isn't known to stand within a line."""
+    import html as entities
+
+    inside = html[html.index("<article>") + 9 : html.index("</article>")]
+    cut = re.sub(r"<(?!/?(?:a|b|i|em|strong|span|br|code|sup|sub)\b)[^>]*>", "\0", re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", inside, flags=re.S))
+    parts = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\b[^>]*>", " ", p))).split()) for p in cut.split("\0")]
+    return "\n\n".join(p for p in parts if p)
+
+
+@pytest.fixture(scope="module")
+def learned(spark, sf):
+    from quirelab.llm import html_extract
+
+    pages = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/pages.parquet")
+    return pages, html_extract.train(pages)
+
+
+def test_pages_as_read_simply(learned):
+    from quirelab.llm import html_extract
+
+    pages, model = learned
+    for r in pages.select("html").collect():
+        assert html_extract.main_text(r["html"], model) == read_simply(r["html"])
+        foreign = r["html"].replace('class="ad"', 'class="werbung"')
+        assert html_extract.main_text(foreign, model) == read_simply(r["html"])
+
+
+PAGE = "<nav><a href=x>Home</a></nav><article><h1>Title here</h1><p>First paragraph of the text, which is long enough.</p>{}<p>Second paragraph of the text, with a few words.</p></article>{}<footer>(c) someone</footer>"
+OTHER = "I liked this article very much, thank you for writing it."
+
+
+@pytest.mark.parametrize("inside,outside,kept", [
+    (f"<section class='promotion-of-health'><p>{OTHER}</p></section>", "", True), ("", f"<div class=c2><div class=u><p>{OTHER}</p></div></div>", False), ("", f"<div class=werbung><p>{OTHER}</p></div>", False),
+    (f"<div class=ad><p>{OTHER}</p></div>", "", False), (f"<article><p>{OTHER}</p></article>", "", False), ("", f"<article class=comment><p>{OTHER}</p></article>", False), (f"<p hidden>{OTHER}</p>", "", False),
+    (f"<section class=related-work><p>{OTHER}</p></section>", "", True), (f"<aside><p>{OTHER}</p></aside>", "", False),
+])
+def test_learned_costs_decide(learned, inside, outside, kept):
+    from quirelab.llm import html_extract
+
+    assert (OTHER in html_extract.main_text(PAGE.format(inside, outside), learned[1])) == kept
+
+
+def test_names_start_at_nothing(learned):
+    from quirelab.llm import html_extract
+
+    shown = ~np.isnan(learned[1].names)
+    assert 0 < shown.sum() < 50 and learned[1].weight("c:ad") < -1 and not np.isnan(learned[1].names[html_extract.bucket("c:ad")])

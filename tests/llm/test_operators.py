@@ -572,7 +572,7 @@ def test_html_cut_decides_without_names(spark, sf):
     for (html,) in pages.filter("page_id % 2 = 1").select("html").collect():
         inside = Counter(b.text for b in html_extract.blocks(html[html.index("<article>") : html.index("</article>")]))
         bare = html_extract.blocks(re.sub(r"<(/?)(article|nav|footer)\b[^>]*>", r"<\1div>", re.sub(r' class="[^"]*"', "", html)), model)
-        costs = [html_extract.cost(b, model) for b in bare]
+        costs = [html_extract.cost(b, model, False) for b in bare]
         alone, cut = [c > 0 for c in costs], html_extract.min_cut(costs, html_extract.edges(bare, model))
         changed += alone != cut
         all_ += inside.total()
