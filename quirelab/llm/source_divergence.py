@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ._store import Workspace
 from .line_dedup import salts_for
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+TERM = r"[a-z\x{80}-\x{10FFFF}]+"  # after A-Z are in lower case, all but the other ASCII characters; a class that names what it holds is matched far faster
 SCALE = 1_000_000_000
 
 
