@@ -1,7 +1,7 @@
 """Columns, tables and paragraphs of pages, from fragments of rows: windows, events, and folds over the rows of one region.
 
 Fragments are (by, row_no, frag_no, text, n_chars, x0, x1, top, bottom, base, size, bold); `by` names the region, a page or a part of one, so whatever
-comes together in one task is bounded by a page.
+comes together in one task is bounded by a page. Operators of several steps write their input and a few small tables in between, so that no step is computed twice.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quirelab.functions.geometry import centred
 from quirelab.functions.text import join_lines, list_kind
+from quirelab.sources.store import written
 
 # Fixed values. Rows of a zone lie within 2.5 sizes; a single fragment under 0.45 of the width is a label between cells; 12 percent of a zone's rows may cross a gap.
 ZONE_GAP, LABEL, CROSSING = 2.5, 0.45, 0.12
@@ -51,7 +52,7 @@ def gutters(frags: DataFrame, by: list[str], nested: bool = False) -> DataFrame:
     are candidates. On both sides there must be running text that fills its column, or, unless nested, on one side, beside labels of a figure. The best has most full
     lines on its weaker side (twice), on the other, and fewest that cross; of equal ones the first.
     """
-    shown = frags.filter("n_chars >= 2").select(*by, "x0", "x1")
+    shown = written(frags.filter("n_chars >= 2").select(*by, "x0", "x1"))
     box = shown.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("x0").alias("l"), F.max("x1").alias("r")).filter("n >= 10 AND r - l >= 150")
     box = box.withColumn("from", F.ceil(F.col("l") + 0.2 * (F.col("r") - F.col("l")))).withColumn("to", F.floor(F.col("l") + 0.8 * (F.col("r") - F.col("l"))))
     within = shown.join(box, by)
@@ -77,7 +78,8 @@ def gutters(frags: DataFrame, by: list[str], nested: bool = False) -> DataFrame:
 
 def _split_once(items: DataFrame, by: list[str], level: int) -> DataFrame:
     """Items with the key of the part of their region that they go to: bands across the gutter, and columns between these, left first. Regions without a gutter stay whole."""
-    cut = gutters(items.filter("n_chars IS NOT NULL"), by, nested=level > 0)
+    items = written(items)
+    cut = written(gutters(items.filter("n_chars IS NOT NULL"), by, nested=level > 0))
     r, order = Window.partitionBy(*by), ["top", "frag_no"]
     items = items.join(cut, by, "left")
     g, mid = F.col("gutter"), (F.col("x0") + F.col("x1")) / 2
@@ -110,7 +112,7 @@ def split_regions(items: DataFrame, by: list[str]) -> DataFrame:
 
     Two rounds: a page is cut at its gutter into bands and columns, and so is each column once more. Bands that run across are read as they are.
     """
-    once = _split_once(items, by, 0)
+    once = written(_split_once(items, by, 0))
     again = _split_once(once.filter("_open").drop("_open"), [*by, "part0"], 1).drop("_open")
     whole = once.filter("NOT _open").drop("_open").withColumn("part1", F.lit(0)).withColumn("cut1", F.lit(False))
     page = Window.partitionBy(*by)
@@ -143,9 +145,10 @@ def table_columns(frags: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame
 
 
 def _accepted(frags: DataFrame, rows: DataFrame, by: list[str], zone: list[str], width: Column) -> DataFrame:
-    """(zone, n_cols) of the zones among `rows` (zone, row_no, size, n_frags) that are tables: not running text side by side, lists of markers, long texts, or grids next to empty."""
+    """(zone, cols) of the zones among `rows` (zone, row_no, size, n_frags) that are tables: not running text side by side, lists of markers, long texts, or grids next to empty."""
     inside = rows.select(*zone, "row_no").join(frags, [*by, "row_no"])
-    cols = table_columns(inside, rows, zone)
+    inside = written(inside)
+    cols = written(table_columns(inside, rows, zone))
     w, share = F.col("x1") - F.col("x0"), _overlap(F.col("x0"), F.col("x1"), F.col("c0"), F.col("c1"))
     met = inside.join(cols.select(*zone, "col_no", F.col("x0").alias("c0"), F.col("x1").alias("c1")), zone)
     inner = share > 0.5 * w
@@ -159,16 +162,18 @@ def _accepted(frags: DataFrame, rows: DataFrame, by: list[str], zone: list[str],
     size = rows.groupBy(*zone).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("n_frags") >= 2).alias("n_strong"), F.max(width).alias("width"))
     shape = F.expr("n_cols >= 2 AND (n_strong >= 3 OR (n_strong >= 2 AND n_cols >= 3))")
     text = F.expr("n_cols = 2 AND ((m0 > 0.3D * width AND m1 > 0.3D * width) OR (short0 >= 0.7D * n0 AND m1 > 0.3D * width))")
-    return told.join(size, zone).filter(shape & ~text & F.expr("widest <= 0.6D * width AND filled / (n_rows * n_cols) >= 0.3D")).select(*zone, "n_cols")
+    good = told.join(size, zone).filter(shape & ~text & F.expr("widest <= 0.6D * width AND filled / (n_rows * n_cols) >= 0.3D"))
+    return good.join(cols.groupBy(*zone).agg(F.sort_array(F.collect_list(F.struct("x0", "x1"))).alias("cols")), zone).select(*zone, "cols")
 
 
 def table_zones(frags: DataFrame, by: list[str], left: Column, right: Column) -> DataFrame:
-    """(by, first_row, last_row, n_cols): the tables of each region, between its bounds.
+    """(by, first_row, last_row, cols): the tables of each region, between its bounds, with their columns (x0, x1) from the left.
 
     Rows of several fragments, and short labels between them, that follow each other closely are a session, from its first such row to its last. A session is a table, or
     the longest of its ends that is one, if it passes the tests of _accepted(). Only sessions that fail are looked at end by end.
     """
     width = F.greatest(F.lit(50.0), right - left)
+    frags = written(frags)
     rows = rows_of_region(frags, by)
     region = Window.partitionBy(*by).orderBy("row_no")
     strong = F.col("n_frags") >= 2
@@ -178,29 +183,29 @@ def table_zones(frags: DataFrame, by: list[str], left: Column, right: Column) ->
     session = Window.partitionBy(*by, "session")
     rows = rows.withColumn("_last", F.max(F.when(strong, F.col("row_no"))).over(session)).withColumn("first_row", F.min(F.when(strong, F.col("row_no"))).over(session))
     rows = rows.filter("row_no >= first_row AND row_no <= _last AND first_row < _last").select(*by, "session", "first_row", "_last", "row_no", "n_frags", "size")
+    rows = written(rows)
     zone = [*by, "session", "first_row"]
-    whole = _accepted(frags, rows, by, zone, width)
-    failed = rows.join(whole, [*by, "session"], "left_anti")
+    whole = written(_accepted(frags, rows, by, zone, width))
+    failed = written(rows.join(whole, [*by, "session"], "left_anti"))
     starts = failed.filter((F.col("n_frags") >= 2) & (F.col("row_no") > F.col("first_row")) & (F.col("row_no") < F.col("_last"))).select(*by, "session", F.col("row_no").alias("first_row"))
-    ends = starts.join(failed.drop("first_row"), [*by, "session"]).filter("row_no >= first_row")
-    longest = _accepted(frags, ends, by, zone, width).groupBy(*by, "session").agg(F.min("first_row").alias("first_row"), F.min_by("n_cols", "first_row").alias("n_cols"))
-    found = whole.select(*zone, "n_cols").unionByName(longest.select(*zone, "n_cols"))
-    return found.join(rows.select(*by, "session", F.col("_last").alias("last_row")).distinct(), [*by, "session"]).select(*by, "first_row", "last_row", "n_cols")
+    ends = written(starts.join(failed.drop("first_row"), [*by, "session"]).filter("row_no >= first_row"))
+    longest = _accepted(frags, ends, by, zone, width).groupBy(*by, "session").agg(F.min("first_row").alias("first_row"), F.min_by("cols", "first_row").alias("cols"))
+    found = whole.select(*zone, "cols").unionByName(longest.select(*zone, "cols"))
+    return found.join(rows.select(*by, "session", F.col("_last").alias("last_row")).distinct(), [*by, "session"]).select(*by, "first_row", "last_row", "cols")
 
 
 def table_cells(frags: DataFrame, zones: DataFrame, by: list[str]) -> DataFrame:
-    """(by, first_row, table_row, col_no, text, width): the filled cells of tables (by, first_row, last_row), and how wide their columns are.
+    """(by, first_row, table_row, col_no, text, width): the filled cells of tables (by, first_row, last_row, cols), and how wide their columns are.
 
     A fragment goes to the column that holds most of it, of equal ones the first. A row as close as lines of a text continues the row above where the table's rows are
     otherwise spaced out, or where it is a single fragment, if each of its cells is filled there: a fold over the rows, whose state is the row that is being continued.
     """
     zone = [*by, "first_row"]
-    inside = frags.join(zones.select(*zone, "last_row"), by).filter("row_no BETWEEN first_row AND last_row")
+    inside = frags.join(zones.select(*zone, "last_row", "cols"), by).filter("row_no BETWEEN first_row AND last_row")
+    inside = written(inside)
     rows = rows_of_region(inside, zone)
-    cols = table_columns(inside, rows, zone)
-    share = _overlap(F.col("x0"), F.col("x1"), F.col("c0"), F.col("c1"))
-    met = inside.join(cols.select(*zone, "col_no", F.col("x0").alias("c0"), F.col("x1").alias("c1")), zone)
-    placed = met.groupBy(*zone, "row_no", "frag_no").agg(F.max_by("col_no", F.struct(share, -F.col("col_no"))).alias("col_no"), F.first("text").alias("text"), F.first("x0").alias("x0"))
+    share = lambda c, i: F.struct(_overlap(F.col("x0"), F.col("x1"), c["x0"], c["x1"]).alias("o"), (-i).alias("i"))
+    placed = inside.withColumn("col_no", (-F.array_max(F.transform("cols", share))["i"]).cast("bigint"))
 
     w = Window.partitionBy(*zone)
     pitch = (F.col("base") - F.lag("base").over(w.orderBy("row_no"))) / F.col("size")
@@ -223,8 +228,9 @@ def table_cells(frags: DataFrame, zones: DataFrame, by: list[str]) -> DataFrame:
         broken = p["more"] & text.rlike("[A-Za-z]-$") & p["text"].rlike("^[a-z]")
         return F.when(text.isNull(), p["text"]).when(broken, F.concat(F.substring(text, F.lit(1), F.char_length(text) - 1), p["text"])).otherwise(F.concat(text, F.lit(" "), p["text"]))
 
-    widths = cols.select(*zone, "col_no", (F.coalesce(F.lead("x0").over(w.orderBy("col_no")), F.col("x1")) - F.col("x0")).alias("width"))
-    return parts.select(*zone, "table_row", "col_no", F.aggregate("p", F.lit(None).cast("string"), add).alias("text")).join(widths, [*zone, "col_no"])
+    here, after = F.get("cols", F.col("col_no").cast("int")), F.get("cols", (F.col("col_no") + 1).cast("int"))
+    filled = parts.join(zones.select(*zone, "cols"), zone)
+    return filled.select(*zone, "table_row", "col_no", F.aggregate("p", F.lit(None).cast("string"), add).alias("text"), (F.coalesce(after["x0"], here["x1"]) - here["x0"]).alias("width"))
 
 
 # ---- paragraphs

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,45 +24,72 @@ def repeated_lines(lines: DataFrame, least: int = 3) -> DataFrame:
     return keyed.groupBy("doc_id", "line_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
-def run_pairs(ref: DataFrame, out: DataFrame, run: int = 12) -> DataFrame:
-    """(ref_id, out_id) of word lists that share a run of `run` words; each list is (id, words).
+def paired(ref: DataFrame, out: DataFrame, words: Callable[[Column], Column], run: int = 12) -> DataFrame:
+    """(ref_id, out_id, rw, ow): texts (id, text) of the two sides that share a run of `run` words, as word lists.
 
-    The distinct runs of each side meet in one equi-join. A run that all texts share pairs each reference that has it with all of them, since these are pairs.
+    The runs of each side meet as pairs of 64-bit hashes in one equi-join; the texts of pairs alone are read again, and only pairs that share a run, word by word, stay. A run that all texts share pairs each
+    reference that has it with all of them, since these are pairs.
     """
-    grams = lambda d, name: d.select(F.col("id").alias(name), F.explode(F.array_distinct(_runs(F.col("words"), run))).alias("run"))
-    return grams(ref, "ref_id").join(grams(out, "out_id"), "run").select("ref_id", "out_id").distinct()
+    hashes = lambda d, name: d.select(F.col("id").alias(name), words(F.col("text")).alias("w")).select(name, F.explode(F.array_distinct(_run_hashes(F.col("w"), run))).alias("h")).select(name, "h.*")
+    found = hashes(out, "out_id").join(hashes(ref, "ref_id"), ["h1", "h2"]).select("ref_id", "out_id").distinct()
+    text = lambda d, key, name: d.select(F.col("id").alias(key), F.col("text").alias(name))
+    both = found.join(text(ref, "ref_id", "rt"), "ref_id").join(text(out, "out_id", "ot"), "out_id").select("ref_id", "out_id", words(F.col("rt")).alias("rw"), words(F.col("ot")).alias("ow"))
+    return both.filter(F.arrays_overlap(_runs(F.col("rw"), run), _runs(F.col("ow"), run)))
+
+
+def run_pairs(ref: DataFrame, out: DataFrame, run: int = 12) -> DataFrame:
+    """(ref_id, out_id) of word lists (id, words) that share a run of `run` words."""
+    spelled = lambda d: d.select("id", F.array_join("words", "\0").alias("text"))
+    return paired(spelled(ref), spelled(out), lambda t: F.filter(F.split(t, "\0"), lambda w: w != ""), run).select("ref_id", "out_id")
+
+
+def _at(words: Column, run: int) -> Column:
+    return F.when(F.size(words) >= run, F.sequence(F.lit(1), F.size(words) - (run - 1))).otherwise(F.array().cast("array<int>"))
 
 
 def _runs(words: Column, run: int) -> Column:
     """Every run of `run` consecutive words, by position."""
-    at = F.when(F.size(words) >= run, F.sequence(F.lit(1), F.size(words) - (run - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(words, i, run), " "))
+    return F.transform(_at(words, run), lambda i: F.array_join(F.slice(words, i, run), " "))
+
+
+def _run_hashes(words: Column, run: int) -> Column:
+    """Two 64-bit hashes of every run."""
+    return F.transform(_at(words, run), lambda i: F.struct(F.xxhash64(F.slice(words, i, run)).alias("h1"), F.xxhash64(F.lit(1), F.slice(words, i, run)).alias("h2")))
+
+
+def _with_lists(pairs: DataFrame, ref: DataFrame, out: DataFrame) -> DataFrame:
+    lists = lambda d, key, name: d.select(F.col("id").alias(key), F.col("words").alias(name))
+    return pairs.join(lists(ref, "ref_id", "rw"), "ref_id").join(lists(out, "out_id", "ow"), "out_id")
+
+
+def recall_of(both: DataFrame) -> DataFrame:
+    """(ref_id, out_id, recall) of word lists (ref_id, out_id, rw, ow): share of the reference's words, with their counts, that the output has; 1 for none."""
+    side = lambda c, need, have: F.transform(c, lambda w: F.struct(w.alias("word"), F.lit(need).alias("need"), F.lit(have).alias("have")))
+    counts = both.select("ref_id", "out_id", F.inline(F.concat(side("rw", 1, 0), side("ow", 0, 1)))).groupBy("ref_id", "out_id", "word").agg(F.sum("need").alias("need"), F.sum("have").alias("have"))
+    share = F.when(F.sum("need") > 0, F.sum(F.least("need", "have")) / F.sum("need"))
+    got = counts.groupBy("ref_id", "out_id").agg(share.alias("recall"))
+    return both.select("ref_id", "out_id").join(got, ["ref_id", "out_id"], "left").withColumn("recall", F.coalesce("recall", F.lit(1.0)))
+
+
+def coverage_of(both: DataFrame, run: int = 12) -> DataFrame:
+    """(ref_id, out_id, coverage) of word lists (ref_id, out_id, rw, ow): share of the reference's words inside a run of `run` words that the output has. References shorter than a run get their recall."""
+    long_ = both.filter(F.size("rw") >= run)
+    side = lambda c, mine: F.transform(_runs(F.col(c), run), lambda g, i: F.struct(g.alias("run"), F.when(F.lit(mine), i).alias("at"), F.lit(not mine).alias("has")))
+    runs = long_.select("ref_id", "out_id", F.size("rw").alias("n"), F.inline(F.concat(side("rw", True), side("ow", False))))
+    met = runs.groupBy("ref_id", "out_id", "n", "run").agg(F.collect_list("at").alias("at"), F.bool_or("has").alias("has"))
+    spots = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + (run - 1)))))
+    covered = met.select("ref_id", "out_id", "n", F.explode_outer(F.when(F.col("has"), spots)).alias("spot")).groupBy("ref_id", "out_id", "n").agg(F.count_distinct("spot").alias("covered"))
+    return covered.select("ref_id", "out_id", (F.col("covered") / F.col("n")).alias("coverage")).unionByName(recall_of(both.filter(F.size("rw") < run)).withColumnRenamed("recall", "coverage"))
 
 
 def multiset_recall(pairs: DataFrame, ref: DataFrame, out: DataFrame) -> DataFrame:
-    """(ref_id, out_id, recall): share of the reference's words, with their counts, that the output has."""
-    count = lambda d, key: d.select(F.col("id").alias(key), F.explode("words").alias("word")).groupBy(key, "word").count()
-    need = pairs.join(count(ref, "ref_id").withColumnRenamed("count", "need"), "ref_id")
-    both = need.join(count(out, "out_id").withColumnRenamed("count", "have"), ["out_id", "word"], "left")
-    got = both.groupBy("ref_id", "out_id").agg(F.sum(F.least("need", F.coalesce("have", F.lit(0)))).alias("got"), F.sum("need").alias("all"))
-    return pairs.join(got, ["ref_id", "out_id"], "left").select("ref_id", "out_id", F.coalesce(F.col("got") / F.col("all"), F.lit(1.0)).alias("recall"))
+    """recall_of() pairs (ref_id, out_id) of word lists (id, words)."""
+    return recall_of(_with_lists(pairs, ref, out))
 
 
 def run_coverage(pairs: DataFrame, ref: DataFrame, out: DataFrame, run: int = 12) -> DataFrame:
-    """(ref_id, out_id, coverage): share of the reference's words inside a run of `run` words that the output has.
-
-    References shorter than a run get their multiset recall.
-    """
-    runs = ref.filter(F.size("words") >= run).select(F.col("id").alias("ref_id"), F.size("words").alias("n"), F.posexplode(_runs(F.col("words"), run)).alias("at", "run"))
-    has = out.select(F.col("id").alias("out_id"), F.explode(F.array_distinct(_runs(F.col("words"), run))).alias("run"))
-    hit = pairs.join(runs, "ref_id").join(has, ["out_id", "run"], "left_semi")
-    spots = hit.withColumn("spot", F.explode(F.sequence(F.col("at"), F.col("at") + (run - 1))))
-    covered = spots.groupBy("ref_id", "out_id").agg(F.count_distinct("spot").alias("covered"))
-    sizes = ref.select(F.col("id").alias("ref_id"), F.size("words").alias("n"))
-    long_ = pairs.join(sizes.filter(F.col("n") >= run), "ref_id").join(covered, ["ref_id", "out_id"], "left")
-    long_ = long_.select("ref_id", "out_id", (F.coalesce("covered", F.lit(0)) / F.col("n")).alias("coverage"))
-    short = pairs.join(sizes.filter(F.col("n") < run), "ref_id", "left_semi")
-    return long_.unionByName(multiset_recall(short, ref, out).withColumnRenamed("recall", "coverage"))
+    """coverage_of() pairs (ref_id, out_id) of word lists (id, words)."""
+    return coverage_of(_with_lists(pairs, ref, out), run)
 
 
 @F.pandas_udf(types.DoubleType())

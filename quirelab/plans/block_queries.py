@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quirelab.operators import block_ops as B
 from quirelab.sources import tables as T
+from quirelab.sources.store import written
 
 PAGE = ["doc_id", "page_no"]
 LEFT, RIGHT = 72.0, 540.0
@@ -25,7 +26,7 @@ def page_gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of set pages; every other page of two columns has an image across them, every other page of three one in its first column."""
-    frags = B.text_bounds(_fragments(spark, sf_dir), PAGE)
+    frags = written(B.text_bounds(_fragments(spark, sf_dir), PAGE))
     image = F.when(F.col("doc_id") % 8 == 1, F.struct(F.lit(100.0).alias("x0"), F.lit(500.0).alias("x1"))).when(F.col("doc_id") % 8 == 2, F.struct(F.lit(80.0).alias("x0"), F.lit(200.0).alias("x1")))
     page = frags.groupBy(*PAGE).agg(F.first("left").alias("left"), F.first("right").alias("right")).withColumn("image", image).filter("image IS NOT NULL")
     images = page.select(*PAGE, F.lit(100_000).cast("long").alias("frag_no"), F.lit(None).cast("long").alias("n_chars"), "image.x0", "image.x1", F.lit(230.5).alias("top"), F.lit(262.0).alias("bottom"), "left", "right")
@@ -34,24 +35,22 @@ def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    frags = B.with_rows(_fragments(spark, sf_dir), PAGE)
+    frags = written(B.with_rows(_fragments(spark, sf_dir), PAGE))
     return frags, B.table_zones(frags, PAGE, F.lit(LEFT), F.lit(RIGHT))
 
 
 def table_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tables(spark, sf_dir)[1]
+    return _tables(spark, sf_dir)[1].select(*PAGE, "first_row", "last_row", F.size("cols").cast("long").alias("n_cols"))
 
 
 def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frags, zones = _tables(spark, sf_dir)
-    zone = [*PAGE, "first_row"]
-    inside = frags.join(zones, PAGE).filter("row_no BETWEEN first_row AND last_row")
-    return B.table_columns(inside, B.rows_of_region(inside, zone), zone)
+    zones = _tables(spark, sf_dir)[1]
+    return zones.select(*PAGE, "first_row", F.posexplode("cols").alias("col_no", "c")).select(*PAGE, "first_row", F.col("col_no").cast("long").alias("col_no"), "c.x0", "c.x1")
 
 
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     frags, zones = _tables(spark, sf_dir)
-    return B.table_cells(frags, zones, PAGE)
+    return B.table_cells(frags, written(zones), PAGE)
 
 
 def paragraph_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

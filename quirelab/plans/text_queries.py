@@ -55,28 +55,23 @@ def numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "documents").select("doc_id", X.roman(n).alias("roman"), X.alpha(F.col("doc_id") * 97).alias("alpha"))
 
 
-def _compared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs of benchmark items and documents that share five words, and the word lists of those alone."""
-    lists = lambda d: d.select("id", X.words(F.col("text")).alias("words"))
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word lists of benchmark items and documents that share five words in a row."""
     ref = T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     out = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    pairs = O.run_pairs(lists(ref), lists(out), 5).persist()  # made anew where an executor is lost
-    only = lambda d, key: lists(d.join(pairs.select(F.col(key).alias("id")).distinct(), "id", "left_semi"))
-    return pairs, only(ref, "ref_id"), only(out, "out_id")
+    return O.paired(ref, out, X.words, 5)
 
 
 def multiset_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.multiset_recall(*_compared(spark, sf_dir))
+    return O.recall_of(_compared(spark, sf_dir))
 
 
 def run_coverage_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.run_coverage(*_compared(spark, sf_dir), RUN)
+    return O.coverage_of(_compared(spark, sf_dir), RUN)
 
 
 def ordered_recall_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, ref, out = _compared(spark, sf_dir)
-    pairs = pairs.join(ref.select(F.col("id").alias("ref_id"), F.col("words").alias("rw")), "ref_id").join(out.select(F.col("id").alias("out_id"), F.col("words").alias("ow")), "out_id")
-    return pairs.select("ref_id", "out_id", O.ordered_recall("rw", "ow").alias("recall"))
+    return _compared(spark, sf_dir).select("ref_id", "out_id", O.ordered_recall("rw", "ow").alias("recall"))
 
 
 def _page_words(spark: SparkSession, sf_dir: str) -> DataFrame:

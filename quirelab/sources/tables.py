@@ -52,13 +52,14 @@ def set_fragments(docs: DataFrame) -> DataFrame:
     columns, or one column of indented paragraphs with larger and bold lines.
     """
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = lambda i, n, at: F.slice("words", i * 6 + at, F.lit(n))
+    cut = lambda n, at: F.slice("six", at, n)
     d = docs.select("doc_id", (F.col("doc_id") % 4).alias("style"), words.alias("words")).filter("size(words) > 0")
-    lines = d.select("doc_id", "style", "words", F.posexplode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 6).cast("int"))).alias("i", "_"))
+    sixes = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 6).cast("int")), lambda i: F.slice("words", i * 6 + 1, F.lit(6)))
+    lines = d.select("doc_id", "style", F.posexplode(sixes).alias("i", "six"))  # each line carries its own words alone
     k = F.col("i") % 80
     table = (F.col("style") == 0) & (F.floor(k / 8) % 2 == 1)
-    cells = F.when(F.col("style") != 0, F.array(cut(F.col("i"), 6, 1))).when(~table, F.array(cut(F.col("i"), 6, 1))).when(k % 8 == 3, F.array(cut(F.col("i"), 2, 3)))
-    lines = lines.withColumn("k", k).withColumn("table", table).withColumn("cells", cells.otherwise(F.array(*[cut(F.col("i"), 2, at) for at in (1, 3, 5)])))
+    cells = F.when(F.col("style") != 0, F.array(cut(6, 1))).when(~table, F.array(cut(6, 1))).when(k % 8 == 3, F.array(cut(2, 3)))
+    lines = lines.withColumn("k", k).withColumn("table", table).withColumn("cells", cells.otherwise(F.array(*[cut(2, at) for at in (1, 3, 5)])))
     f = lines.select("doc_id", "style", "i", "k", "table", F.posexplode("cells").alias("c", "ws")).filter("size(ws) > 0").withColumn("text", F.array_join("ws", " ")).withColumn("n", F.char_length("text"))
     k, c, n, r2, r3 = F.col("k"), F.col("c"), F.col("n"), (F.col("k") - 1) % 40, F.col("k") % 27
     by = lambda *v: F.when(F.col("style") == 0, v[0]).when(F.col("style") == 1, v[1]).when(F.col("style") == 2, v[2]).otherwise(v[3])
