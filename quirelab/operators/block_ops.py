@@ -217,10 +217,10 @@ def table_cells(frags: DataFrame, zones: DataFrame, by: list[str]) -> DataFrame:
     def take(s: Column, row: Column) -> Column:
         goes_on = row["close"] & (F.size(F.array_except(row["cols"], s["cols"])) == 0)
         at = F.when(goes_on, s["at"]).otherwise(s["at"] + 1)
-        out = F.struct(row["row_no"].alias("row_no"), at.alias("table_row"), goes_on.alias("more"))
+        out = F.struct(row["row_no"].cast("bigint").alias("row_no"), at.alias("table_row"), goes_on.alias("more"))
         return F.struct(at.alias("at"), F.when(goes_on, s["cols"]).otherwise(row["cols"]).alias("cols"), F.array_append(s["out"], out).alias("out"))
 
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<bigint>").alias("cols"), F.array().cast("array<struct<row_no:int,table_row:int,more:boolean>>").alias("out"))
+    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<bigint>").alias("cols"), F.array().cast("array<struct<row_no:bigint,table_row:int,more:boolean>>").alias("out"))
     numbered = listed.select(*zone, F.inline(F.aggregate("rows", start, take, lambda s: s["out"])))
     parts = placed.join(numbered, [*zone, "row_no"]).groupBy(*zone, "table_row", "col_no").agg(F.sort_array(F.collect_list(F.struct("row_no", "x0", "frag_no", "more", "text"))).alias("p"))
 

@@ -60,7 +60,7 @@ def segments(lines: DataFrame, by: list[str], fonts: dict[str, str] = FONTS, bas
     """(by, seg_no, text, font, strong): prepared lines as runs of one font and direction.
 
     Marks and joiners stay with the font of what they stand on, unless that is the base font; from the first one that a fallback font draws, the others follow it. They take the
-    direction with it. Neutral characters between two runs of one fallback font and direction join these, if that font has them.
+    direction with it. Neutral characters between two runs of one fallback font and direction join these, if that font has them; every font has the space.
     """
     c = characters(lines, by).withColumn("own", F.coalesce(_font(F.col("ch"), fonts, base), F.lit("base"))).withColumn("joins", F.col("ch").rlike(JOINING))
     line = Window.partitionBy(*by).orderBy("pos")
@@ -77,7 +77,7 @@ def segments(lines: DataFrame, by: list[str], fonts: dict[str, str] = FONTS, bas
     within = (prev != "base") & (F.col("strong") == "N") & (after == prev) & (F.lead("strong").over(order) == F.lag("strong").over(order))
     covered = F.lit(False)
     for name, ranges in fonts.items():
-        covered = F.when(prev == name, F.col("text").rlike(f"^[{ranges}]*$")).otherwise(covered)
+        covered = F.when(prev == name, F.col("text").rlike(f"^[ {ranges}]*$")).otherwise(covered)
     runs = runs.withColumn("link", F.coalesce(within & ((F.col("font") == prev) | covered), F.lit(False)))
     runs = runs.withColumn("seg_no", F.sum(F.when(F.col("link") | F.coalesce(F.lag("link").over(order), F.lit(False)), 0).otherwise(1)).over(order) - 1)
     parts = F.sort_array(F.collect_list(F.struct("run", "text", "font", "strong")))

@@ -90,8 +90,8 @@ st AS (SELECT doc_id, line_no, pos, k, {_STRONG} AS strong, ch FROM c1
   FROM (SELECT n.doc_id, n.line_no, n.pos, n.ch, n.joins, CASE WHEN n.joins AND s.k <> 'base' THEN s.k ELSE n.own END AS k, s.k AS pk, s.strong AS ps FROM st s JOIN co n ON n.doc_id = s.doc_id AND n.line_no = s.line_no AND n.pos = s.pos + 1)),
 rn AS (SELECT *, lag(k) OVER o IS DISTINCT FROM k OR lag(strong) OVER o IS DISTINCT FROM strong AS fresh FROM st WINDOW o AS (PARTITION BY doc_id, line_no ORDER BY pos)),
 ri AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS run FROM rn),
-rs AS (SELECT doc_id, line_no, run, any_value(k) AS k, any_value(strong) AS strong, string_agg(ch, '' ORDER BY pos) AS text, bool_and({_in_font_sql("'deva'", "ch")}) AS deva, bool_and({_in_font_sql("'arab'", "ch")}) AS arab, bool_and({_in_font_sql("'noto'", "ch")}) AS noto,
-  bool_and({_in_font_sql("'sym'", "ch")}) AS sym, bool_and({_in_font_sql("'math'", "ch")}) AS math FROM ri GROUP BY 1, 2, 3),
+rs AS (SELECT doc_id, line_no, run, any_value(k) AS k, any_value(strong) AS strong, string_agg(ch, '' ORDER BY pos) AS text, bool_and(ch = ' ' OR {_in_font_sql("'deva'", "ch")}) AS deva, bool_and(ch = ' ' OR {_in_font_sql("'arab'", "ch")}) AS arab, bool_and(ch = ' ' OR {_in_font_sql("'noto'", "ch")}) AS noto,
+  bool_and(ch = ' ' OR {_in_font_sql("'sym'", "ch")}) AS sym, bool_and(ch = ' ' OR {_in_font_sql("'math'", "ch")}) AS math FROM ri GROUP BY 1, 2, 3),
 rl AS (SELECT *, lag(k) OVER o <> 'base' AND strong = 'N' AND lead(k) OVER o = lag(k) OVER o AND lead(strong) OVER o = lag(strong) OVER o AND (k = lag(k) OVER o OR CASE lag(k) OVER o WHEN 'deva' THEN deva WHEN 'arab' THEN arab WHEN 'noto' THEN noto WHEN 'sym' THEN sym ELSE math END) AS link FROM rs WINDOW o AS (PARTITION BY doc_id, line_no ORDER BY run)),
 rg AS (SELECT *, sum(CASE WHEN link OR was THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, line_no ORDER BY run) - 1 AS seg_no FROM (SELECT *, lag(link) OVER (PARTITION BY doc_id, line_no ORDER BY run) AS was FROM rl)),
 sg AS (SELECT doc_id, line_no, seg_no, string_agg(text, '' ORDER BY run) AS text, arg_min(k, run) AS font, arg_min(strong, run) AS strong FROM rg GROUP BY 1, 2, 3)"""
