@@ -118,7 +118,7 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fits on at most `sample` labelled rows and `sample_bytes` of text, those whose ids hash smallest, one row an id; a quarter of them calibrates.
 
-    Labels other than 0 and 1, null ids and null texts are left out, and so is each text of more than 1/64 of `sample_bytes`, alone: the others fit as if it were not there. Labelled
+    Labels other than 0 and 1, null ids and null texts are left out, and so is each text of more than 1/16 of `sample_bytes`, alone: the others fit as if it were not there. Labelled
     rows of which every one is too long raise ValueError. Without both classes (no labels at all, or one kind): a model that keeps everything.
     """
     some = labels.filter(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").cast("int").alias("quality"))
@@ -127,9 +127,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = rows.groupBy(id_col).agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
     before = Window.orderBy(F.xxhash64(id_col), id_col)  # over `sample` rows at most, without their texts
     sized = rows.select(id_col, F.octet_length("text").alias("n"))
-    few = sized.filter(F.col("n") <= sample_bytes // 64).withColumn("n", F.sum("n").over(before)).filter(F.col("n") <= sample_bytes).select(id_col)
+    few = sized.filter(F.col("n") <= sample_bytes // 16).withColumn("n", F.sum("n").over(before)).filter(F.col("n") <= sample_bytes).select(id_col)
     if few.isEmpty() and not sized.isEmpty():
-        raise ValueError("every labelled text is longer than 1/64 of sample_bytes")
+        raise ValueError("every labelled text is longer than 1/16 of sample_bytes")
     rows = rows.join(F.broadcast(few), id_col)
     got = rows.select("text", "quality").mapInArrow(_features, "quality int, at array<int>, value array<float>").toArrow()
     y = got.column("quality").to_numpy().astype(float)

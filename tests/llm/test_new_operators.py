@@ -208,10 +208,10 @@ def test_one_long_label_costs_itself_only(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(41)], "doc_id long, quality int, toxic int")
     docs = lambda extra: spark.createDataFrame(rows + extra, "doc_id long, text string")
     model = quality.train(docs([]), labels, sample_bytes=1 << 20)
-    again = quality.train(docs([(40, "good " * 9000)]), labels, sample_bytes=1 << 20)
+    again = quality.train(docs([(40, "good " * 30000)]), labels, sample_bytes=1 << 20)
     assert np.array_equal(model.weights, again.weights) and model.weights.any()
     with pytest.raises(ValueError, match="longer"):
-        quality.train(spark.createDataFrame([(40, "good " * 9000)], "doc_id long, text string"), labels, sample_bytes=1 << 20)
+        quality.train(spark.createDataFrame([(40, "good " * 30000)], "doc_id long, text string"), labels, sample_bytes=1 << 20)
 
 
 def test_one_row_as_a_third(spark):
