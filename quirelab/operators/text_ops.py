@@ -27,14 +27,15 @@ def repeated_lines(lines: DataFrame, least: int = 3) -> DataFrame:
 def paired(ref: DataFrame, out: DataFrame, words: Callable[[Column], Column], run: int = 12) -> DataFrame:
     """(ref_id, out_id, rw, ow): texts (id, text) of the two sides that share a run of `run` words, as word lists.
 
-    The runs of each side meet as pairs of 64-bit hashes in one equi-join; the texts of pairs alone are read again, and only pairs that share a run, word by word, stay. A run that all texts share pairs each
-    reference that has it with all of them, since these are pairs.
+    The runs of each side meet as 64-bit hashes in one equi-join, each once a text; the texts of pairs alone are read again, and only pairs that share a run, word by word, stay. A run that
+    all texts share pairs each reference that has it with all of them, since these are pairs.
     """
-    hashes = lambda d, name: d.select(F.col("id").alias(name), words(F.col("text")).alias("w")).select(name, F.explode(F.array_distinct(_run_hashes(F.col("w"), run))).alias("h")).select(name, "h.*")
-    found = hashes(out, "out_id").join(hashes(ref, "ref_id"), ["h1", "h2"]).select("ref_id", "out_id").distinct()
+    # the hashes are plain numbers: arrays of structs are made distinct by comparing all with all
+    hashes = lambda d, name: d.select(F.col("id").alias(name), words(F.col("text")).alias("w")).select(name, F.explode(F.array_distinct(_run_hashes(F.col("w"), run))).alias("h"))
+    found = hashes(out, "out_id").join(hashes(ref, "ref_id"), "h").select("ref_id", "out_id").distinct()
     text = lambda d, key, name: d.select(F.col("id").alias(key), F.col("text").alias(name))
     both = found.join(text(ref, "ref_id", "rt"), "ref_id").join(text(out, "out_id", "ot"), "out_id").select("ref_id", "out_id", words(F.col("rt")).alias("rw"), words(F.col("ot")).alias("ow"))
-    return both.filter(F.arrays_overlap(_runs(F.col("rw"), run), _runs(F.col("ow"), run)))
+    return both.filter(_once(F.struct("rw", "ow"), lambda p: F.arrays_overlap(_runs(p["rw"], run), _runs(p["ow"], run))))
 
 
 def run_pairs(ref: DataFrame, out: DataFrame, run: int = 12) -> DataFrame:
@@ -43,6 +44,11 @@ def run_pairs(ref: DataFrame, out: DataFrame, run: int = 12) -> DataFrame:
     return paired(spelled(ref), spelled(out), lambda t: F.filter(F.split(t, "\0"), lambda w: w != ""), run).select("ref_id", "out_id")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with `value` computed once: where Spark moves a filter below a projection, it writes the projected expression wherever the filter names it, inside of lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _at(words: Column, run: int) -> Column:
     return F.when(F.size(words) >= run, F.sequence(F.lit(1), F.size(words) - (run - 1))).otherwise(F.array().cast("array<int>"))
 
@@ -53,8 +59,8 @@ def _runs(words: Column, run: int) -> Column:
 
 
 def _run_hashes(words: Column, run: int) -> Column:
-    """Two 64-bit hashes of every run."""
-    return F.transform(_at(words, run), lambda i: F.struct(F.xxhash64(F.slice(words, i, run)).alias("h1"), F.xxhash64(F.lit(1), F.slice(words, i, run)).alias("h2")))
+    """A 64-bit hash of every run."""
+    return F.transform(_at(words, run), lambda i: F.xxhash64(F.slice(words, i, run)))
 
 
 def _with_lists(pairs: DataFrame, ref: DataFrame, out: DataFrame) -> DataFrame:
