@@ -146,8 +146,7 @@ def table_columns(frags: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame
 
 def _accepted(frags: DataFrame, rows: DataFrame, by: list[str], zone: list[str], width: Column) -> DataFrame:
     """(zone, cols) of the zones among `rows` (zone, row_no, size, n_frags) that are tables: not running text side by side, lists of markers, long texts, or grids next to empty."""
-    inside = rows.select(*zone, "row_no").join(frags, [*by, "row_no"])
-    inside = written(inside)
+    inside = written(rows.select(*zone, "row_no").join(frags.select(*by, "row_no", "n_chars", "x0", "x1"), [*by, "row_no"]))
     cols = written(table_columns(inside, rows, zone))
     w, share = F.col("x1") - F.col("x0"), _overlap(F.col("x0"), F.col("x1"), F.col("c0"), F.col("c1"))
     met = inside.join(cols.select(*zone, "col_no", F.col("x0").alias("c0"), F.col("x1").alias("c1")), zone)
@@ -173,8 +172,8 @@ def table_zones(frags: DataFrame, by: list[str], left: Column, right: Column) ->
     the longest of its ends that is one, if it passes the tests of _accepted(). Only sessions that fail are looked at end by end.
     """
     width = F.greatest(F.lit(50.0), right - left)
-    frags = written(frags)
-    rows = rows_of_region(frags, by)
+    frags = written(frags.select(*by, "row_no", "n_chars", "x0", "x1", "top", "bottom", "size"))  # no texts
+    rows = frags.groupBy(*by, "row_no").agg(F.count(F.lit(1)).alias("n_frags"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.max("size").alias("size"))
     region = Window.partitionBy(*by).orderBy("row_no")
     strong = F.col("n_frags") >= 2
     rows = rows.withColumn("_in", strong | (F.col("x1") - F.col("x0") < LABEL * width))

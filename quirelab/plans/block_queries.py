@@ -34,23 +34,26 @@ def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.split_regions(items, PAGE).select(*PAGE, "frag_no", "region_no", "left", "right", "columns")
 
 
-def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    frags = written(B.with_rows(_fragments(spark, sf_dir), PAGE))
-    return frags, B.table_zones(frags, PAGE, F.lit(LEFT), F.lit(RIGHT))
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.with_rows(_fragments(spark, sf_dir), PAGE)
+
+
+def _zones(frags: DataFrame) -> DataFrame:
+    return B.table_zones(frags, PAGE, F.lit(LEFT), F.lit(RIGHT))
 
 
 def table_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tables(spark, sf_dir)[1].select(*PAGE, "first_row", "last_row", F.size("cols").cast("long").alias("n_cols"))
+    return _zones(_rows(spark, sf_dir)).select(*PAGE, "first_row", "last_row", F.size("cols").cast("long").alias("n_cols"))
 
 
 def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones = _tables(spark, sf_dir)[1]
+    zones = _zones(_rows(spark, sf_dir))
     return zones.select(*PAGE, "first_row", F.posexplode("cols").alias("col_no", "c")).select(*PAGE, "first_row", F.col("col_no").cast("long").alias("col_no"), "c.x0", "c.x1")
 
 
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frags, zones = _tables(spark, sf_dir)
-    return B.table_cells(frags, written(zones), PAGE)
+    frags = written(_rows(spark, sf_dir))
+    return B.table_cells(frags, written(_zones(frags)), PAGE)
 
 
 def paragraph_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
