@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -128,18 +129,24 @@ def list_kind(text: Column) -> Column:
     return F.when(text.rlike(BULLET) & (F.char_length(text) > 2), "bullet").when(text.rlike(NUMBER), "number")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row, however often and in whatever lambda body refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def join_lines(lines: Column) -> Column:
     """Lines of a paragraph as one text: a word hyphenated at a line's end is joined, other lines get one space, unless the text so far is empty or ends in space.
 
-    What stands before a line depends on the line before it alone, since an empty line leaves a space behind, so lines are looked at side by side."""
+    What stands before a line depends on the line before it alone, since an empty line leaves a space behind, so lines are looked at side by side. They are bound once:
+    what a lambda refers to is computed anew for each element."""
     broken = lambda first, second: first.rlike("[A-Za-z]-$") & second.rlike("^[a-z]")
 
-    def placed(line: Column, i: Column) -> Column:
+    def placed(lines: Column, line: Column, i: Column) -> Column:
         before, after = F.get(lines, i - 1), F.coalesce(F.get(lines, i + 1), F.lit(""))
         space = F.when((i == 0) | broken(before, line) | before.rlike(r"\s$") | (before == ""), "").otherwise(" ")
         return F.concat(space, F.when(broken(line, after), F.substring(line, F.lit(1), F.char_length(line) - 1)).otherwise(line))
 
-    return F.coalesce(F.array_join(F.transform(lines, placed), ""), F.lit(""))
+    return F.coalesce(bound(lines, lambda ls: F.array_join(F.transform(ls, lambda line, i: placed(ls, line, i)), "")), F.lit(""))
 
 
 def repeat_key(text: Column) -> Column:

@@ -1,9 +1,10 @@
 """What grows with the tables: how operators join, and what they look at more than once."""
 
-import re
+import time
 
 from pyspark.sql import functions as F
 
+from quirelab.functions import text as X
 from quirelab.sources.store import written
 
 
@@ -15,3 +16,11 @@ def test_written_tables_are_not_broadcast(spark):
     one = written(spark.range(1000).select(F.lit(1).alias("k"), "id"))  # a few KB on disk
     assert "Broadcast" not in plan(one.groupBy("k").agg(F.max("id").alias("m")).join(spark.range(10).withColumnRenamed("id", "k"), "k"))
     assert one.count() == 1000
+
+
+def test_join_lines_looks_at_its_lines_once(spark):
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.col("id")), lambda i: F.concat(F.lit("exam-\nple"), i.cast("string"))), "\n")
+    df = spark.range(20_000, 20_001).select(F.length(X.join_lines(F.split(text, "\n", -1))).alias("n"))  # 40,000 lines; once for each of them takes minutes
+    began = time.time()
+    assert df.first()["n"] == sum(len(f"example{i}") for i in range(1, 20_001)) + 19_999
+    assert time.time() - began < 20
