@@ -1,13 +1,18 @@
 """Text made ready for display: which font draws each character, runs of one font and direction, their visual order, and texts dealt over glyphs.
 
-Lines are (by, text). Their characters are rows, so what is carried from one character to the next is a window over a line.
+Lines are (by, text). A pattern cuts a line into stretches of characters that are treated alike; what goes from one stretch to the next is told by neighbours in
+the array of them. So a line never leaves its row, nothing is shuffled, and the work grows with the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelab.functions.text import bound
+
 # The code points that each fallback font is asked for, in the order in which fonts are asked. What the base font covers it draws.
 FONTS = {
     "deva": r"\u0900-\u097f\ua8e0-\ua8ff\u1cd0-\u1cff",
@@ -19,14 +24,10 @@ FONTS = {
 BASE = r"\x20-\x7e\u00a1-\u00ff"
 JOINING = r"^[\p{M}\u200c\u200d\ufe00-\ufe0f]"
 CONTROLS = r"^[\u200c\u200d]"
+NONE = r"[^\x{0}-\x{10ffff}]"
 BLANK = r"^[\s\u000b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
-def characters(lines: DataFrame, by: list[str]) -> DataFrame:
-    """(by, pos, ch): the code points of each line."""
-    return lines.select(*by, F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("pos", "ch"))
-
-
 def _font(ch: Column, fonts: dict[str, str], base: str) -> Column:
     """Who draws a character: base, else the first font asked that has it, else null."""
     out = F.when(ch.rlike(f"^[{base}]"), "base")
@@ -41,68 +42,119 @@ def _strong(font: Column, ch: Column) -> Column:
     return F.when(font == "arab", arabic).when(font.isin("sym", "math"), "N").when(ch.rlike(r"^[\p{L}\p{M}\p{Nd}]"), "L").otherwise("N")
 
 
-def prepared(lines: DataFrame, by: list[str], fonts: dict[str, str] = FONTS, base: str = BASE) -> DataFrame:
-    """(by, text): what can be drawn. White space beyond the base font becomes a space, characters that no font has become ?; marks that no font has go, and so do joiners
+def _cut(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def _starts(items: Column, fresh: Callable[[Column, Column], Column]) -> Column:
+    """Where the stretches of an array begin: at the first item, and at each that is `fresh`, of item and place."""
+    return F.filter(F.transform(items, lambda x, i: F.when((i == 0) | fresh(x, i), i)), lambda i: i.isNotNull())
+
+
+def prepared_text(text: Column, fonts: dict[str, str] = FONTS, base: str = BASE) -> Column:
+    """What can be drawn of a text. White space beyond the base font becomes a space, characters that no font has become ?; marks that no font has go, and so do joiners
     unless a font has them or the last character before that had a font was drawn by a fallback font. Line ends stay."""
-    c = characters(lines, by).withColumn("font", _font(F.col("ch"), fonts, base)).withColumn("joins", F.col("ch").rlike(JOINING))
-    line = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    blank = F.col("ch").rlike(BLANK) & ~F.col("font").eqNullSafe(F.lit("base"))
-    controls = F.col("ch").rlike(CONTROLS)
-    sets = F.when(blank | (F.col("font").isNull() & ~F.col("joins")), "base").when(~controls, F.col("font"))
-    c = c.withColumn("before", F.last(sets, ignorenulls=True).over(line))
-    keep = F.col("font").isNotNull() | (controls & (F.col("before") != "base"))
-    out = F.when(F.col("ch") == "\n", F.col("ch")).when(blank, " ").when(F.coalesce(keep, F.lit(False)), F.col("ch")).when(F.col("joins"), "").otherwise("?")
-    shown = c.withColumn("out", out).groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "out"))), lambda p: p["out"]), "").alias("text"))
-    return lines.select(*by).join(shown, by, "left").na.fill("", ["text"])
+    ranges, joining, controls, blank = "".join(fonts.values()), JOINING[2:-1], CONTROLS[2:-1], BLANK[2:-1]
+    drawn = f"[{ranges}&&[^{base}{blank}{controls}]]" if fonts else NONE  # by a fallback font
+    silent = f"[{controls}[[{joining}]&&[^{base}{ranges}]]]"  # says nothing of what comes after
+    plain = f"[{base}&&[^{controls}]]"  # most of a text: looked for first, as long classes take their time for each character
+    other = f"[[{blank}[^{base}{ranges}{joining}]]&&[^{base}{controls}]]"
 
+    def out(tokens: Column, t: Column, i: Column) -> Column:
+        follows = F.coalesce(F.get(tokens, i - 1).rlike(f"^{drawn}"), F.lit(False))
+        heard = F.when(follows, F.regexp_replace(t, f"[^{base}{ranges}{controls}]", "")).otherwise(F.regexp_replace(t, f"[^{base}{ranges}]", ""))
+        shown = F.regexp_replace(F.regexp_replace(t, f"[[{blank}]&&[^{base}\\n]]", " "), f"[^{base}\\n]", "?")
+        return F.when(t.rlike(f"^{plain}"), t).when(t.rlike(f"^{silent}"), heard).when(t.rlike(f"^{drawn}"), t).otherwise(shown)
+
+    return F.coalesce(bound(_cut(text, f"{plain}+|{silent}+|{drawn}+|{other}+"), lambda ts: F.array_join(F.transform(ts, lambda t, i: out(ts, t, i)), "")), F.lit(""))
+
+
+def prepared(lines: DataFrame, by: list[str], fonts: dict[str, str] = FONTS, base: str = BASE) -> DataFrame:
+    """(by, text): lines as prepared_text()."""
+    return lines.select(*by, prepared_text(F.col("text"), fonts, base).alias("text"))
 
-def segments(lines: DataFrame, by: list[str], fonts: dict[str, str] = FONTS, base: str = BASE) -> DataFrame:
-    """(by, seg_no, text, font, strong): prepared lines as runs of one font and direction.
+
+def _run_pattern(fonts: dict[str, str], base: str) -> str:
+    """Matches runs of one font and direction: of the base font or no font, or from a character that a fallback font draws on, with the marks and joiners that follow it."""
+    ranges, joining, letters = "".join(fonts.values()), JOINING[2:-1], r"\p{L}\p{M}\p{Nd}"
+    plain = f"[{base}[^{ranges}]]" if fonts else f"[{base}[^{base}]]"
+    runs, before = [f"[[{letters}]&&{plain}]+", f"[[^{letters}]&&{plain}]+"], base
+    for name, own in fonts.items():
+        strong = r"\p{L}\p{M}" if name == "arab" else letters
+        kinds = [f"[[{own}]&&[^{before}]]"] if name in ("sym", "math") else [f"[[{own}]&&[^{before}]&&[{neg}{strong}]]" for neg in ("", "^")]
+        runs += [f"{k}[{joining}{k}]*" for k in kinds]
+        before += own
+    return "|".join(runs)
+
+
+def segments_of(text: Column, fonts: dict[str, str] = FONTS, base: str = BASE) -> Column:
+    """Prepared text as an array of struct<text, font, strong>, runs of one font and direction.
 
     Marks and joiners stay with the font of what they stand on, unless that is the base font; from the first one that a fallback font draws, the others follow it. They take the
     direction with it. Neutral characters between two runs of one fallback font and direction join these, if that font has them; every font has the space.
     """
-    c = characters(lines, by).withColumn("own", F.coalesce(_font(F.col("ch"), fonts, base), F.lit("base"))).withColumn("joins", F.col("ch").rlike(JOINING))
-    line = Window.partitionBy(*by).orderBy("pos")
-    c = c.withColumn("stack", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(line))
-    stack = Window.partitionBy(*by, "stack").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("font", F.coalesce(F.first(F.when(F.col("own") != "base", F.col("own")), ignorenulls=True).over(stack), F.lit("base")))
-    first = F.first(F.when(F.col("font") != "base", _strong(F.col("font"), F.col("ch"))), ignorenulls=True).over(stack)
-    c = c.withColumn("strong", F.when(F.col("font") != "base", first).otherwise(_strong(F.col("font"), F.col("ch"))))
-    same = (F.lag("font").over(line) == F.col("font")) & (F.lag("strong").over(line) == F.col("strong"))
-    c = c.withColumn("run", F.sum(F.when(same, 0).otherwise(1)).over(line))
-    order = Window.partitionBy(*by).orderBy("run")
-    runs = c.groupBy(*by, "run").agg(F.first("font").alias("font"), F.first("strong").alias("strong"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ch"))), lambda p: p["ch"]), "").alias("text"))
-    prev, after = F.lag("font").over(order), F.lead("font").over(order)
-    within = (prev != "base") & (F.col("strong") == "N") & (after == prev) & (F.lead("strong").over(order) == F.lag("strong").over(order))
-    covered = F.lit(False)
-    for name, ranges in fonts.items():
-        covered = F.when(prev == name, F.col("text").rlike(f"^[ {ranges}]*$")).otherwise(covered)
-    runs = runs.withColumn("link", F.coalesce(within & ((F.col("font") == prev) | covered), F.lit(False)))
-    runs = runs.withColumn("seg_no", F.sum(F.when(F.col("link") | F.coalesce(F.lag("link").over(order), F.lit(False)), 0).otherwise(1)).over(order) - 1)
-    parts = F.sort_array(F.collect_list(F.struct("run", "text", "font", "strong")))
-    out = runs.groupBy(*by, "seg_no").agg(parts.alias("p"))
-    return out.select(*by, "seg_no", F.array_join(F.transform("p", lambda r: r["text"]), "").alias("text"), F.col("p")[0]["font"].alias("font"), F.col("p")[0]["strong"].alias("strong"))
+    named = F.transform(_cut(text, _run_pattern(fonts, base)), lambda t: F.struct(t.alias("text"), F.coalesce(_font(t, fonts, base), F.lit("base")).alias("font")))
+    runs = F.transform(named, lambda r: F.struct(r["text"].alias("text"), r["font"].alias("font"), _strong(r["font"], r["text"]).alias("strong")))
 
+    def link(rs: Column, r: Column, i: Column) -> Column:
+        prev, after = F.get(rs, i - 1), F.get(rs, i + 1)
+        covered = F.lit(False)
+        for name, ranges in fonts.items():
+            covered = F.when(prev["font"] == name, r["text"].rlike(rf"^[ {ranges}]*\z")).otherwise(covered)
+        return F.coalesce((r["strong"] == "N") & (prev["font"] != "base") & (after["font"] == prev["font"]) & (after["strong"] == prev["strong"]) & ((r["font"] == prev["font"]) | covered), F.lit(False))
 
-def visual_order(segs: DataFrame, by: list[str], rtl: Column) -> DataFrame:
-    """Segments with their level and visual_no, their place from the left, in lines that run right to left where `rtl` is true.
+    def joined(rs: Column, starts: Column) -> Column:
+        parts = lambda s, j: F.slice(rs, s + 1, F.coalesce(F.get(starts, j + 1), F.size(rs)) - s)
+        return F.transform(starts, lambda s, j: F.struct(F.array_join(F.transform(parts(s, j), lambda r: r["text"]), "").alias("text"), F.get(rs, s)["font"].alias("font"), F.get(rs, s)["strong"].alias("strong")))
+
+    begun = lambda ls: _starts(ls, lambda x, i: ~(x | F.get(ls, i - 1)))
+    return bound(runs, lambda rs: bound(bound(F.transform(rs, lambda r, i: link(rs, r, i)), begun), lambda starts: joined(rs, starts)))
+
+
+def segments(lines: DataFrame, by: list[str], fonts: dict[str, str] = FONTS, base: str = BASE) -> DataFrame:
+    """(by, seg_no, text, font, strong): lines as segments_of()."""
+    out = lines.select(*by, F.posexplode(segments_of(F.col("text"), fonts, base)).alias("seg_no", "s"))
+    return out.select(*by, F.col("seg_no").cast("long").alias("seg_no"), "s.text", "s.font", "s.strong")
+
+
+def visual_places(strong: Column, rtl: Column) -> Column:
+    """struct<level, visual_no> of the segments of a line, by their directions R, L or N: visual_no is their place from the left, in lines that run right to left where `rtl` is true.
 
     Neutral segments have the level of their nearest strong neighbours if these agree, else the line's. Stretches of level 1 and up are read backwards, and in these stretches of
-    level 2 forwards again: places follow from one sort by where a stretch begins, then by where its parts begin, backwards.
+    level 2 forwards again.
     """
-    line = Window.partitionBy(*by).orderBy("seg_no")
-    strong = F.when(F.col("strong") != "N", F.col("strong"))
-    edge = F.when(rtl, "R").otherwise("L")
-    before = F.coalesce(F.last(strong, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)), edge)
-    after = F.coalesce(F.first(strong, ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)), edge)
     level_of = lambda s: F.when(s == "R", 1).when(rtl, 2).otherwise(0)
-    level = F.when(strong.isNotNull(), level_of(strong)).when(before == after, level_of(before)).otherwise(F.when(rtl, 1).otherwise(0))
-    s = segs.withColumn("level", level.cast("int"))
-    start = lambda n: F.last(F.when((F.col("level") >= n) & (F.coalesce(F.lag("level").over(line), F.lit(0)) < n), F.col("seg_no")), ignorenulls=True).over(line)
-    s = s.withColumn("_back", F.when(F.col("level") >= 1, start(1)).otherwise(F.col("seg_no"))).withColumn("_part", F.when(F.col("level") >= 2, start(2)).otherwise(F.col("seg_no")))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("_back", F.col("_part").desc(), "seg_no")) - 1
-    return s.withColumn("visual_no", place).drop("_back", "_part")
+    edge = F.when(rtl, "R").otherwise("L")
+
+    def levels(ss: Column, starts: Column) -> Column:
+        def of(s: Column, j: Column) -> Column:
+            end = F.coalesce(F.get(starts, j + 1), F.size(ss))
+            before, after = F.coalesce(F.get(ss, s - 1), edge), F.coalesce(F.get(ss, end), edge)
+            neutral = F.when(before == after, level_of(before)).otherwise(F.when(rtl, 1).otherwise(0))
+            return F.when(F.get(ss, s) == "N", F.array_repeat(neutral, end - s)).otherwise(F.transform(F.slice(ss, s + 1, end - s), level_of))
+
+        return F.flatten(F.transform(starts, of))
+
+    def places(lv: Column, starts: Column) -> Column:
+        def of(a: Column, j: Column) -> Column:
+            end = F.coalesce(F.get(starts, j + 1), F.size(lv))
+            parts = _starts(F.slice(lv, a + 1, end - a), lambda v, o: (v == 1) | (F.get(lv, a + o - 1) == 1))  # stretches of level 2, others one by one
+            back = lambda ps: F.flatten(F.transform(ps, lambda p, k: (lambda q: F.transform(F.sequence(p, q), lambda o: end - 1 - q - p + o))(F.coalesce(F.get(ps, k + 1), end - a) - 1)))
+            return F.when(F.get(lv, a) == 0, F.sequence(a, end - 1)).otherwise(bound(parts, back))
+
+        return F.flatten(F.transform(starts, of))
+
+    leveled = bound(strong, lambda ss: bound(_starts(ss, lambda s, i: (s == "N") != (F.get(ss, i - 1) == "N")), lambda starts: levels(ss, starts)))
+    placed = lambda lv: bound(_starts(lv, lambda v, i: (v >= 1) != (F.get(lv, i - 1) >= 1)), lambda starts: places(lv, starts))
+    return bound(leveled, lambda lv: F.zip_with(lv, placed(lv), lambda v, p: F.struct(v.alias("level"), p.alias("visual_no"))))
+
+
+def visual_order(segs: DataFrame, by: list[str], rtl: Column) -> DataFrame:
+    """Segments with their level and visual_no, as visual_places()."""
+    row = F.struct(*[c for c in segs.columns if c not in by])
+    listed = segs.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("seg_no", row.alias("row")))).alias("s"), F.first(rtl).alias("rtl"))
+    order = visual_places(F.transform("s", lambda x: x["row"]["strong"]), F.col("rtl"))
+    return listed.select(*by, F.inline(F.zip_with("s", order, lambda x, o: F.struct(x["row"].alias("row"), o.alias("o"))))).select(*by, "row.*", "o.level", "o.visual_no").select(*segs.columns, "level", "visual_no")
 
 
 def over_glyphs(text: Column, k: Column) -> Column:

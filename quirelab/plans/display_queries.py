@@ -30,9 +30,8 @@ def _md5(c: Column) -> Column:
 
 def prepared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as they can be drawn with all fonts, and with that for Arabic alone."""
-    lines = _lines(spark, sf_dir)
-    few = D.prepared(lines, LINE, {"arab": D.FONTS["arab"]}).withColumnRenamed("text", "few")
-    return D.prepared(lines, LINE).join(few, LINE).select(*LINE, _md5(F.col("text")).alias("text_md5"), _md5(F.col("few")).alias("few_md5"))
+    text = F.col("text")
+    return _lines(spark, sf_dir).select(*LINE, _md5(D.prepared_text(text)).alias("text_md5"), _md5(D.prepared_text(text, {"arab": D.FONTS["arab"]})).alias("few_md5"))
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +44,9 @@ def text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def visual_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of lines in visual order; every third document runs right to left."""
-    return D.visual_order(_segments(spark, sf_dir), LINE, F.col("doc_id") % 3 == 0).select(*LINE, "seg_no", "level", "visual_no")
+    strong = F.transform(D.segments_of(F.col("text")), lambda s: s["strong"])
+    out = _lines(spark, sf_dir).select(*LINE, F.posexplode(D.visual_places(strong, F.col("doc_id") % 3 == 0)).alias("seg_no", "o"))
+    return out.select(*LINE, F.col("seg_no").cast("long").alias("seg_no"), "o.level", "o.visual_no")
 
 
 def cluster_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ import time
 from pyspark.sql import functions as F
 
 from quirelab.functions import text as X
+from quirelab.operators import display_ops as D
+from quirelab.plans import display_queries as Q
 from quirelab.sources.store import written
 
 
@@ -24,3 +26,17 @@ def test_join_lines_looks_at_its_lines_once(spark):
     began = time.time()
     assert df.first()["n"] == sum(len(f"example{i}") for i in range(1, 20_001)) + 19_999
     assert time.time() - began < 20
+
+
+def test_lines_made_ready_for_display_stay_in_their_rows(spark, sf):
+    for query in (Q.prepared_lines, Q.text_segments, Q.visual_lines):
+        assert "Exchange" not in plan(query(spark, sf)) and "Window" not in plan(query(spark, sf))
+
+
+def test_visual_order_of_a_long_line(spark):
+    n = 30_000
+    segs = spark.range(n).select(F.lit(1).alias("id"), F.col("id").alias("seg_no"), F.when(F.col("id") % 2 == 1, "N").when(F.col("id") % 4 == 0, "R").otherwise("L").alias("strong"))
+    began = time.time()
+    got = D.visual_order(segs, ["id"], F.lit(True)).orderBy("visual_no").select("seg_no", "level").collect()
+    assert [r["seg_no"] for r in got] == list(range(n - 1, -1, -1)) and {(r["seg_no"] % 4, r["level"]) for r in got} == {(0, 1), (1, 1), (2, 2), (3, 1)}
+    assert time.time() - began < 20
