@@ -165,7 +165,8 @@ def word_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distinct_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T.mono_pieces(T.lines(spark, sf_dir))
-    twice = p.unionByName(p.withColumn("piece_no", F.col("piece_no") + 1_000_000).withColumn("x", F.col("x") + F.when(F.col("line_no") % 2 == 0, 0.0).otherwise(2.0)))
+    again = F.struct((F.col("piece_no") + 1_000_000).alias("piece_no"), (F.col("x") + F.when(F.col("line_no") % 2 == 0, 0.0).otherwise(2.0)).alias("x"))
+    twice = p.select("doc_id", "page_no", "str", "y", F.inline(F.array(F.struct("piece_no", "x"), again)))  # not a union, which would be dealt anew
     return P.dedup_pieces(twice).groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n_pieces"), F.count_if(F.col("piece_no") % (1 << 32) >= 1_000_000).alias("n_second"))
 
 

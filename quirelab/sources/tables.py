@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelab.functions.text import bound
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,15 +33,19 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mono_pieces(rows: DataFrame, size: float = 12.0, margin: float = 72.0) -> DataFrame:
     """Words of lines (doc_id, line_no, line), placed in a font of equal widths: (doc_id, page_no, piece_no, line_no, str, x, y, w, fs, bold).
 
-    60 lines make a page. A line of fewer than six words is set in 18 points, one that starts with a digit is bold.
+    60 lines make a page. A line of fewer than six words is set in 18 points, one that starts with a digit is bold. Lines are dealt by page before they are cut into words, so
+    what comes together by page after that, or by row of a page, is shuffled no more. A word's place in its line is told from the spaces of the line.
     """
+    n_parts = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # many small parts: words take far more room than their line
+    page = (F.floor(F.col("line_no") / 60) + 1).cast("int").alias("page_no")
+    lines = rows.select("doc_id", page, "line_no", "line").repartition(n_parts, "doc_id", "page_no")
     fs = F.when(F.size(F.split("line", " ")) < 6, F.lit(18.0)).otherwise(F.lit(size))
-    words = rows.withColumn("fs", fs).withColumn("bold", F.col("line").rlike("^[0-9]")).select("doc_id", "line_no", "fs", "bold", F.posexplode(F.split("line", " ")).alias("k", "str"))
+    spaces = F.filter(F.transform(F.split("line", ""), lambda c, i: F.when(c == " ", i)), lambda i: i.isNotNull())
+    placed = bound(spaces, lambda at: F.transform(F.split("line", " "), lambda w, k: F.struct(k.alias("k"), w.alias("str"), F.coalesce(F.get(at, k - 1) + 1, F.lit(0)).alias("col"))))
+    words = lines.select("doc_id", "page_no", "line_no", fs.alias("fs"), F.col("line").rlike("^[0-9]").alias("bold"), F.inline(placed))
     n = F.char_length("str")
-    before = Window.partitionBy("doc_id", "line_no").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    out = words.withColumn("col", F.coalesce(F.sum(n + 1).over(before), F.lit(0))).filter(n > 0)
-    return out.select(
-        "doc_id", (F.floor(F.col("line_no") / 60) + 1).cast("int").alias("page_no"), (F.col("line_no").cast("long") * (1 << 32) + F.col("k")).alias("piece_no"), "line_no", "str",
+    return words.filter(n > 0).select(
+        "doc_id", "page_no", (F.col("line_no").cast("long") * (1 << 32) + F.col("k")).alias("piece_no"), "line_no", "str",
         (F.lit(margin) + F.col("col") * F.col("fs") * 0.6).alias("x"), (F.lit(margin) + (F.col("line_no") % 60) * size * 1.2).alias("y"),
         (n * F.col("fs") * 0.6).alias("w"), "fs", "bold",
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quirelab.functions import text as X
 from quirelab.operators import display_ops as D
 from quirelab.plans import display_queries as Q
+from quirelab.plans import text_queries as X2
 from quirelab.sources.store import written
 
 
@@ -40,3 +41,8 @@ def test_visual_order_of_a_long_line(spark):
     got = D.visual_order(segs, ["id"], F.lit(True)).orderBy("visual_no").select("seg_no", "level").collect()
     assert [r["seg_no"] for r in got] == list(range(n - 1, -1, -1)) and {(r["seg_no"] % 4, r["level"]) for r in got} == {(0, 1), (1, 1), (2, 2), (3, 1)}
     assert time.time() - began < 20
+
+
+def test_pieces_are_dealt_by_page_once(spark, sf):
+    for query in (X2.layout_rows, X2.layout_fragments):
+        assert plan(query(spark, sf)).split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
