@@ -22,9 +22,11 @@ def _overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
 
 
-def _nth(values: Column, p: float) -> Column:
-    """The percentile of an array by nearest rank."""
-    return F.get(F.sort_array(values), F.floor(F.lit(p) * (F.size(values) - 1) + 0.5).cast("int"))
+def _nth(value: Column, p: float, by: list[str]) -> Column:
+    """The percentile of a region's values by nearest rank; nulls don't count. One order of the region serves all its rows, none of which sorts anything."""
+    region = Window.partitionBy(*by)
+    place = F.row_number().over(region.orderBy(value.asc_nulls_last()))
+    return F.max(F.when(place == F.floor(F.lit(p) * (F.count(value).over(region) - 1) + 0.5) + 1, value)).over(region)
 
 
 def with_rows(frags: DataFrame, by: list[str]) -> DataFrame:
@@ -97,7 +99,7 @@ def _split_once(items: DataFrame, by: list[str], level: int) -> DataFrame:
     across = F.max(F.when(~F.col("_cols"), F.col("_band"))).over(r.orderBy("_band").rangeBetween(-1, -1)).isNotNull()
     items = items.withColumn("_cols", F.col("_cols") & ~((F.col("_late") == 0) & across))
     items = items.withColumn("_flow", F.sum(F.when(F.lag("_cols").over(ordered) == F.col("_cols"), 0).otherwise(1)).over(ordered))
-    edge = lambda is_left, c, p: _nth(F.collect_list(F.when((F.col("n_chars").isNotNull()) & ((F.col("x1") <= g + 3) if is_left else (F.col("x0") >= g - 3)), F.col(c))).over(r), p)
+    edge = lambda is_left, c, p: _nth(F.when((F.col("n_chars").isNotNull()) & ((F.col("x1") <= g + 3) if is_left else (F.col("x0") >= g - 3)), F.col(c)), p, by)
     items = items.withColumn("_le", F.coalesce(edge(True, "x1", 0.9), g)).withColumn("_re", F.coalesce(edge(False, "x0", 0.1), g))
     part = F.when(~F.col("_cols"), F.col("_flow") * 2).otherwise(F.col("_flow") * 2 + F.when(F.col("_left"), 0).otherwise(1))
     lead = F.when(F.col("_cols") & ~F.col("_left"), F.col("_re")).otherwise(F.col("left"))
@@ -246,7 +248,7 @@ def paragraphs(lines: DataFrame, by: list[str], left: Column, right: Column) ->
     order = region.orderBy("row_no")
     lag = lambda c: F.lag(c).over(order)
     some = F.count(F.lit(1)).over(region)
-    edge = lambda c, p, bound: F.when(some >= 4, _nth(F.collect_list(c).over(region), p)).otherwise(bound)
+    edge = lambda c, p, bound: F.when(some >= 4, _nth(F.col(c), p, by)).otherwise(bound)
     li = lines.withColumn("le", edge("x0", 0.1, left)).withColumn("re", edge("x1", 0.9, right)).withColumn("wide", F.greatest(F.lit(1.0), F.col("re") - F.col("le")))
     li = li.withColumn("just", F.count_if(F.col("x1") >= F.col("re") - 1.5 * F.col("size")).over(region) > 0.5 * some)
     li = li.withColumn("rise", F.col("base") - lag("base")).withColumn("fs0", lag("size")).withColumn("x00", lag("x0")).withColumn("x10", lag("x1")).withColumn("t0", lag("text")).withColumn("b0", lag("bold"))
@@ -299,5 +301,4 @@ def paragraphs(lines: DataFrame, by: list[str], left: Column, right: Column) ->
 
 def text_bounds(frags: DataFrame, by: list[str]) -> DataFrame:
     """Fragments with left and right, where their region's text begins and ends but for 2 percent of them."""
-    region = Window.partitionBy(*by)
-    return frags.withColumn("left", _nth(F.collect_list("x0").over(region), 0.02)).withColumn("right", _nth(F.collect_list("x1").over(region), 0.98))
+    return frags.withColumn("left", _nth(F.col("x0"), 0.02, by)).withColumn("right", _nth(F.col("x1"), 0.98, by))

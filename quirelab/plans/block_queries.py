@@ -26,7 +26,7 @@ def page_gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of set pages; every other page of two columns has an image across them, every other page of three one in its first column."""
-    frags = written(B.text_bounds(_fragments(spark, sf_dir), PAGE))
+    frags = written(B.text_bounds(_fragments(spark, sf_dir).select(*PAGE, "frag_no", "n_chars", "x0", "x1", "top", "bottom"), PAGE))  # no texts
     image = F.when(F.col("doc_id") % 8 == 1, F.struct(F.lit(100.0).alias("x0"), F.lit(500.0).alias("x1"))).when(F.col("doc_id") % 8 == 2, F.struct(F.lit(80.0).alias("x0"), F.lit(200.0).alias("x1")))
     page = frags.groupBy(*PAGE).agg(F.first("left").alias("left"), F.first("right").alias("right")).withColumn("image", image).filter("image IS NOT NULL")
     images = page.select(*PAGE, F.lit(100_000).cast("long").alias("frag_no"), F.lit(None).cast("long").alias("n_chars"), "image.x0", "image.x1", F.lit(230.5).alias("top"), F.lit(262.0).alias("bottom"), "left", "right")
