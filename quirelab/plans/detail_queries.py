@@ -164,7 +164,7 @@ def word_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = T.mono_pieces(T.lines(spark, sf_dir))
+    p = T.mono_pieces(T.line_pages(spark, sf_dir))
     again = F.struct((F.col("piece_no") + 1_000_000).alias("piece_no"), (F.col("x") + F.when(F.col("line_no") % 2 == 0, 0.0).otherwise(2.0)).alias("x"))
     twice = p.select("doc_id", "page_no", "str", "y", F.inline(F.array(F.struct("piece_no", "x"), again)))  # not a union, which would be dealt anew
     return P.dedup_pieces(twice).groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n_pieces"), F.count_if(F.col("piece_no") % (1 << 32) >= 1_000_000).alias("n_second"))
@@ -189,7 +189,7 @@ def image_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = T.mono_pieces(T.lines(spark, sf_dir))
+    p = T.mono_pieces(T.line_pages(spark, sf_dir))
     k = F.col("piece_no") % (1 << 32)
     p = p.withColumn("row_no", F.col("line_no").cast("long") % 60).withColumn("bold", k % 9 == 4)
     lines = p.select("doc_id", "page_no", "row_no", F.lit(12.0).alias("size"), F.col("y").alias("base")).distinct()

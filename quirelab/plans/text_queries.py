@@ -118,27 +118,27 @@ def categories_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.first_seen(T.table(spark, sf_dir, "documents"), "source", "doc_id")
 
 
-def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.mono_pieces(T.lines(spark, sf_dir))
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.rows_of(T.mono_pages(T.line_pages(spark, sf_dir)))
 
 
 def weighted_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     fs = S.half_up(F.col("fs") * 2) / 2
-    return O.weighted_mode(_pieces(spark, sf_dir), ("doc_id",), fs, F.char_length("str"), F.col("piece_no"))
+    return O.weighted_mode(T.mono_pieces(T.line_pages(spark, sf_dir)), ("doc_id",), fs, F.char_length("str"), F.col("piece_no"))
 
 
 def layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.rows_of(_pieces(spark, sf_dir))
-    return rows.groupBy("doc_id", "page_no", "row_no").agg(F.count(F.lit(1)).alias("n_pieces"), F.round(F.min("x"), 6).alias("x0"), F.round(F.max(F.col("x") + F.col("w")), 6).alias("x1"))
+    x0, x1 = F.array_min(F.transform("pieces", lambda i: i["x"])), F.array_max(F.transform("pieces", lambda i: i["x"] + i["w"]))
+    return _rows(spark, sf_dir).select("doc_id", "page_no", "row_no", F.size("pieces").cast("long").alias("n_pieces"), F.round(x0, 6).alias("x0"), F.round(x1, 6).alias("x1"))
 
 
 def layout_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = lambda c: F.round(c, 6).alias(c)
-    return L.fragments(L.rows_of(_pieces(spark, sf_dir))).select("doc_id", "page_no", "row_no", "frag_no", "text", r("x0"), r("x1"), r("base"), "size", "bold")
+    return L.fragments(_rows(spark, sf_dir)).select("doc_id", "page_no", "row_no", "frag_no", "text", r("x0"), r("x1"), r("base"), "size", "bold")
 
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.headings(L.lines_of(L.fragments(L.rows_of(_pieces(spark, sf_dir))))).filter("level > 0")
+    return L.headings(L.lines_of(L.fragments(_rows(spark, sf_dir)))).filter("level > 0")
 
 
 def page_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

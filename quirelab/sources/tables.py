@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelab.functions.text import bound
 
+PAGE_LINES = 60
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,25 +32,44 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "ts", "user_id", F.get_json_object("props", "$.k").cast("int").alias("item"))
 
 
-def mono_pieces(rows: DataFrame, size: float = 12.0, margin: float = 72.0) -> DataFrame:
-    """Words of lines (doc_id, line_no, line), placed in a font of equal widths: (doc_id, page_no, piece_no, line_no, str, x, y, w, fs, bold).
+def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of PAGE_LINES lines: (doc_id, page_no from 1, lines), each line with its line_no in the document, from 0."""
+    page = lambda lines, p: F.transform(F.slice(lines, p * PAGE_LINES + 1, F.lit(PAGE_LINES)), lambda line, i: F.struct((p * PAGE_LINES + i).alias("line_no"), line.alias("line")))
+    numbers = lambda lines: F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / PAGE_LINES).cast("int"))
+    pages = bound(F.split("text", "\n", -1), lambda lines: F.transform(numbers(lines), lambda p: F.struct((p + 1).alias("page_no"), page(lines, p).alias("lines"))))
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.inline(pages))
+
 
-    60 lines make a page. A line of fewer than six words is set in 18 points, one that starts with a digit is bold. Lines are dealt by page before they are cut into words, so
-    what comes together by page after that, or by row of a page, is shuffled no more. A word's place in its line is told from the spaces of the line.
+def mono_pages(pages: DataFrame, size: float = 12.0, margin: float = 72.0) -> DataFrame:
+    """Words of pages of lines (doc_id, page_no, lines), placed in a font of equal widths: (doc_id, page_no, pieces), with the pieces (piece_no, line_no, str, x, y, w, fs, bold) of a page in one row.
+
+    A line of fewer than six words is set in 18 points, one that starts with a digit is bold. Pages are dealt before their lines are cut into words, so what comes together by page after
+    that is shuffled no more. A word's place in its line is told from the spaces of the line.
     """
-    n_parts = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # many small parts: words take far more room than their line
-    page = (F.floor(F.col("line_no") / 60) + 1).cast("int").alias("page_no")
-    lines = rows.select("doc_id", page, "line_no", "line").repartition(n_parts, "doc_id", "page_no")
-    fs = F.when(F.size(F.split("line", " ")) < 6, F.lit(18.0)).otherwise(F.lit(size))
-    spaces = F.filter(F.transform(F.split("line", ""), lambda c, i: F.when(c == " ", i)), lambda i: i.isNotNull())
-    placed = bound(spaces, lambda at: F.transform(F.split("line", " "), lambda w, k: F.struct(k.alias("k"), w.alias("str"), F.coalesce(F.get(at, k - 1) + 1, F.lit(0)).alias("col"))))
-    words = lines.select("doc_id", "page_no", "line_no", fs.alias("fs"), F.col("line").rlike("^[0-9]").alias("bold"), F.inline(placed))
-    n = F.char_length("str")
-    return words.filter(n > 0).select(
-        "doc_id", "page_no", (F.col("line_no").cast("long") * (1 << 32) + F.col("k")).alias("piece_no"), "line_no", "str",
-        (F.lit(margin) + F.col("col") * F.col("fs") * 0.6).alias("x"), (F.lit(margin) + (F.col("line_no") % 60) * size * 1.2).alias("y"),
-        (n * F.col("fs") * 0.6).alias("w"), "fs", "bold",
-    )
+    n_parts = 2 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # many small parts: words take far more room than their line
+    whole = pages.repartition(n_parts, "doc_id", "page_no").groupBy("doc_id", "page_no").agg(F.flatten(F.collect_list("lines")).alias("lines"))
+
+    def piece(line: Column, word: Column, k: Column) -> Column:
+        col = F.coalesce(F.get(line["spaces"], k - 1) + 1, F.lit(0))
+        return F.struct(
+            (line["line_no"].cast("long") * (1 << 32) + k).alias("piece_no"), line["line_no"].alias("line_no"), word.alias("str"), (F.lit(margin) + col * line["fs"] * 0.6).alias("x"),
+            line["y"].alias("y"), (F.char_length(word) * line["fs"] * 0.6).alias("w"), line["fs"].alias("fs"), line["bold"].alias("bold"),
+        )
+
+    def placed(line: Column, words: Column) -> Column:
+        spaces = F.filter(F.transform(F.split(line["line"], ""), lambda c, i: F.when(c == " ", i)), lambda i: i.isNotNull())
+        fs, bold = F.when(F.size(words) < 6, F.lit(18.0)).otherwise(F.lit(size)), line["line"].rlike("^[0-9]")
+        head = F.struct(line["line_no"].alias("line_no"), spaces.alias("spaces"), fs.alias("fs"), bold.alias("bold"), (F.lit(margin) + (line["line_no"] % PAGE_LINES) * size * 1.2).alias("y"))
+        pieces = bound(head, lambda h: F.transform(words, lambda w, k: F.when(F.char_length(w) > 0, piece(h, w, k))))
+        return F.filter(pieces, lambda i: i.isNotNull())
+
+    pieces = F.flatten(F.transform("lines", lambda line: bound(F.split(line["line"], " "), lambda words: placed(line, words))))
+    return whole.select("doc_id", "page_no", pieces.alias("pieces"))
+
+
+def mono_pieces(pages: DataFrame, size: float = 12.0, margin: float = 72.0) -> DataFrame:
+    """mono_pages() with a row for each piece: (doc_id, page_no, piece_no, line_no, str, x, y, w, fs, bold)."""
+    return mono_pages(pages, size, margin).select("doc_id", "page_no", F.inline("pieces"))
 
 
 def set_fragments(docs: DataFrame) -> DataFrame:

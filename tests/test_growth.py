@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quirelab.functions import text as X
 from quirelab.operators import display_ops as D
+from quirelab.operators import layout_ops as L
 from quirelab.plans import display_queries as Q
 from quirelab.plans import text_queries as X2
 from quirelab.sources.store import written
@@ -46,3 +47,39 @@ def test_visual_order_of_a_long_line(spark):
 def test_pieces_are_dealt_by_page_once(spark, sf):
     for query in (X2.layout_rows, X2.layout_fragments):
         assert plan(query(spark, sf)).split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_rows_of_mixed_heights_are_those_of_a_loop(spark):
+    """Pieces of one height that follow each other are placed as one; rows and their fragments are those of a loop over single pieces."""
+    pieces = [(n, "abc"[: n % 3 + 1], float(n * 37 % 200), 100.0 + n * n % 9 * 4, 9.0 + n % 4, (8.0, 8.0, 12.0, 20.0)[n // 5 % 4], n % 2 == 0) for n in range(60)]
+    rows = []
+    for n, _, _, y, _, fs, _ in sorted(pieces, key=lambda p: ((p[3] - L.ASCENT * p[5] + p[3] + L.DESCENT * p[5]) / 2, p[0])):
+        top, bottom = y - L.ASCENT * fs, y + L.DESCENT * fs
+        home = next((r for r in rows[: -L.LOOK_BACK - 1 : -1] if max(0, min(bottom, r[1]) - max(top, r[0])) >= 0.5 * min(bottom - top, r[1] - r[0])), None)
+        if home is None:
+            rows.append([top, bottom, fs, [n]])
+        else:
+            home[3].append(n)
+            if fs > home[2] * 1.05:
+                home[:3] = top, bottom, fs
+    df = spark.createDataFrame([(1, 1, pieces)], "doc_id long, page_no int, pieces array<struct<piece_no:long,str:string,x:double,y:double,w:double,fs:double,bold:boolean>>")
+    got = {r["row_no"]: [p["piece_no"] for p in r["pieces"]] for r in L.rows_of(df).collect()}
+    assert got == {i: sorted(r[3], key=lambda n: (pieces[n][2], n)) for i, r in enumerate(rows)} and len({len(r[3]) for r in rows}) > 2
+    frags = L.fragments(L.rows_of(df)).orderBy("row_no", "frag_no").collect()
+    for i, numbers in got.items():
+        cut, end, last = [], None, None
+        for n in numbers:
+            _, s, x, _, w, fs, _ = pieces[n]
+            size = min(fs, last or fs)
+            if end is None or x - end > L.GAP * size:
+                cut.append(s)
+            else:
+                cut[-1] += " " * (x - end > L.SCRIPT_GAP * size) + s
+            end, last = max(end if end is not None else x + w, x + w), fs
+        assert [f["text"] for f in frags if f["row_no"] == i] == cut and [f["frag_no"] for f in frags if f["row_no"] == i] == list(range(len(cut)))
+
+
+def test_pieces_of_a_page_stay_in_one_row(spark, sf):
+    """Rows of pieces would be sorted by page or row, and spilled where a task has many."""
+    for query in (X2.layout_rows, X2.layout_fragments):
+        assert "Window" not in plan(query(spark, sf)) and "Sort" not in plan(query(spark, sf))
