@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types
 
 from quirelab.functions import ranges as R
+from quirelab.functions.text import bound
 
 
 def base_name(name: Column) -> Column:
@@ -181,6 +182,14 @@ def dedup_pieces(pieces: DataFrame) -> DataFrame:
     return pieces.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def distinct_pieces(pieces: Column) -> Column:
+    """dedup_pieces() of the pieces of one page in an array: nothing is dealt or written."""
+    near = lambda c: F.floor(c + 0.5)
+    told = F.transform(pieces, lambda i: F.struct(F.struct(near(i["y"]), near(i["x"]), i["str"]).alias("place"), i["piece_no"].alias("piece_no"), i.alias("piece")))
+    first = lambda s: F.filter(s, lambda i, k: (k == 0) | ~i["place"].eqNullSafe(F.get(s, k - 1)["place"]))
+    return F.transform(bound(F.sort_array(told), first), lambda i: i["piece"])
+
+
 def first_seen(rows: DataFrame, key: str, seq: str) -> DataFrame:
     """Distinct keys with the place where each is first seen."""
     return rows.groupBy(key).agg(F.min(seq).alias("first_seq"))

@@ -11,6 +11,7 @@ from quirelab.functions import geometry as G
 from quirelab.functions import ranges as R
 from quirelab.functions import scores as S
 from quirelab.functions import text as X
+from quirelab.functions.text import bound
 from quirelab.operators import catalog_ops as C
 from quirelab.operators import layout_ops as L
 from quirelab.operators import ocr_ops as W
@@ -164,10 +165,14 @@ def word_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = T.mono_pieces(T.line_pages(spark, sf_dir))
-    again = F.struct((F.col("piece_no") + 1_000_000).alias("piece_no"), (F.col("x") + F.when(F.col("line_no") % 2 == 0, 0.0).otherwise(2.0)).alias("x"))
-    twice = p.select("doc_id", "page_no", "str", "y", F.inline(F.array(F.struct("piece_no", "x"), again)))  # not a union, which would be dealt anew
-    return P.dedup_pieces(twice).groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n_pieces"), F.count_if(F.col("piece_no") % (1 << 32) >= 1_000_000).alias("n_second"))
+    def twice(i: Column) -> Column:
+        piece = lambda no, x: F.struct(no.alias("piece_no"), i["str"].alias("str"), x.alias("x"), i["y"].alias("y"))
+        return F.array(piece(i["piece_no"], i["x"]), piece(i["piece_no"] + 1_000_000, i["x"] + F.when(i["line_no"] % 2 == 0, 0.0).otherwise(2.0)))
+
+    second = lambda i: i["piece_no"] % (1 << 32) >= 1_000_000
+    counts = lambda left: F.struct(F.size(left).cast("long").alias("n_pieces"), F.size(F.filter(left, second)).cast("long").alias("n_second"))
+    page = bound(P.distinct_pieces(F.flatten(F.transform("pieces", twice))), counts)
+    return T.mono_pages(T.line_pages(spark, sf_dir)).select("doc_id", "page_no", F.inline(F.filter(F.array(page), lambda c: c["n_pieces"] > 0)))  # a filter of rows would look at all pieces again
 
 
 def cleaned_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quirelab.functions import text as X
 from quirelab.operators import display_ops as D
 from quirelab.operators import layout_ops as L
+from quirelab.operators import page_ops as P
+from quirelab.plans import detail_queries as X3
 from quirelab.plans import display_queries as Q
 from quirelab.plans import text_queries as X2
 from quirelab.sources.store import written
@@ -83,3 +85,13 @@ def test_pieces_of_a_page_stay_in_one_row(spark, sf):
     """Rows of pieces would be sorted by page or row, and spilled where a task has many."""
     for query in (X2.layout_rows, X2.layout_fragments):
         assert "Window" not in plan(query(spark, sf)) and "Sort" not in plan(query(spark, sf))
+
+
+def test_distinct_pieces_of_a_page(spark, sf):
+    """The first of each text and rounded place stays, as in dedup_pieces(); the query sorts no rows of pieces."""
+    pieces = [(9, "a", 1.4, 2.0), (3, "a", 0.6, 2.4), (4, "b", 1.0, 2.0), (5, "a", 1.5, 2.0), (6, None, 1.0, 2.0), (7, None, 1.2, 2.0)]
+    df = spark.createDataFrame([(1, 1, pieces)], "doc_id long, page_no int, pieces array<struct<piece_no:long,str:string,x:double,y:double>>")
+    got = df.select(F.inline(P.distinct_pieces(F.col("pieces"))))
+    want = P.dedup_pieces(df.select("doc_id", "page_no", F.inline("pieces"))).drop("doc_id", "page_no")
+    assert sorted(r["piece_no"] for r in got.collect()) == [3, 4, 5, 6] and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "Window" not in plan(X3.distinct_pieces(spark, sf)) and "Sort" not in plan(X3.distinct_pieces(spark, sf))
