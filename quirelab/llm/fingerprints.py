@@ -10,10 +10,10 @@ from ._store import Workspace, with_copies
 # A line is cut after each sentence, and after 160 code points where no sentence ends, so that a text of one line is more than one digest.
 PARAGRAPH = r"[^\n.!?]{1,160}[.!?]*|[.!?]+"
 PARTS, CELLS = 3, 16
-FIRST_STEPS, STEPS = 9, 3  # of peeling, each over one part: of the first sketch, and of larger ones, whose parts hold few digests
-HOPELESS = 45  # a sketch with more cells in use is not worth peeling
+STEPS = 9  # of peeling, each over one part
+REACH, SAMPLE = 40, 32  # about so many differing digests fit a sketch; so many digests of a set tell roughly how many differ
 DEAL, PARAGRAPH_CHARS = 500_000, 70  # digests to a task; so many code points a digest, roughly, to tell their number
-SPLIT_BITS, LEVELS = 6, 9  # a larger sketch has 64 times the cells; so often at most
+ROOM_BITS, SPLIT_BITS = 3, 6  # a larger sketch has 8 cells or more for each digest of its sets, the next one 64 times as many
 
 
 def paragraphs(text: Column) -> Column:
@@ -35,8 +35,8 @@ def _row(cell: Column, n: Column, key: Column, check: Column, digest: Column | N
 
 
 def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Cells of one place added up: numbers as a sum, digests and check values by XOR. Cells with nothing in them go; recovered digests (cell -1) stay."""
-    out = rows.groupBy(*by, "cell", "digest").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
+    """Cells of one place, told by `by`, added up: numbers as a sum, digests and check values by XOR. Cells with nothing in them go; recovered digests (cell -1) stay."""
+    out = rows.groupBy(*by).agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
     return out.filter("cell = -1 OR n <> 0 OR key <> 0 OR check <> 0")
 
 
@@ -44,71 +44,92 @@ def sketch(sets: DataFrame, by: list[str]) -> DataFrame:
     """(by, cell, digest, n, key, check): the sketches of sets (by, key, sign). A digest goes into one cell of every part; a digest of sign -1 is subtracted, so the
     sketch of two sets of opposite signs is the difference of their sketches, in which common digests cancel out."""
     spots = F.array(*[_row(_spot(F.col("key"), j), F.col("sign"), F.col("key"), _check(F.col("key"))) for j in range(PARTS)])
-    return _summed(sets.select(*by, F.inline(spots)), by)
+    return _summed(sets.select(*by, F.inline(spots)), [*by, "cell"]).withColumn("digest", F.lit(None).cast("long"))
 
 
-def peel(cells: DataFrame, by: list[str], steps: int = FIRST_STEPS) -> DataFrame:
+def peel(cells: DataFrame, by: list[str], steps: int = STEPS, named: bool = True) -> DataFrame:
     """Sketches as far as they can be peeled: a cell of one digest gives it away, it is taken out of its other cells, and these may then hold one.
 
-    Recovered digests are rows of cell -1 with `digest` and its sign `n`; cells that are still there tell that a sketch was too small. One part is
+    Recovered digests are rows of cell -1 with `digest` and its sign `n`; if not `named`, rows of cell -1 only tell the sum `n` of those of one sign, so that little goes from step to step.
+    Cells that are still there tell that a sketch was too small. One part is
     peeled at a time, so that no digest is found twice. Nothing is shuffled if cells come dealt by some of `by`.
     """
     for step in range(steps):
         j = step % PARTS
         alone = (F.col("cell") >= j * CELLS) & (F.col("cell") < (j + 1) * CELLS) & (F.abs("n") == 1) & (F.col("check") == _check(F.col("key")))
         out = [_row(_spot(F.col("key"), i), -F.col("n"), F.col("key"), F.col("check")) for i in range(PARTS) if i != j]
-        found = F.array(_row(F.lit(-1), F.col("n"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.col("key")), *out)
+        found = F.array(_row(F.lit(-1), F.col("n"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.col("key" if named else "n")), *out)
         as_is = F.array(_row(F.col("cell"), F.col("n"), F.col("key"), F.col("check"), F.col("digest")))
-        cells = _summed(cells.select(*by, F.inline(F.when(alone, found).otherwise(as_is))), by)
+        cells = _summed(cells.select(*by, F.inline(F.when(alone, found).otherwise(as_is))), [*by, "cell", "digest"])
     return cells
 
 
-def worth_peeling(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Sketches without those that have next to no empty cell: one cell that can't be peeled stands for these."""
-    kept = F.collect_list(F.struct("cell", "n", "key", "check", "digest"))
-    zero = F.lit(0).cast("long")
-    full = F.array(_row(F.lit(PARTS * CELLS), zero, zero, F.lit(-1).cast("long")))
-    return cells.groupBy(*by).agg(kept.alias("c")).select(*by, F.inline(F.when(F.size("c") > HOPELESS, full).otherwise(F.col("c"))))
+def within_reach(a: Column, b: Column) -> Column:
+    """Whether one sketch may tell the difference of two sets, guessed from their sizes and the SAMPLE smallest digests of each. A wrong guess costs time alone."""
+    low = lambda c: F.slice(F.sort_array(c), 1, SAMPLE)
+    n, k = F.size(a) + F.size(b), F.least(F.lit(SAMPLE), F.greatest(F.size(a), F.size(b)))
+    return F.when(n <= REACH, True).otherwise(n * (k - F.size(F.array_intersect(low(a), low(b)))) <= k * REACH)
 
 
-def _bits(key: Column, level: int) -> Column:
-    """Which of the parts of the larger sketch of a level a digest belongs to: its first bits."""
-    return F.shiftrightunsigned(key, 64 - SPLIT_BITS * level) if level else F.lit(0).cast("long")
+def larger(sets: DataFrame, k: str, a: str, others: list[str], level: int = 0) -> DataFrame:
+    """(k, tag, n_added, n_removed, parts): how the set `a` differs from each of `others`, by subtracting larger sketches, in the parts that the bits of `parts{tag}` name; a part is the digests with the same first SPLIT_BITS bits.
 
-
-def recovered(sets: DataFrame, by: list[str], level: int = 0) -> DataFrame:
-    """(by, bucket, digest, n; or cell where a sketch was too small): what the sets (by, key, sign) of the two signs don't share, by peeling the difference of their sketches.
-    n tells whose a digest is. At level 0 there is one sketch; at others 64 times as many as at the one before, by the digests' first bits."""
-    ids = [*by, "bucket"]
-    cells = sketch(sets.withColumn("bucket", _bits(F.col("key"), level)), ids)
-    return peel(cells, ids, STEPS) if level else peel(worth_peeling(cells, ids), ids, FIRST_STEPS)
-
-
-def differences(ws: Workspace, pairs: DataFrame, k: str, a: str, others: list[str]) -> DataFrame:
-    """(k, tag, n_added, n_removed): how many digests of the set `a` each of the sets `others`, tagged by place, has not, and the other way round.
-
-    Where peeling fails, a larger sketch is tried, of the digests of the parts that failed alone. What is left after LEVELS such steps (54 bits of the digests alike; not met in
-    tests) is compared directly. Between levels only numbers and failed parts are written. `pairs` should come dealt by `k`: then nothing is shuffled but these.
+    Such a sketch has one cell for each value of the first bits of the digests; empty cells are no rows. Each set goes into it once and is subtracted from `a` as cells. A cell of one
+    digest gives it away. Parts with a cell that holds more are named in `parts` and not counted; with 64 bits there are none. Nothing is shuffled if sets come dealt by `k`.
+    """
+    tags, ends = range(len(others)), [F.size(a)]
+    for o in others:
+        ends.append(ends[-1] + F.size(o))
+    bits = F.least(F.lit(64), F.greatest(F.lit(SPLIT_BITS), F.ceil(F.log2(ends[-1].cast("double"))) + ROOM_BITS + SPLIT_BITS * level)).cast("int")
+    at = F.posexplode(F.concat(a, *others)).alias("pos", "key")
+    rows = sets.select(k, *[f"parts{t}" for t in tags], (64 - bits).alias("cut"), *[e.alias(f"end{i}") for i, e in enumerate(ends)], at)
+    named = lambda t: F.expr(f"shiftright(parts{t}, cast(shiftrightunsigned(key, {64 - SPLIT_BITS}) as int)) & 1 = 1")
+    sign = lambda t: F.when(named(t), F.when(F.col("pos") < F.col("end0"), 1).when((F.col("pos") >= F.col(f"end{t}")) & (F.col("pos") < F.col(f"end{t + 1}")), -1).otherwise(0)).otherwise(0)
+    rows = rows.select(k, "key", F.expr("shiftleft(shiftrightunsigned(key, cut), cut)").alias("cell"), *[sign(t).alias(f"s{t}") for t in tags])
+    rows = rows.filter(" OR ".join(f"s{t} <> 0" for t in tags)).withColumn("check", F.xxhash64(F.lit("check"), "key"))
+    held = lambda t, c: F.bit_xor(F.when(F.col(f"s{t}") != 0, F.col(c)).otherwise(F.lit(0).cast("long")))
+    cells = rows.groupBy(k, "cell").agg(*[x for t in tags for x in (F.sum(f"s{t}").alias(f"n{t}"), held(t, "key").alias(f"x{t}"), held(t, "check").alias(f"c{t}"))])
+    alone = lambda t: (F.abs(f"n{t}") == 1) & (F.col(f"c{t}") == F.xxhash64(F.lit("check"), f"x{t}"))
+    kept = lambda t: (F.col(f"n{t}") != 0) | (F.col(f"x{t}") != 0) | (F.col(f"c{t}") != 0)
+    state = lambda t: F.when(alone(t), F.col(f"n{t}")).when(kept(t), F.lit(2).cast("long")).otherwise(F.lit(0).cast("long"))
+    told = cells.select(k, F.shiftrightunsigned("cell", 64 - SPLIT_BITS).cast("int").alias("part"), *[state(t).alias(f"is{t}") for t in tags])
+    count = lambda t, n: F.count_if(F.col(f"is{t}") == n)
+    told = told.groupBy(k, "part").agg(*[x for t in tags for x in (count(t, 1).alias(f"added{t}"), count(t, -1).alias(f"removed{t}"), count(t, 2).alias(f"short{t}"))])
+    sure = lambda t, c: F.sum(F.when(F.col(f"short{t}") == 0, F.col(f"{c}{t}")).otherwise(0)).alias(f"{c}{t}")
+    name = lambda t: F.bit_or(F.when(F.col(f"short{t}") > 0, F.expr("shiftleft(1L, part)")).otherwise(F.lit(0).cast("long"))).alias(f"parts{t}")
+    told = told.groupBy(k).agg(*[x for t in tags for x in (sure(t, "added"), sure(t, "removed"), name(t))])
+    return told.select(k, F.inline(F.array(*[F.struct(F.lit(t).alias("tag"), F.col(f"added{t}").alias("n_added"), F.col(f"removed{t}").alias("n_removed"), F.col(f"parts{t}").alias("parts")) for t in tags])))
+
+
+def differences(ws: Workspace, pairs: DataFrame, k: str, a: str, others: list[str], fits: list[str]) -> DataFrame:
+    """(k, tag, n_added, n_removed): how many digests of the set `a` each of the sets `others`, tagged by place, has not, and the other way round; for equal sets there may be no row.
+
+    Sketches of the sets are subtracted and peeled where the columns `fits` say that this may tell the difference (see within_reach). For the others, and where peeling fails, larger
+    sketches are tried, again and again of the parts that failed alone. Between levels only numbers and names of failed parts are written. `pairs` should come dealt by `k`: then nothing is shuffled but these.
     """
-    done, failed = None, None
-    for level in range(LEVELS + 2):
-        todo = pairs if failed is None else pairs.join(failed, k)
-        keep = lambda tag: (lambda p: F.lit(True)) if failed is None else (lambda p: F.array_contains(f"parts{tag}", _bits(p, level - 1)))
-        signed = lambda c, tag, sign: F.transform(F.filter(c, keep(tag)), lambda p: F.struct(F.lit(tag).alias("tag"), p.alias("key"), F.lit(sign).alias("sign")))
-        rows = todo.select(k, F.inline(F.concat(*[x for tag, o in enumerate(others) for x in (signed(a, tag, 1), signed(o, tag, -1))])))
-        if level > LEVELS:
-            left = rows.groupBy(k, "tag", "key").agg(F.sum("sign").alias("n")).filter("n <> 0").withColumn("cell", F.lit(-1)).withColumn("bucket", F.lit(0).cast("long"))
-        else:
-            left = recovered(rows, [k, "tag"], level)
-        part = left.groupBy(k, "tag", "bucket").agg(F.count_if((F.col("cell") == -1) & (F.col("n") > 0)).alias("n_added"), F.count_if((F.col("cell") == -1) & (F.col("n") < 0)).alias("n_removed"), F.bool_or(F.col("cell") >= 0).alias("short"))
-        told = lambda c: F.sum(F.when(~F.col("short"), F.col(c))).alias(c)
-        told = ws.save(part.groupBy(k, "tag").agg(told("n_added"), told("n_removed"), F.collect_list(F.when(F.col("short"), F.col("bucket"))).alias("parts")), f"told{level}")
-        done = told if done is None else done.unionByName(told)
-        short = told.filter("size(parts) > 0")
-        if short.isEmpty():
-            return done.groupBy(k, "tag").agg(F.sum("n_added").alias("n_added"), F.sum("n_removed").alias("n_removed"))
-        none = F.array().cast("array<bigint>")
-        failed = short.groupBy(k).agg(*[F.coalesce(F.max(F.when(F.col("tag") == tag, F.col("parts"))), none).alias(f"parts{tag}") for tag in range(len(others))])
+    tags = range(len(others))
+    none = F.array().cast("array<bigint>")
+    sets = [F.when(F.col(f), F.concat(a, o)).otherwise(none) for o, f in zip(others, fits, strict=True)]
+    ends = [sum((F.size(s) for s in sets[:t]), F.lit(0)).alias(f"end{t}") for t in tags]
+    tag = F.expr("CASE " + " ".join(f"WHEN pos >= end{t} THEN {t}" for t in reversed(tags)) + " END")
+    rows = pairs.filter(" OR ".join(fits)).select(k, F.size(a).alias("n"), *ends, F.posexplode(F.concat(*sets)).alias("pos", "key")).withColumn("tag", tag)
+    start = F.expr("CASE tag " + " ".join(f"WHEN {t} THEN end{t}" for t in tags) + " END")
+    rows = rows.select(k, "tag", "key", F.when(F.col("pos") - start < F.col("n"), 1).otherwise(-1).alias("sign"))
+    left = peel(sketch(rows, [k, "tag"]), [k, "tag"], named=False)
+    count = lambda sign: F.coalesce(F.sum(F.when((F.col("cell") == -1) & (F.col("digest") == sign), F.abs("n"))), F.lit(0).cast("long"))
+    told = left.groupBy(k, "tag").agg(count(1).alias("n_added"), count(-1).alias("n_removed"), F.bool_or(F.col("cell") >= 0).alias("short"))
+    done = ws.save(told.select(k, "tag", *[F.when(~F.col("short"), F.col(c)).otherwise(0).alias(c) for c in ("n_added", "n_removed")], F.col("short").cast("long").alias("parts")), "told")
+    by_tag = lambda t: F.max(F.when(F.col("tag") == t, F.col("parts")))
+    failed = lambda some: some.filter("parts <> 0").groupBy(k).agg(*[F.coalesce(by_tag(t), F.lit(0).cast("long")).alias(f"parts{t}") for t in tags])
+    todo = pairs.join(failed(done), k, "left").withColumns({f"parts{t}": F.when(F.col(f) & (F.coalesce(f"parts{t}", F.lit(0)) == 0), F.lit(0)).otherwise(F.lit(-1)).cast("long") for t, f in enumerate(fits)})
+    todo = todo.filter(" OR ".join(f"parts{t} <> 0" for t in tags))
+    for level in range(64 // SPLIT_BITS + 1):
+        told = ws.save(larger(todo, k, a, others, level), f"larger{level}")
+        done = done.unionByName(told)
+        if told.filter("parts <> 0").isEmpty():
+            break
+        todo = pairs.join(failed(told), k)
+    return done.groupBy(k, "tag").agg(F.sum("n_added").alias("n_added"), F.sum("n_removed").alias("n_removed"))
 
 
 def likeness(n_a: Column, n_b: Column, differing: Column) -> Column:
@@ -172,9 +193,10 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     seen = texts.join(placed.select("k", id_col, "copies", "n_chars"), "k").join(heads, "k").withColumn("changed", changed)
     seen = seen.select("k", id_col, "copies", "n_chars", F.sha2("changed", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("own"), paragraphs(F.col("changed")).alias("edited"), "next")
     chars = placed.agg(F.sum("n_chars").alias("n")).first()["n"] or 0
+    seen = seen.withColumns({f"fits_{o}": within_reach(F.col("own"), F.col(o)) for o in ("edited", "next")})
     seen = _in_buckets(ws, seen, "paragraphs", chars // PARAGRAPH_CHARS * 4)
 
-    apart = differences(ws, seen.select("k", "own", "edited", "next"), "k", "own", ["edited", "next"])
+    apart = differences(ws, seen.select("k", "own", "edited", "next", "fits_edited", "fits_next"), "k", "own", ["edited", "next"], ["fits_edited", "fits_next"])
     n_of = lambda tag, name: F.sum(F.when(F.col("tag") == tag, F.col("n_added") + F.col("n_removed"))).alias(name)
     apart = ws.save(apart.groupBy("k").agg(n_of(0, "_edited"), n_of(1, "_next")), "apart")
     ws.keep(apart)

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quirelab.llm import fingerprints as prints
 from quirelab.llm import prefix_trie as trie
 from quirelab.llm import quality, vector_search
 from quirelab.llm.fingerprints import CELLS, PARAGRAPH, PARTS, fingerprints, paragraphs, peel, sketch
@@ -195,6 +196,27 @@ def test_sketches_give_their_difference(spark):
     assert 0 < full.filter("cell >= 0").count() <= PARTS * CELLS
 
 
+def test_unlike_texts_are_not_put_into_small_sketches(spark, monkeypatch):
+    """Of texts with hundreds of paragraphs apart, only the fingerprints themselves are sketched: each digest of the text and of the edited text once."""
+    rows = [(i, "".join(f"w{i}-{j}. " for j in range(300))) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    put, sketched = [], prints.sketch
+    monkeypatch.setattr(prints, "sketch", lambda sets, by: put.append(sets) or sketched(sets, by))
+    got = fingerprints(df).collect()
+    assert Counter(tuple(r[c] for c in ("doc_id", "n_chars", "edited_sha256", "near_edited", "near_next", "n_paragraphs", "n_differing")) for r in got) == brute_fingerprints(rows)
+    assert 6 * 500 < sum(s.count() for s in put) < 6 * 700
+
+
+@pytest.mark.parametrize("guess", [True, False])
+def test_likeness_does_not_hang_on_guesses(spark, monkeypatch, guess):
+    """All pairs tried in a small sketch, or none; larger sketches that begin far too small."""
+    monkeypatch.setattr(prints, "within_reach", lambda a, b: F.lit(guess))
+    monkeypatch.setattr(prints, "ROOM_BITS", -6)
+    rows = [(i, "".join(f"w{j}. " for j in range(i % 3, n))) for i, n in enumerate([0, 1, 3, 30, 60, 60, 300, 303, 3000, 0, 2500])] + [(None, None), (3, "a. a. b"), (3, "a. a. b")]
+    got = fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r[c] for c in ("doc_id", "n_chars", "edited_sha256", "near_edited", "near_next", "n_paragraphs", "n_differing")) for r in got) == brute_fingerprints(rows)
+
+
 def test_fingerprints_use_no_python(spark, sf):
     plan = fingerprints(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "MapIn" not in plan
