@@ -2,19 +2,29 @@
 
 Fragments are (by, row_no, frag_no, text, n_chars, x0, x1, top, bottom, base, size, bold); `by` names the region, a page or a part of one, so whatever
 comes together in one task is bounded by a page. Operators of several steps write their input and a few small tables in between, so that no step is computed twice.
+Tables are found and read from regions with their fragments in one row (by, frags), so that rows of fragments are not sorted, joined or written.
 """
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Callable
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelab.functions.geometry import centred
-from quirelab.functions.text import join_lines, list_kind
+from quirelab.functions.text import bound, join_lines, list_kind
+from quirelab.operators.layout_ops import stretches
 from quirelab.sources.store import written
 
 # Fixed values. Rows of a zone lie within 2.5 sizes; a single fragment under 0.45 of the width is a label between cells; 12 percent of a zone's rows may cross a gap.
 ZONE_GAP, LABEL, CROSSING = 2.5, 0.45, 0.12
+EDGES = 1 << 20
+TABLES = "array<struct<first_row:{0},last_row:{0},cols:array<struct<x0:double,x1:double>>>>"
 SENTENCE_END = "[.!?:][\"')\\]]?$"
 
 
@@ -126,112 +136,243 @@ def split_regions(items: DataFrame, by: list[str]) -> DataFrame:
 # ---- tables
 
 
-def table_columns(frags: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
-    """(by, col_no, x0, x1): the columns of zones, from their fragments and rows (by, row_no, size).
+def numbered_rows(frags: Column) -> Column:
+    """Fragments of a region, an array, with row_no: fragments that share their base line are a row, as in with_rows()."""
+    fields = ("frag_no", "text", "n_chars", "x0", "x1", "top", "bottom", "base", "size", "bold")
+    numbered = lambda bases: F.transform(frags, lambda f: F.struct((F.array_position(bases, f["base"]) - 1).cast("int").alias("row_no"), *[f[c].alias(c) for c in fields]))
+    return bound(F.array_sort(F.array_distinct(F.transform(frags, lambda f: f["base"]))), numbered)
 
-    Each row covers whole x with its fragments, each x once. A sweep over begins and ends counts the rows that cover an x; where more than CROSSING of them do
-    is a column, up to a gap of half the median size, 2 at least.
-    """
-    zone = rows.groupBy(*by).agg(F.floor(F.count(F.lit(1)) * CROSSING).alias("allowed"), F.greatest(F.lit(2.0), 0.5 * F.percentile("size", 0.5)).alias("least"))
-    row = Window.partitionBy(*by, "row_no").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    spans = frags.select(*by, "row_no", F.floor("x0").alias("a"), F.ceil("x1").alias("b")).withColumn("new", F.when(F.col("a") <= F.max("b").over(row), 0).otherwise(1))
-    spans = spans.withColumn("s", F.sum("new").over(Window.partitionBy(*by, "row_no").orderBy("a", "b"))).groupBy(*by, "row_no", "s").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    events = spans.select(*by, F.inline(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("d")), F.struct((F.col("b") + 1).alias("x"), F.lit(-1).alias("d")))))
-    w = Window.partitionBy(*by).orderBy("x")
-    cover = events.groupBy(*by, "x").agg(F.sum("d").alias("d")).withColumn("cover", F.sum("d").over(w)).withColumn("end", F.lead("x").over(w) - 1)
-    busy = cover.join(zone, by).filter("cover > allowed")
-    busy = busy.withColumn("new", F.when(F.col("x") - F.lag("end").over(w) - 1 < F.col("least"), 0).otherwise(1)).withColumn("col_no", F.sum("new").over(w) - 1)
-    cols = busy.groupBy(*by, "col_no").agg(F.min("x").cast("double").alias("x0"), F.max("end").cast("double").alias("x1"))
-    last = F.lead("col_no").over(Window.partitionBy(*by).orderBy("col_no")).isNull()
-    return cols.withColumn("x1", F.col("x1") + F.when(last, 0.0).otherwise(1.0))  # inner columns end where their gap begins, the last one where it ends
-
-
-def _accepted(frags: DataFrame, rows: DataFrame, by: list[str], zone: list[str], width: Column) -> DataFrame:
-    """(zone, cols) of the zones among `rows` (zone, row_no, size, n_frags) that are tables: not running text side by side, lists of markers, long texts, or grids next to empty."""
-    inside = written(rows.select(*zone, "row_no").join(frags.select(*by, "row_no", "n_chars", "x0", "x1"), [*by, "row_no"]))
-    cols = written(table_columns(inside, rows, zone))
-    w, share = F.col("x1") - F.col("x0"), _overlap(F.col("x0"), F.col("x1"), F.col("c0"), F.col("c1"))
-    met = inside.join(cols.select(*zone, "col_no", F.col("x0").alias("c0"), F.col("x1").alias("c1")), zone)
-    inner = share > 0.5 * w
-    col = met.groupBy(*zone, "col_no").agg(
-        F.coalesce(F.avg(F.when(inner, w)), F.lit(0.0)).alias("mean"), F.count_if(inner).alias("n"), F.count_if(inner & (F.col("n_chars") <= 4)).alias("short"), F.size(F.collect_set(F.when(share > 0, F.col("row_no")))).alias("filled")
-    )
-    of = lambda i, c: F.max(F.when(F.col("col_no") == i, F.col(c)))
-    told = col.groupBy(*zone).agg(
-        F.count(F.lit(1)).alias("n_cols"), F.max("mean").alias("widest"), of(0, "mean").alias("m0"), of(1, "mean").alias("m1"), of(0, "n").alias("n0"), of(0, "short").alias("short0"), F.sum("filled").alias("filled")
-    )
-    size = rows.groupBy(*zone).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("n_frags") >= 2).alias("n_strong"), F.max(width).alias("width"))
-    shape = F.expr("n_cols >= 2 AND (n_strong >= 3 OR (n_strong >= 2 AND n_cols >= 3))")
-    text = F.expr("n_cols = 2 AND ((m0 > 0.3D * width AND m1 > 0.3D * width) OR (short0 >= 0.7D * n0 AND m1 > 0.3D * width))")
-    good = told.join(size, zone).filter(shape & ~text & F.expr("widest <= 0.6D * width AND filled / (n_rows * n_cols) >= 0.3D"))
-    return good.join(cols.groupBy(*zone).agg(F.sort_array(F.collect_list(F.struct("x0", "x1"))).alias("cols")), zone).select(*zone, "cols")
 
+def _in_regions(frags: DataFrame, by: list[str], *fields: str) -> DataFrame:
+    """(by, frags): the fragments of a region in one row. Regions without a key go."""
+    return frags.na.drop(subset=by).groupBy(*by).agg(F.collect_list(F.struct(*fields)).alias("frags"))
+
+
+def _medians_from(values: np.ndarray) -> np.ndarray:
+    """The median of the values from each one on."""
+    if (values == values[0]).all():
+        return values
+    seen, out = [], np.empty(len(values))
+    for i in range(len(values) - 1, -1, -1):
+        insort(seen, float(values[i]))
+        out[i] = (seen[len(seen) // 2] + seen[(len(seen) - 1) // 2]) / 2
+    return out
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from first[i] on, count[i] of them, for each i in turn, and the i that each belongs to."""
+    return np.repeat(np.arange(len(count)), count), np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
 
-def table_zones(frags: DataFrame, by: list[str], left: Column, right: Column) -> DataFrame:
-    """(by, first_row, last_row, cols): the tables of each region, between its bounds, with their columns (x0, x1) from the left.
+
+def _turns(*keys: np.ndarray) -> np.ndarray:
+    """Where an item begins that differs in some key from the one before it."""
+    fresh = np.ones(len(keys[0]), bool)
+    fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return fresh
+
+
+class _Sessions(NamedTuple):
+    """Sessions of rows, each from row `first` to row `last`, over flat arrays: fragments row by row, rows (where their fragments begin and end, median size from each on to its
+    session's end, several fragments or not), and where rows begin and end to cover an x, by x in each session."""
+
+    x0: np.ndarray
+    x1: np.ndarray
+    n_chars: np.ndarray
+    row: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    middle: np.ndarray
+    strong: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    width: np.ndarray
+    edge: np.ndarray
+    step: np.ndarray
+    edge_row: np.ndarray
+    n_edges: np.ndarray
+
+
+def _edges(session: np.ndarray, row: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, +1 or -1, row): where rows begin and end to be covered by their fragments, each x once, by x in each session."""
+    x, d = np.concatenate((np.floor(x0), np.ceil(x1) + 1)), np.repeat([1, -1], len(x0))
+    session, row = np.tile(session, 2), np.tile(row, 2)
+    order = np.lexsort((d, x, row))
+    order = order[np.cumsum(d[order]) == (d[order] > 0)]  # a row's first begin and last end of each stretch
+    order = order[np.lexsort((x[order], session[order]))]
+    return x[order], d[order], row[order]
+
+
+def _accepted(s: _Sessions, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(good, of, c0, c1): whether the ends of sessions `at`, from rows `first` on, are tables, and the columns of these ends.
+
+    Where more than CROSSING of an end's rows cover an x is a column, up to a gap of half their median size, 2 at least. An end is no table if it is running text side by side,
+    a list of markers, long texts, or a grid next to empty.
+    """
+    last, width = s.last[at], s.width[at]
+    n_rows, strong = last - first + 1, np.append(0, np.cumsum(s.strong))
+    n_strong, allowed, least = strong[last + 1] - strong[first], np.floor(n_rows * CROSSING), np.maximum(2.0, 0.5 * s.middle[first])
+    of, i = _ranges((np.cumsum(s.n_edges) - s.n_edges)[at], s.n_edges[at])
+    own = s.edge_row[i] >= first[of]
+    of, i = of[own], i[own]
+    x, cover = s.edge[i], np.cumsum(s.step[i])  # rows that begin also end, so the next end starts from 0
+    busy = np.flatnonzero((cover[:-1] > allowed[of[:-1]]) & (x[1:] > x[:-1]))
+    of, c0, c1 = of[busy], x[busy], x[busy + 1]
+    fresh = _turns(of)
+    fresh[1:] |= c0[1:] - c1[:-1] >= least[of[1:]]
+    begin = np.flatnonzero(fresh)
+    of, c0, c1 = of[begin], c0[begin], c1[np.append(begin[1:], len(busy))[: len(begin)] - 1]
+    c1 = c1 - np.append(_turns(of)[1:], True)[: len(of)]  # inner columns end where their gap begins, the last one where it ends
+    n_cols = np.bincount(of, minlength=len(at))
+    good = (n_cols >= 2) & ((n_strong >= 3) | ((n_strong >= 2) & (n_cols >= 3)))
+    of, c0, c1 = of[good[of]], c0[good[of]], c1[good[of]]
+    col, k = _ranges(s.starts[first[of]], s.ends[last[of]] - s.starts[first[of]])
+    w, share = s.x1[k] - s.x0[k], np.maximum(0.0, np.minimum(s.x1[k], c1[col]) - np.maximum(s.x0[k], c0[col]))
+    inner, met = share > 0.5 * w, np.flatnonzero(share > 0)
+    sums = lambda which, values=None: np.bincount(col[which], values, minlength=len(of))
+    n, short = sums(inner), sums(inner & (s.n_chars[k] <= 4))
+    mean, filled = sums(inner, w[inner]) / np.maximum(n, 1), sums(met[_turns(col[met], s.row[k[met]])])
+    c = np.flatnonzero(_turns(of))
+    which = of[c]
+    wide = 0.3 * width[which]
+    text = (n_cols[which] == 2) & (mean[c + 1] > wide) & ((mean[c] > wide) | (short[c] >= 0.7 * n[c]))
+    good[which] = ~text & (_each(np.maximum, mean, c) <= 0.6 * width[which]) & (_each(np.add, filled, c) / (n_rows[which] * n_cols[which]) >= 0.3)
+    return good, of, c0, c1
+
+
+def _each(fold: np.ufunc, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return fold.reduceat(values, starts) if len(starts) else values[:0]
+
+
+def _found_tables(row_no: pa.Array, n_chars: pa.Array, x0: pa.Array, x1: pa.Array, top: pa.Array, bottom: pa.Array, size: pa.Array, width: pa.Array) -> pa.Array:
+    """Tables of regions, whose fragments are arrays side by side. Whole sessions are tried first, then the ends of those that fail, as many at once as EDGES allows."""
+    length, kind = row_no.value_lengths().to_numpy(zero_copy_only=False), row_no.type.value_type
+    region = np.repeat(np.arange(len(length)), length)
+    row_no, n_chars, x0, x1, top, bottom, size = (c.flatten().to_numpy(zero_copy_only=False) for c in (row_no, n_chars, x0, x1, top, bottom, size))
+    order, width = np.lexsort((row_no, region)), width.to_numpy(zero_copy_only=False)
+    region, row_no, n_chars, x0, x1, top, bottom, size = (c[order] for c in (region, row_no, n_chars, x0, x1, top, bottom, size))
+    starts = np.flatnonzero(_turns(region, row_no))
+    ends, of, row_no = np.append(starts[1:], len(region))[: len(starts)], region[starts], row_no[starts]
+    n_frags, size, top, bottom = ends - starts, _each(np.maximum, size, starts), _each(np.minimum, top, starts), _each(np.maximum, bottom, starts)
+    strong = n_frags >= 2
+    fits = strong | (_each(np.maximum, x1, starts) - _each(np.minimum, x0, starts) < LABEL * width[of])
+    fresh = _turns(of)
+    fresh[1:] |= ~(fits[1:] & fits[:-1] & (top[1:] - bottom[:-1] <= ZONE_GAP * np.maximum(size[1:], size[:-1])))
+    rows = np.flatnonzero(strong)
+    turn = _turns(np.cumsum(fresh)[rows])
+    first, last = rows[turn], rows[np.append(turn[1:], True)[: len(rows)]]
+    first, last = first[first < last], last[first < last]
+
+    middle, turns = size.copy(), np.cumsum(_turns(size))
+    for f, g in zip(first, last):
+        if turns[f] != turns[g]:
+            middle[f : g + 1] = _medians_from(size[f : g + 1])
+    session, i = _ranges(starts[first], ends[last] - starts[first])
+    row = np.repeat(np.arange(len(starts)), n_frags)
+    edge, step, edge_row = _edges(session, row[i], x0[i], x1[i])
+    n_edges = np.bincount(np.searchsorted(first, edge_row, "right") - 1, minlength=len(first))
+    s = _Sessions(x0, x1, n_chars, row, starts, ends, middle, strong, first, last, width[of[first]], edge, step, edge_row, n_edges)
+
+    good, cut, c0, c1 = _accepted(s, np.arange(len(first)), first)
+    at, head, parts = [np.flatnonzero(good)], [first[good]], [(c0[good[cut]], c1[good[cut]], np.bincount(cut, minlength=len(first))[good])]
+    failed = np.flatnonzero(~good)
+    left, r = _ranges(first[failed] + 1, last[failed] - first[failed] - 1)
+    left, r = failed[left[strong[r]]], r[strong[r]]
+    blocks = np.flatnonzero(_turns(np.cumsum(n_edges[left]) // EDGES))
+    for b, e in zip(blocks, np.append(blocks[1:], len(left))):
+        good, cut, c0, c1 = _accepted(s, left[b:e], r[b:e])
+        won = np.flatnonzero(good)
+        won = won[_turns(left[b:e][won]) & ~np.isin(left[b:e][won], np.concatenate(at))]
+        mine = np.isin(cut, won)
+        at, head, parts = [*at, left[b:e][won]], [*head, r[b:e][won]], [*parts, (c0[mine], c1[mine], np.bincount(cut, minlength=e - b)[won])]
+
+    at, head = np.concatenate(at), np.concatenate(head)
+    c0, c1, n_cols = map(np.concatenate, zip(*parts))
+    order = np.argsort(at)
+    _, i = _ranges((np.cumsum(n_cols) - n_cols)[order], n_cols[order])
+    at, head = at[order], head[order]
+    listed = lambda lengths, **fields: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+    cols = listed(n_cols[order], x0=pa.array(c0[i]), x1=pa.array(c1[i]))
+    return listed(np.bincount(of[first[at]], minlength=len(length)), first_row=pa.array(row_no[head], kind), last_row=pa.array(row_no[last[at]], kind), cols=cols)
+
+
+def with_tables(regions: DataFrame, left: Column, right: Column) -> DataFrame:
+    """Regions (by, frags) with `tables`, an array of (first_row, last_row, cols): the tables of each region, between its bounds, with their columns (x0, x1) from the left.
 
     Rows of several fragments, and short labels between them, that follow each other closely are a session, from its first such row to its last. A session is a table, or
-    the longest of its ends that is one, if it passes the tests of _accepted(). Only sessions that fail are looked at end by end.
+    the longest of its ends that is one, if it passes the tests of _accepted().
     """
-    width = F.greatest(F.lit(50.0), right - left)
-    frags = written(frags.select(*by, "row_no", "n_chars", "x0", "x1", "top", "bottom", "size"))  # no texts
-    rows = frags.groupBy(*by, "row_no").agg(F.count(F.lit(1)).alias("n_frags"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.max("size").alias("size"))
-    region = Window.partitionBy(*by).orderBy("row_no")
-    strong = F.col("n_frags") >= 2
-    rows = rows.withColumn("_in", strong | (F.col("x1") - F.col("x0") < LABEL * width))
-    near = F.col("top") - F.lag("bottom").over(region) <= ZONE_GAP * F.greatest("size", F.lag("size").over(region))
-    rows = rows.withColumn("session", F.sum(F.when(F.col("_in") & F.lag("_in").over(region) & near, 0).otherwise(1)).over(region)).filter("_in")
-    session = Window.partitionBy(*by, "session")
-    rows = rows.withColumn("_last", F.max(F.when(strong, F.col("row_no"))).over(session)).withColumn("first_row", F.min(F.when(strong, F.col("row_no"))).over(session))
-    rows = rows.filter("row_no >= first_row AND row_no <= _last AND first_row < _last").select(*by, "session", "first_row", "_last", "row_no", "n_frags", "size")
-    rows = written(rows)
-    zone = [*by, "session", "first_row"]
-    whole = written(_accepted(frags, rows, by, zone, width))
-    failed = written(rows.join(whole, [*by, "session"], "left_anti"))
-    starts = failed.filter((F.col("n_frags") >= 2) & (F.col("row_no") > F.col("first_row")) & (F.col("row_no") < F.col("_last"))).select(*by, "session", F.col("row_no").alias("first_row"))
-    ends = written(starts.join(failed.drop("first_row"), [*by, "session"]).filter("row_no >= first_row"))
-    longest = _accepted(frags, ends, by, zone, width).groupBy(*by, "session").agg(F.min("first_row").alias("first_row"), F.min_by("cols", "first_row").alias("cols"))
-    found = whole.select(*zone, "cols").unionByName(longest.select(*zone, "cols"))
-    return found.join(rows.select(*by, "session", F.col("_last").alias("last_row")).distinct(), [*by, "session"]).select(*by, "first_row", "last_row", "cols")
+    width = F.greatest(F.lit(50.0), right - left).cast("double")
+    kind = regions.schema["frags"].dataType.elementType["row_no"].dataType.simpleString()
+    return regions.withColumn("tables", F.arrow_udf(_found_tables, TABLES.format(kind))(*[f"frags.{c}" for c in ("row_no", "n_chars", "x0", "x1", "top", "bottom", "size")], width))
 
 
-def table_cells(frags: DataFrame, zones: DataFrame, by: list[str]) -> DataFrame:
-    """(by, first_row, table_row, col_no, text, width): the filled cells of tables (by, first_row, last_row, cols), and how wide their columns are.
+def rows_of_tables(row: Callable[[Column], Column]) -> Column:
+    """A row for each of a region's `tables`. Inlined as they are, Spark would filter regions by how many tables they have, and look for these twice."""
+    return F.inline(F.transform("tables", row))
+
+
+def table_zones(frags: DataFrame, by: list[str], left: Column, right: Column) -> DataFrame:
+    """(by, first_row, last_row, cols): the tables of each region as rows; see with_tables()."""
+    regions = _in_regions(frags, by, "row_no", "n_chars", "x0", "x1", "top", "bottom", "size")  # no texts
+    return with_tables(regions, left, right).select(*by, rows_of_tables(lambda t: F.struct(*[t[c].alias(c) for c in ("first_row", "last_row", "cols")])))
+
+
+def cells_of(regions: DataFrame, by: list[str]) -> DataFrame:
+    """(by, first_row, table_row, col_no, text, width): the filled cells of the tables of regions (by, frags, tables), and how wide their columns are.
 
     A fragment goes to the column that holds most of it, of equal ones the first. A row as close as lines of a text continues the row above where the table's rows are
     otherwise spaced out, or where it is a single fragment, if each of its cells is filled there: a fold over the rows, whose state is the row that is being continued.
+    A table's fragments stay in one row from there to its cells.
     """
-    zone = [*by, "first_row"]
-    inside = frags.join(zones.select(*zone, "last_row", "cols"), by).filter("row_no BETWEEN first_row AND last_row")
-    inside = written(inside)
-    rows = rows_of_region(inside, zone)
-    share = lambda c, i: F.struct(_overlap(F.col("x0"), F.col("x1"), c["x0"], c["x1"]).alias("o"), (-i).alias("i"))
-    placed = inside.withColumn("col_no", (-F.array_max(F.transform("cols", share))["i"]).cast("bigint"))
-
-    w = Window.partitionBy(*zone)
-    pitch = (F.col("base") - F.lag("base").over(w.orderBy("row_no"))) / F.col("size")
-    rows = rows.withColumn("pitch", pitch).withColumn("loose", F.percentile("pitch", 0.5).over(w) >= 1.45)
-    close = F.coalesce((F.col("pitch") <= 1.3) & (F.col("loose") | (F.col("n_frags") == 1)), F.lit(False))
-    held = placed.groupBy(*zone, "row_no").agg(F.collect_set("col_no").alias("cols")).join(rows.select(*zone, "row_no", close.alias("close")), [*zone, "row_no"])
-    listed = held.groupBy(*zone).agg(F.sort_array(F.collect_list(F.struct("row_no", "close", "cols"))).alias("rows"))
-
-    def take(s: Column, row: Column) -> Column:
-        goes_on = row["close"] & (F.size(F.array_except(row["cols"], s["cols"])) == 0)
-        at = F.when(goes_on, s["at"]).otherwise(s["at"] + 1)
-        out = F.struct(row["row_no"].cast("bigint").alias("row_no"), at.alias("table_row"), goes_on.alias("more"))
-        return F.struct(at.alias("at"), F.when(goes_on, s["cols"]).otherwise(row["cols"]).alias("cols"), F.array_append(s["out"], out).alias("out"))
-
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<bigint>").alias("cols"), F.array().cast("array<struct<row_no:bigint,table_row:int,more:boolean>>").alias("out"))
-    numbered = listed.select(*zone, F.inline(F.aggregate("rows", start, take, lambda s: s["out"])))
-    parts = placed.join(numbered, [*zone, "row_no"]).groupBy(*zone, "table_row", "col_no").agg(F.sort_array(F.collect_list(F.struct("row_no", "x0", "frag_no", "more", "text"))).alias("p"))
+
+    def placed(f: Column, cols: Column) -> Column:
+        share = lambda c, i: F.struct(_overlap(f["x0"], f["x1"], c["x0"], c["x1"]).alias("o"), (-i).alias("i"))
+        col_no = (-F.array_max(F.transform(cols, share))["i"]).cast("bigint")
+        return F.struct(f["row_no"].alias("row_no"), f["x0"].alias("x0"), f["frag_no"].alias("frag_no"), f["text"].alias("text"), f["base"].alias("base"), f["size"].alias("size"), col_no.alias("col_no"))
+
+    def row(frags: Column) -> Column:
+        main = F.array_max(F.transform(frags, lambda f: F.struct(f["size"].alias("size"), (-f["x0"]).alias("x"), (-f["frag_no"]).alias("no"), f["base"].alias("base"))))
+        cells = F.transform(frags, lambda f: F.struct(f["col_no"].alias("col_no"), f["text"].alias("text")))
+        return F.struct(main["size"].alias("size"), main["base"].alias("base"), F.array_distinct(F.transform(frags, lambda f: f["col_no"])).alias("cols"), cells.alias("cells"))
+
+    inside = lambda t: F.sort_array(F.transform(F.filter("frags", lambda f: f["row_no"].between(t["first_row"], t["last_row"])), lambda f: placed(f, t["cols"])))
+    rows = lambda t: bound(inside(t), lambda frags: F.transform(stretches(frags, lambda before, f: before["row_no"] == f["row_no"]), row))
+    tables = regions.select(*by, rows_of_tables(lambda t: F.struct(t["first_row"].alias("first_row"), t["cols"].alias("cols"), rows(t).alias("rows"))))
+
+    pitch = F.transform("rows", lambda r, i: (r["base"] - F.get("rows", i - 1)["base"]) / r["size"])
+    middle = lambda p: (F.get(p, F.floor((F.size(p) - 1) / 2).cast("int")) + F.get(p, F.floor(F.size(p) / 2).cast("int"))) / 2
+    loose = bound(F.sort_array(F.filter("pitch", lambda p: p.isNotNull())), middle) >= 1.45
+    tables = tables.withColumn("pitch", pitch).withColumn("loose", loose)
+
+    def take(s: Column, r: Column, i: Column) -> Column:
+        close = F.coalesce((F.get("pitch", i) <= 1.3) & (F.col("loose") | (F.size(r["cells"]) == 1)), F.lit(False))
+        goes_on = close & (F.size(F.array_except(r["cols"], s["cols"])) == 0)
+        return bound(goes_on, lambda more: F.struct(F.when(more, s["cols"]).otherwise(r["cols"]).alias("cols"), F.array_append(s["out"], more).alias("out")))
+
+    start = F.struct(F.array().cast("array<bigint>").alias("cols"), F.array().cast("array<boolean>").alias("out"))
+    each = F.transform("rows", lambda r, i: F.struct(i.alias("i"), r.alias("row")))
+    more = F.aggregate(each, start, lambda s, r: take(s, r["row"], r["i"]), lambda s: s["out"])
+    said = bound(more, lambda m: F.transform("rows", lambda r, i: F.struct(F.get(m, i).alias("more"), r["cells"].alias("cells"))))
+    wrapped = tables.select(*by, "first_row", "cols", F.posexplode(bound(said, lambda rows: stretches(rows, lambda before, r: r["more"]))).alias("table_row", "rows"))
 
     def add(text: Column, p: Column) -> Column:
         broken = p["more"] & text.rlike("[A-Za-z]-$") & p["text"].rlike("^[a-z]")
         return F.when(text.isNull(), p["text"]).when(broken, F.concat(F.substring(text, F.lit(1), F.char_length(text) - 1), p["text"])).otherwise(F.concat(text, F.lit(" "), p["text"]))
 
-    here, after = F.get("cols", F.col("col_no").cast("int")), F.get("cols", (F.col("col_no") + 1).cast("int"))
-    filled = parts.join(zones.select(*zone, "cols"), zone)
-    return filled.select(*zone, "table_row", "col_no", F.aggregate("p", F.lit(None).cast("string"), add).alias("text"), (F.coalesce(after["x0"], here["x1"]) - here["x0"]).alias("width"))
+    def cell(parts: Column, i: Column) -> Column:
+        text = F.aggregate(F.filter(parts, lambda p: p["col_no"] == i), F.lit(None).cast("string"), add)
+        here, after = F.get("cols", i.cast("int")), F.get("cols", (i + 1).cast("int"))
+        return F.struct(i.alias("col_no"), text.alias("text"), (F.coalesce(after["x0"], here["x1"]) - here["x0"]).alias("width"))
+
+    parts = F.flatten(F.transform("rows", lambda r: F.transform(r["cells"], lambda c: F.struct(c["col_no"].alias("col_no"), c["text"].alias("text"), r["more"].alias("more")))))
+    cells = bound(parts, lambda parts: F.transform(F.array_distinct(F.transform(parts, lambda p: p["col_no"])), lambda i: cell(parts, i)))
+    return wrapped.select(*by, "first_row", "table_row", F.inline(cells))
+
+
+def table_cells(frags: DataFrame, zones: DataFrame, by: list[str]) -> DataFrame:
+    """The filled cells of tables (by, first_row, last_row, cols) as in cells_of()."""
+    tables = zones.groupBy(*by).agg(F.collect_list(F.struct("first_row", "last_row", "cols")).alias("tables"))
+    return cells_of(_in_regions(frags, by, "row_no", "x0", "x1", "frag_no", "text", "base", "size").join(tables, by), by)
 
 
 # ---- paragraphs

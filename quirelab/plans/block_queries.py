@@ -34,26 +34,24 @@ def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.split_regions(items, PAGE).select(*PAGE, "frag_no", "region_no", "left", "right", "columns")
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.with_rows(_fragments(spark, sf_dir), PAGE)
-
-
-def _zones(frags: DataFrame) -> DataFrame:
-    return B.table_zones(frags, PAGE, F.lit(LEFT), F.lit(RIGHT))
+def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page_no, frags, tables) of set pages."""
+    pages = T.set_pages(T.table(spark, sf_dir, "documents")).filter("doc_id IS NOT NULL")
+    return B.with_tables(pages.withColumn("frags", B.numbered_rows(F.col("frags"))), F.lit(LEFT), F.lit(RIGHT))
 
 
 def table_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _zones(_rows(spark, sf_dir)).select(*PAGE, "first_row", "last_row", F.size("cols").cast("long").alias("n_cols"))
+    zone = lambda t: F.struct(t["first_row"].alias("first_row"), t["last_row"].alias("last_row"), F.size(t["cols"]).cast("long").alias("n_cols"))
+    return _tables(spark, sf_dir).select(*PAGE, B.rows_of_tables(zone))
 
 
 def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones = _zones(_rows(spark, sf_dir))
+    zones = _tables(spark, sf_dir).select(*PAGE, B.rows_of_tables(lambda t: F.struct(t["first_row"].alias("first_row"), t["cols"].alias("cols"))))
     return zones.select(*PAGE, "first_row", F.posexplode("cols").alias("col_no", "c")).select(*PAGE, "first_row", F.col("col_no").cast("long").alias("col_no"), "c.x0", "c.x1")
 
 
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frags = written(_rows(spark, sf_dir))
-    return B.table_cells(frags, written(_zones(frags)), PAGE)
+    return B.cells_of(_tables(spark, sf_dir), PAGE)
 
 
 def paragraph_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirelab.functions.text import bound
 
 PAGE_LINES = 60
+PAGE_WORDS = 480
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,29 +73,51 @@ def mono_pieces(pages: DataFrame, size: float = 12.0, margin: float = 72.0) -> D
     return mono_pages(pages, size, margin).select("doc_id", "page_no", F.inline("pieces"))
 
 
+def _page_texts(docs: DataFrame) -> DataFrame:
+    """Texts as pages of PAGE_WORDS words, joined by one space: (doc_id, page_no from 1, text); texts without words have none."""
+    page = lambda words, p: F.array_join(F.slice(words, p * PAGE_WORDS + 1, F.lit(PAGE_WORDS)), " ")
+    numbers = lambda words: F.sequence(F.lit(0), F.floor((F.size(words) - 1) / PAGE_WORDS).cast("int"))
+    pages = bound(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), lambda words: F.transform(numbers(words), lambda p: F.struct((p + 1).alias("page_no"), page(words, p).alias("text"))))
+    return docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.inline(pages))
+
+
+def _set(text: Column, style: Column) -> Column:
+    """A page's text as an array of fragments (frag_no, text, n_chars, x0, x1, top, bottom, base, size, bold). Lines and cells are found as stretches of text; words are not listed."""
+    by = lambda *v: F.when(style == 0, v[0]).when(style == 1, v[1]).when(style == 2, v[2]).otherwise(v[3])
+
+    def line(six: Column, k: Column) -> Column:
+        table = (style == 0) & (F.floor(k / 8) % 2 == 1)
+        twos = F.regexp_extract_all(six, F.lit("[^ ]++(?: [^ ]++)?+"), F.lit(0))
+        cells = F.when(style != 0, F.array(six)).when(~table, F.array(six)).when(k % 8 == 3, F.slice(twos, 2, 1)).otherwise(twos)
+        base = by(60 + 18 * k - F.when(table & (k % 8 == 3), 5).otherwise(0), F.when(k == 0, 60).otherwise(90 + 14 * ((k - 1) % 40)), 60 + 14 * (k % 27), 60 + 14 * k + 10 * F.floor(k / 9)).cast("double")
+        size = F.when((style == 3) & (k % 17 == 16), 16.0).otherwise(12.0)
+        x = by(F.when(table, F.when(k % 8 == 3, 232).otherwise(72)).otherwise(72), F.when(k == 0, 100).otherwise(72 + 246 * F.floor((k - 1) / 40)), 72 + 170 * F.floor(k / 27), F.when(k % 5 == 0, 90).otherwise(72)).cast("double")
+        per = by(F.when(table, 5).otherwise(8), F.when(k == 0, 0).otherwise(6), 5, 11).cast("double")
+        most = by(F.when(~table, 460.0), F.when(k > 0, 222.0), 150.0, 460.0)
+        return F.struct(k.alias("k"), cells.alias("cells"), base.alias("base"), size.alias("size"), ((style == 3) & (k % 13 == 12)).alias("bold"), x.alias("x"), F.when(table, 160.0).otherwise(0.0).alias("gap"), per.alias("per"), most.alias("most"), F.when((style == 1) & (k == 0), 380.0).otherwise(0.0).alias("least"))
+
+    def fragment(h: Column, t: Column, c: Column) -> Column:
+        x0 = h["x"] + h["gap"] * c
+        return F.struct(
+            (h["k"] * 4 + c).cast("long").alias("frag_no"), t.alias("text"), F.char_length(t).cast("long").alias("n_chars"), x0.alias("x0"), (x0 + F.greatest(h["least"], F.least(F.char_length(t) * h["per"], h["most"]))).alias("x1"),
+            (h["base"] - 0.8 * h["size"]).alias("top"), (h["base"] + 0.22 * h["size"]).alias("bottom"), h["base"].alias("base"), h["size"].alias("size"), h["bold"].alias("bold"),
+        )
+
+    lines = F.transform(F.regexp_extract_all(text, F.lit("[^ ]++(?: [^ ]++){0,5}+"), F.lit(0)), line)
+    return F.flatten(F.transform(lines, lambda h: F.transform(h["cells"], lambda t, c: fragment(h, t, c))))
+
+
 def set_fragments(docs: DataFrame) -> DataFrame:
     """Texts set on pages: (doc_id, page_no, frag_no, text, n_chars, x0, x1, top, bottom, base, size, bold).
 
     Six words make a line, 80 lines a page. By doc_id % 4 a page has tables between prose (two words a cell, some cells wrapped), two columns under a title, three
     columns, or one column of indented paragraphs with larger and bold lines.
     """
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = lambda n, at: F.slice("six", at, n)
-    d = docs.select("doc_id", (F.col("doc_id") % 4).alias("style"), words.alias("words")).filter("size(words) > 0")
-    sixes = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 6).cast("int")), lambda i: F.slice("words", i * 6 + 1, F.lit(6)))
-    lines = d.select("doc_id", "style", F.posexplode(sixes).alias("i", "six"))  # each line carries its own words alone
-    k = F.col("i") % 80
-    table = (F.col("style") == 0) & (F.floor(k / 8) % 2 == 1)
-    cells = F.when(F.col("style") != 0, F.array(cut(6, 1))).when(~table, F.array(cut(6, 1))).when(k % 8 == 3, F.array(cut(2, 3)))
-    lines = lines.withColumn("k", k).withColumn("table", table).withColumn("cells", cells.otherwise(F.array(*[cut(2, at) for at in (1, 3, 5)])))
-    f = lines.select("doc_id", "style", "i", "k", "table", F.posexplode("cells").alias("c", "ws")).filter("size(ws) > 0").withColumn("text", F.array_join("ws", " ")).withColumn("n", F.char_length("text"))
-    k, c, n, r2, r3 = F.col("k"), F.col("c"), F.col("n"), (F.col("k") - 1) % 40, F.col("k") % 27
-    by = lambda *v: F.when(F.col("style") == 0, v[0]).when(F.col("style") == 1, v[1]).when(F.col("style") == 2, v[2]).otherwise(v[3])
-    x0 = by(F.when(F.col("table"), F.when(k % 8 == 3, 232).otherwise(72 + 160 * c)).otherwise(72), F.when(k == 0, 100).otherwise(72 + 246 * F.floor((k - 1) / 40)), 72 + 170 * F.floor(k / 27), F.when(k % 5 == 0, 90).otherwise(72))
-    w = by(F.when(F.col("table"), n * 5).otherwise(F.least(n * 8, F.lit(460))), F.when(k == 0, F.lit(380)).otherwise(F.least(n * 6, F.lit(222))), F.least(n * 5, F.lit(150)), F.least(n * 11, F.lit(460)))
-    y = by(60 + 18 * k - F.when(F.col("table") & (k % 8 == 3), 5).otherwise(0), F.when(k == 0, 60).otherwise(90 + 14 * r2), 60 + 14 * r3, 60 + 14 * k + 10 * F.floor(k / 9))
-    f = f.withColumn("size", F.when((F.col("style") == 3) & (k % 17 == 16), 16.0).otherwise(12.0)).withColumn("base", y.cast("double")).withColumn("x0", x0.cast("double")).withColumn("w", w.cast("double"))
-    return f.select(
-        "doc_id", (F.floor(F.col("i") / 80) + 1).cast("int").alias("page_no"), (k * 4 + c).cast("long").alias("frag_no"), "text", n.cast("long").alias("n_chars"), "x0", (F.col("x0") + F.col("w")).alias("x1"),
-        (F.col("base") - 0.8 * F.col("size")).alias("top"), (F.col("base") + 0.22 * F.col("size")).alias("bottom"), "base", "size", ((F.col("style") == 3) & (k % 13 == 12)).alias("bold"),
-    )
+    return _page_texts(docs).select("doc_id", "page_no", F.inline(_set(F.col("text"), F.col("doc_id") % 4)))
+
+
+def set_pages(docs: DataFrame) -> DataFrame:
+    """set_fragments() with the fragments of a page in one row: (doc_id, page_no, frags). Pages are dealt as texts, before they are set, so rows of fragments are neither shuffled nor sorted."""
+    n_parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # many small parts: fragments take far more room than their text
+    whole = _page_texts(docs).repartition(n_parts, "doc_id", "page_no").groupBy("doc_id", "page_no").agg(F.collect_list("text").alias("texts"))
+    return whole.select("doc_id", "page_no", F.flatten(F.transform("texts", lambda text: _set(text, F.col("doc_id") % 4))).alias("frags"))

@@ -1,13 +1,19 @@
 """What grows with the tables: how operators join, and what they look at more than once."""
 
+import random
+import statistics
 import time
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quirelab.functions import text as X
+from quirelab.operators import block_ops as B
 from quirelab.operators import display_ops as D
 from quirelab.operators import layout_ops as L
 from quirelab.operators import page_ops as P
+from quirelab.plans import block_queries as Q4
 from quirelab.plans import detail_queries as X3
 from quirelab.plans import display_queries as Q
 from quirelab.plans import text_queries as X2
@@ -95,3 +101,72 @@ def test_distinct_pieces_of_a_page(spark, sf):
     want = P.dedup_pieces(df.select("doc_id", "page_no", F.inline("pieces"))).drop("doc_id", "page_no")
     assert sorted(r["piece_no"] for r in got.collect()) == [3, 4, 5, 6] and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     assert "Window" not in plan(X3.distinct_pieces(spark, sf)) and "Sort" not in plan(X3.distinct_pieces(spark, sf))
+
+
+def test_tables_of_a_page_are_found_in_one_row(spark, sf):
+    """Pages are dealt once, as texts; rows of fragments are neither sorted nor joined, and tables are looked for once."""
+    for query in (Q4.table_zones, Q4.table_columns, Q4.table_cells):
+        shown = plan(query(spark, sf)).split("== Initial Plan ==")[-1]
+        assert shown.count("Exchange hashpartitioning") == 1 and not any(step in shown for step in ("Window", "Sort", "Join"))
+        assert shown.count("_found_tables(") == 1
+
+
+def tables_of_a_loop(rows, width):
+    """The tables of a region of rows (fragments (x0, x1, n_chars), top, bottom, size): every end of a session is tried at every whole x, as in the SQL."""
+    sessions, before = [], None
+    for r, (frags, top, bottom, size) in enumerate(rows):
+        fits = len(frags) >= 2 or max(f[1] for f in frags) - min(f[0] for f in frags) < B.LABEL * width
+        if fits and before and top - before[0] <= B.ZONE_GAP * max(size, before[1]):
+            sessions[-1].append(r)
+        elif fits:
+            sessions.append([r])
+        before = (bottom, size) if fits else None
+    out = []
+    for session in sessions:
+        strong = [r for r in session if len(rows[r][0]) >= 2]
+        for first in strong[:-1]:
+            part = [rows[r] for r in range(first, strong[-1] + 1)]
+            allowed, gap = int(len(part) * B.CROSSING), max(2.0, 0.5 * statistics.median(p[3] for p in part))
+            cover = [x for frags, *_ in part for x in {x for a, b, _ in frags for x in range(int(a // 1), int(-(-b // 1)) + 1)}]
+            cols = []
+            for x in sorted({x for x in cover if cover.count(x) > allowed}):
+                if cols and x - cols[-1][1] - 1 < gap:
+                    cols[-1][1] = x
+                else:
+                    cols.append([x, x])
+            cols = [(float(a), float(b + (c < len(cols) - 1))) for c, (a, b) in enumerate(cols)]
+            share = lambda f, c: max(0.0, min(f[1], c[1]) - max(f[0], c[0]))
+            inner = [[f for frags, *_ in part for f in frags if share(f, c) > 0.5 * (f[1] - f[0])] for c in cols]
+            mean = [sum(f[1] - f[0] for f in i) / len(i) if i else 0.0 for i in inner]
+            filled = sum(any(share(f, c) > 0 for f in p[0]) for p in part for c in cols)
+            n_strong = sum(len(p[0]) >= 2 for p in part)
+            if len(cols) < 2 or not (n_strong >= 3 or (n_strong >= 2 and len(cols) >= 3)):
+                continue
+            short = sum(f[2] <= 4 for f in inner[0]) >= 0.7 * len(inner[0])
+            text = len(cols) == 2 and mean[1] > 0.3 * width and (mean[0] > 0.3 * width or short)
+            if not text and max(mean) <= 0.6 * width and filled / (len(part) * len(cols)) >= 0.3:
+                out.append((first, strong[-1], cols))
+                break
+    return out
+
+
+@pytest.mark.parametrize("edges", [1, 60, 1 << 20])
+def test_tables_are_those_of_a_loop(monkeypatch, edges):
+    """However many ends of sessions are looked at together; regions without fragments or tables have none."""
+    monkeypatch.setattr(B, "EDGES", edges)
+    rng, regions = random.Random(3), [[]]
+    for _ in range(150):
+        at, y, rows = [rng.choice((0, 4, 60, 61, 150, 151.5, 290)) for _ in range(3)], 0.0, []
+        for _ in range(rng.randrange(1, 12)):
+            size = rng.choice((10.0, 10.0, 16.0))
+            y += rng.choice((12, 12, 20, 60))
+            frags = [(float(a), a + rng.choice((0.5, 3.0, 40.0, 80.0, 145.5, 250.0)), rng.choice((2, 9))) for a in rng.sample(at, rng.randrange(1, 4))]
+            rows.append((frags, y - 8, y + 2, size))
+        regions.append(rows)
+    flat = lambda value: pa.array([[value(r, i, f) for i, r in enumerate(rows) for f in r[0]] for rows in regions])
+    row_no, n_chars, x0, x1 = flat(lambda r, i, f: i), flat(lambda r, i, f: f[2]), flat(lambda r, i, f: f[0]), flat(lambda r, i, f: f[1])
+    got = B._found_tables(row_no, n_chars, x0, x1, flat(lambda r, i, f: r[1]), flat(lambda r, i, f: r[2]), flat(lambda r, i, f: r[3]), pa.array([300.0] * len(regions))).to_pylist()
+    want = [tables_of_a_loop(rows, 300.0) for rows in regions]
+    assert [[(t["first_row"], t["last_row"], [(c["x0"], c["x1"]) for c in t["cols"]]) for t in tables] for tables in got] == want
+    assert sum(map(len, want)) > 20 and any(first > 0 for tables in want for first, *_ in tables)
+    assert B._found_tables(*[a.slice(0, 1) for a in (row_no, n_chars, x0, x1, x0, x1, x0)], pa.array([300.0])).to_pylist() == [[]]
