@@ -81,30 +81,33 @@ def _page_texts(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.inline(pages))
 
 
-def _set(text: Column, style: Column) -> Column:
-    """A page's text as an array of fragments (frag_no, text, n_chars, x0, x1, top, bottom, base, size, bold). Lines and cells are found as stretches of text; words are not listed."""
-    by = lambda *v: F.when(style == 0, v[0]).when(style == 1, v[1]).when(style == 2, v[2]).otherwise(v[3])
+def _lines_of(text: Column) -> Column:
+    """A page's text as an array of lines of six words. Lines, and cells below, are found as stretches of text; words are not listed."""
+    return F.regexp_extract_all(text, F.lit("[^ ]++(?: [^ ]++){0,5}+"), F.lit(0))
 
-    def line(six: Column, k: Column) -> Column:
-        table = (style == 0) & (F.floor(k / 8) % 2 == 1)
-        twos = F.regexp_extract_all(six, F.lit("[^ ]++(?: [^ ]++)?+"), F.lit(0))
-        cells = F.when(style != 0, F.array(six)).when(~table, F.array(six)).when(k % 8 == 3, F.slice(twos, 2, 1)).otherwise(twos)
-        base = by(60 + 18 * k - F.when(table & (k % 8 == 3), 5).otherwise(0), F.when(k == 0, 60).otherwise(90 + 14 * ((k - 1) % 40)), 60 + 14 * (k % 27), 60 + 14 * k + 10 * F.floor(k / 9)).cast("double")
-        size = F.when((style == 3) & (k % 17 == 16), 16.0).otherwise(12.0)
-        x = by(F.when(table, F.when(k % 8 == 3, 232).otherwise(72)).otherwise(72), F.when(k == 0, 100).otherwise(72 + 246 * F.floor((k - 1) / 40)), 72 + 170 * F.floor(k / 27), F.when(k % 5 == 0, 90).otherwise(72)).cast("double")
-        per = by(F.when(table, 5).otherwise(8), F.when(k == 0, 0).otherwise(6), 5, 11).cast("double")
-        most = by(F.when(~table, 460.0), F.when(k > 0, 222.0), 150.0, 460.0)
-        return F.struct(k.alias("k"), cells.alias("cells"), base.alias("base"), size.alias("size"), ((style == 3) & (k % 13 == 12)).alias("bold"), x.alias("x"), F.when(table, 160.0).otherwise(0.0).alias("gap"), per.alias("per"), most.alias("most"), F.when((style == 1) & (k == 0), 380.0).otherwise(0.0).alias("least"))
-
-    def fragment(h: Column, t: Column, c: Column) -> Column:
-        x0 = h["x"] + h["gap"] * c
-        return F.struct(
-            (h["k"] * 4 + c).cast("long").alias("frag_no"), t.alias("text"), F.char_length(t).cast("long").alias("n_chars"), x0.alias("x0"), (x0 + F.greatest(h["least"], F.least(F.char_length(t) * h["per"], h["most"]))).alias("x1"),
-            (h["base"] - 0.8 * h["size"]).alias("top"), (h["base"] + 0.22 * h["size"]).alias("bottom"), h["base"].alias("base"), h["size"].alias("size"), h["bold"].alias("bold"),
-        )
 
-    lines = F.transform(F.regexp_extract_all(text, F.lit("[^ ]++(?: [^ ]++){0,5}+"), F.lit(0)), line)
-    return F.flatten(F.transform(lines, lambda h: F.transform(h["cells"], lambda t, c: fragment(h, t, c))))
+def _set_line(style: Column, six: Column, k: Column) -> Column:
+    """The k-th line of a page: the texts of its cells, and how they are placed."""
+    by = lambda *v: F.when(style == 0, v[0]).when(style == 1, v[1]).when(style == 2, v[2]).otherwise(v[3])
+    table = (style == 0) & (F.floor(k / 8) % 2 == 1)
+    twos = F.regexp_extract_all(six, F.lit("[^ ]++(?: [^ ]++)?+"), F.lit(0))
+    cells = F.when(style != 0, F.array(six)).when(~table, F.array(six)).when(k % 8 == 3, F.slice(twos, 2, 1)).otherwise(twos)
+    base = by(60 + 18 * k - F.when(table & (k % 8 == 3), 5).otherwise(0), F.when(k == 0, 60).otherwise(90 + 14 * ((k - 1) % 40)), 60 + 14 * (k % 27), 60 + 14 * k + 10 * F.floor(k / 9)).cast("double")
+    x = by(F.when(table, F.when(k % 8 == 3, 232).otherwise(72)).otherwise(72), F.when(k == 0, 100).otherwise(72 + 246 * F.floor((k - 1) / 40)), 72 + 170 * F.floor(k / 27), F.when(k % 5 == 0, 90).otherwise(72)).cast("double")
+    per, most = by(F.when(table, 5).otherwise(8), F.when(k == 0, 0).otherwise(6), 5, 11).cast("double"), by(F.when(~table, 460.0), F.when(k > 0, 222.0), 150.0, 460.0)
+    return F.struct(
+        k.alias("k"), cells.alias("cells"), base.alias("base"), F.when((style == 3) & (k % 17 == 16), 16.0).otherwise(12.0).alias("size"), ((style == 3) & (k % 13 == 12)).alias("bold"), x.alias("x"),
+        F.when(table, 160.0).otherwise(0.0).alias("gap"), per.alias("per"), F.when((style == 1) & (k == 0), 380.0).otherwise(0.0).alias("least"), most.alias("most"),
+    )
+
+
+def _set_cell(h: Column, t: Column, c: Column) -> Column:
+    """The c-th cell of a line as a fragment (frag_no, text, n_chars, x0, x1, top, bottom, base, size, bold)."""
+    x0 = h["x"] + h["gap"] * c
+    return F.struct(
+        (h["k"] * 4 + c).cast("long").alias("frag_no"), t.alias("text"), F.char_length(t).cast("long").alias("n_chars"), x0.alias("x0"), (x0 + F.greatest(h["least"], F.least(F.char_length(t) * h["per"], h["most"]))).alias("x1"),
+        (h["base"] - 0.8 * h["size"]).alias("top"), (h["base"] + 0.22 * h["size"]).alias("bottom"), h["base"].alias("base"), h["size"].alias("size"), h["bold"].alias("bold"),
+    )
 
 
 def set_fragments(docs: DataFrame) -> DataFrame:
@@ -113,11 +116,14 @@ def set_fragments(docs: DataFrame) -> DataFrame:
     Six words make a line, 80 lines a page. By doc_id % 4 a page has tables between prose (two words a cell, some cells wrapped), two columns under a title, three
     columns, or one column of indented paragraphs with larger and bold lines.
     """
-    return _page_texts(docs).select("doc_id", "page_no", F.inline(_set(F.col("text"), F.col("doc_id") % 4)))
+    lines = _page_texts(docs).select("doc_id", "page_no", F.posexplode(_lines_of(F.col("text"))).alias("k", "six"))
+    cells = lines.select("doc_id", "page_no", _set_line(F.col("doc_id") % 4, F.col("six"), F.col("k")).alias("h")).select("doc_id", "page_no", "h", F.posexplode("h.cells").alias("c", "t"))
+    return cells.select("doc_id", "page_no", _set_cell(F.col("h"), F.col("t"), F.col("c")).alias("f")).select("doc_id", "page_no", "f.*")
 
 
 def set_pages(docs: DataFrame) -> DataFrame:
     """set_fragments() with the fragments of a page in one row: (doc_id, page_no, frags). Pages are dealt as texts, before they are set, so rows of fragments are neither shuffled nor sorted."""
     n_parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # many small parts: fragments take far more room than their text
     whole = _page_texts(docs).repartition(n_parts, "doc_id", "page_no").groupBy("doc_id", "page_no").agg(F.collect_list("text").alias("texts"))
-    return whole.select("doc_id", "page_no", F.flatten(F.transform("texts", lambda text: _set(text, F.col("doc_id") % 4))).alias("frags"))
+    lines = F.flatten(F.transform("texts", lambda text: F.transform(_lines_of(text), lambda six, k: _set_line(F.col("doc_id") % 4, six, k))))
+    return whole.select("doc_id", "page_no", F.flatten(F.transform(lines, lambda h: F.transform(h["cells"], lambda t, c: _set_cell(h, t, c)))).alias("frags"))
